@@ -171,8 +171,8 @@ def agg18_queue_status(spark, sf):
 
 @query(
     """WITH t AS (SELECT user_id AS request, event_type = 'purchase' AS priority, date_trunc('day', ts) AS invocation, ts AS started, CAST(floor(value * 1000) AS BIGINT) AS ms FROM events),
-u AS (SELECT *, epoch_ms(started) + ms AS settled FROM t),
-i AS (SELECT request, priority, invocation, max(least(settled, epoch_ms(CAST(date_trunc('day', started) AS TIMESTAMP)) + 72000000)) - min(epoch_ms(started)) AS ms FROM u GROUP BY 1, 2, 3)
+u AS (SELECT *, epoch_us(started) // 1000 + ms AS settled FROM t),
+i AS (SELECT request, priority, invocation, max(least(settled, epoch_us(CAST(date_trunc('day', started) AS TIMESTAMP)) // 1000 + 72000000)) - min(epoch_us(started) // 1000) AS ms FROM u GROUP BY 1, 2, 3)
 SELECT request, priority, CAST(sum(greatest(ms, 0)) AS BIGINT) AS ms FROM i GROUP BY 1, 2"""
 )
 def agg19_stage_envelopes(spark, sf):

@@ -30,4 +30,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-from . import aggregates, filters, joins, windows  # noqa: E402, F401  registers the queries
+from . import aggregates, filters, joins, maintenance, sources, streams, windows  # noqa: E402, F401  registers the queries
