@@ -17,8 +17,10 @@ from sievewright.llm.queries import vocabulary_path
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model, learnt from the labels outside the held-out fold, predicts as toxic go."""
     model = toxicity.fit(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
-    scored = toxicity.toxicity(docs, model, spans=False, keep=tuple(docs.columns))
-    return scored.where("predicted = 0").select(*docs.columns)
+    # numbered names, so that no column of the documents meets one of the result
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    scored = toxicity.toxicity(docs.withColumnsRenamed(names), model, names["text"], names["doc_id"], spans=False, keep=tuple(names.values()))
+    return scored.where("predicted = 0").select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -125,13 +125,13 @@ def dedup_lines(docs: DataFrame, edits: int = 2, least: int = 30, text: str = "t
     Lines are what ``\\n`` separates; lines without a word are no lines here and always stay. Two lines are linked if
     they are equal, or have ``least`` code points each and differ by ``edits`` edits at most; linked lines, however
     indirectly, form a class, and only the first of a class (smallest id, then place) stays. Returns the id column,
-    ``row`` (a number of the row, given in ``docs`` or made here), ``n_lines``, ``n_exact`` and ``n_near`` (lines dropped
+    ``row`` (a hash of id and text), ``n_lines``, ``n_exact`` and ``n_near`` (lines dropped
     because an equal or only a similar one comes first), ``n_links`` (other different lines that lines of this row are
     linked to), and ``dropped`` (places of dropped lines, from 0). Null and empty text: no lines. Very long lines take
     part whole. Rows with null ids come first. Repeated rows: later ones lose all their lines. Empty table: no rows.
     """
-    if "row" not in docs.columns:
-        docs = docs.withColumn("row", F.xxhash64(F.col(id_col), F.col(text)))
+    docs = docs.select(F.col(id_col), F.col(text).alias("__text"), F.xxhash64(F.col(id_col), F.coalesce(F.col(text), F.lit(""))).alias("row"))
+    text = "__text"
     occ = line_occurrences(docs, text, id_col)
     distinct = occ.groupBy("h1", "h2").agg(F.first("line").alias("line"))
     links, classes = line_classes(distinct, edits, least)
@@ -165,8 +165,8 @@ def clean(docs: DataFrame, edits: int = 2, least: int = 30, text: str = "text",
     """
     body = F.coalesce(F.col(text), F.lit(""))
     key = F.xxhash64(F.col(id_col), body)
-    marked = dedup_lines(docs.select(F.col(id_col), F.col(text)), edits, least, text, id_col).select(F.col("row").alias("__row"), "dropped").where("size(dropped) > 0").dropDuplicates(["__row"])
+    marked = dedup_lines(docs.select(F.col(id_col), F.col(text)), edits, least, text, id_col).select(F.col("row").alias("__row"), F.col("dropped").alias("__dropped")).where("size(__dropped) > 0").dropDuplicates(["__row"])
     out = docs.withColumn("__row", key).join(marked, "__row", "left")
     lines = F.split(F.col(text), "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("dropped", i)), "\n")
-    return out.withColumn(text, F.when(F.col("dropped").isNull(), F.col(text)).otherwise(kept)).select(*docs.columns)
+    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("__dropped", i)), "\n")
+    return out.withColumn(text, F.when(F.col("__dropped").isNull(), F.col(text)).otherwise(kept)).select(*docs.columns)

@@ -101,11 +101,11 @@ def sample(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3,
     """The mixed table itself: every row of ``docs`` as often as ``mix`` takes it, with all its columns. Texts are shuffled once."""
     name = lambda c: F.coalesce(F.concat(F.lit("s"), F.col(c).cast("string")), F.lit("n"))
     taken = mix(docs, weights, most, seed, id_col=id_col, text=text).where("copies > 0")
-    taken = taken.select(name(id_col).alias("__id"), name("source").alias("__src"), F.col("text_crc32").alias("__crc"), F.col("nth").alias("__nth"), "copies")
+    taken = taken.select(name(id_col).alias("__id"), name("source").alias("__src"), F.col("text_crc32").alias("__crc"), F.col("nth").alias("__nth"), F.col("copies").alias("__copies"))
     key = W.partitionBy("__id", "__src", "__crc").orderBy(F.lit(1))
     rows = docs.withColumns({"__id": name(id_col), "__src": name("source"), "__crc": F.crc32(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8"))})
     rows = rows.withColumn("__nth", F.row_number().over(key)).join(taken, ["__id", "__src", "__crc", "__nth"])
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
 
 
 def _oracle(passes: int = 4, seed: int = 17) -> str:
