@@ -7,10 +7,54 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..sources import readers as S
 from ..sources import sinks as K
-from ..sources.relations import NOW, read, snapshot, with_cte, SNAPSHOT
+from ..sources.relations import LISTINGS, NOW, SNAPSHOT, listings, read, snapshot, with_cte
 from .registry import query
 
 
+_KNOWN = "CASE WHEN size > 1024 AND size < 536870912000 THEN size ELSE 0 END"
+
+
+@query(with_cte(LISTINGS) + f"SELECT hash, title || ' & co' AS title, seeders, {_KNOWN} AS size, CAST(indexer AS VARCHAR) AS indexer FROM listings WHERE NOT multi_work")
+def src1_read_listings_json(spark, sf):
+    """Listings written as aggregator JSON and read again."""
+    cats = F.when(F.col("multi_work"), F.array(F.lit(8000))).otherwise(F.array(F.col("season") * 10 + 2000))
+    item = F.struct(F.concat("title", F.lit(" &amp; co")).alias("Title"), F.upper("hash").alias("InfoHash"), F.col("seeders").alias("Seeders"), F.col("size").alias("Size"), F.col("indexer").cast("string").alias("Tracker"), cats.alias("Category"))
+    return S.parse_listings_json(listings(spark, sf).select(F.to_json(F.struct(F.array(item).alias("Results"))).alias("value")))
+
+
+@query(with_cte(LISTINGS) + f"SELECT hash, title, seeders, {_KNOWN} AS size, CAST(indexer AS VARCHAR) AS indexer FROM listings")
+def src2_read_listings_flat(spark, sf):
+    li = listings(spark, sf)
+    row = F.struct("title", F.concat(F.lit("magnet:?xt=urn:btih:"), F.upper("hash"), F.lit("&dn=x")).alias("magnetUrl"), "seeders", "size", F.col("indexer").cast("string").alias("indexer"))
+    return S.flat_listings(li.select(F.from_json(F.to_json(row), S.FLAT).alias("x")).select("x.*"))
+
+
+@query(with_cte(LISTINGS) + "SELECT hash, title, seeders, CAST(round((season + 0.5) * 1073741824.0) AS BIGINT) AS size, 'src' || indexer AS indexer FROM listings")
+def src3_read_listings_feed(spark, sf):
+    shown = F.concat("title", F.lit("\n👤 "), F.col("seeders").cast("string"), F.lit(" 💾 "), F.col("season").cast("string"), F.lit(".5 GB ⚙️ src"), F.col("indexer").cast("string"))
+    return S.feed_listings(listings(spark, sf).select(shown.alias("title"), F.col("hash").alias("infoHash")))
+
+
+@query("SELECT id, label, CAST(language AS VARCHAR) AS language, place FROM (SELECT 's' || s_suppkey AS id, s_name AS label, 'xx' AS language, 0 AS place FROM supplier WHERE s_suppkey % 10 <> 0 UNION ALL SELECT 'extra', 'extra', NULL, 2)")
+def src4_read_source_catalog(spark, sf):
+    """Suppliers written as XML rows and read again; ids with a blank go, configured ones follow."""
+    s = read(spark, sf, "supplier")
+    sid = F.concat(F.lit("s"), F.when(F.col("s_suppkey") % 10 == 0, F.lit(" ")).otherwise(""), F.col("s_suppkey").cast("string"))
+    xml = F.concat(F.lit('<indexer id="'), sid, F.lit('"><title>'), "s_name", F.lit("</title><language>xx</language></indexer>"))
+    return S.source_catalog(s.select(F.from_xml(xml, S.REGISTRY).alias("x")).select("x.*"), ["s1", "extra", "extra"])
+
+
+@query(with_cte(LISTINGS) + "SELECT work_id % 8 AS shelf, count(*) AS n, CAST(sum(seeders) AS BIGINT) AS seeders FROM listings GROUP BY 1")
+def snk1_write_index(spark, sf):
+    """The index written by shelf in two steps, of which the second overwrites the shelves that it holds, and read again."""
+    li = listings(spark, sf).select("lid", "seeders", (F.col("work_id") % 8).alias("shelf"))
+    path = K.scratch(spark, "index")
+    K.write_index(li.where("shelf < 6 and seeders < 30"), path)
+    K.write_index(li.where("shelf < 6"), path)
+    K.write_index(li.where("shelf >= 6"), path)
+    return spark.read.schema("lid string, seeders long, shelf long").parquet(path).groupBy("shelf").agg(F.count("*").alias("n"), F.sum("seeders").alias("seeders"))
+
+
 def _raw_account(spark, sf):
     o = read(spark, sf, "orders")
     return o.select(F.when(F.col("o_orderkey") % 17 != 0, F.col("o_orderkey")).alias("id"), F.when(F.col("o_orderkey") % 19 != 0, F.upper(F.sha1(F.col("o_custkey").cast("string").cast("binary")))).alias("hash"), F.when(F.col("o_orderkey") % 23 == 0, F.sha1(F.col("o_custkey").cast("string").cast("binary"))).otherwise(F.col("o_orderpriority")).alias("filename"), F.floor("o_totalprice").cast("long").alias("size"), F.expr("CASE o_orderstatus WHEN 'F' THEN 'Ready' WHEN 'O' THEN 'Downloading' ELSE 'Error' END").alias("status"), (F.col("o_orderkey") % 29 == 0).alias("ready"), F.unix_timestamp("o_orderdate").alias("upload_date"))

@@ -14,8 +14,12 @@ _ITEM = "struct<Title:string,Guid:string,InfoHash:string,MagnetUri:string,Seeder
 
 
 def read_listings_json(spark: SparkSession, path: str, bucket: int = 2000) -> DataFrame:
+    return parse_listings_json(spark.read.text(path), bucket)
+
+
+def parse_listings_json(lines: DataFrame, bucket: int = 2000) -> DataFrame:
     """Aggregator JSON, ``{"Results": [...]}`` or a bare array a line: listings with decoded titles and the wanted categories."""
-    raw = spark.read.text(path).select(F.trim("value").alias("v")).where("v <> ''")
+    raw = lines.select(F.trim("value").alias("v")).where("v <> ''")
     items = F.when(F.col("v").startswith("["), F.from_json("v", f"array<{_ITEM}>")).otherwise(F.from_json("v", f"struct<Results:array<{_ITEM}>>")["Results"])
     df = raw.select(F.inline(items))
     cats = F.coalesce("Category", F.array().cast("array<bigint>"))
@@ -25,13 +29,23 @@ def read_listings_json(spark: SparkSession, path: str, bucket: int = 2000) -> Da
 
 def read_listings_flat(spark: SparkSession, path: str) -> DataFrame:
     """Flat JSON of the second aggregator, an array or an object a line."""
-    df = spark.read.schema("title string, infoHash string, magnetUrl string, guid string, seeders bigint, size bigint, indexer string").json(path)
+    return flat_listings(spark.read.schema(FLAT).json(path))
+
+
+#: Columns of the second aggregator.
+FLAT = "title string, infoHash string, magnetUrl string, guid string, seeders bigint, size bigint, indexer string"
+
+
+def flat_listings(df: DataFrame) -> DataFrame:
     return df.select(T.info_hash(F.coalesce("infoHash", "magnetUrl", "guid")).alias("hash"), F.col("title"), F.coalesce("seeders", F.lit(0)).alias("seeders"), T.known_size(F.coalesce("size", F.lit(0))).alias("size"), "indexer")
 
 
 def read_listings_feed(spark: SparkSession, path: str) -> DataFrame:
+    return feed_listings(spark.read.schema("streams array<struct<name:string,title:string,infoHash:string>>").json(path).select(F.inline("streams")))
+
+
+def feed_listings(df: DataFrame) -> DataFrame:
     """A feed whose numbers hide in a display line: the line with a size is taken apart, the others are the title."""
-    df = spark.read.schema("streams array<struct<name:string,title:string,infoHash:string>>").json(path).select(F.inline("streams"))
     lines = F.split("title", "\n")
     facts = F.concat_ws(" ", F.filter(lines, lambda x: x.rlike(r"💾|👤|⚙")))
     return df.select(
@@ -41,8 +55,16 @@ def read_listings_feed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_source_catalog(spark: SparkSession, path: str, configured: list[str]) -> DataFrame:
-    """Source registry in XML (id as attribute or child); ids with odd characters go; configured ids missing there follow in order."""
-    df = spark.read.format("xml").option("rowTag", "indexer").schema("_id string, id string, title string, language string").load(path)
+    return source_catalog(spark.read.format("xml").option("rowTag", "indexer").schema(REGISTRY).load(path), configured)
+
+
+#: Columns of the source registry; ``_id`` is the attribute.
+REGISTRY = "_id string, id string, title string, language string"
+
+
+def source_catalog(df: DataFrame, configured: list[str]) -> DataFrame:
+    """Source registry (id as attribute or child); ids with odd characters go; configured ids missing there follow in order."""
+    spark = df.sparkSession
     good = df.select(F.trim(F.coalesce("_id", "id")).alias("id"), F.col("title").alias("label"), "language").where(F.col("id").rlike("^[A-Za-z0-9_-]+$")).withColumn("place", F.lit(0))
     extra = spark.createDataFrame([(c, i + 1) for i, c in enumerate(configured)], "id string, place int").select("id", F.col("id").alias("label"), F.lit(None).cast("string").alias("language"), "place")
     both = good.unionByName(extra)

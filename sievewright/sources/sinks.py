@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the place that all machines share; a temporary one where the session names none."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
 def write_index(df: DataFrame, path: str, by: str = "shelf") -> None:
     """Overwrites only the partitions that the frame holds; rows are clustered by partition before, so that each is few files."""
     df.repartition(by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
