@@ -19,9 +19,10 @@ from .quality import mixed, rolling
 
 _WORD = re.compile(WORD)
 #: Buckets of the document frequencies. A bucket holds the shingles of about (shingles a text / BUCKETS) of all texts
-#: beside its own, whatever the corpus; only frequencies above COMMON of all texts count.
+#: beside its own, whatever the corpus; only frequencies above COMMON of all texts count, the share that one group of
+#: copies may hold.
 BUCKETS = 1 << 16
-COMMON = 0.10
+COMMON = 1 / 3
 _DRAWS = 1 << 16
 
 

@@ -400,8 +400,11 @@ def test_large_group_of_near_copies(spark):
         for k in rng.choice(150, 3, replace=False):
             w[k] = f"edit{rng.integers(1000)}"
         rows.append((i, " ".join(w)))
+    rows += [(i, " ".join(f"other{x}" for x in rng.integers(0, 10**6, 150))) for i in range(300, 900)]
     r = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
-    assert r["class_id"].nunique() == 1 and r["kept"].sum() == 1 and (r["n_class"] == 300).all()
+    big = r[r["doc_id"] < 300]
+    assert big["class_id"].nunique() == 1 and big["kept"].sum() == 1 and (big["n_class"] == 300).all()
+    assert r[r["doc_id"] >= 300]["kept"].all()
 
 
 def test_minhash_odd(odd, none):
