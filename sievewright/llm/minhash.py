@@ -10,7 +10,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD, ship, sliced, stash, texts_of
@@ -134,13 +134,14 @@ class Sampler:
     def weigh(self, h: np.ndarray, tf: np.ndarray) -> np.ndarray:
         return tf * self.weights[(h % np.uint64(BUCKETS)).astype(np.int64)]
 
-    def bands(self, h: np.ndarray, d: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Texts that have shingles, and the band keys of each."""
+    def bands(self, h: np.ndarray, d: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Texts that have shingles, the band keys of each, and one byte of every sample, eight to a number."""
         which, starts = np.unique(d, return_index=True)
+        size = self.p.bands * self.p.rows
         if not len(which):
-            return which, np.zeros((0, self.p.bands), np.int64)
+            return which, np.zeros((0, self.p.bands), np.int64), np.zeros((0, -(-size // 8)), np.int64)
         w = self.weigh(h, tf)
-        odd = np.flatnonzero(w != 1)
+        odd, marks = np.flatnonzero(w != 1), np.zeros((len(which), -(-size // 8) * 8), np.uint8)
         ln_w, out = np.log(w[odd]), np.zeros((len(which), self.p.bands), np.uint64)
         low, s48, s16 = np.uint64(0xFFFFFFFF), np.uint64(48), np.uint64(16)
         for k in range(self.p.bands * self.p.rows):
@@ -153,9 +154,10 @@ class Sampler:
                 ln_a = self.ln_c[i] - self.r[i] * (t - self.beta[i]) - self.r[i]
                 level = mixed(t.astype(np.int64).view(np.uint64)) * (t != 0)
                 key[odd] = self.ordered(ln_a) | (((mix[odd] >> s16) ^ level) & low)
-            band = out[:, k // self.p.rows]
-            band[:] = mixed(band * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(key, starts) + np.uint64(k + 1))
-        return which, out.view(np.int64)
+            band, low_key = out[:, k // self.p.rows], np.minimum.reduceat(key, starts)
+            band[:] = mixed(band * np.uint64(0x9E3779B97F4A7C15) + low_key + np.uint64(k + 1))
+            marks[:, k] = low_key & np.uint64(255)
+        return which, out.view(np.int64), marks.view(np.int64)
 
     def similarity(self, a: str, b: str) -> float:
         """Weighted Jaccard similarity of two texts: summed smaller over summed larger weights; 1 for two texts without words."""
@@ -184,7 +186,7 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), text: str = "text", i
 
     Every text is reduced to band keys where it lies. In each bucket the members are first compared with the bucket's
     smallest id only, which joins a large group of copies by a star; then, in buckets that still hold more than one
-    class, members of different classes are compared. So no bucket emits all pairs of a group, and no pair of a bucket
+    class, members of different classes are compared, by one byte of each of their samples first. So no bucket emits all pairs of a group, and no pair of a bucket
     is left out whose classes differ. Texts move only for pairs that are compared.
     """
     spark = ship(docs.sparkSession)
@@ -197,28 +199,31 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), text: str = "text", i
         for whole in batches:
             for b in sliced(whole, "text"):
                 texts = texts_of(b, "text")
-                which, bands = sampler.bands(*shingles(texts, sampler.p.words, memo))
+                which, bands, marks = sampler.bands(*shingles(texts, sampler.p.words, memo))
                 keys: list[list[int]] = [[] for _ in texts]
-                for i, row in zip(which.tolist(), bands.tolist()):
-                    keys[i] = row
+                bytes_of: list[list[int]] = [[] for _ in texts]
+                for i, row, mark in zip(which.tolist(), bands.tolist(), marks.tolist()):
+                    keys[i], bytes_of[i] = row, mark
                 digest = pa.array([hashlib.blake2b(t.encode("utf-8"), digest_size=16).digest() for t in texts], pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column("id"), digest, pa.array(keys, pa.list_(pa.int64()))], ["id", "digest", "bands"])
+                yield pa.RecordBatch.from_arrays([b.column("id"), digest, pa.array(keys, pa.list_(pa.int64())), pa.array(bytes_of, pa.list_(pa.int64()))], ["id", "digest", "bands", "marks"])
 
-    signed = stash(rows.mapInArrow(sign, "id long, digest binary, bands array<long>"), "bands")
-    texts = signed.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("n_copies"), F.first("bands").alias("bands"))
+    signed = stash(rows.mapInArrow(sign, "id long, digest binary, bands array<long>, marks array<long>"), "bands")
+    texts = signed.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("n_copies"), F.first("bands").alias("bands"), F.first("marks").alias("marks"))
     texts = stash(texts, "texts")
-    members = texts.select("rep", F.posexplode("bands").alias("band", "key"))
+    members = texts.select("rep", "marks", F.posexplode("bands").alias("band", "key"))
     full = members.groupBy("band", "key").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    members = stash(members.join(full, ["band", "key"]).select("band", "key", "rep", "leader"), "buckets")
+    members = stash(members.join(full, ["band", "key"]).select("band", "key", "rep", "leader", "marks"), "buckets")
     first = stash(members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
     links = stash(verify(rows, first, shipped), "links")
     groups = connected_components(links)
-    classed = members.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("band", "key", "rep", F.coalesce("component", "rep").alias("class"))
+    classed = members.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("band", "key", "rep", "marks", F.coalesce("component", "rep").alias("class"))
     classed = stash(classed, "classed")
     mixed_up = classed.groupBy("band", "key").agg((F.min("class") < F.max("class")).alias("mixed")).where("mixed").select("band", "key")
     left = classed.join(mixed_up, ["band", "key"])
-    right = left.withColumnsRenamed({"rep": "rep2", "class": "class2"})
-    rest = left.join(right, ["band", "key"]).where("rep < rep2 and class <> class2").select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct()
+    right = left.withColumnsRenamed({"rep": "rep2", "class": "class2", "marks": "marks2"})
+    size = p.bands * p.rows
+    close = differing(F.col("marks"), F.col("marks2"), -(-size // 8)) <= size - least_equal(size, p.threshold)
+    rest = left.join(right, ["band", "key"]).where(F.expr("rep < rep2 and class <> class2") & close).select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct()
     rest = stash(rest.join(first, ["a", "b"], "left_anti"), "pairs")
     more = stash(verify(rows, rest, shipped), "links")
     if not more.isEmpty():
@@ -231,6 +236,22 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), text: str = "text", i
     return out.union(lone).withColumnRenamed("id", id_col)
 
 
+def least_equal(size: int, threshold: float) -> int:
+    """Samples of ``size`` that a pair at the threshold shares except with a chance of about one in a million: 4.75 standard deviations below the mean."""
+    return max(1, int(size * threshold - 4.75 * (size * threshold * (1 - threshold)) ** 0.5))
+
+
+def differing(a: Column, b: Column, longs: int) -> Column:
+    """In how many bytes two arrays of ``longs`` numbers differ: each byte of the difference is folded onto its lowest bit."""
+    total = F.lit(0)
+    for i in range(longs):
+        x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
+        for k in (4, 2, 1):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, k))
+        total = total + F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
+    return total
+
+
 def verify(rows: DataFrame, pairs: DataFrame, shipped) -> DataFrame:
     """Pairs (a, b) of ids whose texts are similar enough. Each text goes to its pairs; a task works pair by pair."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()

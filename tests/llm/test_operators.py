@@ -358,7 +358,7 @@ def test_samples_estimate_weighted_jaccard():
     base = [f"w{i}" for i in range(300)]
     other = base[:240] + [f"v{i}" for i in range(40)] + base[:60]
     a, b = " ".join(base), " ".join(other)
-    which, keys = s.bands(*minhash.shingles([a, b], 5, minhash._Hashes()))
+    which, keys, _ = s.bands(*minhash.shingles([a, b], 5, minhash._Hashes()))
     assert which.tolist() == [0, 1]
     assert abs((keys[0] == keys[1]).mean() - s.similarity(a, b)) < 0.08
 
