@@ -17,6 +17,8 @@ from pyspark.sql.window import Window as W
 from .common import stash
 from .graph import connected_components
 
+#: Letters after which a pair is given up if no state is left.
+LOOK = 20
 #: Candidate lines of which so many at most are sent to all tasks to prune the texts that move; beyond it a plain join does.
 MOST_SENT = 1_000_000
 
@@ -37,8 +39,9 @@ def within_edits(a: Column, b: Column, t: int) -> Column:
         return F.aggregate(steps, F.lit(0), grow)
 
     def banded(x: Column, y: Column) -> Column:
-        padded = F.concat(F.array_repeat(F.lit(""), t), F.split(x, ""), F.array_repeat(F.lit(""), t))
-        equal = F.transform(F.split(y, ""), lambda c, j: reduce(lambda u, v: u + v, [F.when(F.get(padded, j + k) == c, F.lit(1 << k)).otherwise(F.lit(0)) for k in range(2 * t + 1)]))
+        def masks(u: Column, v: Column) -> Column:
+            padded = F.concat(F.array_repeat(F.lit(""), t), F.split(u, ""), F.array_repeat(F.lit(""), t))
+            return F.transform(F.split(v, ""), lambda c, j: reduce(lambda p, q: p + q, [F.when(F.get(padded, j + k) == c, F.lit(1 << k)).otherwise(F.lit(0)) for k in range(2 * t + 1)]))
 
         def step(s: Column, e: Column) -> Column:
             now: list[Column] = []
@@ -53,7 +56,10 @@ def within_edits(a: Column, b: Column, t: int) -> Column:
         start = F.struct(*[F.lit(((1 << (d + 1)) - 1) << t & full).alias(f"r{d}") for d in range(t + 1)])
         last = F.length(x) - F.length(y) + t
         hit = lambda s: F.call_function("shiftright", s[f"r{t}"], last).bitwiseAND(F.lit(1)) == 1
-        return F.when(F.length(y) == 0, F.length(x) <= t).when(F.length(x) == 0, F.length(y) <= t).otherwise(F.aggregate(equal, start, step, hit))
+        return F.when(F.length(y) == 0, F.length(x) <= t).when(F.length(x) == 0, F.length(y) <= t).when(
+            # most pairs that are too far apart are so within the first letters that differ
+            (F.length(y) > 2 * LOOK) & F.aggregate(masks(F.substring(x, 1, LOOK + t), F.substring(y, 1, LOOK)), start, step, lambda s: s[f"r{t}"] == 0), False
+        ).otherwise(F.aggregate(masks(x, y), start, step, hit))
 
     def let(value: Column, then) -> Column:
         return F.get(F.transform(F.array(value), then), F.lit(0))
