@@ -32,16 +32,19 @@ def within_edits(a: Column, b: Column, t: int) -> Column:
     full = (1 << (2 * t + 1)) - 1
     steps = F.array(*[F.lit(1 << k) for k in range(21, -1, -1)])
 
+    def let(value: Column, then) -> Column:
+        """Names a value, so that it is worked out once: what a lambda mentions is worked out at every step."""
+        return F.get(F.transform(F.array(value), then), F.lit(0))
+
     def common(x: Column, y: Column) -> Column:
-        most = F.least(F.length(x), F.length(y))
-        grow = lambda n, s: F.when((n + s <= most) & (F.substring(x, n + 1, s) == F.substring(y, n + 1, s)), n + s).otherwise(n)
-        # twice, so that lines longer than the sum of steps are still cut as far as the steps reach
-        return F.aggregate(steps, F.lit(0), grow)
+        grow = lambda n, s, most: F.when((n + s <= most) & (F.substring(x, n + 1, s) == F.substring(y, n + 1, s)), n + s).otherwise(n)
+        return let(F.least(F.length(x), F.length(y)), lambda most: F.aggregate(steps, F.lit(0), lambda n, s: grow(n, s, most)))
 
     def banded(x: Column, y: Column) -> Column:
         def masks(u: Column, v: Column) -> Column:
             padded = F.concat(F.array_repeat(F.lit(""), t), F.split(u, ""), F.array_repeat(F.lit(""), t))
-            return F.transform(F.split(v, ""), lambda c, j: reduce(lambda p, q: p + q, [F.when(F.get(padded, j + k) == c, F.lit(1 << k)).otherwise(F.lit(0)) for k in range(2 * t + 1)]))
+            bits = lambda p, c, j: reduce(lambda m, n: m + n, [F.when(F.get(p, j + k) == c, F.lit(1 << k)).otherwise(F.lit(0)) for k in range(2 * t + 1)])
+            return let(padded, lambda p: F.transform(F.split(v, ""), lambda c, j: bits(p, c, j)))
 
         def step(s: Column, e: Column) -> Column:
             now: list[Column] = []
@@ -57,19 +60,18 @@ def within_edits(a: Column, b: Column, t: int) -> Column:
         last = F.length(x) - F.length(y) + t
         hit = lambda s: F.call_function("shiftright", s[f"r{t}"], last).bitwiseAND(F.lit(1)) == 1
         return F.when(F.length(y) == 0, F.length(x) <= t).when(F.length(x) == 0, F.length(y) <= t).when(
-            # most pairs that are too far apart are so within the first letters that differ
-            (F.length(y) > 2 * LOOK) & F.aggregate(masks(F.substring(x, 1, LOOK + t), F.substring(y, 1, LOOK)), start, step, lambda s: s[f"r{t}"] == 0), False
+            # the last letters differ too, so one edit lies behind these first ones
+            (F.length(y) > 2 * LOOK) & F.aggregate(masks(F.substring(x, 1, LOOK + t), F.substring(y, 1, LOOK)), start, step, lambda s: s[f"r{max(t - 1, 0)}"] == 0), False
         ).otherwise(F.aggregate(masks(x, y), start, step, hit))
 
-    def let(value: Column, then) -> Column:
-        return F.get(F.transform(F.array(value), then), F.lit(0))
-
-    def cut_end(p: Column) -> Column:
-        rx, ry = F.reverse(p["x"]), F.reverse(p["y"])
-        return let(F.struct(rx.alias("x"), ry.alias("y"), common(rx, ry).alias("n")), lambda q: banded(F.substr(q["x"], q["n"] + 1), F.substr(q["y"], q["n"] + 1)))
+    def cut(x: Column, y: Column, then) -> Column:
+        """Goes on with what is left of two strings behind their common beginning."""
+        pair = lambda u, v: F.struct(u.alias("x"), v.alias("y"))
+        rest = lambda p: let(common(p["x"], p["y"]), lambda n: let(pair(F.substr(p["x"], n + 1), F.substr(p["y"], n + 1)), then))
+        return let(pair(x, y), rest)
 
     near = F.abs(F.length(a) - F.length(b)) <= t
-    body = let(F.struct(a.alias("x"), b.alias("y"), common(a, b).alias("n")), lambda p: let(F.struct(F.substr(p["x"], p["n"] + 1).alias("x"), F.substr(p["y"], p["n"] + 1).alias("y")), cut_end))
+    body = cut(a, b, lambda p: cut(F.reverse(p["x"]), F.reverse(p["y"]), lambda q: banded(q["x"], q["y"])))
     return F.coalesce(near & body, F.lit(False))
 
 
