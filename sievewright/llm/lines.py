@@ -17,6 +17,8 @@ from pyspark.sql.window import Window as W
 from .common import stash
 from .graph import connected_components
 
+#: Letters that are frequent in European languages, counted to tell lines apart.
+COUNTED = "etno"
 #: Letters after which a pair is given up if no state is left.
 LOOK = 20
 #: Candidate lines of which so many at most are sent to all tasks to prune the texts that move; beyond it a plain join does.
@@ -112,16 +114,35 @@ def line_occurrences(docs: DataFrame, text: str, id_col: str) -> DataFrame:
     return lines.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.reverse("line"), F.length("line"))})
 
 
-def line_classes(distinct: DataFrame, t: int, least: int) -> tuple[DataFrame, DataFrame]:
-    """Links between different lines (a, b by h1) and the class of every line that has one. ``distinct`` has h1, h2, line."""
-    fit = distinct.select("h1", "line", F.length("line").alias("n")).where(F.col("n") >= least)
-    index = fit.select("h1", F.explode(index_rows(F.col("n"), F.col("line"), t)).alias("key"))
-    probe = fit.select("h1", F.explode(probe_rows(F.col("n"), F.col("line"), t)).alias("key"))
-    both = index.join(probe.withColumnRenamed("h1", "p1"), "key").where("h1 <> p1")
+def letter_counts(line: Column) -> Column:
+    """How often four frequent letters occur, 15 bits each in one number; higher counts stand as the highest, which never makes two lines differ by more."""
+    count = lambda c: F.least(F.length(line) - F.length(F.replace(line, F.lit(c), F.lit(""))), F.lit(0x7FFF)).cast("long")
+    return reduce(lambda a, c: F.shiftleft(a, 15).bitwiseOR(count(c)), COUNTED[1:], count(COUNTED[0]))
+
+
+def counts_apart(a: Column, b: Column) -> Column:
+    part = lambda x, k: F.shiftright(x, 15 * k).bitwiseAND(F.lit(0x7FFF))
+    return reduce(lambda u, v: u + v, [F.abs(part(a, k) - part(b, k)) for k in range(len(COUNTED))])
+
+
+def line_classes(all_lines: DataFrame, t: int, least: int) -> tuple[DataFrame, DataFrame]:
+    """Links between different lines (a, b by h1) and the class of every line that has one. ``all_lines`` has h1, h2, line; equal lines count once.
+
+    An edit changes the counts of two letters by one at most, so candidates whose letter counts are more than 2 t apart
+    never leave the join on segments.
+    """
+    long = all_lines.where(F.length("line") >= least)
+    fit = long.groupBy("h1", "h2").agg(F.first("line").alias("line"))
+    fit = fit.select("h1", "line", F.length("line").alias("n"), letter_counts(F.col("line")).alias("counts"))
+    index = fit.select("h1", "counts", F.explode(index_rows(F.col("n"), F.col("line"), t)).alias("key"))
+    probe = fit.select("h1", "counts", F.explode(probe_rows(F.col("n"), F.col("line"), t)).alias("key"))
+    both = index.join(probe.withColumnsRenamed({"h1": "p1", "counts": "p_counts"}), "key")
+    both = both.where((F.col("h1") != F.col("p1")) & (counts_apart(F.col("counts"), F.col("p_counts")) <= 2 * t))
     pairs = stash(both.select(F.least("h1", "p1").alias("a"), F.greatest("h1", "p1").alias("b")).distinct(), "candidates")
     ids = stash(pairs.select(F.col("a").alias("h1")).union(pairs.select(F.col("b").alias("h1"))).distinct(), "candidates")
     few = ids.count() <= MOST_SENT
-    texts = fit.join(F.broadcast(ids) if few else ids, "h1", "left_semi").select("h1", "line")
+    # only lines that have a candidate move again, and they are cut down to those before they are made distinct
+    texts = long.join(F.broadcast(ids) if few else ids, "h1", "left_semi").groupBy("h1", "h2").agg(F.first("line").alias("line"))
     met = pairs.join(texts.select(F.col("h1").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("h1").alias("b"), F.col("line").alias("y")), "b")
     links = stash(met.where(within_edits(F.col("x"), F.col("y"), t)).select("a", "b").distinct(), "links")
     return links, connected_components(links)
@@ -141,8 +162,7 @@ def dedup_lines(docs: DataFrame, edits: int = 2, least: int = 30, text: str = "t
     docs = docs.select(F.col(id_col), F.col(text).alias("__text"), F.xxhash64(F.col(id_col), F.coalesce(F.col(text), F.lit(""))).alias("row"))
     text = "__text"
     occ = line_occurrences(docs, text, id_col)
-    distinct = occ.groupBy("h1", "h2").agg(F.first("line").alias("line"))
-    links, classes = line_classes(distinct, edits, least)
+    links, classes = line_classes(occ, edits, least)
     degree = links.select(F.col("a").alias("h1")).union(links.select(F.col("b").alias("h1"))).groupBy("h1").agg(F.count("*").alias("links"))
     narrow = occ.select("row", "id", "pos", "h1", "h2")
     first = narrow.groupBy("h1", "h2").agg(F.min(F.struct("id", "row", "pos")).alias("own"))
