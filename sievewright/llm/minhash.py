@@ -24,6 +24,8 @@ _WORD = re.compile(WORD)
 BUCKETS = 1 << 16
 COMMON = 1 / 3
 _DRAWS = 1 << 16
+#: Rounds in which a further member of each bucket is compared with those of other classes, before all of them are.
+LEADERS = 2
 
 
 @dataclass(frozen=True)
@@ -185,7 +187,7 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), text: str = "text", i
     texts are sampled whole. Empty table: no rows. Other columns are not read.
 
     Every text is reduced to band keys where it lies. In each bucket the members are first compared with the bucket's
-    smallest id only, which joins a large group of copies by a star; then, in buckets that still hold more than one
+    smallest id only, which joins a large group of copies by a star, then with ``LEADERS`` further ones; then, in buckets that still hold more than one
     class, members of different classes are compared, by one byte of each of their samples first. So no bucket emits all pairs of a group, and no pair of a bucket
     is left out whose classes differ. Texts move only for pairs that are compared.
     """
@@ -216,15 +218,25 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), text: str = "text", i
     first = stash(members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
     links = stash(verify(rows, first, shipped), "links")
     groups = connected_components(links)
-    classed = members.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("band", "key", "rep", "marks", F.coalesce("component", "rep").alias("class"))
-    classed = stash(classed, "classed")
+    met = first
+    for k in range(LEADERS):
+        # another member leads each bucket that is not of one class yet
+        classed = in_classes(members, groups)
+        lead = classed.groupBy("band", "key").agg(F.min_by(F.struct("rep", "class"), F.xxhash64("rep", F.lit(k))).alias("lead"))
+        again = classed.join(lead, ["band", "key"]).where("class <> lead.class").select(F.least("rep", "lead.rep").alias("a"), F.greatest("rep", "lead.rep").alias("b")).distinct()
+        again = stash(again.join(met, ["a", "b"], "left_anti"), "pairs")
+        found = stash(verify(rows, again, shipped), "links")
+        met = met.union(again)
+        if not found.isEmpty():
+            groups = connected_components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found))
+    classed = in_classes(members, groups)
     mixed_up = classed.groupBy("band", "key").agg((F.min("class") < F.max("class")).alias("mixed")).where("mixed").select("band", "key")
     left = classed.join(mixed_up, ["band", "key"])
     right = left.withColumnsRenamed({"rep": "rep2", "class": "class2", "marks": "marks2"})
     size = p.bands * p.rows
     close = differing(F.col("marks"), F.col("marks2"), -(-size // 8)) <= size - least_equal(size, p.threshold)
     rest = left.join(right, ["band", "key"]).where(F.expr("rep < rep2 and class <> class2") & close).select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct()
-    rest = stash(rest.join(first, ["a", "b"], "left_anti"), "pairs")
+    rest = stash(rest.join(met, ["a", "b"], "left_anti"), "pairs")
     more = stash(verify(rows, rest, shipped), "links")
     if not more.isEmpty():
         groups = connected_components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
@@ -236,6 +248,12 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), text: str = "text", i
     return out.union(lone).withColumnRenamed("id", id_col)
 
 
+def in_classes(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """Bucket members with the class that they are in so far."""
+    named = members.join(groups.withColumnRenamed("node", "rep"), "rep", "left")
+    return stash(named.select("band", "key", "rep", "marks", F.coalesce("component", "rep").alias("class")), "classed")
+
+
 def least_equal(size: int, threshold: float) -> int:
     """Samples of ``size`` that a pair at the threshold shares except with a chance of about one in a million: 4.75 standard deviations below the mean."""
     return max(1, int(size * threshold - 4.75 * (size * threshold * (1 - threshold)) ** 0.5))
