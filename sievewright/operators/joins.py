@@ -19,18 +19,38 @@ def match_works(listings: DataFrame, works: DataFrame, coverage: float = 0.6) ->
     frequent tokens never meet. Titles and names are reduced to distinct token lists first, so equal texts are matched
     once. ``listings`` has ``lid`` and ``title``, ``works`` has ``work_id`` and ``name``. Returns ``lid``, ``work_id``, ``hits`` and ``wanted``.
     """
-    title_key, name_key = F.array_sort(F.array_distinct(tokens(F.col("title")))), F.array_sort(F.array_distinct(tokens(F.col("name"))))
-    lists = listings.select("lid", title_key.alias("tt"))
-    names = works.select("work_id", name_key.alias("nt")).where("size(nt) > 0")
-    titles, wanted = lists.select("tt").distinct(), names.select("nt").distinct()
+    lists = listings.select("lid", token_list("title").alias("tt"))
+    names = works.select("work_id", token_list("name").alias("nt")).where("size(nt) > 0")
+    met = match_token_lists(lists.select("tt").distinct(), names.select("nt").distinct(), coverage)
+    return lists.join(met, "tt").join(names, "nt").select("lid", "work_id", "hits", F.size("nt").cast("long").alias("wanted"))
+
+
+def token_list(name: str) -> Column:
+    return F.array_sort(F.array_distinct(tokens(F.col(name))))
+
+
+def match_token_lists(titles: DataFrame, wanted: DataFrame, coverage: float) -> DataFrame:
+    """Pairs of distinct token lists ``tt`` and ``nt`` of which the first holds enough of the second, with ``hits``."""
     often = titles.select(F.explode("tt").alias("t")).groupBy("t").agg(F.count("*").alias("often"))
     ranked = wanted.select("nt", F.explode("nt").alias("t")).join(often, "t", "left")
     ranked = ranked.withColumn("rank", F.row_number().over(W.partitionBy("nt").orderBy(F.coalesce("often", F.lit(0)), "t")))
     need = F.ceil(F.size("nt") * F.lit(coverage) - 1e-9)
     probe = ranked.where(F.col("rank") <= F.size("nt") - need + 1).select("nt", "t")
     met = titles.select("tt", F.explode("tt").alias("t")).join(probe, "t").select("tt", "nt").distinct()
-    met = met.withColumn("hits", F.size(F.array_intersect("tt", "nt")).cast("long")).where(F.col("hits") >= need)
-    return lists.join(met, "tt").join(names, "nt").select("lid", "work_id", "hits", F.size("nt").cast("long").alias("wanted"))
+    return met.withColumn("hits", F.size(F.array_intersect("tt", "nt")).cast("long")).where(F.col("hits") >= need)
+
+
+def match_counts(listings: DataFrame, works: DataFrame, coverage: float = 0.6) -> DataFrame:
+    """What ``match_works`` finds, counted per work: ``titles`` (distinct ``own`` and title), ``n_listings``, the most ``hits``, and ``wanted``.
+
+    Counts are summed per token list on both sides of the join, so listings and works of equal lists never multiply.
+    ``listings`` has ``own`` and ``title``, ``works`` has ``work_id`` and ``name``. Works without a match have no row.
+    """
+    lists = listings.groupBy("own", "title").agg(F.count("*").alias("n")).withColumn("tt", token_list("title")).groupBy("tt").agg(F.count("*").alias("titles"), F.sum("n").alias("n"))
+    names = works.select("work_id", token_list("name").alias("nt")).where("size(nt) > 0")
+    met = match_token_lists(lists.select("tt"), names.select("nt").distinct(), coverage).join(lists, "tt")
+    per = met.groupBy("nt").agg(F.sum("titles").alias("titles"), F.sum("n").alias("n_listings"), F.max("hits").alias("hits"))
+    return names.join(per, "nt").select("work_id", "titles", "n_listings", "hits", F.size("nt").cast("long").alias("wanted"))
 
 
 def match_inventory(items: DataFrame, works: DataFrame, coverage: float = 0.6) -> DataFrame:

@@ -29,6 +29,13 @@ def jn1_match_works(spark, sf):
     return met.groupBy("work_id").agg(F.count("*").alias("titles"), F.sum("n").alias("n_listings"), F.max("hits").alias("hits"), F.max("wanted").alias("wanted"))
 
 
+@query()
+def jn1_match_all_works(spark, sf):
+    """All listings against all works' full names, counted per work. No SQL: its cross join of titles and names is too slow on whole tables."""
+    rows = listings(spark, sf).select("title", F.col("work_id").alias("own"))
+    return J.match_counts(rows, works(spark, sf).select("work_id", F.col("alias").alias("name")))
+
+
 @query()
 def jn2_match_inventory(spark, sf):
     items = snapshot(spark, sf).join(listings(spark, sf).groupBy("hash").agg(F.min("title").alias("title")), "hash").select(F.col("service_id").alias("lid"), "title", (F.col("service_id") % 5 == 0).alias("multi_work"))
@@ -58,6 +65,15 @@ def jn3_index_lookup(spark, sf):
     return J.index_lookup(_requests(spark, sf), _index(spark, sf)).select("request_id", "hash", "lid")
 
 
+@query()
+def jn3_index_lookup_all(spark, sf):
+    """Every order asks for a work, dealt by its key over the whole range of the part table's keys."""
+    o, w = read(spark, sf, "orders"), works(spark, sf)
+    span = w.agg(F.min("work_id").alias("low"), (F.max("work_id") - F.min("work_id") + 1).alias("n"))
+    asked = o.crossJoin(F.broadcast(span)).select(F.col("o_orderkey").alias("request_id"), (F.pmod("o_orderkey", "n") + F.col("low")).alias("work_id"))
+    return J.index_lookup(asked.join(w.select("work_id", "season", "episode"), "work_id"), _index(spark, sf)).select("request_id", "hash", "lid")
+
+
 @query(
     with_cte(LISTINGS)
     + """, pr AS (SELECT sha1(CAST(l_partkey AS VARCHAR)) AS hash, max(CASE WHEN l_quantity > 48 THEN '2160p' END) AS pq, max(CASE WHEN l_discount > 0.09 THEN 'Dual' END) AS pa, bool_or(l_tax > 0.07) AS scene FROM lineitem GROUP BY 1)
