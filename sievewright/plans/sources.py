@@ -187,6 +187,13 @@ def exp1_norm_title(spark, sf):
     return d.select("doc_id", norm.alias("norm"), F.size(F.split(norm, " ")).cast("long").alias("n"))
 
 
+@query()
+def exp1_norm_whole_text(spark, sf):
+    """Whole texts of all documents, normalised. No SQL: strip_accents also folds letters that decompose into no ASCII letter."""
+    norm = T.norm_title(F.col("text"))
+    return read(spark, sf, "documents").select("doc_id", norm.alias("norm"), F.size(F.filter(F.split(norm, " "), lambda t: t != "")).cast("long").alias("n"))
+
+
 @query("SELECT p_partkey AS id, CASE WHEN p_size % 2 = 0 THEN CAST(round(p_size * 1073741824.0) AS BIGINT) ELSE CAST(round(p_size * 1.5 * 1048576.0) AS BIGINT) END AS bytes FROM part")
 def exp16_parse_size(spark, sf):
     s = F.expr("CASE WHEN p_size % 2 = 0 THEN concat(p_size, ' GB') ELSE concat(replace(cast(p_size * 1.5 as string), '.', ','), ' MB') END")

@@ -1,12 +1,16 @@
 """Queries over whole tables against plain Python."""
 
 import re
+import unicodedata
 from collections import defaultdict
 from math import ceil
 
+from pyspark.sql import functions as F
+
+from sievewright.functions import text as T
 from sievewright.operators import joins as J
 from sievewright.plans import registry
-from sievewright.sources.relations import listings, works
+from sievewright.sources.relations import listings, read, works
 
 DATA = "/root/testdata/sf0.001"
 
@@ -40,3 +44,20 @@ def test_every_indexed_work_is_looked_up(spark):
     data = "/root/testdata/sf0.01"  # more works than 500
     got = {r.hash for r in registry.queries()["jn3_index_lookup_all"](spark, data).select("hash").distinct().collect()}
     assert got == {r.hash for r in listings(spark, data).select("hash").distinct().collect()}
+
+
+def brute_norm(text):
+    marks = re.sub("[\u0300-\u036f]", "", unicodedata.normalize("NFD", text.lower()))
+    return re.sub("[^a-z0-9]+", " ", marks).strip(" ")
+
+
+def test_norm_of_letters_beyond_latin_1(spark):
+    texts = ["Škoda Łódź Őrült Ǆ", "Việt Nam Ệ", "e\u0301te\u0301 A\u030angstro\u0308m", "İstanbul \u212b \u212a", "ß æ ø đ Ж й", "가 ñandú", "x" * 200 + "é"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.norm_title(F.col("t")).alias("n"))
+    assert {r.t: r.n for r in df.collect()} == {t: brute_norm(t) for t in texts}
+
+
+def test_whole_texts_of_all_languages(spark):
+    got = {r.doc_id: (r.norm, r.n) for r in registry.queries()["exp1_norm_whole_text"](spark, DATA).collect()}
+    want = {r.doc_id: brute_norm(r.text) for r in read(spark, DATA, "documents").collect()}
+    assert got == {k: (v, len(v.split())) for k, v in want.items()}
