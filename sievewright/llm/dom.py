@@ -9,13 +9,20 @@ import numpy as np
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|iframe|svg|textarea|select|title|object)\b(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>"
     r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)(?:>|\Z)",
     re.S | re.I,
 )
 _ATTR = re.compile(r"\b(class|id|role|itemprop|aria-label|data-y)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: Elements whose content is no markup, with what ends it.
+_RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for t in ("script", "style", "textarea", "title", "iframe")}
+#: Elements that are taken out with all that lies in them once their end tag comes; one that is never ended holds nothing.
+DROPPED = frozenset("svg object select template noscript".split())
+#: The same, but ended by whatever ends them.
+_CHOICES = frozenset(("option", "optgroup"))
+#: "/" at the end of a tag, if it is not the last letter of a bare value.
+_CLOSED = re.compile(r"(?:^|[\s\"'])/$|(?:^|\s)[^\s=\"']+/$")
 _TOKENS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -49,31 +56,36 @@ TAG_OF |= {"h3": TAG_OF["h2"], "h4": TAG_OF["h2"], "h5": TAG_OF["h2"], "h6": TAG
 class Page:
     """Nodes in document order (0 is the root) and text runs: the node of each, its text, whether it stands in a link, and the block it belongs to."""
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, marked: bool = False):
+        """``marked``: the page is one of our own, whose data-y attributes say what is article."""
         self.tag, self.parent, self.depth, self.hint, self.truth, self.index = ["#root"], [-1], [0], [()], [None], [0]
         self.children = [0]
         self.run_node: list[int] = []
         self.run_text: list[str] = []
         self.run_link: list[bool] = []
         self.run_block: list[int] = []
-        self._block, self._links, self._stack, self._head = 0, 0, [(0, "#root")], False
+        self._block, self._links, self._head, self._marked, self._svgs = 0, 0, False, marked, 0
+        self._stack: list[tuple] = [(0, "#root", None)]
         at = 0
-        for m in _MARKUP.finditer(source):
+        while m := _MARKUP.search(source, at):
             if m.start() > at:
                 self._text(source[at : m.start()])
             at = m.end()
-            tag = m["tag"] or m["tag2"]
-            if m["raw"]:
-                if m["raw"].lower() != "noscript":
-                    continue
-            elif tag:
-                tag = tag.lower()
-                if m["end"] or m["end2"]:
-                    self._close(tag)
-                else:
-                    self._open(tag, m["attrs"] or m["attrs2"] or "")
+            tag, attrs = (m["tag"] or m["tag2"] or "").lower(), m["attrs"] or m["attrs2"] or ""
+            if not tag:
+                continue
+            if m["end"] or m["end2"]:
+                self._close(tag)
+            elif (self._svgs or tag == "svg") and _CLOSED.search(attrs):
+                continue
+            elif tag in _RAW:
+                end = _RAW[tag].search(source, at)
+                at = end.end() if end else len(source)
+            else:
+                self._open(tag, attrs)
         if at < len(source):
             self._text(source[at:])
+        self._pop_to(1)
 
     def _text(self, raw: str) -> None:
         if self._head and not raw.strip():
@@ -86,12 +98,26 @@ class Page:
         self.run_block.append(self._block)
 
     def _pop_to(self, k: int) -> None:
-        for node, tag in self._stack[k:]:
+        while len(self._stack) > k:
+            _, tag, before = self._stack.pop()
             if tag == "a":
                 self._links -= 1
-            if tag not in INLINE:
+            if tag == "svg":
+                self._svgs -= 1
+            if tag not in INLINE and tag not in DROPPED:
                 self._block += 1
-        del self._stack[k:]
+            if tag in _CHOICES:
+                self._forget(before)
+
+    def _forget(self, before: tuple) -> None:
+        """Takes out all nodes and runs since ``before``."""
+        nodes, runs, self._block, self._head = before
+        if len(self.tag) > nodes:
+            self.children[self.parent[nodes]] -= 1
+        for x in (self.tag, self.parent, self.depth, self.hint, self.truth, self.index, self.children):
+            del x[nodes:]
+        for x in (self.run_node, self.run_text, self.run_link, self.run_block):
+            del x[runs:]
 
     def _close(self, tag: str) -> None:
         if tag == "head":
@@ -101,9 +127,12 @@ class Page:
         for k in range(len(self._stack) - 1, 0, -1):
             own = self._stack[k][1]
             if own == tag:
+                before = self._stack[k][2]
                 self._pop_to(k)
+                if tag in DROPPED:
+                    self._forget(before)
                 return
-            if tag in INLINE and own not in INLINE:
+            if (tag in INLINE and own not in INLINE) or (tag == "p" and own in DROPPED):
                 return
 
     def _open(self, tag: str, attrs: str) -> None:
@@ -112,7 +141,7 @@ class Page:
             return
         if tag in ("html", "meta", "link", "base"):
             return
-        if self._head:
+        if self._head and tag not in DROPPED:
             self._head = False
         if tag in VOID:
             if tag in ("br", "hr"):
@@ -121,12 +150,14 @@ class Page:
                 self._end_p()
             return
         if tag in _BLOCKS:
+            self._end_svg()
+            self._end_choice()
             self._end_p()
         if tag in CLOSES:
             what, until = CLOSES[tag]
             for k in range(len(self._stack) - 1, 0, -1):
                 own = self._stack[k][1]
-                if own in until:
+                if own in until or own in DROPPED:
                     break
                 if own in what:
                     self._pop_to(k)
@@ -136,14 +167,17 @@ class Page:
             for name, a, b, c in _ATTR.findall(attrs):
                 value = a or b or c
                 if name.lower() == "data-y":
-                    truth = int(value)
+                    truth = int(value) if self._marked else None
                 else:
                     hint += [h for w in _TOKENS.findall(value) for h in HINT_OF.get(w.lower(), ())]
+        before = (len(self.tag), len(self.run_node), self._block, self._head)
         inline = tag in INLINE
-        if not inline:
+        if not inline and tag not in DROPPED and tag not in _CHOICES:
             self._block += 1
         if tag == "a":
             self._links += 1
+        if tag == "svg":
+            self._svgs += 1
         node = self._stack[-1][0]
         if not inline or hint or truth is not None:
             up = node
@@ -156,7 +190,25 @@ class Page:
             self.index.append(self.children[up])
             self.children[up] += 1
             self.children.append(0)
-        self._stack.append((node, tag))
+        self._stack.append((node, tag, before if tag in DROPPED or tag in _CHOICES else None))
+
+    def _end_svg(self) -> None:
+        """A block of HTML ends a drawing that was left open."""
+        for k in range(len(self._stack) - 1, 0, -1) if self._svgs else ():
+            own = self._stack[k][1]
+            if own in ("foreignobject", "desc"):
+                return
+            if own == "svg":
+                self._pop_to(k)
+                return
+
+    def _end_choice(self) -> None:
+        for k in range(len(self._stack) - 1, 0, -1):
+            own = self._stack[k][1]
+            if own in _CHOICES:
+                self._pop_to(k)
+            elif own not in INLINE:
+                return
 
     def _end_p(self) -> None:
         for k in range(len(self._stack) - 1, 0, -1):

@@ -124,7 +124,7 @@ def fit(pages: DataFrame, most_pages: int = 300, layouts: int = 900, seed: int =
     rng = random.Random(seed)
     xs, ys = [], []
     for _ in range(layouts):
-        page = Page(layout(rng, long, short))
+        page = Page(layout(rng, long, short), marked=True)
         size, inside = np.zeros(len(page.tag)), np.zeros(len(page.tag))
         for node, text in zip(page.run_node, page.run_text):
             n = len(text.strip())

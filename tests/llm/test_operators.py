@@ -107,6 +107,28 @@ def test_reader_on_broken_markup():
     assert dom.Page("").text(np.ones(1, bool)) == ""
 
 
+@pytest.mark.parametrize(
+    "source,want",
+    [
+        ("<p>a<svg width='1'/>b</p><p>c</p>", "ab c"),
+        ("<p>a<svg><title/><path d='x'/><text>no</text></svg>b</p>", "ab"),
+        ("<p>a<svg><path></p><p>b</p>", "a b"),
+        ("<div>a<select><option>no<option>no<p>b</p></div><p>c</p>", "a b c"),
+        ("<p>a<select><option>no</select>b", "ab"),
+        ("<div>a<object data=x><p>b</p></div><p>c</p>", "a b c"),
+        ("<div>a<object data=x><p>no</p></object>b</div>", "ab"),
+        ("<ul><li>a<template><li>no</li></template>b</ul>c", "ab c"),
+        ("<head><noscript><img></noscript><title>no</title></head><p>a", "a"),
+        ("<p>a<object>b<select><option>no</select>c", "abc"),
+        ("<p data-y='many'>a</p>", "a"),
+    ],
+)
+def test_reader_keeps_what_follows_dropped_elements(source, want):
+    p = dom.Page(source)
+    assert p.text(np.ones(len(p.tag), bool)) == want
+    assert len(p.features()) == len(p.tag) == len(p.children) and sum(p.children) == len(p.tag) - 1
+
+
 def test_choice_is_consistent(spark):
     model = html.fit(common.table(spark, DATA, "pages"), layouts=120)
     p = dom.Page("<body><nav><article><p>in a menu</p></article></nav><article><h1>t</h1><p>Some words, more words. And so on, and so on.</p><aside class='related'><p>no</p></aside></article></body>")
