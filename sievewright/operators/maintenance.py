@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window as W
 
+from ..functions.folds import fold_sorted
+
 
 def index_record(old: DataFrame, new: DataFrame, most: int = 60) -> DataFrame:
     """Merges a batch into the index: rows go to the key their title declares (season and episode may be null), newest wins per hash, flags are united, the newest ``most`` stay per key."""
@@ -67,14 +70,14 @@ def plan_dedup_near(df: DataFrame, share: float = 0.005) -> DataFrame:
     The fold runs over the distinct sizes of one name in an account.
     """
     key = ["account", "name"]
-    sizes = df.where("size > 0").groupBy(*key).agg(F.array_sort(F.collect_set("size")).alias("sizes"))
-    start = F.struct(F.lit(None).cast("long").alias("base"), F.array().cast("array<struct<size:bigint,base:bigint>>").alias("out"))
+    sizes = df.where("size > 0").select(*key, F.col("size").cast("long")).distinct()
 
-    def step(a: Column, s: Column) -> Column:
-        base = F.when(a["base"].isNotNull() & (s <= a["base"] * (1 + share)), a["base"]).otherwise(s)
-        return F.struct(base.alias("base"), F.concat(a["out"], F.array(F.struct(s.alias("size"), base.alias("base")))).alias("out"))
+    def step(a: list, r: tuple) -> list[tuple]:
+        if a[0] is None or not r[0] <= a[0] * (1 + share):
+            a[0] = r[0]
+        return [(r[0], a[0])]
 
-    bases = sizes.select(*key, F.inline(F.aggregate("sizes", start, step, lambda a: a["out"])))
+    bases = fold_sorted(sizes, key, ["size"], lambda: [None], step, lambda a: [], StructType().add("size", "long").add("base", "long"))
     w = W.partitionBy(*key, "base").orderBy(F.col("protected").desc(), F.col("ready").desc(), "uploaded_at", "service_id")
     ranked = df.join(bases, [*key, "size"]).withColumns({"rn": F.row_number().over(w), "keep_id": F.first("service_id").over(w)})
     return ranked.where("rn > 1 and not protected and status <> 'Downloading'").select(*key, "service_id", "keep_id", "base")
@@ -139,7 +142,6 @@ def protect_merge(holds: DataFrame, seen: DataFrame, now: str, ttl_s: int) -> Da
     return j.select("service_id", F.coalesce("h.accepted_at", t).alias("accepted_at"), F.coalesce("h.ready_at", F.when(F.col("s.ready"), t)).alias("ready_at"), F.when(F.col("s.ready").isNotNull() & (left.isNull() | (left < ttl_s / 2)), renew).otherwise(F.col("h.expires_at")).alias("expires_at"))
 
 
-def promote_lists(lists: DataFrame, ready: DataFrame) -> DataFrame:
-    """Relabels the elements of stored lists whose hash is ready; order and expiry stay. Lists are opened, joined and closed again."""
-    e = lists.select("list_id", F.posexplode("items").alias("pos", "hash")).join(ready.select("hash").distinct().withColumn("r", F.lit(True)), "hash", "left")
-    return e.groupBy("list_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "hash", F.coalesce("r", F.lit(False)).alias("ready")))), lambda x: F.struct(x["hash"].alias("hash"), x["ready"].alias("ready"))).alias("items"))
+def promote_lists(items: DataFrame, ready: DataFrame) -> DataFrame:
+    """Relabels the elements of stored lists whose hash is ready. Lists are rows, one an element, with all their columns; none is put together in one row."""
+    return items.join(ready.select("hash").distinct().withColumn("ready", F.lit(True)), "hash", "left").withColumn("ready", F.coalesce("ready", F.lit(False)))

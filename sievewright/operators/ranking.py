@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window as W
 
+from ..functions.folds import fold_sorted
+
 # Places of the qualities in the display order and weights in the pools.
 ORDER = {"2160p": 5, "1080p": 4, "720p": 3, "unknown": 2, "480p": 1, "SD": 0}
 WEIGHT = {"1080p": 6, "720p": 5, "2160p": 4, "unknown": 3, "480p": 2, "SD": 1}
@@ -83,28 +86,20 @@ def limit_by_source(ranked: DataFrame, cap: int, overrides: dict[int, int], exem
 def limit_joint(ranked: DataFrame, quality_limits: dict[str, int], source_cap: int, key: str = "request_id") -> DataFrame:
     """Both quotas in one pass over each request's order: a row that one refuses does not use up the other.
 
-    A left fold inside the JVM over one request's rows in order; what is carried is one count per quality and source.
+    A left fold along one request's rows in order; what is carried is one count per quality and source.
     Returns the kept rows.
     """
-    if not quality_limits:
-        quality_limits = {"none": 100}
-    limits = F.create_map(*[F.lit(x) for kv in quality_limits.items() for x in kv])
-    rows = ranked.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rn", "lid", "quality", "indexer"))).alias("rows"))
-    empty = F.struct(F.create_map().cast("map<string,int>").alias("q"), F.create_map().cast("map<bigint,int>").alias("s"), F.array().cast("array<bigint>").alias("kept"))
-
-    def count(m: Column, k: Column) -> Column:
-        return F.coalesce(F.try_element_at(m, k), F.lit(0))
-
-    def put(m: Column, k: Column) -> Column:
-        return F.map_concat(F.map_filter(m, lambda x, _: x != k), F.create_map(k, count(m, k) + 1))
 
-    def step(a: Column, r: Column) -> Column:
-        most = F.coalesce(F.try_element_at(limits, r["quality"]), F.lit(100))
-        ok = ((most >= 100) | (count(a["q"], r["quality"]) < most)) & ((F.lit(source_cap) == 0) | (count(a["s"], r["indexer"]) < source_cap))
-        yes = F.struct(put(a["q"], r["quality"]).alias("q"), put(a["s"], r["indexer"]).alias("s"), F.concat(a["kept"], F.array(r["rn"])).alias("kept"))
-        return F.when(ok, yes).otherwise(a)
+    def step(a: list, r: tuple) -> list[tuple]:
+        (q, s), (rn, quality, indexer) = a, r
+        most = quality_limits.get(quality, 100)
+        if (most < 100 and q.get(quality, 0) >= most) or (source_cap and s.get(indexer, 0) >= source_cap):
+            return []
+        q[quality], s[indexer] = q.get(quality, 0) + 1, s.get(indexer, 0) + 1
+        return [(rn,)]
 
-    kept = rows.select(key, F.explode(F.aggregate("rows", empty, step, lambda a: a["kept"])).alias("rn"))
+    kind = StructType().add("rn", ranked.schema["rn"].dataType)
+    kept = fold_sorted(ranked.select(key, "rn", "quality", "indexer"), [key], ["rn"], lambda: [{}, {}], step, lambda a: [], kind)
     return ranked.join(kept, [key, "rn"])
 
 

@@ -176,8 +176,8 @@ def mrg17_renew_half_life(spark, sf):
 
 @query()
 def mrg18_promote_lists(spark, sf):
-    lists = listings(spark, sf).where("seeders >= 45").groupBy(F.col("request_id").alias("list_id")).agg(F.sort_array(F.collect_set("hash")).alias("items"))
-    return M.promote_lists(lists, evidence(spark, sf).where("kind = 'hit'")).select("list_id", F.size("items").alias("n"), F.size(F.filter("items", lambda x: x["ready"])).alias("n_ready"))
+    items = listings(spark, sf).where("seeders >= 45").select(F.col("request_id").alias("list_id"), "hash").distinct()
+    return M.promote_lists(items, evidence(spark, sf).where("kind = 'hit'")).groupBy("list_id").agg(F.count("*").cast("int").alias("n"), F.count_if("ready").cast("int").alias("n_ready"))
 
 
 @query()

@@ -12,8 +12,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window as W
 
+from ..functions.folds import fold_sorted
+
 WATERMARK = "10 minutes"
 #: Seconds for which the first, second, ... miss in a row is believed.
 LADDER = (600, 3600, 21600, 86400)
@@ -35,17 +38,20 @@ def evidence_state(ev: DataFrame, now: str) -> DataFrame:
 
 
 def miss_backoff_fold(ev: DataFrame) -> DataFrame:
-    """Batch twin: misses in a row per key in order of time; a run that has expired or a hit starts at one. A left fold inside the JVM over one key's events, of which it carries two numbers."""
-    rows = ev.where("kind in ('hit', 'miss')").groupBy("hash").agg(F.array_sort(F.collect_list(F.struct(F.unix_micros("seen_at").alias("t"), "event_id", "kind"))).alias("e"))
-    ladder = F.array(*[F.lit(x * 1_000_000).cast("long") for x in LADDER])
-    start = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("until"))
+    """Batch twin: misses in a row per key in order of time; a run that has expired or a hit starts at one. A left fold along one key's sorted events, of which it carries two numbers."""
+    ladder = [x * 1_000_000 for x in LADDER]
+    rows = ev.where("kind in ('hit', 'miss')").select("hash", F.unix_micros("seen_at").alias("t"), "event_id", "kind")
 
-    def step(a: Column, e: Column) -> Column:
-        n = F.when(e["kind"] == "hit", 0).when(e["t"] >= a["until"], 1).otherwise(a["n"] + 1).cast("int")
-        ttl = F.element_at(ladder, F.least(F.greatest(n, F.lit(1)), F.lit(len(LADDER))))
-        return F.struct(n.alias("n"), F.when(n == 0, F.lit(0)).otherwise(e["t"] + ttl).cast("long").alias("until"))
+    def step(a: list, e: tuple) -> list[tuple]:
+        n, until = a
+        t, _, kind = e
+        n = 0 if kind == "hit" else 1 if t is not None and until is not None and t >= until else n + 1
+        a[:] = n, 0 if n == 0 else None if t is None else t + ladder[min(n, len(ladder)) - 1]
+        return []
 
-    return rows.select("hash", F.aggregate("e", start, step).alias("s")).select("hash", F.col("s.n").cast("long").alias("misses"), F.when(F.col("s.until") > 0, F.timestamp_micros("s.until")).alias("until"))
+    fields = StructType().add("misses", "long").add("until", "long")
+    out = fold_sorted(rows, ["hash"], ["t", "event_id", "kind"], lambda: [0, 0], step, lambda a: [tuple(a)], fields)
+    return out.select("hash", "misses", F.when(F.col("until") > 0, F.timestamp_micros("until")).alias("until"))
 
 
 def miss_backoff_stream(ev: DataFrame) -> DataFrame:
@@ -89,12 +95,32 @@ def source_health(probes: DataFrame, now: str, ttl_s: int, trip: int, cooldown_s
 # --- windows ----------------------------------------------------------------------------------------------------
 
 
+def islands(events: DataFrame, key: str, seconds: int) -> DataFrame:
+    """``key``, ``t``, ``event_id`` and ``island``: events of a key that no gap of ``seconds`` parts share an island.
+
+    Such a gap never lies inside a bin of that width, so the bins' first and last times decide; bins are partial
+    sums, few a key, and events meet their own bin only.
+    """
+    e = events.select(key, F.unix_micros("ts").alias("t"), "event_id").withColumn("bin", F.floor(F.col("t") / (seconds * 1_000_000)).cast("long") if seconds else F.col("t"))
+    bins = e.groupBy(key, "bin").agg(F.min("t").alias("low"), F.max("t").alias("high"))
+    w = W.partitionBy(key).orderBy("bin")
+    apart = F.coalesce(F.col("low") - F.lag("high").over(w) >= seconds * 1_000_000, F.lit(True))
+    bins = bins.withColumn("apart", apart.cast("long")).withColumn("island", F.sum("apart").over(w)).select(F.col(key).alias("__key"), F.col("bin").alias("__bin"), "island")
+    return e.join(bins, F.col(key).eqNullSafe(F.col("__key")) & F.col("bin").eqNullSafe(F.col("__bin"))).select(key, "island", "t", "event_id")
+
+
 def dedupe_within_fold(events: DataFrame, key: str, seconds: int) -> DataFrame:
-    """Batch twin: the first event of a key and then the first at least ``seconds`` after the last one kept."""
-    rows = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.unix_micros("ts").alias("t"), "event_id"))).alias("e"))
-    start = F.struct(F.lit(None).cast("long").alias("t"), F.array().cast("array<bigint>").alias("ids"))
-    step = lambda a, e: F.when(a["t"].isNull() | (e["t"] - a["t"] >= seconds * 1_000_000), F.struct(e["t"].alias("t"), F.concat(a["ids"], F.array(e["event_id"])).alias("ids"))).otherwise(a)
-    return rows.select(key, F.explode(F.aggregate("e", start, step, lambda a: a["ids"])).alias("event_id"))
+    """Batch twin: the first event of a key and then the first at least ``seconds`` after the last one kept. Islands between long gaps are folded apart; a fold carries one time."""
+    gap = seconds * 1_000_000
+
+    def step(a: list, e: tuple) -> list[tuple]:
+        if a[0] is None or (e[0] is not None and e[0] - a[0] >= gap):
+            a[0] = e[0]
+            return [(e[1],)]
+        return []
+
+    kind = StructType().add("event_id", events.schema["event_id"].dataType)
+    return fold_sorted(islands(events, key, seconds), [key, "island"], ["t", "event_id"], lambda: [None], step, lambda a: [], kind).select(key, "event_id")
 
 
 def dedupe_within_stream(events: DataFrame, key: str, seconds: int) -> DataFrame:
@@ -120,15 +146,18 @@ def sliding_rate(events: DataFrame) -> DataFrame:
 
 def admission_fold(events: DataFrame, key: str, cap: int, seconds: int) -> DataFrame:
     """Batch twin: an event is admitted if fewer than ``cap`` were admitted in the ``seconds`` before; what was refused does not count. The fold carries the last ``cap`` admissions."""
-    rows = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.unix_micros("ts").alias("t"), "event_id"))).alias("e"))
-    start = F.struct(F.array().cast("array<bigint>").alias("last"), F.array().cast("array<bigint>").alias("ids"))
 
-    def step(a: Column, e: Column) -> Column:
-        recent = F.filter(a["last"], lambda t: t > e["t"] - seconds * 1_000_000)
-        yes = F.struct(F.concat(recent, F.array(e["t"])).alias("last"), F.concat(a["ids"], F.array(e["event_id"])).alias("ids"))
-        return F.when(F.size(recent) < cap, yes).otherwise(F.struct(recent.alias("last"), a["ids"].alias("ids")))
+    def step(last: list, e: tuple) -> list[tuple]:
+        t, i = e
+        last[:] = [x for x in last if x is not None and t is not None and x > t - seconds * 1_000_000]
+        if len(last) >= cap:
+            return []
+        last.append(t)
+        return [(i,)]
 
-    return rows.select(key, F.explode(F.aggregate("e", start, step, lambda a: a["ids"])).alias("event_id"))
+    kind = StructType().add("event_id", events.schema["event_id"].dataType)
+    rows = events.select(key, F.unix_micros("ts").alias("t"), "event_id")
+    return fold_sorted(rows, [key], ["t", "event_id"], list, step, lambda a: [], kind)
 
 
 def admission_stream(events: DataFrame, key: str, cap: int, seconds: int) -> DataFrame:
@@ -173,17 +202,18 @@ def collect_within_budget(arrivals: DataFrame, budget_s: int, grace_s: int) -> D
 
 def latest_writer_fold(updates: DataFrame) -> DataFrame:
     """Batch twin: updates in order of arrival; one of the current or a later (phase, revision) commits, an older one only if it is useful and nothing useful has been committed."""
-    rows = updates.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("seq", "phase", "revision", "useful", "value"))).alias("u"))
-    state = "struct<phase:bigint,revision:bigint,useful:boolean,value:double,commits:bigint>"
-    start = F.struct(F.lit(-1).cast("long").alias("phase"), F.lit(-1).cast("long").alias("revision"), F.lit(False).alias("useful"), F.lit(None).cast("double").alias("value"), F.lit(0).cast("long").alias("commits")).cast(state)
-
-    def step(a: Column, u: Column) -> Column:
-        newer = (u["phase"] > a["phase"]) | ((u["phase"] == a["phase"]) & (u["revision"] >= a["revision"]))
-        rescue = u["useful"] & ~a["useful"]
-        yes = F.struct(F.greatest(a["phase"], u["phase"]).alias("phase"), F.when(newer, u["revision"]).otherwise(a["revision"]).alias("revision"), u["useful"].alias("useful"), u["value"].alias("value"), (a["commits"] + 1).alias("commits")).cast(state)
-        return F.when(newer | rescue, yes).otherwise(a)
 
-    return rows.select("key", F.aggregate("u", start, step).alias("s")).select("key", "s.phase", "s.revision", "s.useful", "s.value", "s.commits")
+    def step(a: list, u: tuple) -> list[tuple]:
+        phase, revision, useful, value, commits = a
+        _, p, r, good, v = u
+        newer = p is not None and (p > phase or (p == phase and r is not None and revision is not None and r >= revision))
+        if newer or (good is True and useful is False):
+            a[:] = max(phase, p) if p is not None else phase, r if newer else revision, good, v, commits + 1
+        return []
+
+    fields = StructType().add("phase", "long").add("revision", "long").add("useful", "boolean").add("value", "double").add("commits", "long")
+    rows = updates.select("key", "seq", "phase", "revision", "useful", F.col("value").cast("double"))
+    return fold_sorted(rows, ["key"], ["seq", "phase", "revision", "useful", "value"], lambda: [-1, -1, False, None, 0], step, lambda a: [tuple(a)], fields)
 
 
 def partial_to_complete(results: DataFrame, short_s: int, full_s: int) -> DataFrame:
