@@ -154,13 +154,43 @@ def dedup_lines(docs: DataFrame, edits: int = 2, least: int = 30, text: str = "t
     Lines are what ``\\n`` separates; lines without a word are no lines here and always stay. Two lines are linked if
     they are equal, or have ``least`` code points each and differ by ``edits`` edits at most; linked lines, however
     indirectly, form a class, and only the first of a class (smallest id, then place) stays. Returns the id column,
-    ``row`` (a hash of id and text), ``n_lines``, ``n_exact`` and ``n_near`` (lines dropped
+    ``row`` (a hash of id and text, of later copies also of their number), ``n_lines``, ``n_exact`` and ``n_near`` (lines dropped
     because an equal or only a similar one comes first), ``n_links`` (other different lines that lines of this row are
     linked to), and ``dropped`` (places of dropped lines, from 0). Null and empty text: no lines. Very long lines take
     part whole. Rows with null ids come first. Repeated rows: later ones lose all their lines. Empty table: no rows.
     """
-    docs = docs.select(F.col(id_col), F.col(text).alias("__text"), F.xxhash64(F.col(id_col), F.coalesce(F.col(text), F.lit(""))).alias("row"))
-    text = "__text"
+    docs = docs.select(F.col(id_col), F.col(text).alias("__text"), row_hash(id_col, text).alias("row"))
+    per = row_marks(docs, edits, least, "__text", id_col)
+    none = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    out = docs.select(F.col(id_col), "row", nth_of("row").alias("nth")).join(per, "row", "left")
+    later = F.col("nth") > 1
+    return out.select(
+        id_col,
+        F.when(later, F.xxhash64("row", "nth")).otherwise(F.col("row")).alias("row"),
+        none("n_lines").alias("n_lines"),
+        none(F.when(later, F.col("n_lines")).otherwise(F.col("n_exact"))).alias("n_exact"),
+        none(F.when(~later, F.col("n_near"))).alias("n_near"),
+        none("n_links").alias("n_links"),
+        F.coalesce(gone(later), F.array().cast("array<int>")).alias("dropped"),
+    )
+
+
+def row_hash(id_col: str, text: str) -> Column:
+    return F.xxhash64(F.col(id_col), F.coalesce(F.col(text), F.lit("")))
+
+
+def nth_of(row: str) -> Column:
+    """Number of a row among those of its hash; such rows are alike, so any order will do."""
+    return F.row_number().over(W.partitionBy(row).orderBy(F.lit(1)))
+
+
+def gone(later: Column) -> Column:
+    """Places of dropped lines: of a row's later copies, all."""
+    return F.when(later, F.array_sort(F.concat("dropped", "kept"))).otherwise(F.col("dropped"))
+
+
+def row_marks(docs: DataFrame, edits: int, least: int, text: str, id_col: str) -> DataFrame:
+    """What ``dedup_lines`` says of the first of the rows of each hash ``row``, with the places of ``kept`` lines and the number of ``copies``. Rows without lines are left out."""
     occ = line_occurrences(docs, text, id_col)
     links, classes = line_classes(occ, edits, least)
     degree = links.select(F.col("a").alias("h1")).union(links.select(F.col("b").alias("h1"))).groupBy("h1").agg(F.count("*").alias("links"))
@@ -175,15 +205,19 @@ def dedup_lines(docs: DataFrame, edits: int = 2, least: int = 30, text: str = "t
     here = narrow.join(first, ["h1", "h2"])
     place = F.struct("id", "row", "pos")
     here = here.withColumn("why", F.when(place.eqNullSafe(F.col("lead")), 0).when(place.eqNullSafe(F.col("own")), 2).otherwise(1))
+    # copies share row and place: sets and the quotient count each place once
     per = here.groupBy("row").agg(
-        F.count("*").alias("n_lines"),
+        F.count("*").alias("n"),
         F.sum((F.col("why") == 1).cast("long")).alias("n_exact"),
         F.sum((F.col("why") == 2).cast("long")).alias("n_near"),
         F.sum("links").alias("n_links"),
-        F.array_sort(F.collect_list(F.when(F.col("why") > 0, F.col("pos")))).alias("dropped"),
+        F.array_sort(F.collect_set(F.when(F.col("why") > 0, F.col("pos")))).alias("dropped"),
+        F.collect_set(F.when(F.col("why") == 0, F.col("pos"))).alias("kept"),
     )
-    none = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return docs.select(F.col(id_col), "row").join(per, "row", "left").select(id_col, "row", none("n_lines"), none("n_exact"), none("n_near"), none("n_links"), F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"))
+    per = per.withColumn("n_lines", (F.size("dropped") + F.size("kept")).cast("long"))
+    per = per.withColumn("copies", (F.col("n") / F.col("n_lines")).cast("long"))
+    one = lambda c: (F.col(c) / F.col("copies")).cast("long").alias(c)
+    return per.select("row", "n_lines", one("n_exact"), one("n_near"), one("n_links"), "dropped", "kept", "copies")
 
 
 def clean(docs: DataFrame, edits: int = 2, least: int = 30, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -191,10 +225,11 @@ def clean(docs: DataFrame, edits: int = 2, least: int = 30, text: str = "text",
 
     Repeated rows (same id and text) are told apart by their number among themselves.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
-    key = F.xxhash64(F.col(id_col), body)
-    marked = dedup_lines(docs.select(F.col(id_col), F.col(text)), edits, least, text, id_col).select(F.col("row").alias("__row"), F.col("dropped").alias("__dropped")).where("size(__dropped) > 0").dropDuplicates(["__row"])
-    out = docs.withColumn("__row", key).join(marked, "__row", "left")
+    narrow = docs.select(F.col(id_col), F.col(text).alias("__text"), row_hash(id_col, text).alias("row"))
+    marked = row_marks(narrow, edits, least, "__text", id_col).where("size(dropped) > 0 or copies > 1")
+    marked = marked.select(F.col("row").alias("__row"), F.struct("dropped", gone(F.lit(True)).alias("all")).alias("__marks"))
+    out = docs.withColumn("__row", row_hash(id_col, text)).withColumn("__nth", nth_of("__row")).join(marked, "__row", "left")
+    out = out.withColumn("__dropped", F.when(F.col("__nth") > 1, F.col("__marks.all")).otherwise(F.col("__marks.dropped")))
     lines = F.split(F.col(text), "\n", -1)
     kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("__dropped", i)), "\n")
     return out.withColumn(text, F.when(F.col("__dropped").isNull(), F.col(text)).otherwise(kept)).select(*docs.columns)

@@ -271,6 +271,22 @@ def test_lines_odd(odd, none, spark):
     assert [r.text for r in lines.clean(df).orderBy("doc_id").collect()] == ["the very same line of some thirty letters", "new"]
 
 
+def test_repeated_rows_lose_their_lines(spark):
+    near = "the very same line of some thirty letters"
+    rows = [(1, near + "\nalone\nalone"), (1, near + "\nalone\nalone"), (None, "of nobody\n\ntwice"), (None, "of nobody\n\ntwice"), (2, near[:-1] + "z"), (2, near[:-1] + "z"), (2, near[:-1] + "z"), (3, ""), (3, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = lines.dedup_lines(df).collect()
+    assert len({r.row for r in got}) == len(rows)
+    assert sorted((r.doc_id or 0, r.n_lines, r.n_exact, r.n_near, r.n_links, r.dropped) for r in got) == [
+        (0, 2, 0, 0, 0, []), (0, 2, 2, 0, 0, [0, 2]),
+        (1, 3, 1, 0, 1, [2]), (1, 3, 3, 0, 1, [0, 1, 2]),
+        (2, 1, 0, 1, 1, [0]), (2, 1, 1, 0, 1, [0]), (2, 1, 1, 0, 1, [0]),
+        (3, 0, 0, 0, 0, []), (3, 0, 0, 0, 0, []),
+    ]
+    texts = sorted((r.doc_id or 0, r.text) for r in lines.clean(df).collect())
+    assert texts == [(0, ""), (0, "of nobody\n\ntwice"), (1, ""), (1, near + "\nalone"), (2, ""), (2, ""), (2, ""), (3, ""), (3, "")]
+
+
 # --- 5 ----------------------------------------------------------------------------------------------------------
 
 
