@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import release, stash
+
+
+def lowest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Smallest node that each of n nodes reaches over the links (i, j), by repeated minima and pointer jumps."""
+    label = np.arange(n)
+    while True:
+        low = label.copy()
+        np.minimum.at(low, i, label[j])
+        np.minimum.at(low, j, label[i])
+        low = low[low]
+        if (low == label).all():
+            return label
+        label = low
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -28,6 +42,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m")).where("u <> v").distinct(), "edges"
         )
         same = now.count() == after.count() and now.exceptAll(after).isEmpty()
+        release(now)
         now = after
         if same:
             break

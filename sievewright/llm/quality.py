@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import WORD, ship, sliced, texts_of
+from .words import mixed
 
 _WORD = re.compile(WORD)
 _SYMBOLS = "#*$%&|<>"
@@ -20,14 +21,6 @@ WINDOW = 8
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser: spreads small numbers over all bits."""
-    x = x.astype(np.uint64)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def rolling(words: np.ndarray, lengths: list[int]) -> Iterator[tuple[int, np.ndarray]]:
     """Polynomial hashes of every window of each length, joined from windows of powers of two."""
     powers, hashes, n = {1: _BASE}, {1: words}, 1

@@ -7,10 +7,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sievewright.llm import bpe, common, dom, graph, html, lines, lm, minhash, mixing, quality, queries, sharding, toxicity, vectors
+from sievewright.llm import bpe, common, dom, graph, html, lines, lm, minhash, mixing, quality, queries, sharding, toxicity, vectors, words
 
 DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, row long, size string, crc string, h1 string"
@@ -396,9 +397,36 @@ def test_samples_estimate_weighted_jaccard():
     base = [f"w{i}" for i in range(300)]
     other = base[:240] + [f"v{i}" for i in range(40)] + base[:60]
     a, b = " ".join(base), " ".join(other)
-    which, keys, _ = s.bands(*minhash.shingles([a, b], 5, minhash._Hashes()))
+    which, keys, marks = s.bands(*s.weighed(pa.array([a, b])))
     assert which.tolist() == [0, 1]
     assert abs((keys[0] == keys[1]).mean() - s.similarity(a, b)) < 0.08
+    assert abs((marks[0] == marks[1]).mean() - s.similarity(a, b)) < 0.08
+
+
+def test_words_are_hashed_by_their_bytes():
+    texts = ["a b  a\tç", None, "", "b", "x" * 5000 + " a", "\x1ca b", "\u3000 a"]
+    h, counts = words.word_hashes(pa.array(["lead", *texts, "tail"]).slice(1, len(texts)))
+    want = [w for t in texts for w in WORD.findall(t or "")]
+    assert counts.tolist() == [len(WORD.findall(t or "")) for t in texts]
+    by: dict = defaultdict(set)
+    for w, x in zip(want, h.tolist()):
+        by[w].add(x)
+    assert all(len(x) == 1 for x in by.values()) and len(set().union(*by.values())) == len(by)
+
+
+def test_frequent_shingles_weigh_less(spark, docs):
+    n = docs.count()
+    buckets, df, rows = minhash.frequent(docs, 5)
+    assert rows == n and len(buckets) and (df > 0.01 * n).all()
+    want = Counter()
+    for r in docs.collect():
+        w = WORD.findall(r.text or "")
+        h, _, _ = minhash.shingles(pa.array([r.text]), 5)
+        assert len(h) == len({tuple(w[i : i + 5]) for i in range(len(w) - 4)}) or len(w) < 5
+        want.update((h % np.uint64(minhash.BUCKETS)).tolist())
+    assert dict(zip(buckets.tolist(), df.tolist())) == {b: c for b, c in want.items() if c > 0.01 * n}
+    weights = minhash.idf(buckets, df, rows)
+    assert weights.min() >= minhash.LEAST and (weights < 1).sum() == len(buckets)
 
 
 def classes(texts):
@@ -435,7 +463,7 @@ def test_large_group_of_near_copies(spark):
     rows = [(0, " ".join(base))]
     for i in range(1, 300):
         w = list(base)
-        for k in rng.choice(150, 3, replace=False):
+        for k in rng.choice(150, 2, replace=False):
             w[k] = f"edit{rng.integers(1000)}"
         rows.append((i, " ".join(w)))
     rows += [(i, " ".join(f"other{x}" for x in rng.integers(0, 10**6, 150))) for i in range(300, 900)]
@@ -445,11 +473,49 @@ def test_large_group_of_near_copies(spark):
     assert r[r["doc_id"] >= 300]["kept"].all()
 
 
+def test_one_id_on_two_texts(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(80)) for x in "ab")
+    rows = [(5, a), (5, b), (9, a + " more"), (10, b + " more"), (5, a), (None, b), (None, "only null ids here")]
+    r = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    assert sorted(r["class_id"].fillna(-1)) == [-1, 5, 5, 5, 5, 5, 5] and r["kept"].sum() == 3
+    assert sorted(r["n_class"]) == [1, 3, 3, 3, 3, 3, 3]
+    out = minhash.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((x.doc_id or 0, x.text) for x in out) == sorted([(5, a), (5, b), (0, "only null ids here")])
+
+
+def test_small_blocks_find_the_same_links(spark, docs):
+    """Chains of edits, so that members of one bucket lie in several classes; blocks far smaller than the buckets."""
+    rng, rows = np.random.default_rng(8), []
+    for g in range(3):
+        base = [f"g{g}w{i}" for i in range(120)]
+        for i in range(60):
+            w = list(base)
+            for k in rng.choice(120, rng.integers(0, 7), replace=False):
+                w[k] = f"e{rng.integers(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = classes([t for _, t in rows])
+    for block in (8, 1024):
+        p = minhash.Params(block=block)
+        got = {r.doc_id: r.class_id for r in minhash.near_duplicates(df, p).collect()}
+        # idf moves pairs next to the threshold, so classes are held against pairs far from it: most texts agree
+        assert np.mean([got[i] == want[i] for i in range(len(rows))]) > 0.8
+    sampler = minhash.Sampler(minhash.Params(), minhash.idf(*minhash.frequent(df, 5)))
+    text = pa.array([t for _, t in rows])
+    up = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in np.flatnonzero(sampler.similarities(pa.array([rows[i][1]] * i), text.slice(0, i)) >= 0.8) if i else []:
+            x, y = sorted((up[i], up[j]))
+            up = [x if u == y else u for u in up]
+    assert [got[i] for i in range(len(rows))] == up
+
+
 def test_minhash_odd(odd, none):
     r = minhash.near_duplicates(odd).toPandas()
     assert len(r) == len(ODD_TEXTS)
     ids = dict(zip(r["doc_id"].fillna(-1), r["class_id"].fillna(-1)))
     assert ids[5] == ids[6] == 5 and ids[1] == ids[2] == 1 and ids[4] == 4
+    assert r["kept"].sum() == r["class_id"].nunique(dropna=False)
     assert minhash.near_duplicates(none).count() == 0
 
 
