@@ -333,11 +333,14 @@ def dealt(classed: DataFrame, block: int) -> DataFrame:
     """Members of buckets of several classes, each once for every pair of blocks in which it meets others.
 
     Members outside their bucket's largest class fill blocks 0 to outer - 1, the largest class the blocks after that.
-    Pairs of blocks (lo, hi) with lo < outer are compared, so the largest class is never compared with itself.
+    Pairs of blocks (lo, hi) with lo < outer are compared, so the largest class is never compared with itself. A bucket
+    of up to two blocks is one block.
     """
     per = classed.groupBy("key", "class").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "class")).alias("top"), F.sum("c").alias("n"), F.count("*").alias("classes"))
-    mixed_up = per.where("classes > 1").select("key", F.col("top.class").alias("top"), F.ceil((F.col("n") - F.col("top.c")) / block).alias("outer"), F.ceil(F.col("top.c") / block).alias("inner"))
-    rows = classed.join(mixed_up, "key").withColumn("inside", F.col("class") == F.col("top"))
+    small, blocks = F.col("n") <= 2 * block, lambda n: F.ceil(n / block)
+    outer, inner = F.when(small, 1).otherwise(blocks(F.col("n") - F.col("top.c"))), F.when(small, 0).otherwise(blocks(F.col("top.c")))
+    mixed_up = per.where("classes > 1").select("key", F.col("top.class").alias("top"), outer.alias("outer"), inner.alias("inner"))
+    rows = classed.join(mixed_up, "key").withColumn("inside", (F.col("class") == F.col("top")) & (F.col("inner") > 0))
     place = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
     rows = rows.withColumn("own", F.when(F.col("inside"), F.col("outer") + place("inner")).otherwise(place("outer")))
     last = F.when(F.col("inside"), F.col("outer")).otherwise(F.col("outer") + F.col("inner")) - 1
