@@ -14,15 +14,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import stash
+from .common import release, stash
 from .graph import connected_components
 
-#: Letters that are frequent in European languages, counted to tell lines apart.
-COUNTED = "etno"
+#: Nine letters that are frequent in European languages, counted to tell lines apart.
+COUNTED = "etnoaishr"
+Steps = tuple[tuple[int, int], ...]
+#: Least length of a line in code points, and the edits allowed from there on.
+STEPS: Steps = ((30, 2), (15, 1))
 #: Letters after which a pair is given up if no state is left.
 LOOK = 20
-#: Candidate lines of which so many at most are sent to all tasks to prune the texts that move; beyond it a plain join does.
-MOST_SENT = 1_000_000
 
 
 def within_edits(a: Column, b: Column, t: int) -> Column:
@@ -88,12 +89,12 @@ def segments(length: Column, t: int) -> list[tuple[Column, Column]]:
     return out
 
 
-def index_rows(length: Column, line: Column, t: int) -> Column:
-    return F.array(*[F.xxhash64(length, F.lit(i), F.substring(line, s + 1, n)) for i, (s, n) in enumerate(segments(length, t))])
+def index_keys(length: Column, line: Column, t: int) -> list[Column]:
+    return [F.xxhash64(length, F.lit(i), F.substring(line, s + 1, n)) for i, (s, n) in enumerate(segments(length, t))]
 
 
-def probe_rows(length: Column, line: Column, t: int) -> Column:
-    """Keys under which a partner of the same length or up to t less may be indexed.
+def probe_keys(length: Column, line: Column, t: int, least: int, below: int | None) -> list[Column]:
+    """Keys under which a partner of the same length or up to t less may be indexed, if its length is ``least`` or more and under ``below``; else null.
 
     Segment i (from 0) starts within min(i, t - i) of its own place on the left or, counted from the end, on the right;
     both bounds together leave about (t * t - delta * delta) / 2 + t + 1 places a length.
@@ -101,77 +102,103 @@ def probe_rows(length: Column, line: Column, t: int) -> Column:
     keys = []
     for delta in range(t + 1):
         other = length - delta
+        fits = (other >= least) if below is None else (other >= least) & (other < below)
         for i, (s, n) in enumerate(segments(other, t)):
             low, high = max(-i, delta - (t - i)), min(i, delta + (t - i))
-            keys += [F.when((s + k >= 0) & (s + k + n <= length), F.xxhash64(other, F.lit(i), F.substring(line, s + k + 1, n))) for k in range(low, high + 1)]
-    return F.array_compact(F.array(*keys))
+            keys += [F.when(fits & (s + k >= 0) & (s + k + n <= length), F.xxhash64(other, F.lit(i), F.substring(line, s + k + 1, n))) for k in range(low, high + 1)]
+    return keys
 
 
-def line_occurrences(docs: DataFrame, text: str, id_col: str) -> DataFrame:
-    """Every line that has a word: row, id, place, and 128 bits of hash of the line as it stands."""
-    lines = docs.select("row", F.col(id_col).alias("id"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("pos", "line"))
-    lines = lines.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
-    return lines.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.reverse("line"), F.length("line"))})
+def steps_of(steps: Steps) -> list[tuple[int, int, int | None]]:
+    """(edits, least length, length that a step stays under) of each step."""
+    down = sorted(steps, reverse=True)
+    return [(t, least, down[k - 1][0] if k else None) for k, (least, t) in enumerate(down) if t > 0]
+
+
+def lines_of(docs: DataFrame, text: str, *keep: str) -> DataFrame:
+    """Every line that has a word, with its place ``pos``."""
+    lines = docs.select(*keep, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("pos", "line"))
+    return lines.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+
+
+#: Two independent hashes of a line as it stands.
+HASHES = {"h1": F.xxhash64, "h2": lambda line: F.xxhash64(F.lit(7), line)}
+
+
+def hashes(line: str = "line") -> list[Column]:
+    return [f(F.col(line)).alias(h) for h, f in HASHES.items()]
 
 
 def letter_counts(line: Column) -> Column:
-    """How often four frequent letters occur, 15 bits each in one number; higher counts stand as the highest, which never makes two lines differ by more."""
-    count = lambda c: F.least(F.length(line) - F.length(F.replace(line, F.lit(c), F.lit(""))), F.lit(0x7FFF)).cast("long")
-    return reduce(lambda a, c: F.shiftleft(a, 15).bitwiseOR(count(c)), COUNTED[1:], count(COUNTED[0]))
+    """How often each of the counted letters occurs, modulo 128, seven bits each in one number that is not negative."""
+    count = lambda c: (F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))).cast("long").bitwiseAND(F.lit(127).cast("long"))
+    return reduce(lambda a, c: F.shiftleft(a, 7).bitwiseOR(count(c)), COUNTED[1:], count(COUNTED[0]))
 
 
 def counts_apart(a: Column, b: Column) -> Column:
-    part = lambda x, k: F.shiftright(x, 15 * k).bitwiseAND(F.lit(0x7FFF))
-    return reduce(lambda u, v: u + v, [F.abs(part(a, k) - part(b, k)) for k in range(len(COUNTED))])
+    """Least sum of differences of the counts; an edit changes two counts by one at most."""
+    part = lambda x, k: F.shiftright(x, 7 * k).bitwiseAND(F.lit(127).cast("long"))
+    apart = lambda k: F.abs(part(a, k) - part(b, k))
+    return reduce(lambda u, v: u + v, [F.least(apart(k), 128 - apart(k)) for k in range(len(COUNTED))])
 
 
-def line_classes(all_lines: DataFrame, t: int, least: int) -> tuple[DataFrame, DataFrame]:
-    """Links between different lines (a, b by h1) and the class of every line that has one. ``all_lines`` has h1, h2, line; equal lines count once.
+def line_links(lines: DataFrame, steps: Steps) -> DataFrame:
+    """Links between different lines: ``a``, ``a2``, ``b``, ``b2``, the hashes of both. ``lines`` has h1, h2, line, each line once.
 
-    An edit changes the counts of two letters by one at most, so candidates whose letter counts are more than 2 t apart
-    never leave the join on segments.
+    Index and probe keys of all lines are shuffled once, marked by the sign of the letter counts. Keys under which only
+    one line stands go there and then; the rest, few, are joined index with probe, and candidates whose letter counts
+    are too far apart never leave that join.
     """
-    long = all_lines.where(F.length("line") >= least)
-    fit = long.groupBy("h1", "h2").agg(F.first("line").alias("line"))
-    fit = fit.select("h1", "line", F.length("line").alias("n"), letter_counts(F.col("line")).alias("counts"))
-    index = fit.select("h1", "counts", F.explode(index_rows(F.col("n"), F.col("line"), t)).alias("key"))
-    probe = fit.select("h1", "counts", F.explode(probe_rows(F.col("n"), F.col("line"), t)).alias("key"))
-    both = index.join(probe.withColumnsRenamed({"h1": "p1", "counts": "p_counts"}), "key")
-    both = both.where((F.col("h1") != F.col("p1")) & (counts_apart(F.col("counts"), F.col("p_counts")) <= 2 * t))
-    pairs = stash(both.select(F.least("h1", "p1").alias("a"), F.greatest("h1", "p1").alias("b")).distinct(), "candidates")
-    ids = stash(pairs.select(F.col("a").alias("h1")).union(pairs.select(F.col("b").alias("h1"))).distinct(), "candidates")
-    few = ids.count() <= MOST_SENT
-    # only lines that have a candidate move again, and they are cut down to those before they are made distinct
-    texts = long.join(F.broadcast(ids) if few else ids, "h1", "left_semi").groupBy("h1", "h2").agg(F.first("line").alias("line"))
-    met = pairs.join(texts.select(F.col("h1").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("h1").alias("b"), F.col("line").alias("y")), "b")
-    links = stash(met.where(within_edits(F.col("x"), F.col("y"), t)).select("a", "b").distinct(), "links")
-    return links, connected_components(links)
-
-
-def dedup_lines(docs: DataFrame, edits: int = 2, least: int = 30, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Marks the lines of every row that repeat an earlier line of the table, exactly or within ``edits`` edits.
+    n = F.length("line")
+    parts = steps_of(steps)
+    most = max((t for t, _, _ in parts), default=0)
+    index = [F.when((n >= least) if below is None else (n >= least) & (n < below), k) for t, least, below in parts for k in index_keys(n, F.col("line"), t)]
+    probe = [k for t, least, below in parts for k in probe_keys(n, F.col("line"), t, least, below)]
+    counted = lines.select("h1", "line", letter_counts(F.col("line")).alias("counts"))
+    keyed = counted.select("h1", "counts", F.posexplode(F.array(*index, *probe)).alias("k", "key")).where("key is not null")
+    keyed = keyed.select("key", "h1", F.when(F.col("k") < len(index), F.col("counts")).otherwise(-1 - F.col("counts")).alias("counts")).repartition("key")
+    live = keyed.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.min("counts").alias("least"), F.max("counts").alias("most"))
+    live = live.where("low < high and least < 0 and most >= 0").select("key").hint("shuffle_hash")
+    keyed = stash(keyed.join(live, "key"), "keys")
+    one = keyed.where("counts >= 0").select("key", F.col("h1").alias("a"), "counts")
+    two = keyed.where("counts < 0").select("key", F.col("h1").alias("b"), (-1 - F.col("counts")).alias("others"))
+    both = one.join(two, "key").where((F.col("a") != F.col("b")) & (counts_apart(F.col("counts"), F.col("others")) <= 2 * most))
+    pairs = stash(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+    ids = pairs.select(F.col("a").alias("h1")).union(pairs.select(F.col("b").alias("h1"))).distinct()
+    texts = stash(lines.join(ids, "h1", "left_semi"), "candidate-lines")
+    side = lambda h, h2, line: texts.select(F.col("h1").alias(h), F.col("h2").alias(h2), F.col("line").alias(line))
+    met = pairs.join(side("a", "a2", "x"), "a").join(side("b", "b2", "y"), "b")
+    shorter = F.least(F.length("x"), F.length("y"))
+    near = reduce(lambda e, s: e.when(shorter >= s[1], within_edits(F.col("x"), F.col("y"), s[0])), parts, F.when(F.lit(False), F.lit(False)))
+    links = stash(met.where(F.coalesce(near, F.lit(False))).select("a", "a2", "b", "b2").distinct(), "links")
+    release(keyed, pairs, texts)
+    return links
+
+
+def dedup_lines(docs: DataFrame, steps: Steps = STEPS, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """Marks the lines of every row that repeat an earlier line of the table, exactly or within few edits.
 
     Lines are what ``\\n`` separates; lines without a word are no lines here and always stay. Two lines are linked if
-    they are equal, or have ``least`` code points each and differ by ``edits`` edits at most; linked lines, however
-    indirectly, form a class, and only the first of a class (smallest id, then place) stays. Returns the id column,
-    ``row`` (a hash of id and text, of later copies also of their number), ``n_lines``, ``n_exact`` and ``n_near`` (lines dropped
-    because an equal or only a similar one comes first), ``n_links`` (other different lines that lines of this row are
-    linked to), and ``dropped`` (places of dropped lines, from 0). Null and empty text: no lines. Very long lines take
-    part whole. Rows with null ids come first. Repeated rows: later ones lose all their lines. Empty table: no rows.
+    they are equal, or differ by no more edits than ``steps`` allow to the shorter of them ((30, 2), (15, 1): two edits
+    from 30 code points on, one from 15, shorter lines must be equal). Linked lines, however indirectly, form a class,
+    and only the first of a class (smallest id, then place) stays. Returns the id column, ``row`` (a hash of id and
+    text, of later copies also of their number), ``n_lines``, ``n_exact`` and ``n_near`` (lines dropped because an equal
+    or only a similar one comes first), and ``dropped`` (places of dropped lines, from 0). Null and empty text: no
+    lines. Very long lines take part whole. Rows with null ids come first. Repeated rows: later ones lose all their
+    lines. Empty table: no rows. Extra columns are not read.
     """
     docs = docs.select(F.col(id_col), F.col(text).alias("__text"), row_hash(id_col, text).alias("row"))
-    per = row_marks(docs, edits, least, "__text", id_col)
+    per = row_marks(docs, steps, "__text", id_col)
     none = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     out = docs.select(F.col(id_col), "row", nth_of("row").alias("nth")).join(per, "row", "left")
     later = F.col("nth") > 1
     return out.select(
         id_col,
         F.when(later, F.xxhash64("row", "nth")).otherwise(F.col("row")).alias("row"),
-        none("n_lines").alias("n_lines"),
-        none(F.when(later, F.col("n_lines")).otherwise(F.col("n_exact"))).alias("n_exact"),
+        none(F.size("places")).alias("n_lines"),
+        none(F.when(later, F.size("places")).otherwise(F.col("n_exact"))).alias("n_exact"),
         none(F.when(~later, F.col("n_near"))).alias("n_near"),
-        none("n_links").alias("n_links"),
-        F.coalesce(gone(later), F.array().cast("array<int>")).alias("dropped"),
+        F.coalesce(F.when(later, F.col("places")).otherwise(F.col("dropped")), F.array().cast("array<int>")).alias("dropped"),
     )
 
 
@@ -184,52 +211,46 @@ def nth_of(row: str) -> Column:
     return F.row_number().over(W.partitionBy(row).orderBy(F.lit(1)))
 
 
-def gone(later: Column) -> Column:
-    """Places of dropped lines: of a row's later copies, all."""
-    return F.when(later, F.array_sort(F.concat("dropped", "kept"))).otherwise(F.col("dropped"))
-
-
-def row_marks(docs: DataFrame, edits: int, least: int, text: str, id_col: str) -> DataFrame:
-    """What ``dedup_lines`` says of the first of the rows of each hash ``row``, with the places of ``kept`` lines and the number of ``copies``. Rows without lines are left out."""
-    occ = line_occurrences(docs, text, id_col)
-    links, classes = line_classes(occ, edits, least)
-    degree = links.select(F.col("a").alias("h1")).union(links.select(F.col("b").alias("h1"))).groupBy("h1").agg(F.count("*").alias("links"))
-    narrow = occ.select("row", "id", "pos", "h1", "h2")
-    first = narrow.groupBy("h1", "h2").agg(F.min(F.struct("id", "row", "pos")).alias("own"))
-    first = first.join(classes.select(F.col("node").alias("h1"), "component"), "h1", "left").join(degree, "h1", "left")
-    # a line without links is a class of its own, named by both hashes
-    group = F.struct(F.coalesce("component", "h1").alias("c"), F.when(F.col("component").isNull(), F.col("h2")).alias("d"))
-    first = stash(first.select("h1", "h2", "own", F.coalesce("links", F.lit(0)).alias("links"), group.alias("g")), "first")
-    lead = first.where("g.d is null").groupBy("g").agg(F.min("own").alias("lead"))
-    first = first.join(lead, first.g.eqNullSafe(lead.g), "left").select("h1", "h2", "own", "links", F.coalesce("lead", "own").alias("lead"))
-    here = narrow.join(first, ["h1", "h2"])
+def row_marks(docs: DataFrame, steps: Steps, text: str, id_col: str) -> DataFrame:
+    """What ``dedup_lines`` says of the first of the rows of each hash ``row``: ``places`` of its lines, ``dropped`` ones, ``n_exact``, ``n_near`` and the number of ``copies``. Rows without lines are left out.
+
+    Texts are split twice: into narrow occurrences of hashes, and into distinct lines long enough for edits; both are
+    written once. Only lines that repeat or have a link are joined back to their occurrences.
+    """
+    occ = stash(lines_of(docs, text, "row", F.col(id_col).alias("id")).select("row", "id", "pos", *hashes()), "occurrences")
+    shortest = min((least for _, least, _ in steps_of(steps)), default=1 << 30)
+    long = lines_of(docs, text).select("line").where(F.length("line") >= shortest).distinct()
+    distinct = stash(long.select(*hashes(), "line"), "lines")
+    links = line_links(distinct, steps)
+    of = links.select(F.col("a").alias("h1"), F.col("a2").alias("h2")).union(links.select("b", "b2")).distinct()
+    classes = of.join(connected_components(links.select("a", "b")).withColumnRenamed("node", "h1"), "h1")
+    first = occ.groupBy("h1", "h2").agg(F.min(F.struct("id", "row", "pos")).alias("own"), F.count("*").alias("n"))
+    first = first.join(classes, ["h1", "h2"], "left").where("n > 1 or component is not null")
+    first = stash(first.select("h1", "h2", "own", "component"), "first")
+    lead = first.where("component is not null").groupBy("component").agg(F.min("own").alias("lead"))
+    first = first.join(lead, "component", "left").select("h1", "h2", "own", F.coalesce("lead", "own").alias("lead"))
+    here = occ.join(first, ["h1", "h2"])
     place = F.struct("id", "row", "pos")
-    here = here.withColumn("why", F.when(place.eqNullSafe(F.col("lead")), 0).when(place.eqNullSafe(F.col("own")), 2).otherwise(1))
-    # copies share row and place: sets and the quotient count each place once
-    per = here.groupBy("row").agg(
-        F.count("*").alias("n"),
-        F.sum((F.col("why") == 1).cast("long")).alias("n_exact"),
-        F.sum((F.col("why") == 2).cast("long")).alias("n_near"),
-        F.sum("links").alias("n_links"),
-        F.array_sort(F.collect_set(F.when(F.col("why") > 0, F.col("pos")))).alias("dropped"),
-        F.collect_set(F.when(F.col("why") == 0, F.col("pos"))).alias("kept"),
-    )
-    per = per.withColumn("n_lines", (F.size("dropped") + F.size("kept")).cast("long"))
-    per = per.withColumn("copies", (F.col("n") / F.col("n_lines")).cast("long"))
-    one = lambda c: (F.col(c) / F.col("copies")).cast("long").alias(c)
-    return per.select("row", "n_lines", one("n_exact"), one("n_near"), one("n_links"), "dropped", "kept", "copies")
+    here = here.withColumn("why", F.when(place.eqNullSafe(F.col("lead")), 0).when(place.eqNullSafe(F.col("own")), 2).otherwise(1)).where("why > 0")
+    # copies of a row share its places: sets and the quotient count each place once
+    gone = here.groupBy("row").agg(F.sum((F.col("why") == 1).cast("long")).alias("n_exact"), F.sum((F.col("why") == 2).cast("long")).alias("n_near"), F.array_sort(F.collect_set("pos")).alias("dropped"))
+    per = occ.groupBy("row").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("pos")).alias("places")).withColumn("copies", (F.col("n") / F.size("places")).cast("long"))
+    one = lambda c: F.coalesce((F.col(c) / F.col("copies")).cast("long"), F.lit(0).cast("long")).alias(c)
+    out = per.join(gone, "row", "left").select("row", "places", "copies", one("n_exact"), one("n_near"), F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"))
+    release(distinct, links)
+    return out
 
 
-def clean(docs: DataFrame, edits: int = 2, least: int = 30, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+def clean(docs: DataFrame, steps: Steps = STEPS, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The rows with their repeated lines taken out; all other columns as they are. Rows that repeat wholly keep their first one's lines only.
 
     Repeated rows (same id and text) are told apart by their number among themselves.
     """
     narrow = docs.select(F.col(id_col), F.col(text).alias("__text"), row_hash(id_col, text).alias("row"))
-    marked = row_marks(narrow, edits, least, "__text", id_col).where("size(dropped) > 0 or copies > 1")
-    marked = marked.select(F.col("row").alias("__row"), F.struct("dropped", gone(F.lit(True)).alias("all")).alias("__marks"))
+    marked = row_marks(narrow, steps, "__text", id_col).where("size(dropped) > 0 or copies > 1")
+    marked = marked.select(F.col("row").alias("__row"), F.struct("dropped", "places").alias("__marks"))
     out = docs.withColumn("__row", row_hash(id_col, text)).withColumn("__nth", nth_of("__row")).join(marked, "__row", "left")
-    out = out.withColumn("__dropped", F.when(F.col("__nth") > 1, F.col("__marks.all")).otherwise(F.col("__marks.dropped")))
+    out = out.withColumn("__dropped", F.when(F.col("__nth") > 1, F.col("__marks.places")).otherwise(F.col("__marks.dropped")))
     lines = F.split(F.col(text), "\n", -1)
     kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("__dropped", i)), "\n")
     return out.withColumn(text, F.when(F.col("__dropped").isNull(), F.col(text)).otherwise(kept)).select(*docs.columns)

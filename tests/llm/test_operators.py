@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -227,7 +228,7 @@ def test_edit_check(spark):
 
 def test_no_pair_within_the_threshold_is_missed(spark):
     rng = np.random.default_rng(3)
-    base = ["".join(rng.choice(list("abcdefgh "), int(n))) for n in rng.integers(30, 60, 60)]
+    base = ["".join(rng.choice(list("abcdefgh "), int(n))) for n in rng.integers(10, 60, 100)]
     texts = set(base)
     for b in base:
         for _ in range(3):
@@ -236,12 +237,67 @@ def test_no_pair_within_the_threshold_is_missed(spark):
                 i, k = int(rng.integers(len(x))), int(rng.integers(3))
                 x[i : i + (k > 0)] = [] if k == 1 else [str(rng.choice(list("abcdefgh")))] + ([x[i]] if k == 0 else [])
             texts.add("".join(x))
-    texts = [t for t in texts if len(t) >= 30]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "h1 long, line string").withColumn("h2", F.col("h1"))
-    links, _ = lines.line_classes(df, 2, 30)
-    got = {(r.a, r.b) for r in links.collect()}
-    both = df.alias("x").crossJoin(df.alias("y")).where("x.h1 < y.h1").where(F.levenshtein("x.line", "y.line") <= 2)
-    assert got == {(r[0], r[1]) for r in both.select("x.h1", "y.h1").collect()}
+    got = {(r.a, r.b) for r in lines.line_links(df, lines.STEPS).collect()}
+    shorter = F.least(F.length("x.line"), F.length("y.line"))
+    most = F.when(shorter >= 30, 2).when(shorter >= 15, 1).otherwise(0)
+    both = df.alias("x").crossJoin(df.alias("y")).where("x.h1 < y.h1").where(F.levenshtein("x.line", "y.line") <= most)
+    want = {(r[0], r[1]) for r in both.select("x.h1", "y.h1").collect()}
+    assert got == want and len(want) > 100
+
+
+def brute_lines(rows):
+    """(id, lines, exact, near, dropped) of every row, rows in the order of their ids and of the table."""
+    occ = [(i, k, p, x) for k, (i, t) in enumerate(rows) for p, x in enumerate((t or "").split("\n")) if WORD.search(x)]
+    texts = sorted({x for *_, x in occ})
+    up = {x: x for x in texts}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, c in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, d in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (c != d))
+        return row[-1]
+
+    for i, a in enumerate(texts):
+        for b in texts[:i]:
+            n = min(len(a), len(b))
+            if n >= 15 and abs(len(a) - len(b)) <= 2 and edits(a, b) <= (2 if n >= 30 else 1):
+                up[find(a)] = find(b)
+    first, lead = {}, {}
+    for o in sorted(occ, key=lambda o: (o[0] is not None, o[0] or 0, o[1], o[2])):
+        first.setdefault(o[3], o[:3])
+        lead.setdefault(find(o[3]), o[:3])
+    out = []
+    for k, (i, t) in enumerate(rows):
+        mine = [o for o in occ if o[1] == k]
+        exact = [o[2] for o in mine if first[o[3]] != o[:3]]
+        near = [o[2] for o in mine if first[o[3]] == o[:3] != lead[find(o[3])]]
+        out.append((i or 0, len(mine), len(exact), len(near), sorted(exact + near)))
+    return sorted(out)
+
+
+def test_lines_against_brute_force(spark):
+    rng = np.random.default_rng(12)
+    base = ["".join(rng.choice(list("abcdefg "), int(n))) for n in rng.integers(3, 45, 30)]
+
+    def line():
+        x = list(base[rng.integers(len(base))])
+        for _ in range(int(rng.choice([0, 0, 1, 2, 3]))):
+            x[int(rng.integers(len(x)))] = str(rng.choice(list("abcé")))
+        return "".join(x)
+
+    rows = [(i, "\n".join(line() for _ in range(rng.integers(0, 5)))) for i in range(60)]
+    rows += [(7000, rows[3][1]), (7000, rows[3][1]), (7001, None), (None, rows[5][1]), (7002, "a\n\na")]
+    got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.n_lines, r.n_exact, r.n_near, r.dropped) for r in got) == brute_lines(rows)
+    assert sum(r.n_near for r in got) > 5
 
 
 def test_lines_are_kept_once(spark, docs):
@@ -278,11 +334,11 @@ def test_repeated_rows_lose_their_lines(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = lines.dedup_lines(df).collect()
     assert len({r.row for r in got}) == len(rows)
-    assert sorted((r.doc_id or 0, r.n_lines, r.n_exact, r.n_near, r.n_links, r.dropped) for r in got) == [
-        (0, 2, 0, 0, 0, []), (0, 2, 2, 0, 0, [0, 2]),
-        (1, 3, 1, 0, 1, [2]), (1, 3, 3, 0, 1, [0, 1, 2]),
-        (2, 1, 0, 1, 1, [0]), (2, 1, 1, 0, 1, [0]), (2, 1, 1, 0, 1, [0]),
-        (3, 0, 0, 0, 0, []), (3, 0, 0, 0, 0, []),
+    assert sorted((r.doc_id or 0, r.n_lines, r.n_exact, r.n_near, r.dropped) for r in got) == [
+        (0, 2, 0, 0, []), (0, 2, 2, 0, [0, 2]),
+        (1, 3, 1, 0, [2]), (1, 3, 3, 0, [0, 1, 2]),
+        (2, 1, 0, 1, [0]), (2, 1, 1, 0, [0]), (2, 1, 1, 0, [0]),
+        (3, 0, 0, 0, []), (3, 0, 0, 0, []),
     ]
     texts = sorted((r.doc_id or 0, r.text) for r in lines.clean(df).collect())
     assert texts == [(0, ""), (0, "of nobody\n\ntwice"), (1, ""), (1, near + "\nalone"), (2, ""), (2, ""), (2, ""), (3, ""), (3, "")]
@@ -384,6 +440,22 @@ def test_caches_are_bounded():
     assert len(c.chunks) <= 60 and c.encode_batch(["some words here " * 3, "other words there"]) == a
 
 
+def test_long_unbroken_words(spark):
+    """Far beyond what quadratic merging would do in the time."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(queries.vocabulary_path())
+    t.no_truncation()
+    t.no_padding()
+    rng = np.random.default_rng(14)
+    texts = ["".join(rng.choice(list("etaoinshr"), n)) for n in (70, 3000, 400_000)] + ["ab" * 100_000, "é" * 1000]
+    c = bpe.Coder(bpe.load_vocabulary(queries.vocabulary_path()))
+    start = time.process_time()
+    got = c.encode_batch(texts)
+    assert time.process_time() - start < 20
+    assert got == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_bpe_empty(none):
     assert bpe.bpe(none, queries.vocabulary_path()).count() == 0
 
