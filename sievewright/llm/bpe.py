@@ -8,10 +8,12 @@ distinct pairs of a batch at once in numpy; words with a pair that fails are mer
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+import uuid
+from collections.abc import Iterable, Iterator, Sequence
 from itertools import chain
 
 import ahocorasick
@@ -44,7 +46,8 @@ class Vocabulary:
         self.ids: dict[str, int] = dict(model["vocab"])
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.names = {i: t for t, i in (*self.ids.items(), *self.special.items())}
-        self.split = next(regex.compile(p["pattern"]["Regex"]) for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
+        split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
+        self.split_lines = regex.compile(rf"\n|(?:{split})")
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.ranks: dict[tuple[int, int], tuple[int, int]] = {}
         n = max(self.names) + 1
@@ -59,7 +62,9 @@ class Vocabulary:
         codes = np.array([(a << 32) | b for a, b in self.ranks], np.int64)
         order = np.argsort(codes)
         self.codes, self.code_ranks = codes[order], np.array([r for r, _ in self.ranks.values()], np.int64)[order]
-        self.letters = str.maketrans({chr(b): c for b, c in enumerate(byte_letters())})
+        #: Decimal form of every id; letter of every byte but the line end, which no word holds.
+        self.numbers = {i: str(i) for i in self.names}
+        self.letters = str.maketrans({chr(b): c for b, c in enumerate(byte_letters()) if b != 10})
         #: Tokens that may be proposed: those that encode to themselves.
         self.open: dict[str, int] = {}
         for t, i in self.ids.items():
@@ -75,20 +80,18 @@ class Vocabulary:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"scanner": None}
 
-    def proposals(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Greedy longest match over all words at once: tokens, the word of each, and whether the words are covered to their end."""
+    def proposals(self, text: str, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Greedy longest match over all words at once, which stand in ``text`` with a line end behind each at ``ends``: tokens, the word of each, and whether the words are covered to their end."""
         if self.scanner is None:
             self.scanner = ahocorasick.Automaton()
             for t, i in self.open.items():
-                ends = self.end and t.endswith(self.end) and t != self.end
-                self.scanner.add_word(t.removesuffix(self.end) + "\n" if ends else t, (i << 8) | (len(t) - len(self.end) + 1 if ends else len(t)))
+                last = self.end and t.endswith(self.end) and t != self.end
+                self.scanner.add_word(t.removesuffix(self.end) + "\n" if last else t, (i << 8) | (len(t) - len(self.end) + 1 if last else len(t)))
             self.scanner.make_automaton()
-        text = "\n".join(words) + "\n"
-        got = np.array([(at, v) for at, v in self.scanner.iter_long(text)], np.int64).reshape(-1, 2)
-        ends = np.cumsum([len(w) + 1 for w in words])
-        word = np.searchsorted(ends, got[:, 0], side="right")
-        size = np.bincount(word, got[:, 1] & 255, len(words)).astype(np.int64)
-        return got[:, 1] >> 8, word, size == np.diff(ends, prepend=0)
+        got = np.fromiter(chain.from_iterable(self.scanner.iter_long(text)), np.int64).reshape(-1, 2)
+        word = np.searchsorted(ends, got[:, 0])
+        size = np.bincount(word, got[:, 1] & 255, len(ends)).astype(np.int64)
+        return got[:, 1] >> 8, word, size == np.diff(ends, prepend=-1)
 
     def symbols(self, word: str, last: bool = True) -> list[int] | None:
         """Starting symbols of a word of byte letters; the last carries the word end. None: a symbol is not in the vocabulary."""
@@ -97,21 +100,29 @@ class Vocabulary:
         return None if None in got else got
 
     def merged(self, parts: list[int]) -> list[int]:
-        """Exact merging: the pair of the lowest rank first, leftmost of equals."""
-        parts, ranks, far = list(parts), self.ranks, (NEVER, -1)
-        order = [ranks.get(p, far)[0] for p in zip(parts, parts[1:])]
-        while order:
-            best = min(order)
-            if best == NEVER:
-                break
-            i = order.index(best)
-            parts[i : i + 2] = [ranks[parts[i], parts[i + 1]][1]]
-            del order[i]
-            if i:
-                order[i - 1] = ranks.get((parts[i - 1], parts[i]), far)[0]
-            if i < len(order):
-                order[i] = ranks.get((parts[i], parts[i + 1]), far)[0]
-        return parts
+        """Exact merging: the pair of the lowest rank first, leftmost of equals.
+
+        Pairs wait in a heap and symbols in a linked list, so a word of n symbols takes about n log n steps. An entry of
+        the heap whose pair has changed meanwhile is passed over.
+        """
+        parts, ranks, n = list(parts), self.ranks, len(parts)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(ranks[p][0], i, p) for i, p in enumerate(zip(parts, parts[1:])) if p in ranks]
+        heapq.heapify(heap)
+        while heap:
+            _, i, (x, y) = heapq.heappop(heap)
+            j = after[i]
+            if parts[i] != x or j >= n or parts[j] != y:
+                continue
+            parts[i], parts[j] = ranks[x, y][1], -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (p := (parts[i], parts[k])) in ranks:
+                    heapq.heappush(heap, (ranks[p][0], i, p))
+            if (h := before[i]) >= 0 and (p := (parts[h], parts[i])) in ranks:
+                heapq.heappush(heap, (ranks[p][0], h, p))
+        return [x for x in parts if x >= 0]
 
     def rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Place of each pair in the sorted merges, or -1."""
@@ -167,13 +178,31 @@ class Vocabulary:
 
 
 class Coder:
-    """Encodes and decodes with caches of bounded size; one a task."""
+    """Encodes and decodes with caches of bounded size; one a Python worker.
+
+    What is known of a chunk (a run without white space) stands in three tables: its tokens, their decimal ids joined by
+    one blank, and their decoded text. A text's digests are joined from those without going through its tokens.
+    """
 
     def __init__(self, vocab: Vocabulary, most_cached: int = 300_000):
         self.v, self.most = vocab, most_cached
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.chunks: dict[str | int, tuple[int, ...]] = {i: (i,) for i in vocab.special.values()}
         self.exact = self.proposed = 0
+        self.forget()
+
+    def forget(self, but: Iterable[str | int] = ()) -> None:
+        """Empties the caches, but for what stands there of the chunks given."""
+        held = {c: self.chunks[c] for c in but if c in self.chunks} if but else {}
+        self.words: dict[str, tuple[int, ...]] = {}
+        self.chunks: dict[str | int, tuple[int, ...]] = {}
+        self.decimal: dict[str | int, str] = {}
+        self.decoded: dict[str | int, str] = {}
+        self.keep(held | {i: (i,) for i in self.v.special.values()})
+
+    def keep(self, known: dict[str | int, tuple[int, ...]]) -> None:
+        number, name = self.v.numbers.__getitem__, self.v.names.__getitem__
+        self.chunks.update(known)
+        self.decimal.update(zip(known, [" ".join(map(number, ids)) for ids in known.values()]))
+        self.decoded.update(zip(known, [" ".join(map(name, ids)) for ids in known.values()]))
 
     def pieces(self, text: str) -> list[str | int]:
         """Runs without white space of a text after normalising; special tokens stand as their ids. No word of the split pattern spans white space."""
@@ -192,17 +221,18 @@ class Coder:
     def learn(self, words: list[str]) -> None:
         """Puts the tokens of new words into the cache."""
         v = self.v
-        spelt = [w.translate(v.letters) if w.isascii() else w.encode("utf-8").decode("latin-1").translate(v.letters) for w in words]
-        tokens, word, right = v.proposals(spelt)
+        text = ("\n".join(words) + "\n").encode("utf-8").decode("latin-1").translate(v.letters)
+        spelt = text.split("\n")[:-1]
+        tokens, word, right = v.proposals(text, np.cumsum(np.fromiter(map(len, spelt), np.int64, len(spelt)) + 1) - 1)
         near = np.flatnonzero(word[1:] == word[:-1])
         pairs, of = np.unique((tokens[near] << 32) | tokens[near + 1], return_inverse=True)
         right[word[near[~v.compatible(pairs >> 32, pairs & 0xFFFFFFFF)[of]]]] = False
-        found = np.split(tokens, np.cumsum(np.bincount(word, minlength=len(words)))[:-1])
+        found, cut = tokens.tolist(), np.searchsorted(word, np.arange(len(words) + 1)).tolist()
         self.proposed += len(words)
         wrong: dict[int, list[int]] = {}
-        for i, w in enumerate(words):
-            if right[i]:
-                self.words[w] = tuple(found[i].tolist())
+        for i, (w, good) in enumerate(zip(words, right.tolist())):
+            if good:
+                self.words[w] = tuple(found[cut[i] : cut[i + 1]])
             else:
                 wrong.setdefault(-(-len(spelt[i]) // 8), []).append(i)
         self.exact += sum(map(len, wrong.values()))
@@ -216,29 +246,57 @@ class Coder:
             for i, ids in zip(which, done):
                 self.words[words[i]] = tuple(ids)
 
-    def encode_batch(self, texts: list[str]) -> list[list[int]]:
+    def split_batch(self, texts: list[str]) -> list[list[str | int]]:
+        """The chunks of every text, all of them known afterwards."""
         pieces = [self.pieces(t) for t in texts]
         seen = set().union(*pieces)
         if len(self.chunks) + len(seen) > self.most:
-            self.chunks = {i: (i,) for i in self.v.special.values()}
-            self.words.clear()
-        new = seen.difference(self.chunks)
+            self.forget(but=seen)
+        new = list(seen.difference(self.chunks))
         if new:
-            split = {c: self.v.split.findall(c) for c in new}
-            words = list(set().union(*split.values()).difference(self.words))
+            # one search over all new chunks; a line end closes each
+            parts = self.v.split_lines.findall("\n".join(new) + "\n")
+            words = list(set(parts).difference(self.words, "\n"))
             if words:
                 self.learn(words)
-            for c, parts in split.items():
-                self.chunks[c] = self.words[parts[0]] if len(parts) == 1 else tuple(chain.from_iterable(map(self.words.__getitem__, parts)))
-        get = self.chunks.__getitem__
-        return [list(chain.from_iterable(map(get, p))) for p in pieces]
+            known, ids, at = {}, (), iter(new)
+            for part in parts:
+                if part == "\n":
+                    known[next(at)] = ids
+                    ids = ()
+                else:
+                    ids = ids + self.words[part] if ids else self.words[part]
+            self.keep(known)
+        return pieces
+
+    def ids_of(self, pieces: list[str | int]) -> list[int]:
+        return list(chain.from_iterable(map(self.chunks.__getitem__, pieces)))
 
-    def decode(self, ids: list[int]) -> str:
+    def encode_batch(self, texts: list[str]) -> list[list[int]]:
+        return [self.ids_of(p) for p in self.split_batch(texts)]
+
+    def decode(self, ids: Sequence[int]) -> str:
         """The file names no decoder: tokens joined by one blank."""
         names = self.v.names
         return " ".join([names[i] for i in ids])
 
 
+def joined(known: dict[str | int, str], pieces: list[str | int]) -> str:
+    """What is known of the chunks, joined by one blank; a chunk without tokens adds none."""
+    return " ".join(filter(None, map(known.__getitem__, pieces)))
+
+
+_CODERS: dict[str, Coder] = {}
+
+
+def coder_of(key: str, shipped) -> Coder:
+    """The coder of this Python worker for a query, so that the tasks it works off one after the other share their caches."""
+    if key not in _CODERS:
+        _CODERS.clear()
+        _CODERS[key] = Coder(shipped.value)
+    return _CODERS[key]
+
+
 def load_vocabulary(path: str) -> Vocabulary:
     with open(path, encoding="utf-8") as f:
         return Vocabulary(json.load(f))
@@ -257,22 +315,22 @@ def bpe(docs: DataFrame, path: str, outputs: tuple[str, ...] = ("ids", "decoded"
     kinds = {"ids": "array<int>", "decoded": "string", "n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
     arrow = {"ids": pa.list_(pa.int32()), "decoded": pa.string(), "n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
     shipped = ship(docs.sparkSession).sparkContext.broadcast(load_vocabulary(path))
+    key = uuid.uuid4().hex
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(shipped.value)
-        decimal = {i: str(i) for i in coder.v.names}
+        coder = coder_of(key, shipped)
         sha = lambda s: hashlib.sha256(s.encode("utf-8")).hexdigest()
         for whole in batches:
             for b in sliced(whole, "text"):
-                ids = coder.encode_batch(texts_of(b, "text"))
-                decoded = [coder.decode(i) for i in ids] if {"decoded", "decoded_sha256"} & set(outputs) else []
+                pieces = coder.split_batch(texts_of(b, "text"))
+                decimal = [joined(coder.decimal, p) for p in pieces] if {"n_tokens", "ids_sha256"} & set(outputs) else []
                 made = {
-                    "ids": lambda: ids,
-                    "decoded": lambda: decoded,
-                    "n_tokens": lambda: list(map(len, ids)),
-                    "ids_sha256": lambda: [sha(" ".join(map(decimal.__getitem__, i))) for i in ids],
-                    "decoded_sha256": lambda: list(map(sha, decoded)),
+                    "ids": lambda: [coder.ids_of(p) for p in pieces],
+                    "decoded": lambda: [joined(coder.decoded, p) for p in pieces],
+                    "n_tokens": lambda: [x.count(" ") + 1 if x else 0 for x in decimal],
+                    "ids_sha256": lambda: list(map(sha, decimal)),
+                    "decoded_sha256": lambda: [sha(joined(coder.decoded, p)) for p in pieces],
                 }
                 yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array(made[c](), arrow[c]) for c in outputs)], [id_col, *outputs])
 
