@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import WORD, stash
+from .common import WORD, release, stash
 
-#: Rows of a source are dealt over so many cells of the sampling order, so that a hot source is many tasks' work.
-CELLS = 1024
+#: Cells of the sampling order for each unit of the logarithm of a rank, so that a hot source is many tasks' work.
+CELLS = 256
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3) -> DataFrame:
@@ -43,100 +43,134 @@ def uniform(seed: int, *cols: Column) -> Column:
     return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("long").cast("double") + 0.5) / float(1 << 48)
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: int = 17, passes: int = 4, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def size_class(size: Column) -> Column:
+    """Number of binary digits of a size, less one."""
+    return F.length(F.bin(size)) - 1
+
+
+def inclusion(sized: DataFrame, targets: DataFrame) -> DataFrame:
+    """Inclusion probability ``p`` of the rows of each source and size class in the sample beyond certain copies.
+
+    Within a source p falls with the square root of the class's size, ``p = min(1, c / sqrt(2 ** k))``, and c is such that
+    the expected words are those needed: classes from the smallest on are certain while their p would reach 1. ``sized``
+    has ``src``, ``k`` and ``size``, ``targets`` ``src`` and ``need``. A source has at most 64 classes, so the windows are
+    small. Returns ``src``, ``k``, ``p`` and ``left``, the need less the certain classes' words.
+    """
+    per = sized.groupBy("src", "k").agg(F.sum("size").alias("w")).join(targets.where("need > 0").select("src", "need"), "src")
+    damped = 1 / F.sqrt(F.pow(F.lit(2.0), F.col("k")))
+    up = W.partitionBy("src").orderBy("k")
+    per = per.withColumn("damped", damped).withColumn("before", F.sum("w").over(up) - F.col("w"))
+    per = per.withColumn("tail", F.sum(F.col("w") * F.col("damped")).over(W.partitionBy("src").orderBy(F.col("k").desc())))
+    per = per.withColumn("c", (F.col("need") - F.col("before")) / F.col("tail"))
+    open_ = F.min(F.when(F.col("c") * F.col("damped") < 1, F.struct("k", "c", (F.col("need") - F.col("before")).alias("left")))).over(W.partitionBy("src"))
+    per = per.withColumn("open", open_)
+    p = F.when(F.col("open").isNull() | (F.col("k") < F.col("open.k")), 1.0).otherwise(F.col("open.c") * F.col("damped"))
+    return per.select("src", "k", p.alias("p"), F.coalesce("open.left", F.lit(0.0)).alias("left"))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: int = 17, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """How often each row enters a mix whose sources give their targets' words.
 
-    A row is asked for ``r = target / source words`` times: ``floor(r)`` copies are certain, and the rest is a Pareto
-    order sample. A row's inclusion probability is ``p = r - floor(r)``, smaller for texts longer than what the sample
-    still needs; its rank is the odds of a random number over the odds of ``p``. The sample has a fixed size in words:
-    rows enter in rank order while they fit below the need. What a row too long for the rest leaves open is filled by
-    the same rule from the rows not yet taken that are no longer than the gap (``passes`` passes in all), so a source
-    misses its target by less than the shortest row that is still free after the last pass, or by little more.
+    A row is wanted ``r = target / source words`` times: ``floor(r)`` copies are certain, and the words that are then
+    still needed come from a Pareto order sample. In it a row's inclusion probability p falls with the square root of
+    its size (by classes of powers of two) and sums, over the rows' words, to the need; small rows whose p would pass 1
+    are certain. A row's rank is the odds of a random number over the odds of its p. The sample has a fixed size in
+    words: rows enter in rank order while they fit below the need. One more row closes the source: of those left, the
+    one whose size is nearest to what is still open, if that brings the source nearer to its target. So a source misses
+    its target by less than half its smallest free row, as a rule by nothing.
 
     Returns the id column, ``source``, ``size``, ``source_size``, ``target``, ``copies`` (int) and ``taken`` (long,
-    ``copies * size``), ``text_crc32`` and ``nth`` (number of the row among rows equal in id, source and text hash). Null text: size 0, taken 0 words. Null source: a source of its own, last. Rows with equal ids
-    share a random number; ties in rank go by id and text hash. Empty table: no rows. Extra columns are not read. No row
-    is taken more than ``most`` times.
+    ``copies * size``). Null text: size 0, taken 0 words. Null source: a source of its own, last. Rows with equal ids
+    share a random number; ties in rank go by id and text hash. Repeated rows are separate rows of the sample. Empty
+    table: no rows. Extra columns are not read. No row is taken more than ``most`` times.
 
-    Cost: the text is read once; sizes (a few numbers a row) are written to the shared folder. A pass is a sum per
-    source and cell of the rank order, at most ``CELLS`` a source, and a window inside cells.
+    Cost: the text is read once; sizes (a few numbers a row) are written to the shared folder. The sample is a sum per
+    source and cell of the rank order and a window inside cells.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
-    sized = docs.select(
-        F.col(id_col).alias("id"), F.col("source").cast("string").alias("source"), F.regexp_count(body, F.lit(WORD)).cast("long").alias("size"), F.crc32(F.encode(body, "UTF-8")).alias("crc")
-    )
-    sized = stash(sized.withColumn("u", uniform(seed, F.col("id"))), "mix")
-    targets = stash(source_targets(sized, weights, most), "mix")
-    key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("src")
-    targets = targets.select(key, "source_size", "target").withColumn("whole", F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most))).otherwise(0).cast("long"))
-    need = targets.select("src", (F.col("target") - F.col("whole") * F.col("source_size")).alias("need"), (F.col("target") / F.col("source_size") - F.col("whole")).alias("p"))
-    rows = sized.withColumn("src", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")))
-    free = rows.select("id", "src", "size", "crc", "u").where("size > 0")
-    picked = None
-    for k in range(passes):
-        # odds of the random number over the odds of inclusion, as a rank of (0, 1)
-        ranked = free.join(need, "src").where("p > 0 and p < 1 and size <= need")
-        odds = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
-        ranked = ranked.withColumn("rank", odds / (1 + odds)).withColumn("cell", F.floor(F.col("rank") * CELLS).cast("int"))
-        cells = ranked.groupBy("src", "cell").agg(F.sum("size").alias("w"))
-        cells = cells.withColumn("base", F.sum("w").over(W.partitionBy("src").orderBy("cell")) - F.col("w")).drop("w")
-        inside = F.sum("size").over(W.partitionBy("src", "cell").orderBy("rank", "id", "crc").rowsBetween(W.unboundedPreceding, 0))
-        fit = ranked.withColumn("inside", inside).join(cells, ["src", "cell"]).where("base + inside <= need")
-        fit = stash(fit.select("id", "src", "size", "crc", "u"), "mix")
-        picked = fit if picked is None else picked.union(fit)
-        if k + 1 < passes:
-            free = free.join(fit.select("id", "crc", "src").distinct(), [free.id.eqNullSafe(fit.id), free.crc == fit.crc, free.src == fit.src], "left_anti")
-            got = fit.groupBy("src").agg(F.sum("size").alias("got"))
-            need = stash(need.join(got, "src", "left").select("src", (F.col("need") - F.coalesce("got", F.lit(0))).alias("need"), "p"), "mix")
-    extra = picked.groupBy("id", "src", "crc").agg(F.count("*").alias("extra"))
-    # of rows that repeat in every respect so many are taken as were picked
+    rows, targets, picked, _ = _sampled(docs, weights, most, seed, id_col, text)
     nth = rows.withColumn("nth", F.row_number().over(W.partitionBy("src", "id", "crc").orderBy("size")))
-    out = nth.join(extra.withColumnsRenamed({"id": "eid", "src": "esrc", "crc": "ecrc"}), [F.col("src") == F.col("esrc"), F.col("id").eqNullSafe(F.col("eid")), F.col("crc") == F.col("ecrc")], "left").join(targets, "src")
-    key = [F.col("crc").alias("text_crc32"), F.col("nth").cast("int").alias("nth")]
+    out = nth.join(picked, [nth.src == picked.psrc, nth.id.eqNullSafe(picked.pid), nth.crc == picked.pcrc], "left").join(targets, "src")
     copies = (F.col("whole") + F.when(F.col("nth") <= F.coalesce("extra", F.lit(0)), 1).otherwise(0)).cast("int")
-    return out.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), *key)
+    return out.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+
+
+def _named(value: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("s"), value.cast("string")), F.lit("n"))
+
+
+def _crc(text: Column) -> Column:
+    return F.crc32(F.encode(F.coalesce(text, F.lit("")), "UTF-8"))
+
+
+def _sampled(docs: DataFrame, weights: tuple[int, ...], most: int, seed: int, id_col: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Sized rows (id, source, src, size, crc); per src the source's target and certain copies; how many rows equal in id, source and text hash are picked besides."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    sized = docs.select(F.col(id_col).alias("id"), F.col("source").cast("string").alias("source"), F.regexp_count(body, F.lit(WORD)).cast("long").alias("size"), _crc(F.col(text)).alias("crc"))
+    rows = stash(sized.withColumns({"src": _named(F.col("source")), "k": size_class(F.col("size")), "u": uniform(seed, F.col("id"))}), "mix")
+    targets = source_targets(rows, weights, most).select(_named(F.col("source")).alias("src"), "source_size", "target")
+    targets = targets.withColumn("whole", F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most))).otherwise(0).cast("long"))
+    targets = stash(targets.withColumn("need", F.col("target") - F.col("whole") * F.col("source_size")), "mix")
+    free = rows.where("size > 0").select("id", "src", "size", "crc", "k", "u")
+    free = free.join(inclusion(free, targets), ["src", "k"])
+    certain = free.where("p >= 1").select("id", "src", "crc")
+    # odds of the random number over the odds of inclusion
+    ranked = free.where("p < 1").withColumn("rank", F.col("u") / (1 - F.col("u")) * ((1 - F.col("p")) / F.col("p")))
+    ranked = ranked.withColumn("cell", F.floor(F.log("rank") * CELLS))
+    cells = ranked.groupBy("src", "cell").agg(F.sum("size").alias("w"))
+    cells = cells.withColumn("base", F.sum("w").over(W.partitionBy("src").orderBy("cell")) - F.col("w")).drop("w")
+    inside = F.sum("size").over(W.partitionBy("src", "cell").orderBy("rank", "id", "crc").rowsBetween(W.unboundedPreceding, 0))
+    ranked = ranked.withColumn("inside", inside).join(cells, ["src", "cell"]).withColumn("fits", F.col("base") + F.col("inside") <= F.col("left"))
+    ranked = stash(ranked.select("id", "src", "crc", "size", "rank", "left", "fits"), "mix")
+    gaps = ranked.groupBy("src").agg((F.max("left") - F.sum(F.when(F.col("fits"), F.col("size")).otherwise(0))).alias("gap"))
+    near = ranked.where("not fits").join(gaps, "src").withColumn("off", F.abs(F.col("size") - F.col("gap"))).where("off < gap")
+    closing = near.groupBy("src").agg(F.min(F.struct("off", "rank", "id", "crc")).alias("m")).select("m.id", "src", "m.crc")
+    picked = certain.union(ranked.where("fits").select("id", "src", "crc")).union(closing)
+    picked = stash(picked.groupBy(F.col("id").alias("pid"), F.col("src").alias("psrc"), F.col("crc").alias("pcrc")).agg(F.count("*").alias("extra")), "mix")
+    release(ranked)
+    return rows.select("id", "source", "src", "size", "crc"), targets, picked, rows
 
 
 def sample(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: int = 17, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The mixed table itself: every row of ``docs`` as often as ``mix`` takes it, with all its columns. Texts are shuffled once."""
-    name = lambda c: F.coalesce(F.concat(F.lit("s"), F.col(c).cast("string")), F.lit("n"))
-    taken = mix(docs, weights, most, seed, id_col=id_col, text=text).where("copies > 0")
-    taken = taken.select(name(id_col).alias("__id"), name("source").alias("__src"), F.col("text_crc32").alias("__crc"), F.col("nth").alias("__nth"), F.col("copies").alias("__copies"))
-    key = W.partitionBy("__id", "__src", "__crc").orderBy(F.lit(1))
-    rows = docs.withColumns({"__id": name(id_col), "__src": name("source"), "__crc": F.crc32(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8"))})
-    rows = rows.withColumn("__nth", F.row_number().over(key)).join(taken, ["__id", "__src", "__crc", "__nth"])
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    _, targets, picked, rows = _sampled(docs, weights, most, seed, id_col, text)
+    whole = targets.select(F.col("src").alias("__src"), F.col("whole").alias("__whole"))
+    extra = picked.select(_named(F.col("pid")).alias("__id"), F.col("psrc").alias("__src"), F.col("pcrc").alias("__crc"), F.col("extra").alias("__extra"))
+    keys = ["__id", "__src", "__crc"]
+    keyed = docs.withColumns({"__id": _named(F.col(id_col)), "__src": _named(F.col("source")), "__crc": _crc(F.col(text))})
+    # rows of sources without certain copies that are not picked go before their texts move, as far as the join can do so
+    out = keyed.join(whole, "__src").join(extra, keys, "left").where("__whole > 0 or __extra is not null")
+    out = out.withColumn("__nth", F.row_number().over(W.partitionBy(*keys).orderBy(F.lit(1))))
+    copies = F.col("__whole") + F.when(F.col("__nth") <= F.coalesce("__extra", F.lit(0)), 1).otherwise(0)
+    release(rows)
+    return out.withColumn("__copies", copies.cast("int")).where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
 
 
-def _oracle(passes: int = 4, seed: int = 17) -> str:
-    sql = f"""
+#: The same law in SQL; rows are told apart by their number, which decides only between rows of equal ids.
+ORACLE_SQL = """
 WITH docs AS (
   SELECT doc_id AS id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
-         row_number() OVER () AS rid, text FROM documents),
+         row_number() OVER () AS rid FROM documents),
 per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM docs GROUP BY source),
 w AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1] AS weight, 3 * source_size AS cap FROM per),
 l AS (SELECT *, sum(source_size) OVER () - coalesce(sum(cap) OVER o, 0) AS lft, sum(weight) OVER () - coalesce(sum(weight) OVER o, 0) AS opn FROM w
   WINDOW o AS (ORDER BY cap / weight, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 v AS (SELECT *, CAST(lft AS DOUBLE) / opn AS level, cap <= CAST(lft AS DOUBLE) / opn * weight AS capped FROM l),
 t AS (SELECT source, source_size, CASE WHEN capped THEN CAST(cap AS DOUBLE) ELSE (max_by(level, opn) FILTER (NOT capped) OVER ()) * weight END AS target FROM v),
-s AS (SELECT source, source_size, target, CAST(least(floor(target / source_size), 3) AS BIGINT) AS whole FROM t WHERE source_size > 0),
-n0 AS (SELECT *, target - whole * source_size AS need, target / source_size - whole AS p FROM s),
-u AS (SELECT id, source, size, rid, (CAST('0x' || substr(md5('{seed}|' || coalesce(CAST(id AS VARCHAR), '')), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0 AS u
-  FROM docs),
-f0 AS (SELECT * FROM u WHERE size > 0)"""
-    for k in range(passes):
-        sql += f""",
-r{k} AS (SELECT f.*, n.need, (u / (1 - u)) / (p / (1 - p)) AS odds FROM f{k} f JOIN n{k} n ON f.source IS NOT DISTINCT FROM n.source WHERE p > 0 AND p < 1 AND size <= need),
-c{k} AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY odds / (1 + odds), id, rid ROWS UNBOUNDED PRECEDING) AS upto FROM r{k}),
-g{k} AS (SELECT rid, source, size FROM c{k} WHERE upto <= need),
-f{k + 1} AS (SELECT * FROM f{k} WHERE rid NOT IN (SELECT rid FROM g{k})),
-n{k + 1} AS (SELECT n.* REPLACE (need - coalesce(got, 0) AS need) FROM n{k} n LEFT JOIN (SELECT source, sum(size) AS got FROM g{k} GROUP BY source) g ON n.source IS NOT DISTINCT FROM g.source)"""
-    picked = " UNION ALL ".join(f"SELECT rid FROM g{k}" for k in range(passes))
-    return sql + f""",
-z AS (SELECT d.id, d.size, t.source_size, t.target, coalesce(s.whole, 0) + CASE WHEN d.rid IN ({picked}) THEN 1 ELSE 0 END AS copies
-  FROM docs d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN s ON d.source IS NOT DISTINCT FROM s.source)
-SELECT id AS doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken, CAST(copies AS INTEGER) AS copies FROM z"""
-
-
-#: The same law in SQL; rows are told apart by their number, which decides only between rows of equal ids.
-ORACLE_SQL = _oracle()
+s AS (SELECT source, source_size, target, CASE WHEN source_size > 0 THEN CAST(least(floor(target / source_size), 3) AS BIGINT) ELSE 0 END AS whole FROM t),
+n AS (SELECT *, coalesce(source, chr(1)) AS src, target - whole * source_size AS need FROM s),
+u AS (SELECT id, coalesce(source, chr(1)) AS src, size, rid, length(bin(size)) - 1 AS k,
+         (CAST('0x' || substr(md5('17|' || coalesce(CAST(id AS VARCHAR), '')), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0 AS u FROM docs WHERE size > 0),
+k AS (SELECT u.src, k, sum(size) AS w, any_value(need) AS need, 1 / sqrt(pow(2.0, k)) AS damped FROM u JOIN n ON u.src = n.src WHERE need > 0 GROUP BY u.src, k),
+c AS (SELECT *, need - (sum(w) OVER (PARTITION BY src ORDER BY k) - w) AS lft,
+         (need - (sum(w) OVER (PARTITION BY src ORDER BY k) - w)) / (sum(w * damped) OVER (PARTITION BY src ORDER BY k DESC)) AS c FROM k),
+o AS (SELECT *, min(CASE WHEN c * damped < 1 THEN k END) OVER (PARTITION BY src) AS k0 FROM c),
+p AS (SELECT src, k, CASE WHEN k0 IS NULL OR k < k0 THEN 1.0 ELSE (max(CASE WHEN k = k0 THEN c END) OVER (PARTITION BY src)) * damped END AS p,
+         coalesce(max(CASE WHEN k = k0 THEN lft END) OVER (PARTITION BY src), 0.0) AS lft FROM o),
+f AS (SELECT u.*, p, lft, u / (1 - u) * ((1 - p) / p) AS rank FROM u JOIN p ON u.src = p.src AND u.k = p.k),
+r AS (SELECT *, sum(size) OVER (PARTITION BY src ORDER BY rank, id, rid ROWS UNBOUNDED PRECEDING) <= lft AS fits FROM f WHERE p < 1),
+g AS (SELECT src, max(lft) - sum(CASE WHEN fits THEN size ELSE 0 END) AS gap FROM r GROUP BY src),
+e AS (SELECT rid, row_number() OVER (PARTITION BY r.src ORDER BY abs(size - gap), rank, id, rid) AS nth FROM r JOIN g ON r.src = g.src WHERE NOT fits AND abs(size - gap) < gap),
+x AS (SELECT rid FROM f WHERE p >= 1 UNION ALL SELECT rid FROM r WHERE fits UNION ALL SELECT rid FROM e WHERE nth = 1)
+SELECT d.id AS doc_id, d.size, n.source_size, n.target, CAST((whole + CASE WHEN d.rid IN (SELECT rid FROM x) THEN 1 ELSE 0 END) * d.size AS BIGINT) AS taken,
+       CAST(whole + CASE WHEN d.rid IN (SELECT rid FROM x) THEN 1 ELSE 0 END AS INTEGER) AS copies
+FROM docs d JOIN n ON coalesce(d.source, chr(1)) = n.src"""

@@ -376,9 +376,36 @@ def test_targets_and_sample(spark, docs):
     for s, g in r.groupby("source"):
         whole = math.floor(want[s] / sums[s])
         assert set(g.loc[g["size"] > 0, "copies"]) <= {whole, whole + 1}
-        assert 0 <= want[s] - g["taken"].sum() <= g["size"].max()
+        assert abs(want[s] - g["taken"].sum()) <= g["size"].max() / 2
     rows = mixing.sample(docs)
-    assert rows.columns == docs.columns and rows.count() == r["copies"].sum()
+    assert rows.columns == docs.columns
+    taken = defaultdict(int, zip(r["doc_id"], r["copies"]))
+    assert Counter(x.doc_id for x in rows.collect()) == Counter({i: int(c) for i, c in taken.items() if c})
+
+
+def test_inclusion_falls_with_size(spark):
+    """Shares taken of each size class come near the inclusion probabilities, which differ and sum to the words needed."""
+    rng = np.random.default_rng(13)
+    sizes = np.minimum(rng.lognormal(3, 1.3, 8000), 3000).astype(int) + 1
+    rows = [(i, "a" if i % 4 else "b", "w " * int(n)) for i, n in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    r = mixing.mix(df).toPandas()
+    assert len(r) == len(rows) and (abs(r.groupby("source")["taken"].sum() - r.groupby("source")["target"].first()) <= 100).all()
+    free = df.select(F.col("source").alias("src"), F.size(F.split(F.trim("text"), " ")).cast("long").alias("size")).withColumn("k", mixing.size_class(F.col("size")))
+    need = r.groupby("source").agg(t=("target", "first"), s=("source_size", "first"))
+    need["whole"] = (need["t"] // need["s"]).astype(int)
+    targets = spark.createDataFrame([(s, float(x.t - x.whole * x.s)) for s, x in need.iterrows()], "src string, need double")
+    p = {(x.src, x.k): x.p for x in mixing.inclusion(free, targets).collect()}
+    r["k"] = [int(n).bit_length() - 1 for n in r["size"]]
+    r["extra"] = r["copies"] - [need.loc[s, "whole"] for s in r["source"]]
+    for (s, k), g in r.groupby(["source", "k"]):
+        q = p[s, k]
+        assert abs(g["extra"].sum() - q * len(g)) <= 4.5 * math.sqrt(len(g) * q * (1 - q)) + 3
+    some = [q for (s, k), q in sorted(p.items()) if s == "a"]
+    assert some == sorted(some, reverse=True) and some[-1] < 0.5 * some[0]
+    for s in "ab":
+        g = r[r["source"] == s]
+        assert sum(p[s, k] * n for k, n in zip(g["k"], g["size"])) == pytest.approx(need.loc[s, "t"] - need.loc[s, "whole"] * need.loc[s, "s"])
 
 
 @pytest.mark.parametrize("sizes", [{"a": 100, "b": 1, "c": 1}, {"a": 1, "b": 1000, "c": 5, None: 7}, {"x": 10}])
