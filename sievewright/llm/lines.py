@@ -78,41 +78,46 @@ def within_edits(a: Column, b: Column, t: int) -> Column:
     return F.coalesce(near & body, F.lit(False))
 
 
-def segments(length: Column, t: int) -> list[tuple[Column, Column]]:
-    """Start (from 0) and size of each of t + 1 segments of a line of the given length; the last ones take the rest."""
-    base = F.floor(length / (t + 1)).cast("int")
-    extra = length - base * (t + 1)
-    out = []
-    for i in range(t + 1):
-        longer = F.greatest(F.lit(0), i - (t + 1) + extra)
-        out.append(((base * i + longer).cast("int"), (base + F.when(F.lit(t + 1 - i) <= extra, 1).otherwise(0)).cast("int")))
-    return out
-
-
-def index_keys(length: Column, line: Column, t: int) -> list[Column]:
-    return [F.xxhash64(length, F.lit(i), F.substring(line, s + 1, n)) for i, (s, n) in enumerate(segments(length, t))]
+def steps_of(steps: Steps) -> list[tuple[int, int, int | None]]:
+    """(edits, least length, length that a step stays under) of each step."""
+    down = sorted(steps, reverse=True)
+    return [(t, least, down[k - 1][0] if k else None) for k, (least, t) in enumerate(down) if t > 0]
 
 
-def probe_keys(length: Column, line: Column, t: int, least: int, below: int | None) -> list[Column]:
-    """Keys under which a partner of the same length or up to t less may be indexed, if its length is ``least`` or more and under ``below``; else null.
+def places(steps: Steps) -> list[tuple[int, int, int, int, int, int]]:
+    """Where a line is looked up: edits, the partner's least length and the length it stays under, how much shorter it is, segment, shift.
 
-    Segment i (from 0) starts within min(i, t - i) of its own place on the left or, counted from the end, on the right;
-    both bounds together leave about (t * t - delta * delta) / 2 + t + 1 places a length.
+    A partner of ``delta`` less code points is cut into t + 1 segments. Segment i (from 0) starts in the longer line
+    within min(i, t - i) of its own place on the left or, counted from the end, on the right; both bounds together leave
+    about (t * t - delta * delta) / 2 + t + 1 places a length. Places of delta and shift 0 are a line's own segments,
+    under which it is indexed too.
     """
-    keys = []
-    for delta in range(t + 1):
-        other = length - delta
-        fits = (other >= least) if below is None else (other >= least) & (other < below)
-        for i, (s, n) in enumerate(segments(other, t)):
-            low, high = max(-i, delta - (t - i)), min(i, delta + (t - i))
-            keys += [F.when(fits & (s + k >= 0) & (s + k + n <= length), F.xxhash64(other, F.lit(i), F.substring(line, s + k + 1, n))) for k in range(low, high + 1)]
-    return keys
+    out = []
+    for t, least, below in steps_of(steps):
+        for delta in range(t + 1):
+            for i in range(t + 1):
+                low, high = max(-i, delta - (t - i)), min(i, delta + (t - i))
+                out += [(t, least, below or 1 << 30, delta, i, k) for k in range(low, high + 1)]
+    return out
 
 
-def steps_of(steps: Steps) -> list[tuple[int, int, int | None]]:
-    """(edits, least length, length that a step stays under) of each step."""
-    down = sorted(steps, reverse=True)
-    return [(t, least, down[k - 1][0] if k else None) for k, (least, t) in enumerate(down) if t > 0]
+def keys(lines: DataFrame, steps: Steps) -> DataFrame:
+    """``key``, ``h1`` and ``counts`` of every place of every line; counts less than 0 (-1 less the counts) mark places that are only looked up.
+
+    The last segments of a line take what does not divide evenly.
+    """
+    names = ["t", "least", "below", "delta", "i", "shift"]
+    table = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(names, place)]) for place in places(steps)])
+    at = lambda c: F.col(f"place.{c}")
+    rows = lines.withColumn("n", F.length("line")).select("h1", "line", "counts", "n", F.explode(table).alias("place"))
+    rows = rows.withColumn("other", F.col("n") - at("delta")).where((F.col("other") >= at("least")) & (F.col("other") < at("below")))
+    base, extra = F.expr("other div (place.t + 1)").cast("int"), F.col("other") % (at("t") + 1)
+    rows = rows.withColumns({
+        "size": base + F.when(at("t") + 1 - at("i") <= extra, 1).otherwise(0),
+        "start": base * at("i") + F.greatest(F.lit(0), at("i") - at("t") - 1 + extra) + at("shift"),
+    }).where("start >= 0 and start + size <= n")
+    own = (at("delta") == 0) & (at("shift") == 0)
+    return rows.select(F.xxhash64("other", "place.i", F.expr("substring(line, start + 1, size)")).alias("key"), "h1", F.when(own, F.col("counts")).otherwise(-1 - F.col("counts")).alias("counts"))
 
 
 def lines_of(docs: DataFrame, text: str, *keep: str) -> DataFrame:
@@ -143,25 +148,19 @@ def counts_apart(a: Column, b: Column) -> Column:
 
 
 def line_links(lines: DataFrame, steps: Steps) -> DataFrame:
-    """Links between different lines: ``a``, ``a2``, ``b``, ``b2``, the hashes of both. ``lines`` has h1, h2, line, each line once.
+    """Links between different lines: ``a``, ``a2``, ``b``, ``b2``, the hashes of both. ``lines`` has h1, h2, line and its letter counts, each line once.
 
-    Index and probe keys of all lines are shuffled once, marked by the sign of the letter counts. Keys under which only
-    one line stands go there and then; the rest, few, are joined index with probe, and candidates whose letter counts
-    are too far apart never leave that join.
+    The keys of all lines are shuffled once. Keys under which only one line stands go there and then; of the rest, few,
+    those of own segments are joined with all, and candidates whose letter counts are too far apart never leave that join.
     """
-    n = F.length("line")
     parts = steps_of(steps)
     most = max((t for t, _, _ in parts), default=0)
-    index = [F.when((n >= least) if below is None else (n >= least) & (n < below), k) for t, least, below in parts for k in index_keys(n, F.col("line"), t)]
-    probe = [k for t, least, below in parts for k in probe_keys(n, F.col("line"), t, least, below)]
-    counted = lines.select("h1", "line", letter_counts(F.col("line")).alias("counts"))
-    keyed = counted.select("h1", "counts", F.posexplode(F.array(*index, *probe)).alias("k", "key")).where("key is not null")
-    keyed = keyed.select("key", "h1", F.when(F.col("k") < len(index), F.col("counts")).otherwise(-1 - F.col("counts")).alias("counts")).repartition("key")
-    live = keyed.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.min("counts").alias("least"), F.max("counts").alias("most"))
-    live = live.where("low < high and least < 0 and most >= 0").select("key").hint("shuffle_hash")
+    keyed = keys(lines, steps).repartition("key")
+    live = keyed.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.max("counts").alias("most"))
+    live = live.where("low < high and most >= 0").select("key").hint("shuffle_hash")
     keyed = stash(keyed.join(live, "key"), "keys")
     one = keyed.where("counts >= 0").select("key", F.col("h1").alias("a"), "counts")
-    two = keyed.where("counts < 0").select("key", F.col("h1").alias("b"), (-1 - F.col("counts")).alias("others"))
+    two = keyed.select("key", F.col("h1").alias("b"), F.when(F.col("counts") < 0, -1 - F.col("counts")).otherwise(F.col("counts")).alias("others"))
     both = one.join(two, "key").where((F.col("a") != F.col("b")) & (counts_apart(F.col("counts"), F.col("others")) <= 2 * most))
     pairs = stash(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
     ids = pairs.select(F.col("a").alias("h1")).union(pairs.select(F.col("b").alias("h1"))).distinct()
@@ -220,7 +219,7 @@ def row_marks(docs: DataFrame, steps: Steps, text: str, id_col: str) -> DataFram
     occ = stash(lines_of(docs, text, "row", F.col(id_col).alias("id")).select("row", "id", "pos", *hashes()), "occurrences")
     shortest = min((least for _, least, _ in steps_of(steps)), default=1 << 30)
     long = lines_of(docs, text).select("line").where(F.length("line") >= shortest).distinct()
-    distinct = stash(long.select(*hashes(), "line"), "lines")
+    distinct = stash(long.select(*hashes(), "line", letter_counts(F.col("line")).alias("counts")), "lines")
     links = line_links(distinct, steps)
     of = links.select(F.col("a").alias("h1"), F.col("a2").alias("h2")).union(links.select("b", "b2")).distinct()
     classes = of.join(connected_components(links.select("a", "b")).withColumnRenamed("node", "h1"), "h1")
