@@ -56,8 +56,10 @@ def stash(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(*tables: DataFrame) -> None:
-    """Removes stashed tables that nothing reads any more."""
+    """Removes stashed tables that nothing reads any more; other tables are left alone."""
     for df in tables:
+        if not hasattr(df, "_stashed"):
+            continue
         spark = df.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(df._stashed)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
