@@ -110,7 +110,10 @@ def fit(pages: DataFrame, most_pages: int = 300, layouts: int = 900, seed: int =
     paragraphs, short ones for labels. ``layouts`` pages are made of them; nodes whose text is wholly article or wholly
     not are the examples. The sample is what a classifier may be fitted on; extraction itself reads every page whole.
     """
-    got = pages.where("length(html) > 0").select("html", F.xxhash64("html").alias("h")).orderBy("h").limit(most_pages).collect()
+    hashed = pages.where("length(html) > 0").select("html", F.xxhash64("html").alias("h"))
+    least = [r["h"] for r in hashed.select("h").distinct().orderBy("h").limit(most_pages).collect()]
+    # only the pages chosen move, each once however often it occurs
+    got = hashed.where(F.col("h").isin(least)).groupBy("h").agg(F.first("html").alias("html")).orderBy("h").collect() if least else []
     long, short = [], []
     for r in got:
         page = Page(r["html"])

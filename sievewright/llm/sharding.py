@@ -8,16 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .common import release, stash
+
 #: Rows of one curve cell are dealt over so many sub-cells, so that no hot cell is one task's work.
 SALTS = 64
 
 
-def prefix_code(col: Column) -> Column:
-    """The first seven UTF-8 bytes as a number: keeps the order of strings by code point. Null is -1."""
-    padded = F.rpad(F.hex(F.substring(F.encode(col, "UTF-8"), 1, 7)), 14, "0")
-    return F.coalesce(F.conv(padded, 16, 10).cast("long"), F.lit(-1))
-
-
 def _entry(w: int) -> int:
     low = 0 if w == 0 else 2 * ((w - 1) // 2)
     return low ^ (low >> 1)
@@ -69,44 +65,47 @@ def hilbert_index(coords: list[Column], bits: int) -> Column:
     return F.aggregate(words, start, step, lambda s: s["h"])
 
 
+def cells_of(rows: DataFrame, col: str, cells: int, total: int) -> DataFrame:
+    """Cell of every distinct value of a column: the share of rows that come before it, in ``cells`` steps."""
+    k = col.removeprefix("q")
+    counts = rows.groupBy(col).agg(F.count("*").alias("n"))
+    before = F.sum("n").over(W.orderBy(F.col(col).asc_nulls_first())) - F.col("n")
+    return counts.select(F.col(col).alias(f"v{k}"), F.least(F.floor(before * cells / max(total, 1)), F.lit(cells - 1)).cast("int").alias(f"cell{k}"))
+
+
 def shard(
     docs: DataFrame, shards: int = 24, dims: tuple[str, ...] = ("source", "lang"), text: str = "text", id_col: str = "doc_id", bits: int = 5, law: str = "rows"
 ) -> DataFrame:
     """Deals every row to a shard: rows in Hilbert order of (dims, text size), cut into equal runs.
 
-    Each dimension is quantised at its own quantiles into ``2**bits`` cells: strings by their first seven bytes in code
-    point order, the text by its size. ``law`` is ``rows`` (counts of shards differ by one at most) or ``bytes`` (a shard
-    takes the rows whose first byte falls into its equal part of all bytes). Returns the id column, ``size`` (UTF-8
-    bytes of the text plus 8), ``text_crc32``, ``law``, ``shard``, ``slot`` (position in the shard, from 0) and
-    ``hilbert``. Nulls: null text is empty, null dimensions come first. Ties (equal rows of one cell): by text hash and
-    id. Empty table: no rows. Extra columns are not read.
+    Each dimension is quantised at its own quantiles into ``2**bits`` cells: its distinct values are ranked (strings by
+    code point, the text by its size, null first) and a value's cell is that of the rows before it. ``law`` is ``rows``
+    (counts of shards differ by one at most) or ``bytes`` (a shard takes the rows whose first byte falls into its equal
+    part of all bytes). Returns the id column, ``size`` (UTF-8 bytes of the text plus 8), ``text_crc32``, ``law``,
+    ``shard``, ``slot`` (position in the shard, from 0) and ``hilbert``. Null text is empty. Ties (equal rows of one
+    cell): by text hash and id. Empty table: no rows. Extra columns are not read.
 
-    Cost: one pass for the quantiles, one that counts cells (``2**(bits * dimensions) * SALTS`` at most, whatever the
-    input) and one that ranks rows inside cells; cumulated counts of cells are windows over at most
+    Cost: texts are read once, for rows of a few numbers that are written to the shared folder; ranks are a window over
+    the distinct values of a dimension; then one pass counts cells (``2**(bits * dimensions) * SALTS`` at most, whatever
+    the input) and one ranks rows inside cells; cumulated counts of cells are windows over at most
     ``2**(bits * dimensions / 2)`` groups and within those, so no task sees all rows.
     """
     if law not in ("rows", "bytes"):
         raise ValueError(f"law is rows or bytes, not {law}")
     body = F.coalesce(F.col(text), F.lit(""))
-    kinds = dict(docs.dtypes)
-    rows = docs.select(
-        F.col(id_col).alias("id"),
-        (F.octet_length(body).cast("long") + 8).alias("size"),
-        F.crc32(F.encode(body, "UTF-8")).alias("crc"),
-        *[(prefix_code(F.col(c)) if kinds[c] == "string" else F.coalesce(F.col(c).cast("long"), F.lit(-1))).alias(f"q{k}") for k, c in enumerate(dims)],
-    ).withColumn(f"q{len(dims)}", F.col("size"))
-    n, cells = len(dims) + 1, 1 << bits
-    at = [k / cells for k in range(1, cells)]
-    cuts = rows.agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), *[F.percentile_approx(f"q{k}", at, 10000).alias(f"c{k}") for k in range(n)]).first()
-    total = (cuts["n"] if law == "rows" else cuts["bytes"]) or 1
-
-    def cell(k: int) -> Column:
-        bounds = sorted(set(cuts[f"c{k}"] or []))
-        return F.size(F.filter(F.array(*[F.lit(int(b)) for b in bounds]).cast("array<long>"), lambda b: b < F.col(f"q{k}")))
-
-    spot = rows.select(
-        "id", "size", "crc", hilbert_index([cell(k) for k in range(n)], bits).alias("hilbert"), F.pmod(F.xxhash64("crc", "id"), F.lit(SALTS)).cast("int").alias("salt")
+    sized = docs.select(
+        F.col(id_col).alias("id"), (F.octet_length(body).cast("long") + 8).alias("size"), F.crc32(F.encode(body, "UTF-8")).alias("crc"), *[F.col(c).alias(f"q{k}") for k, c in enumerate(dims)]
     )
+    rows = stash(sized.withColumn(f"q{len(dims)}", F.col("size")), "sized")
+    n, cells = len(dims) + 1, 1 << bits
+    sums = rows.agg(F.count("*").alias("rows"), F.sum("size").alias("bytes")).first()
+    total = sums[law] or 1
+    spot = rows
+    for k in range(n):
+        spot = spot.join(cells_of(rows, f"q{k}", cells, sums["rows"]), F.col(f"q{k}").eqNullSafe(F.col(f"v{k}"))).drop(f"v{k}")
+    spot = spot.select("id", "size", "crc", hilbert_index([F.col(f"cell{k}") for k in range(n)], bits).alias("hilbert"), F.pmod(F.xxhash64("crc", "id"), F.lit(SALTS)).cast("int").alias("salt"))
+    spot = stash(spot, "spots")
+    release(rows)
     weight = F.lit(1).cast("long") if law == "rows" else F.col("size")
     half = 1 << (bits * n // 2)
     counted = spot.groupBy("hilbert", "salt").agg(F.sum(weight).alias("w")).withColumn("top", F.floor(F.col("hilbert") / half))

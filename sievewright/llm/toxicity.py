@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_of_id, ship, sliced, stash, texts_of
+from .common import crc32_of_id, release, ship, sliced, stash, texts_of
 
 TOKEN = r"[^\W\d_]+"
 _TOKEN = re.compile(TOKEN)
@@ -87,15 +87,16 @@ def evidence(score: float, n: int, m: Model) -> float:
     return m.lam * score - math.log(max(m.k * max(n, 1), 1e-9))
 
 
-def fit_tokens(labelled: DataFrame, prior: float = 0.25, least: int = 5, most_tokens: int = 20_000) -> dict[str, float]:
+def fit_tokens(labelled: DataFrame, prior: float = 0.25, least: int = 5) -> tuple[dict[str, float], float]:
     """Log-odds of tokens in toxic against other texts under a Dirichlet prior in the shape of both together.
 
     A token of ``c1`` of ``n1`` toxic and ``c0`` of ``n0`` other tokens gets the difference of its log odds with
     ``prior`` times its own count in both added to each count. It is kept if it lies further from 0, in standard
     deviations, than the largest of so many chance values would: ``sqrt(2 ln(number of tokens tested))``. Texts count
     each of their tokens once, equal texts count once. Beside whole words, word beginnings of ``STEMS`` letters are
-    tokens (written with a trailing ``*``), so inflected forms share evidence. ``most_tokens`` bounds the model; the
-    clearest stay.
+    tokens (written with a trailing ``*``), so inflected forms share evidence. Returns the scores and that of all other
+    words: the log-odds of the mass that scored whole words leave, at most -0.01, so that a passage ends where nothing
+    speaks for it. Their number is bounded by the labelled rows that ``fit`` takes.
     """
     distinct = labelled.groupBy(F.xxhash64("text").alias("h")).agg(F.max("toxic").alias("toxic"), F.first("text").alias("text"))
     pairs = distinct.select("toxic", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}]+)"), F.lit(1)))).alias("token"))
@@ -107,7 +108,7 @@ def fit_tokens(labelled: DataFrame, prior: float = 0.25, least: int = 5, most_to
     whole = counts.where("token not like '%*'").agg(F.sum("c1").alias("n1"), F.sum("c0").alias("n0")).first()
     n1, n0 = float(whole["n1"] or 0), float(whole["n0"] or 0)
     if not n1 or not n0:
-        return {}
+        return {}, -0.01
     at_least = math.sqrt(2 * math.log(max(counts.count(), 2)))
     share = (F.col("c1") + F.col("c0")) * prior
     odds = lambda c, total: F.log((F.col(c) + share) / (F.lit(total + prior * (n1 + n0)) - F.col(c) - share))
@@ -115,9 +116,13 @@ def fit_tokens(labelled: DataFrame, prior: float = 0.25, least: int = 5, most_to
     level = math.log((n0 + prior * (n1 + n0)) / (n1 + prior * (n1 + n0)))
     delta = odds("c1", n1) - odds("c0", n0)
     mid = F.log(F.lit(n1 / (n1 + n0)) + prior) - F.log(F.lit(n0 / (n1 + n0)) + prior) + level
-    scored = counts.select("token", (delta - mid).alias("s"), ((delta - mid) / F.sqrt(1 / (F.col("c1") + share) + 1 / (F.col("c0") + share))).alias("z"))
-    kept = scored.where(F.abs("z") >= at_least).orderBy(F.abs("z").desc(), "token").limit(most_tokens).collect()
-    return {r["token"]: r["s"] for r in kept}
+    scored = counts.select("token", "c1", "c0", (delta - mid).alias("s"), ((delta - mid) / F.sqrt(1 / (F.col("c1") + share) + 1 / (F.col("c0") + share))).alias("z"))
+    kept = scored.where(F.abs("z") >= at_least).orderBy("token").collect()
+    words = [r for r in kept if not r["token"].endswith("*")]
+    left1, left0 = n1 - sum(r["c1"] for r in words), n0 - sum(r["c0"] for r in words)
+    other = math.log(max(left1, 1) / n1) - math.log(max(left0, 1) / n0)
+    release(counts)
+    return {r["token"]: r["s"] for r in kept}, min(other, -0.01)
 
 
 def score_of(word: str, scores: dict[str, float]) -> float | None:
@@ -130,36 +135,40 @@ def score_of(word: str, scores: dict[str, float]) -> float | None:
     return got
 
 
-def fit(labelled: DataFrame, most_rows: int = 200_000) -> Model:
-    """Learns a model from rows with ``text`` and ``toxic`` (0 or 1).
+def fit(labelled: DataFrame, most_rows: int = 500_000) -> Model:
+    """Learns a model from rows with ``text`` and ``toxic`` (0 or 1), of which at most about ``most_rows`` are taken, by a hash of their text.
 
-    The calibration is fitted on the driver from two numbers a text (best score and length) of at most ``most_rows``
-    labelled rows, those with the smallest hash of their text: lambda and K of the extreme-value law by moments of the
-    clean texts' best scores, then the logistic curve by Newton steps. Without both labels nothing scores above 0.5.
+    Token scores come from all rows taken. The calibration is fitted on the driver from three numbers a text: lambda and
+    K of the extreme-value law by moments of the clean texts' best scores and lengths, then, by Newton steps, the
+    logistic curve of the summed evidence that ``toxicity`` scores by. Without both labels nothing scores above 0.5.
     """
     labelled = labelled.select(F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)")
     ship(labelled.sparkSession)
-    m = Model(scores=fit_tokens(labelled))
+    labelled = stash(labelled, "labelled")
+    n = labelled.count()
+    if n > most_rows:
+        labelled = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(most_rows / n * (1 << 30)))
+    scores, other = fit_tokens(labelled)
+    m = Model(scores=scores, other=other)
     if not m.scores:
         return m
-    m.other = -0.05
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in sliced(whole, "text"):
-                n, best, _, _ = scan(texts_of(b, "text"), m, math.inf)
-                yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(n), pa.array(best)], ["toxic", "n", "best"])
+                n, best, total, _ = scan(texts_of(b, "text"), m, 0.0)
+                yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(n), pa.array(best), pa.array(total)], ["toxic", "n", "best", "total"])
 
-    rows = labelled.withColumn("h", F.xxhash64("text")).orderBy("h").limit(most_rows) if labelled.count() > most_rows else labelled
-    got = rows.select("text", "toxic").mapInArrow(measure, "toxic int, n long, best double").toPandas()
+    measured = lambda: labelled.select("text", "toxic").mapInArrow(measure, "toxic int, n long, best double, total double").toPandas()
+    got = measured()
     y, n, best = got["toxic"].to_numpy(), np.maximum(got["n"].to_numpy(), 1), got["best"].to_numpy()
     clean = best[y == 0]
     fits = (y == 0) & (best > 0) & (best <= np.quantile(clean, 0.995))
     spread = best[fits]
     m.lam = float(1.0 / max(spread.mean(), 1e-3)) if fits.any() else 1.0
     m.k = float(max(fits.sum(), 1) / max(n[y == 0].sum(), 1))
-    total = np.array([max(evidence(s, k, m), 0.0) for s, k in zip(best, n)])
-    x = np.c_[total, np.ones(len(total))]
+    got = measured()  # again, now that the law tells which segments count
+    y, x = got["toxic"].to_numpy(), np.c_[got["total"].to_numpy(), np.ones(len(got))]
     w = np.array([0.5, -3.0])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))

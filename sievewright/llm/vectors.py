@@ -11,12 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ship, stash
-from .graph import connected_components
+from .graph import connected_components, lowest
 
 
 def plan_tables(n: int, threshold: float, miss: float) -> tuple[int, int]:
     """Bits a key and number of tables for n vectors: buckets of some 16 strangers, and a pair at the threshold missed by all tables with probability ``miss``."""
-    bits = min(30, max(6, round(math.log2(max(n, 1) / 16)) if n > 16 else 6))
+    bits = min(60, max(6, round(math.log2(max(n, 1) / 16)) if n > 16 else 6))
     same = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, max(1, math.ceil(math.log(miss) / math.log(1 - same)))
 
@@ -28,16 +28,16 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def linked(ids: np.ndarray, times: np.ndarray, x: np.ndarray, keys: np.ndarray, block: np.ndarray, table: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def linked(ids: np.ndarray, times: np.ndarray, x: np.ndarray, keys: np.ndarray, block: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Links inside one bucket (or between two blocks of it): ids that have any, how many rows they link to, and the smallest id they reach here.
 
-    A pair counts only in the first table that holds both in one bucket. Products are taken for slices of rows, so
+    A pair counts only in the first table that holds both in one bucket; ``keys`` are those of the tables before. Products are taken for slices of rows, so
     memory is bounded by the block.
     """
     two = block.min() != block.max()
     left = np.flatnonzero(block == block.min())
     right = np.flatnonzero(block == block.max())
-    label, count = np.arange(len(ids)), np.zeros(len(ids), np.int64)
+    count = np.zeros(len(ids), np.int64)
     a, b = [], []
     for s in range(0, len(left), 512):
         i, j = np.nonzero(x[left[s : s + 512]] @ x[right].T >= threshold)
@@ -52,21 +52,13 @@ def linked(ids: np.ndarray, times: np.ndarray, x: np.ndarray, keys: np.ndarray,
     fresh = np.ones(len(i), bool)
     for s in range(0, len(i), 1 << 16):
         e = slice(s, s + (1 << 16))
-        fresh[e] = ~(keys[i[e], :table] == keys[j[e], :table]).any(axis=1)
+        fresh[e] = ~(keys[i[e]] == keys[j[e]]).any(axis=1)
     np.add.at(count, i[fresh], times[j[fresh]])
     np.add.at(count, j[fresh], times[i[fresh]])
     order = np.argsort(ids, kind="stable")
     rank = np.empty(len(ids), np.int64)
     rank[order] = np.arange(len(ids))
-    label = rank.copy()
-    while True:
-        low = label.copy()
-        np.minimum.at(low, i, label[j])
-        np.minimum.at(low, j, label[i])
-        low = np.minimum(low, low[order[low]])
-        if (low == label).all():
-            break
-        label = low
+    label = lowest(len(ids), rank[i], rank[j])[rank]
     at = np.unique(np.r_[i, j])
     return ids[at], count[at], ids[order[label[at]]]
 
@@ -78,7 +70,8 @@ def near_vectors(df: DataFrame, threshold: float = 0.95, miss: float = 2e-4, blo
     them in one bucket; every candidate is checked exactly. Returns the id column, ``n_links`` (other rows linked
     directly), ``component_id`` (smallest id reachable, itself included) and ``kept`` (it is its own component's id).
     Null, zero and empty vectors and those with null or non-finite components link with nothing. Equal vectors are
-    linked with each other and compared with the rest once. Rows with a null id are kept and link with nothing. Empty
+    linked with each other and compared with the rest once. An id on two different vectors is two vectors: each row is
+    linked by its own. Rows with a null id are kept and link with nothing. Empty
     table: no rows. Other columns are not read.
 
     The number of bits grows with the number of vectors and the tables with it, so buckets keep their size. A bucket of
@@ -93,7 +86,7 @@ def near_vectors(df: DataFrame, threshold: float = 0.95, miss: float = 2e-4, blo
     )
     base = base.withColumn("fine", fine)
     good = base.where("fine").withColumn("h", F.xxhash64("v"))
-    texts = stash(good.groupBy("h", "v").agg(F.min("id").alias("rep"), F.count("*").alias("times")), "vectors")
+    texts = stash(good.groupBy("h", "v").agg(F.min("id").alias("first"), F.count("*").alias("times")).withColumn("rep", F.monotonically_increasing_id()), "vectors")
     n = texts.count()
     bits, tables = plan_tables(n, threshold, miss)
     kind = np.float64 if wide else np.float32
@@ -102,26 +95,26 @@ def near_vectors(df: DataFrame, threshold: float = 0.95, miss: float = 2e-4, blo
         planes: dict[int, np.ndarray] = {}
         for b in batches:
             vs = [np.array(v, kind) for v in b.column("v").to_pylist()]
-            keys = []
             for v in vs:
                 if len(v) not in planes:
                     planes[len(v)] = np.random.default_rng([seed, len(v)]).standard_normal((len(v), bits * tables))
             dims = np.array([len(v) for v in vs])
-            keys = np.zeros((len(vs), tables), np.int64)
+            keys, packed = np.zeros((len(vs), tables), np.int64), np.zeros((len(vs), -(-bits * tables // 8)), np.uint8)
             for d in np.unique(dims):
                 at = np.flatnonzero(dims == d)
                 signs = (unit(np.stack([vs[i] for i in at])) @ planes[d] > 0).reshape(len(at), tables, bits)
                 keys[at] = (signs.astype(np.int64) << np.arange(bits)).sum(axis=2) * 100_003 + d
-            out = [b.column("rep"), b.column("times"), pa.array([v.tobytes() for v in vs], pa.binary()), pa.array(list(keys), pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(out, ["rep", "times", "v", "keys"])
+                packed[at] = np.packbits(signs.reshape(len(at), -1), axis=1)
+            out = [b.column("rep"), b.column("times"), pa.array([v.tobytes() for v in vs], pa.binary()), pa.array(list(keys), pa.list_(pa.int64())), pa.array([p.tobytes() for p in packed], pa.binary())]
+            yield pa.RecordBatch.from_arrays(out, ["rep", "times", "v", "keys", "signs"])
 
-    signed = stash(texts.select("rep", "times", "v").mapInArrow(sign, "rep long, times long, v binary, keys array<long>"), "signs")
+    signed = stash(texts.select("rep", "times", "v").mapInArrow(sign, "rep long, times long, v binary, keys array<long>, signs binary"), "signs")
     spots = signed.select("rep", F.posexplode("keys").alias("t", "key"))
     counts = stash(spots.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")), "buckets")
-    rows = signed.select("rep", "times", "v", "keys", F.posexplode("keys").alias("t", "key")).join(counts.select("t", "key", "blocks"), ["t", "key"])
+    rows = signed.select("rep", "times", "v", "signs", F.posexplode("keys").alias("t", "key")).join(counts.select("t", "key", "blocks"), ["t", "key"])
     rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long")).cast("int"))
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("t", "key", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"), "own", "rep", "times", "v", "keys")
+    rows = rows.select("t", "key", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"), "own", "rep", "times", "v", "signs")
     group = ["t", "key", "lo", "hi"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,14 +124,16 @@ def near_vectors(df: DataFrame, threshold: float = 0.95, miss: float = 2e-4, blo
             cols = [t.column(c).to_numpy() for c in group]
             edge = np.r_[0, 1 + np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)), len(t)]
             ids, times, own = (t.column(c).to_numpy() for c in ("rep", "times", "own"))
-            raw, keys = t.column("v").to_pylist(), np.stack(t.column("keys").to_numpy())
+            raw, signs = t.column("v").to_pylist(), t.column("signs").to_pylist()
             found = []
             for s, e in zip(edge[:-1], edge[1:]):
                 blocks = own[s:e]
                 if e - s < 2 or (cols[2][s] != cols[3][s] and blocks.min() == blocks.max()):
                     continue
                 x = unit(np.frombuffer(b"".join(raw[s:e]), kind).reshape(e - s, -1))
-                found.append(linked(ids[s:e], times[s:e], x, keys[s:e], blocks, int(cols[0][s]), threshold))
+                earlier = np.unpackbits(np.frombuffer(b"".join(signs[s:e]), np.uint8).reshape(e - s, -1), axis=1)[:, : int(cols[0][s]) * bits].reshape(e - s, -1, bits)
+                keys = (earlier.astype(np.int64) << np.arange(bits)).sum(axis=2)
+                found.append(linked(ids[s:e], times[s:e], x, keys, blocks, threshold))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in range(3)], ["rep", "links", "low"])
 
@@ -158,8 +153,10 @@ def near_vectors(df: DataFrame, threshold: float = 0.95, miss: float = 2e-4, blo
     found = stash(found, "links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     groups = connected_components(found.select(F.col("rep").alias("a"), F.col("low").alias("b")))
-    named = texts.select("h", F.col("v").alias("rv"), "rep", "times").join(links, "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
-    named = named.select("h", "rv", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    named = texts.select("h", F.col("v").alias("rv"), "rep", "first", "times").join(links, "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
+    named = stash(named.withColumn("component", F.coalesce("component", "rep")), "named")
+    least = named.groupBy("component").agg(F.min("first").alias("component_id"))
+    named = named.join(least, "component").select("h", "rv", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"), "component_id")
     mine = good.join(named, (good.h == named.h) & (good.v == named.rv)).select("id", "n_links", "component_id")
     lone = base.where("not fine").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     out = mine.union(lone)

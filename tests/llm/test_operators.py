@@ -74,6 +74,16 @@ def test_shards_follow_their_law(spark, docs, law):
         assert sums.max() - sums.min() <= 2 * r["size"].max()
 
 
+def test_shards_prune_on_every_dimension(spark):
+    """A file of one shard holds few sources, few languages and a narrow range of sizes, though all names begin alike."""
+    rng = np.random.default_rng(16)
+    rows = [(i, f"corpus-of-texts-{'abcdefgh'[rng.integers(8)]}", f"language-{'abcd'[rng.integers(4)]}", "x" * int(rng.integers(1, 1000))) for i in range(4000)]
+    r = sharding.shard(spark.createDataFrame(rows, "doc_id long, source string, lang string, text string"), 24).toPandas()
+    r = r.merge(spark.createDataFrame(rows, "doc_id long, source string, lang string, text string").drop("text").toPandas(), on="doc_id")
+    per = r.groupby("shard").agg(s=("source", "nunique"), g=("lang", "nunique"), low=("size", lambda x: x.quantile(0.1)), high=("size", lambda x: x.quantile(0.9)))
+    assert per["s"].mean() <= 4.5 and per["g"].mean() <= 3 and (per["high"] - per["low"]).mean() < 600
+
+
 def test_shard_columns(spark, docs):
     got = {r.doc_id: r for r in queries.op1_hilbert_sharding(spark, DATA).collect()}
     for d in docs.collect():
@@ -645,6 +655,15 @@ def test_vectors_against_all_pairs(spark):
     assert vectors.near_vectors(df.limit(0)).count() == 0
 
 
+def test_one_id_on_two_vectors(spark):
+    rng = np.random.default_rng(15)
+    a, b = rng.standard_normal((2, 24))
+    near = lambda v: (v + rng.standard_normal(24) * 0.01).tolist()
+    rows = [(5, a.tolist()), (5, b.tolist()), (9, near(a)), (10, near(b)), (10, a.tolist()), (11, (-a).tolist())]
+    got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(5, 1, 5), (5, 2, 5), (9, 2, 5), (10, 1, 5), (10, 2, 5), (11, 0, 11)]
+
+
 def test_plan_reaches_its_recall():
     for n in (10, 10_000, 10_000_000):
         bits, tables = vectors.plan_tables(n, 0.95, 1e-3)
