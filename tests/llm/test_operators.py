@@ -706,17 +706,49 @@ def test_lm_base_and_score(spark):
         assert (row["n_tokens"], row["n_known"], row["train_tokens"], row["held_out"]) == (len(w), sum(x in c for x in w), n, not train[i])
         assert row["base_score"] == pytest.approx(sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w), rel=1e-9)
     held = r[r["held_out"]]
-    assert held["score"].sum() > held["base_score"].sum()
+    gain = (held["score"].sum() - held["base_score"].sum()) / held["n_tokens"].sum()
+    assert 1 - 10**-gain >= 0.15  # perplexity of the held-out texts against the unigram's
+
+
+def test_lm_does_not_depend_on_partitions(spark):
+    df = common.table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
+    p = lm.Params(group=40_000)
+    got = [lm.lm_scores(df.repartition(n), lm.is_training(F.col("doc_id")), p).toPandas().set_index("doc_id")["score"].sort_index() for n in (1, 7, 32)]
+    assert np.allclose(got[0], got[1], rtol=1e-9) and np.allclose(got[0], got[2], rtol=1e-9)
 
 
 def test_probabilities_sum_to_one():
-    p = lm.Params(dims=6, classes=20)
-    net = lm.Network(p, np.full(20, 0.05))
+    """Over all known words and one unknown of every ending, behind any two words."""
+    words = {b"the": 50, b"of": 20, b"house": 3, b"mouse": 2, b"rat": 1, b"x": 1}
+    endings: dict = {}
+    for w, c in words.items():
+        e = endings.get(w[-2:], (0, 0))
+        endings[w[-2:]] = (e[0] + c, e[1] + 1)
+    k = lm.Classes(words, endings, 5, len(words) + 1, lm.Params(spread=2))
+    assert len(k.word) == 3 and k.of(b"mouse") != k.of(b"rat") and k.of(b"spouse") == k.of(b"mouse") and k.of(b"zzz") == k.other
+    assert k.shares().sum() == pytest.approx(1)
+    net = lm.Network(lm.Params(dims=6), k.shares())
     rng = np.random.default_rng(9)
-    w = rng.integers(0, 20, 3000)
-    net.train(w, *lm.contexts(w), rng, {})
-    one, two, norm = net.tables()
-    assert np.allclose(np.exp(one[:, None, :].astype(float) + two[None] - norm[:, :, None]).sum(-1), 1, atol=1e-4)
+    w = rng.integers(0, k.other + 1, 3000)
+    net.train(w, *lm.contexts(w, np.array([0, 1500])), rng)
+    norm = net.norms()
+    for one in (0, 1, k.other):
+        for two in (0, 2):
+            total = 0.0
+            for c in range(k.other + 1):
+                p = math.exp(net.log_shares(np.array([c]), np.array([one]), np.array([two]), norm)[0])
+                if c < k.first:
+                    total += p
+                else:
+                    inside = [n for x, n in words.items() if k.of(x) == c] + [0]
+                    total += sum(p * (n + 0.1) / 10 ** k.inside[c] for n in inside)
+            assert total == pytest.approx(1, abs=1e-5)
+
+
+def test_contexts_stop_at_texts():
+    ids = np.array([4, 5, 0, 0, 7, 0])
+    one, two = lm.contexts(ids, np.array([0, 3, 4]))
+    assert one.tolist() == [0, 4, 5, 0, 0, 7] and two.tolist() == [0, 0, 4, 0, 0, 0]
 
 
 def test_lm_odd(odd, none):
