@@ -8,25 +8,61 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.text import tokens
+from ..functions import identity as I
+from ..functions.text import fits_episode, season_episode, tokens
 
 
-def match_works(listings: DataFrame, works: DataFrame, coverage: float = 0.6) -> DataFrame:
-    """Pairs of listing and work of which the title holds at least ``coverage`` of the name's distinct tokens.
+def match_works(listings: DataFrame, works: DataFrame, coverage: float = I.COVERAGE) -> DataFrame:
+    """Pairs of listing and work whose title names the work.
 
-    A name of k tokens needs m = ceil(coverage * k) of them, so a match holds at least one of the k - m + 1 tokens that
-    are rarest among titles. Only those are joined, then the pair is checked on its token arrays: no cross join, and
-    frequent tokens never meet. Titles and names are reduced to distinct token lists first, so equal texts are matched
-    once. ``listings`` has ``lid`` and ``title``, ``works`` has ``work_id`` and ``name``. Returns ``lid``, ``work_id``, ``hits`` and ``wanted``.
+    A title must hold ``coverage`` of the telling tokens of some name. Listings of priority origin (``is_br``) must also
+    begin with the name's leading token and hold little else (precision). Others must, as films, begin like the name,
+    and, if they carry an episode's code, hold little else beside it. Films may not bear a sequel's number or a year that
+    the work does not (nor a year in their magnet link), series not only years before it. Where the work asks for an
+    episode, the title may not contradict it, and a title of other origin without any mark must be precise.
+
+    ``listings`` has ``lid``, ``title``, ``is_br``, ``magnet`` (may be null); ``works`` has ``work_id``, ``names`` (array),
+    ``year``, ``is_series``, ``season``, ``episode`` (null: none asked for). Null years contradict nothing. Works whose
+    names have no tokens match nothing. Returns ``lid``, ``work_id`` and ``hits``, the most tokens of a name.
     """
-    lists = listings.select("lid", token_list("title").alias("tt"))
-    names = works.select("work_id", token_list("name").alias("nt")).where("size(nt) > 0")
-    met = match_token_lists(lists.select("tt").distinct(), names.select("nt").distinct(), coverage)
-    return lists.join(met, "tt").join(names, "nt").select("lid", "work_id", "hits", F.size("nt").cast("long").alias("wanted"))
+    titles = listings.select("title", "is_br", "magnet").distinct().withColumn("tt", tokens(F.col("title")))
+    met = matched_keys(titles, works, coverage)
+    return listings.join(met, [listings.title == met.title, listings.is_br == met.is_br, listings.magnet.eqNullSafe(met.magnet)]).select("lid", "work_id", "hits")
+
 
+def matched_keys(titles: DataFrame, works: DataFrame, coverage: float) -> DataFrame:
+    """What ``match_works`` says of distinct titles: ``tt``, ``title``, ``is_br``, ``magnet``, ``work_id``, ``hits``.
 
-def token_list(name: str) -> Column:
-    return F.array_sort(F.array_distinct(tokens(F.col(name))))
+    Guards that need only tokens are settled between distinct token lists; the few pairs left meet the works.
+    """
+    named = works.select("work_id", "year", "is_series", "season", "episode", F.array_distinct(F.flatten(F.transform("names", tokens))).alias("universe"), F.explode("names").alias("name"))
+    named = named.withColumn("nt", tokens(F.col("name"))).where("size(nt) > 0").drop("name")
+    named = named.withColumns({"wanted": I.wanted_tokens(F.col("nt")), "universe": F.array_sort(I.telling_tokens(F.col("universe")))})
+    names = named.select("nt", "wanted", "universe", "is_series", F.col("season").isNotNull().alias("asks")).distinct()
+    names = names.withColumn("lead", I.leading_token(F.col("nt")))
+    lists = titles.select("tt", "is_br").distinct()
+    part = I.work_part(F.col("tt"))
+    parsed = season_episode(F.array_join("tt", " "))
+    silent = (F.size(parsed["seasons"]) == 0) & (F.size(parsed["episodes"]) == 0) & ~parsed["complete"] & ~parsed["season_pack"]
+    lists = lists.withColumns({
+        "bag": F.array_sort(F.array_distinct("tt")), "first": I.leading_token(F.col("tt")), "telling": I.telling_tokens(F.col("tt")), "part": I.telling_tokens(part), "silent": silent,
+    })
+    met = match_token_lists(lists.select(F.col("bag").alias("tt")).distinct(), names.select(F.col("wanted").alias("nt")).distinct(), coverage)
+    met = met.select(F.col("tt").alias("bag"), F.col("nt").alias("wanted"), "hits")
+    whole = I.title_precision(F.col("telling"), F.col("universe"))
+    inside = I.title_precision(F.coalesce("part", "telling"), F.col("universe"))
+    begins = F.col("first") == F.col("lead")
+    strict = begins & (inside >= F.when(F.col("is_series"), I.SERIES_PRECISION).otherwise(I.FILM_PRECISION))
+    loose = (F.col("is_series") | begins) & (F.col("part").isNull() | (inside >= I.SERIES_PRECISION)) & (~F.col("asks") | ~F.col("silent") | (whole >= I.SERIES_PRECISION))
+    near = met.join(lists, "bag").join(names, "wanted").where(F.when(F.col("is_br"), strict).otherwise(loose))
+    near = near.select("tt", "is_br", "nt", "universe", "is_series", "asks", "hits").distinct()
+    full = titles.withColumns({"marks": I.sequence_markers(F.col("tt")), "years": I.years_of(F.col("tt")), "linked": I.magnet_years(F.col("magnet")), "parsed": season_episode(F.col("title"))})
+    work = named.withColumns({"own": I.sequence_markers(F.col("nt")), "asks": F.col("season").isNotNull()}).drop("wanted")
+    pairs = full.join(near, ["tt", "is_br"]).join(work, ["nt", "universe", "is_series", "asks"])
+    sequel = ~F.col("is_series") & (F.size(F.array_except("marks", "own")) > 0)
+    linked = ~F.col("is_series") & ~F.col("asks") & I.year_contradicts(F.col("linked"), F.col("year"), F.lit(False))
+    wrong = sequel | linked | I.year_contradicts(F.col("years"), F.col("year"), F.col("is_series")) | ~fits_episode(F.col("parsed"), F.col("season"), F.col("episode"))
+    return pairs.where(~wrong).groupBy("tt", "title", "is_br", "magnet", "work_id").agg(F.max("hits").alias("hits"))
 
 
 def match_token_lists(titles: DataFrame, wanted: DataFrame, coverage: float) -> DataFrame:
@@ -40,27 +76,40 @@ def match_token_lists(titles: DataFrame, wanted: DataFrame, coverage: float) ->
     return met.withColumn("hits", F.size(F.array_intersect("tt", "nt")).cast("long")).where(F.col("hits") >= need)
 
 
-def match_counts(listings: DataFrame, works: DataFrame, coverage: float = 0.6) -> DataFrame:
-    """What ``match_works`` finds, counted per work: ``titles`` (distinct ``own`` and title), ``n_listings``, the most ``hits``, and ``wanted``.
+def match_counts(listings: DataFrame, works: DataFrame, coverage: float = I.COVERAGE) -> DataFrame:
+    """What ``match_works`` finds, counted per work: ``titles`` (distinct ones), ``n_listings`` and the most ``hits``.
 
-    Counts are summed per token list on both sides of the join, so listings and works of equal lists never multiply.
-    ``listings`` has ``own`` and ``title``, ``works`` has ``work_id`` and ``name``. Works without a match have no row.
+    Listings are counted per title first, so a title's listings never multiply. Works without a match have no row.
     """
-    lists = listings.groupBy("own", "title").agg(F.count("*").alias("n")).withColumn("tt", token_list("title")).groupBy("tt").agg(F.count("*").alias("titles"), F.sum("n").alias("n"))
-    names = works.select("work_id", token_list("name").alias("nt")).where("size(nt) > 0")
-    met = match_token_lists(lists.select("tt"), names.select("nt").distinct(), coverage).join(lists, "tt")
-    per = met.groupBy("nt").agg(F.sum("titles").alias("titles"), F.sum("n").alias("n_listings"), F.max("hits").alias("hits"))
-    return names.join(per, "nt").select("work_id", "titles", "n_listings", "hits", F.size("nt").cast("long").alias("wanted"))
+    titles = listings.groupBy("title", "is_br", "magnet").agg(F.count("*").alias("n")).withColumn("tt", tokens(F.col("title")))
+    met = matched_keys(titles.drop("n"), works, coverage).join(titles.drop("tt").withColumnsRenamed({"title": "t", "is_br": "b", "magnet": "m"}), [F.col("title") == F.col("t"), F.col("is_br") == F.col("b"), F.col("magnet").eqNullSafe(F.col("m"))])
+    return met.groupBy("work_id").agg(F.count("*").alias("titles"), F.sum("n").alias("n_listings"), F.max("hits").alias("hits"))
 
 
-def match_inventory(items: DataFrame, works: DataFrame, coverage: float = 0.6) -> DataFrame:
-    """Matches by coverage, and for items left over that hold several works the films whose two first name words stand in the title in a row."""
+def match_inventory(items: DataFrame, works: DataFrame, coverage: float = I.COVERAGE) -> DataFrame:
+    """Matches, and for items left over that hold several works the films a franchise root of which stands in the title as a run of tokens.
+
+    ``items`` and ``works`` as in ``match_works``, items with ``multi_work``. A root is a name up to its first colon or
+    dash, without a sequel's number at its end, if at least two words are left. Roots are joined on their first two
+    tokens, then checked whole. Returns ``lid``, ``work_id`` and ``how`` (name or root).
+    """
     plain = match_works(items, works, coverage).select("lid", "work_id", F.lit("name").alias("how"))
     rest = items.where("multi_work").join(plain.select("lid").distinct(), "lid", "left_anti")
-    pairs = lambda c: F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.size(c) - 1, F.lit(1))), lambda i: i < F.size(c)), lambda i: F.concat_ws(" ", F.element_at(c, i), F.element_at(c, i + 1)))
-    left = rest.select("lid", tokens(F.col("title")).alias("tt")).select("lid", F.explode(F.array_distinct(pairs(F.col("tt")))).alias("root"))
-    right = works.where("not is_series").select("work_id", tokens(F.col("name")).alias("nt")).where("size(nt) >= 2").select("work_id", F.concat_ws(" ", F.element_at("nt", 1), F.element_at("nt", 2)).alias("root"))
-    return plain.union(left.join(right, "root").select("lid", "work_id", F.lit("root").alias("how")).distinct())
+    pairs = lambda c: F.array_distinct(F.transform(F.slice(c, 2, F.size(c)), lambda t, i: F.concat_ws(" ", F.get(c, i), t)))
+    left = rest.select("lid", tokens(F.col("title")).alias("tt")).select("lid", "tt", F.explode(pairs(F.col("tt"))).alias("start"))
+    roots = works.where("not is_series and season is null").select("work_id", F.explode("names").alias("name")).select("work_id", franchise_root(F.col("name")).alias("rt")).where("size(rt) >= 2").distinct()
+    right = roots.withColumns({"start": F.concat_ws(" ", F.get("rt", F.lit(0)), F.get("rt", F.lit(1))), "root": F.array_join("rt", " ")})
+    met = left.join(right, "start").where(F.contains(F.concat(F.lit(" "), F.array_join("tt", " "), F.lit(" ")), F.concat(F.lit(" "), F.col("root"), F.lit(" "))))
+    return plain.union(met.select("lid", "work_id", F.lit("root").alias("how")).distinct())
+
+
+def franchise_root(name: Column) -> Column:
+    """Tokens of a name before its first colon or long dash, if they are two or more, without a sequel's number at the end while two words stay."""
+    all_tokens, head = tokens(name), tokens(F.regexp_extract(name, "^[^:\u2013\u2014]*", 0))
+    head = F.when(F.size(head) >= 2, head).otherwise(all_tokens)
+    number = F.element_at(head, -1).rlike("^([ivx]{1,4}|[0-9]{1,2})$")
+    cut = F.when((F.size(head) > 2) & number, F.slice(head, 1, F.size(head) - 1)).otherwise(head)
+    return F.when((F.size(head) > F.size(cut)) & (F.size(cut) > 2) & (F.element_at(cut, -1) == "parte"), F.slice(cut, 1, F.size(cut) - 1)).otherwise(cut)
 
 
 def index_lookup(requests: DataFrame, index: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import identity as I
 from ..operators import joins as J
 from ..sources.relations import EVIDENCE, LISTINGS, NOW, PROBES, SNAPSHOT, WORKS, evidence, listings, probes, read, snapshot, with_cte, works
 from .registry import query
@@ -13,34 +14,76 @@ _PIVOT = """ev AS (SELECT hash, bool_or(kind = 'alive') AS alive, bool_or(kind =
 _TEXTS = f"tl AS (SELECT doc_id, list_distinct(string_split({_NORM.format('left(text, 200)')}, ' ')) AS tt FROM documents), nm AS (SELECT DISTINCT item_id, list_distinct(string_split({_NORM.format('left(text, 60)')}, ' ')) AS nt FROM benchmark)"
 
 
+def _words(words) -> str:
+    return "(" + ", ".join(f"'{w}'" for w in words) + ")"
+
+
+def _lead(x: str) -> str:
+    return f"coalesce(list_filter({x}, lambda t: len(t) > 2 AND t NOT IN {_words([*I.ARTICLES, *I.PACK_WORDS])} AND NOT regexp_matches(t, '{I.MARKER}'))[1], {x}[1])"
+
+
+def _wanted(x: str) -> str:
+    telling = f"list_filter({x}, lambda t: len(t) > 2 AND t NOT IN {_words(I.ARTICLES)})"
+    return f"list_sort(list_distinct(CASE WHEN len({telling}) >= 2 THEN {telling} ELSE {x} END))"
+
+
+def _telling(x: str) -> str:
+    silent = _words(dict.fromkeys([*I.TECHNICAL, *I.SILENT, *I.PACK_WORDS, *I.STRONG_PACK_WORDS]))
+    return f"list_filter({x}, lambda t: t NOT IN {silent} AND NOT regexp_matches(t, '{I.MARKER}') AND NOT regexp_matches(t, '^[0-9]+$'))"
+
+
+def _marks(x: str) -> str:
+    stop = f"list_min(list_transform({x}, lambda t, i: CASE WHEN regexp_matches(t, '{I.YEAR}') OR t IN {_words([*I.TECHNICAL, *I.PACK_WORDS])} THEN i END))"
+    words = "MAP {" + ", ".join(f"'{w}': {n}" for w, n in I.NUMBER_WORDS.items()) + "}"
+    number = f"CASE WHEN regexp_matches(t, '^[0-9]{{1,6}}$') THEN CAST(t AS INTEGER) ELSE {words}[t] END"
+    return f"list_distinct(list_filter(list_transform({x}[1:coalesce({stop} - 1, len({x}))], lambda t: {number}), lambda n: n BETWEEN 2 AND 19))"
+
+
+_PRECISION = "(CASE WHEN len(telling) = 0 THEN 1.0 ELSE len(list_filter(telling, lambda t: list_contains(universe, t))) / len(telling) END)"
+#: Titles (title, is_br) and works (work_id, name, year, is_series, asks) paired by the rules of ``match_works``; titles with an episode's mark do not occur.
+_MATCHED = f"""tf AS (SELECT *, {_lead('tt')} AS first, {_telling('tt')} AS telling, {_marks('tt')} AS marks, list_transform(list_filter(tt, lambda t: regexp_matches(t, '{I.YEAR}')), lambda t: CAST(t AS INTEGER)) AS years
+  FROM (SELECT *, string_split({_NORM.format('title')}, ' ') AS tt FROM titles)),
+wf AS (SELECT *, {_lead('nt')} AS lead, {_telling('nt')} AS universe, {_wanted('nt')} AS wanted, {_marks('nt')} AS own FROM (SELECT *, string_split({_NORM.format('name')}, ' ') AS nt FROM named)),
+covered AS (SELECT bag, wanted, len(list_intersect(bag, wanted)) AS hits FROM (SELECT DISTINCT list_sort(list_distinct(tt)) AS bag FROM tf), (SELECT DISTINCT wanted FROM wf) WHERE len(list_intersect(bag, wanted)) >= ceil(0.6 * len(wanted) - 1e-9)),
+kinds AS (SELECT DISTINCT wanted, lead, universe, is_series, asks FROM wf),
+near AS (SELECT DISTINCT tf.tt, tf.is_br, kinds.*, hits FROM covered JOIN tf ON list_sort(list_distinct(tf.tt)) = covered.bag JOIN kinds ON kinds.wanted = covered.wanted
+  WHERE CASE WHEN is_br THEN first = lead AND {_PRECISION} >= CASE WHEN is_series THEN 0.70 ELSE 0.65 END ELSE (is_series OR first = lead) AND (NOT asks OR {_PRECISION} >= 0.70) END),
+met AS (SELECT DISTINCT tf.title, tf.is_br, wf.work_id, hits FROM tf JOIN near ON tf.tt = near.tt AND tf.is_br = near.is_br JOIN wf ON wf.wanted = near.wanted AND wf.lead = near.lead AND wf.universe = near.universe AND wf.is_series = near.is_series AND wf.asks = near.asks
+  WHERE (wf.is_series OR len(list_filter(marks, lambda m: NOT list_contains(own, m))) = 0)
+    AND NOT CASE WHEN wf.is_series THEN len(years) > 0 AND list_max(years) < year - 2 ELSE len(years) = 1 AND abs(years[1] - year) > 2 END)"""
+
+
 @query(
     with_cte(LISTINGS, WORKS)
-    + f""", t AS (SELECT DISTINCT title, list_distinct(string_split({_NORM.format('title')}, ' ')) AS tt FROM listings), n AS (SELECT DISTINCT alias, list_distinct(string_split({_NORM.format('alias')}, ' ')) AS nt FROM works),
-m AS (SELECT title, alias, len(list_intersect(tt, nt)) AS hits, len(nt) AS wanted FROM t, n WHERE len(list_intersect(tt, nt)) >= ceil(0.6 * len(nt) - 1e-9)),
-pairs AS (SELECT l.work_id AS own, m.alias, w.work_id, m.hits, m.wanted, count(*) AS n FROM listings l JOIN m USING (title) JOIN works w USING (alias) WHERE l.request_id < 5 GROUP BY ALL)
-SELECT work_id, count(*) AS titles, CAST(sum(n) AS BIGINT) AS n_listings, CAST(max(hits) AS BIGINT) AS hits, CAST(max(wanted) AS BIGINT) AS wanted FROM pairs GROUP BY work_id"""
+    + f""", counted AS (SELECT concat(title, ' ', 1980 + indexer % 8 * 5) AS title, is_br, count(*) AS n FROM listings GROUP BY ALL), titles AS (SELECT title, is_br FROM counted),
+named AS (SELECT work_id, alias AS name, year, is_series, is_series AS asks FROM works), {_MATCHED}
+SELECT work_id, count(*) AS titles, CAST(sum(n) AS BIGINT) AS n_listings, CAST(max(hits) AS BIGINT) AS hits FROM met JOIN counted USING (title, is_br) GROUP BY work_id"""
 )
 def jn1_match_works(spark, sf):
-    """Listings of five requests against all works' full names, counted per work."""
-    rows = listings(spark, sf).where("request_id < 5").select("lid", "title", F.col("work_id").alias("own"))
-    names = works(spark, sf).select("work_id", F.col("alias").alias("name"))
-    titles = rows.groupBy("title", "own").agg(F.count("*").alias("n")).withColumn("lid", F.concat_ws("|", "own", "title"))
-    met = J.match_works(titles.select("lid", "title"), names).join(titles.select("lid", "n"), "lid")
-    return met.groupBy("work_id").agg(F.count("*").alias("titles"), F.sum("n").alias("n_listings"), F.max("hits").alias("hits"), F.max("wanted").alias("wanted"))
+    """All listings, their titles with a year, against all works, counted per work; series ask for an episode."""
+    title = F.concat_ws(" ", "title", (1980 + F.col("indexer") % 8 * 5).cast("string"))
+    rows = listings(spark, sf).select(title.alias("title"), "is_br", F.lit(None).cast("string").alias("magnet"))
+    return J.match_counts(rows, _named(spark, sf, "alias"))
 
 
-@query()
-def jn1_match_all_works(spark, sf):
-    """All listings against all works' full names, counted per work. No SQL: its cross join of titles and names is too slow on whole tables."""
-    rows = listings(spark, sf).select("title", F.col("work_id").alias("own"))
-    return J.match_counts(rows, works(spark, sf).select("work_id", F.col("alias").alias("name")))
+def _named(spark, sf, name):
+    asked = lambda c: F.when(F.col("is_series"), F.col(c)).alias(c)
+    return works(spark, sf).select("work_id", F.array(name).alias("names"), "year", "is_series", asked("season"), asked("episode"))
 
 
-@query()
+@query(
+    with_cte(LISTINGS, SNAPSHOT, WORKS)
+    + f""", best AS (SELECT hash, min(title) AS title FROM listings GROUP BY hash), items AS (SELECT service_id AS lid, title, service_id % 5 = 0 AS multi_work FROM snapshot JOIN best USING (hash)),
+titles AS (SELECT DISTINCT title, FALSE AS is_br FROM items), named AS (SELECT work_id, name, year, is_series, is_series AS asks FROM works), {_MATCHED},
+plain AS (SELECT lid, work_id FROM items JOIN met USING (title)),
+root AS (SELECT DISTINCT lid, work_id FROM items JOIN works w ON NOT w.is_series AND contains(' ' || {_NORM.format('title')} || ' ', ' ' || {_NORM.format('w.name')} || ' ') WHERE multi_work AND lid NOT IN (SELECT lid FROM plain))
+SELECT work_id, how, count(*) AS n FROM (SELECT lid, work_id, 'name' AS how FROM plain UNION ALL SELECT lid, work_id, 'root' FROM root) GROUP BY work_id, how"""
+)
 def jn2_match_inventory(spark, sf):
-    items = snapshot(spark, sf).join(listings(spark, sf).groupBy("hash").agg(F.min("title").alias("title")), "hash").select(F.col("service_id").alias("lid"), "title", (F.col("service_id") % 5 == 0).alias("multi_work"))
-    names = works(spark, sf).select("work_id", F.concat_ws(" ", "alias", "kind").alias("name"), "is_series")
-    return J.match_inventory(items.distinct(), names, 1.0).groupBy("work_id", "how").agg(F.count("*").alias("n"))
+    """Accounts' rows against works by name and by franchise; names of two words are their own roots here."""
+    items = snapshot(spark, sf).join(listings(spark, sf).groupBy("hash").agg(F.min("title").alias("title")), "hash")
+    items = items.select(F.col("service_id").alias("lid"), "title", (F.col("service_id") % 5 == 0).alias("multi_work"), F.lit(False).alias("is_br"), F.lit(None).cast("string").alias("magnet"))
+    return J.match_inventory(items, _named(spark, sf, "name")).groupBy("work_id", "how").agg(F.count("*").alias("n"))
 
 
 _INDEX = "idx AS (SELECT lid, hash, seen_at, work_id, CASE WHEN indexer % 3 = 0 THEN NULL ELSE season END AS season, CASE WHEN indexer % 3 <= 1 THEN NULL ELSE episode END AS episode FROM listings)"

@@ -201,7 +201,7 @@ def exp16_parse_size(spark, sf):
 
 
 @query(
-    """SELECT n_regionkey AS grp, list(s_suppkey ORDER BY s_suppkey) FILTER (s_suppkey % 4 <> 0) AS grouped, list(s_suppkey ORDER BY s_suppkey) FILTER (s_suppkey % 4 = 0) AS isolated FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1"""
+    """SELECT n_regionkey AS grp, coalesce(list(s_suppkey ORDER BY s_suppkey) FILTER (s_suppkey % 4 <> 0), []) AS grouped, coalesce(list(s_suppkey ORDER BY s_suppkey) FILTER (s_suppkey % 4 = 0), []) AS isolated FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1"""
 )
 def exp15_query_plan(spark, sf):
     """Sources searched together and those searched alone, per group; a group is one region's suppliers."""

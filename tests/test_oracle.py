@@ -1,6 +1,7 @@
 """Every query that has SQL gives the same rows as DuckDB on the smallest tables."""
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -23,7 +24,7 @@ def plain(v):
         return str([plain(x) for x in v])
     if v is None or v is pd.NaT or (not isinstance(v, str) and pd.isna(v)):
         return ""
-    if isinstance(v, bool) or type(v).__name__ == "bool_":
+    if isinstance(v, (bool, np.bool_)):
         return str(bool(v))
     if isinstance(v, (int, float)) or hasattr(v, "dtype"):
         try:

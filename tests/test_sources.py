@@ -43,6 +43,17 @@ def test_titles(spark, title, quality, source, audio):
         ("Name 2ª Temporada (2022) E02", [2], [2]),
         ("Name Season 3", [3], []),
         ("Name Dublado", [], []),
+        ("Name T01 E001-E003", [1], [1, 2, 3]),
+        ("Name T01 E001 e E003", [1], [1, 3]),
+        ("Name T02E05", [2], [5]),
+        ("Name 1ª 2ª 3ª e 7ª Temporadas", [1, 2, 3, 7], []),
+        ("Name 2 e 7ª Temporada", [7], []),
+        ("Name 1 a 5 temporadas", [1, 2, 3, 4, 5], []),
+        ("Name Temporada (2011)", [], []),
+        ("Name S01 S03 Complete", [1, 3], []),
+        ("Name 1ª Temporada Episódio 4", [1], [4]),
+        ("Name Episódio II", [], []),
+        ("Lilo e Stitch 2", [], []),
     ],
 )
 def test_season_episode(spark, title, seasons, episodes):
@@ -118,8 +129,8 @@ def test_kv_stream(spark, tmp_path):
 def test_empty_tables(spark):
     from sievewright.operators import aggregates, joins, ranking
 
-    e = spark.createDataFrame([], "lid string, title string")
-    w = spark.createDataFrame([], "work_id long, name string")
+    e = spark.createDataFrame([], "lid string, title string, is_br boolean, magnet string")
+    w = spark.createDataFrame([], "work_id long, names array<string>, year int, is_series boolean, season int, episode int")
     assert joins.match_works(e, w).count() == 0
     li = spark.createDataFrame([], "lid string, request_id long, hash string, quality string, dubbed boolean, lied boolean, multi_work boolean, is_br boolean, seeders long, size long, indexer long")
     assert ranking.limit_joint(ranking.rank_candidates(li), {}, 2).count() == 0
