@@ -17,8 +17,8 @@ from pyspark.sql.window import Window as W
 from .common import release, stash
 from .graph import connected_components
 
-#: Nine letters that are frequent in European languages, counted to tell lines apart.
-COUNTED = "etnoaishr"
+#: Letters counted to tell lines apart.
+COUNTED = "abcdefghijklmnopqrstuvwxyz"
 Steps = tuple[tuple[int, int], ...]
 #: Least length of a line in code points, and the edits allowed from there on.
 STEPS: Steps = ((30, 2), (15, 1))
@@ -102,22 +102,22 @@ def places(steps: Steps) -> list[tuple[int, int, int, int, int, int]]:
 
 
 def keys(lines: DataFrame, steps: Steps) -> DataFrame:
-    """``key``, ``h1`` and ``counts`` of every place of every line; counts less than 0 (-1 less the counts) mark places that are only looked up.
+    """``key`` and ``code`` of every place of every line: its h1, whose lowest bit is 0, plus 1 if the place is one of its own segments.
 
     The last segments of a line take what does not divide evenly.
     """
     names = ["t", "least", "below", "delta", "i", "shift"]
     table = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(names, place)]) for place in places(steps)])
     at = lambda c: F.col(f"place.{c}")
-    rows = lines.withColumn("n", F.length("line")).select("h1", "line", "counts", "n", F.explode(table).alias("place"))
+    rows = lines.withColumn("n", F.length("line")).select("h1", "line", "n", F.explode(table).alias("place"))
     rows = rows.withColumn("other", F.col("n") - at("delta")).where((F.col("other") >= at("least")) & (F.col("other") < at("below")))
     base, extra = F.expr("other div (place.t + 1)").cast("int"), F.col("other") % (at("t") + 1)
     rows = rows.withColumns({
         "size": base + F.when(at("t") + 1 - at("i") <= extra, 1).otherwise(0),
         "start": base * at("i") + F.greatest(F.lit(0), at("i") - at("t") - 1 + extra) + at("shift"),
     }).where("start >= 0 and start + size <= n")
-    own = (at("delta") == 0) & (at("shift") == 0)
-    return rows.select(F.xxhash64("other", "place.i", F.expr("substring(line, start + 1, size)")).alias("key"), "h1", F.when(own, F.col("counts")).otherwise(-1 - F.col("counts")).alias("counts"))
+    own = F.when((at("delta") == 0) & (at("shift") == 0), 1).otherwise(0)
+    return rows.select(F.xxhash64("other", "place.i", F.expr("substring(line, start + 1, size)")).alias("key"), (F.col("h1") + own).alias("code"))
 
 
 def lines_of(docs: DataFrame, text: str, *keep: str) -> DataFrame:
@@ -126,51 +126,54 @@ def lines_of(docs: DataFrame, text: str, *keep: str) -> DataFrame:
     return lines.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
 
 
-#: Two independent hashes of a line as it stands.
-HASHES = {"h1": F.xxhash64, "h2": lambda line: F.xxhash64(F.lit(7), line)}
-
-
-def hashes(line: str = "line") -> list[Column]:
-    return [f(F.col(line)).alias(h) for h, f in HASHES.items()]
+def hashes() -> list[Column]:
+    """Two independent hashes of a line as it stands; the lowest bit of the first is 0."""
+    return [F.shiftleft(F.xxhash64("line"), 1).alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2")]
 
 
 def letter_counts(line: Column) -> Column:
-    """How often each of the counted letters occurs, modulo 128, seven bits each in one number that is not negative."""
+    """How often each of the counted letters occurs, modulo 128, nine letters to a number that is not negative."""
     count = lambda c: (F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))).cast("long").bitwiseAND(F.lit(127).cast("long"))
-    return reduce(lambda a, c: F.shiftleft(a, 7).bitwiseOR(count(c)), COUNTED[1:], count(COUNTED[0]))
+    pack = lambda letters: reduce(lambda a, c: F.shiftleft(a, 7).bitwiseOR(count(c)), letters[1:], count(letters[0]))
+    return F.array(*[pack(COUNTED[i : i + 9]) for i in range(0, len(COUNTED), 9)])
 
 
 def counts_apart(a: Column, b: Column) -> Column:
     """Least sum of differences of the counts; an edit changes two counts by one at most."""
-    part = lambda x, k: F.shiftright(x, 7 * k).bitwiseAND(F.lit(127).cast("long"))
-    apart = lambda k: F.abs(part(a, k) - part(b, k))
-    return reduce(lambda u, v: u + v, [F.least(apart(k), 128 - apart(k)) for k in range(len(COUNTED))])
+    part = lambda x, i: F.shiftright(F.get(x, F.lit(i // 9)), 7 * (i % 9)).bitwiseAND(F.lit(127).cast("long"))
+    apart = lambda i: F.abs(part(a, i) - part(b, i))
+    places = [9 * (i // 9) + k for i in range(0, len(COUNTED), 9) for k in range(min(9, len(COUNTED) - i))]
+    return reduce(lambda u, v: u + v, [F.least(apart(i), 128 - apart(i)) for i in places])
 
 
 def line_links(lines: DataFrame, steps: Steps) -> DataFrame:
-    """Links between different lines: ``a``, ``a2``, ``b``, ``b2``, the hashes of both. ``lines`` has h1, h2, line and its letter counts, each line once.
+    """Links between different lines: ``a``, ``a2``, ``b``, ``b2``, the hashes of both. ``lines`` has h1, h2 and line, each line once.
 
-    The keys of all lines are shuffled once. Keys under which only one line stands go there and then; of the rest, few,
-    those of own segments are joined with all, and candidates whose letter counts are too far apart never leave that join.
+    The keys of all lines are shuffled once. Keys under which only one line stands go there and then. Of the lines left,
+    few, the letters are counted; their own segments are joined with all places, and pairs whose letter counts are too
+    far apart never leave that join. Lines left are joined back by merging at any size, so nothing that grows is broadcast.
     """
     parts = steps_of(steps)
     most = max((t for t, _, _ in parts), default=0)
+    code = F.col("code")
+    line, own = code.bitwiseAND(F.lit(-2).cast("long")), code.bitwiseAND(F.lit(1).cast("long"))
     keyed = keys(lines, steps).repartition("key")
-    live = keyed.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.max("counts").alias("most"))
-    live = live.where("low < high and most >= 0").select("key").hint("shuffle_hash")
-    keyed = stash(keyed.join(live, "key"), "keys")
-    one = keyed.where("counts >= 0").select("key", F.col("h1").alias("a"), "counts")
-    two = keyed.select("key", F.col("h1").alias("b"), F.when(F.col("counts") < 0, -1 - F.col("counts")).otherwise(F.col("counts")).alias("others"))
-    both = one.join(two, "key").where((F.col("a") != F.col("b")) & (counts_apart(F.col("counts"), F.col("others")) <= 2 * most))
-    pairs = stash(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
-    ids = pairs.select(F.col("a").alias("h1")).union(pairs.select(F.col("b").alias("h1"))).distinct()
-    texts = stash(lines.join(ids, "h1", "left_semi"), "candidate-lines")
+    live = keyed.groupBy("key").agg(F.min(line).alias("low"), F.max(line).alias("high"), F.max(own).alias("own"))
+    live = live.where("low < high and own = 1").select("key").hint("shuffle_hash")
+    keyed = stash(keyed.join(live, "key").select("key", line.alias("h1"), (own == 1).alias("own")), "keys")
+    texts = stash(lines.join(keyed.select("h1").distinct().hint("merge"), "h1", "left_semi").withColumn("counts", letter_counts(F.col("line"))), "candidate-lines")
+    counted = stash(keyed.join(texts.select("h1", "counts"), "h1"), "counted")
+    one = counted.where("own").select("key", F.col("h1").alias("a"), "counts")
+    two = counted.select("key", F.col("h1").alias("b"), F.col("counts").alias("others"), F.col("own").alias("both"))
+    # two own segments meet twice, the pair is taken once
+    met = one.join(two, "key").where((F.col("a") != F.col("b")) & (~F.col("both") | (F.col("a") < F.col("b"))) & (counts_apart(F.col("counts"), F.col("others")) <= 2 * most))
+    pairs = stash(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
     side = lambda h, h2, line: texts.select(F.col("h1").alias(h), F.col("h2").alias(h2), F.col("line").alias(line))
     met = pairs.join(side("a", "a2", "x"), "a").join(side("b", "b2", "y"), "b")
     shorter = F.least(F.length("x"), F.length("y"))
     near = reduce(lambda e, s: e.when(shorter >= s[1], within_edits(F.col("x"), F.col("y"), s[0])), parts, F.when(F.lit(False), F.lit(False)))
     links = stash(met.where(F.coalesce(near, F.lit(False))).select("a", "a2", "b", "b2").distinct(), "links")
-    release(keyed, pairs, texts)
+    release(keyed, texts, counted, pairs)
     return links
 
 
@@ -219,7 +222,7 @@ def row_marks(docs: DataFrame, steps: Steps, text: str, id_col: str) -> DataFram
     occ = stash(lines_of(docs, text, "row", F.col(id_col).alias("id")).select("row", "id", "pos", *hashes()), "occurrences")
     shortest = min((least for _, least, _ in steps_of(steps)), default=1 << 30)
     long = lines_of(docs, text).select("line").where(F.length("line") >= shortest).distinct()
-    distinct = stash(long.select(*hashes(), "line", letter_counts(F.col("line")).alias("counts")), "lines")
+    distinct = stash(long.select(*hashes(), "line"), "lines")
     links = line_links(distinct, steps)
     of = links.select(F.col("a").alias("h1"), F.col("a2").alias("h2")).union(links.select("b", "b2")).distinct()
     classes = of.join(connected_components(links.select("a", "b")).withColumnRenamed("node", "h1"), "h1")
