@@ -73,21 +73,21 @@ class Network:
         rng = np.random.default_rng(p.seed)
         n = len(share)
         self.p, self.share = p, share
-        self.r = rng.normal(0, 0.1, (n, p.dims))
-        self.q = rng.normal(0, 0.1, (n, p.dims))
-        self.c = np.full((2, p.dims), 1.0)
-        self.b = np.log(share)
-        self.past = {name: np.full(getattr(self, name).shape, 1e-2) for name in self.NAMES}
+        self.r = rng.normal(0, 0.1, (n, p.dims)).astype(np.float32)
+        self.q = rng.normal(0, 0.1, (n, p.dims)).astype(np.float32)
+        self.c = np.ones((2, p.dims), np.float32)
+        self.b = np.log(share).astype(np.float32)
+        self.past = {name: np.full(getattr(self, name).shape, 1e-2, np.float32) for name in self.NAMES}
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([getattr(self, x).ravel() for x in self.NAMES] + [self.past[x].ravel() for x in self.NAMES])
+        return np.concatenate([getattr(self, x).ravel() for x in self.NAMES] + [self.past[x].ravel() for x in self.NAMES]).astype(np.float64)
 
     def load(self, x: np.ndarray) -> None:
         at = 0
         for past in (False, True):
             for name in self.NAMES:
                 a = getattr(self, name)
-                new = x[at : at + a.size].reshape(a.shape).copy()
+                new = x[at : at + a.size].reshape(a.shape).astype(np.float32)
                 at += a.size
                 if past:
                     self.past[name] = new
@@ -97,7 +97,7 @@ class Network:
     def train(self, w: np.ndarray, c1: np.ndarray, c2: np.ndarray, rng: np.random.Generator) -> None:
         """One pass in mini-batches. The noise words of a step are shared by its tokens, so all scores are matrix products; steps by Adagrad."""
         k = self.p.noise
-        ln_kp, upto = np.log(k * self.share), np.cumsum(self.share)
+        ln_kp, upto = np.log(k * self.share).astype(np.float32), np.cumsum(self.share)
 
         def step(name: str, g: np.ndarray, rows: np.ndarray | None = None) -> None:
             a, h = getattr(self, name), self.past[name]
@@ -140,9 +140,13 @@ class Network:
         return (np.log(one @ two.T) + m1[:, None] + m2).astype(np.float32)
 
     def log_shares(self, w: np.ndarray, c1: np.ndarray, c2: np.ndarray, norm: np.ndarray) -> np.ndarray:
-        """Natural logarithm of the probability of every class of ``w`` behind its two context classes."""
-        x = self.r[c1] * self.c[0] + self.r[c2] * self.c[1]
-        return np.einsum("ij,ij->i", x, self.q[w]) + self.b[w] - norm[c1, c2]
+        """Natural logarithm of the probability of every class of ``w`` behind its two context classes, in slices, so that memory stays small."""
+        out = np.empty(len(w))
+        for at in range(0, len(w), 1 << 16):
+            s = slice(at, at + (1 << 16))
+            x = self.r[c1[s]] * self.c[0] + self.r[c2[s]] * self.c[1]
+            out[s] = np.einsum("ij,ij->i", x, self.q[w[s]]) + self.b[w[s]] - norm[c1[s], c2[s]]
+        return out
 
 
 def contexts(ids: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -270,12 +274,14 @@ def lm_scores(docs: DataFrame, is_training, p: Params = Params(), text: str = "t
     coded = stash(numbered.select("row", "id", "held_out", "h", "text").mapInArrow(encode, schema), "coded")
     if ends:
         train_rounds(net, coded, total)
-    final = spark.sparkContext.broadcast((net, net.norms(), classes.inside))
+    norms = net.norms()
+    net.past = {}
+    final = spark.sparkContext.broadcast((net, norms, classes.inside))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, norm, inside = final.value
         for whole in batches:
-            for b in sliced(whole, "ids"):
+            for b in sliced(whole, "ids", 1_000_000):
                 w, start = joined(b.column("ids").to_pylist())
                 per = net.log_shares(w, *contexts(w, start), norm) / math.log(10) - inside[w]
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(np.add.reduceat(per, start))], [*keep, "lp"])
@@ -320,7 +326,7 @@ def train_rounds(net: Network, coded: DataFrame, tokens: int) -> None:
             def result() -> pa.RecordBatch:
                 x = mine.flat()
                 at = np.arange(0, len(x), 64)
-                parts = [x[i : i + 64] * seen for i in at]
+                parts = [x[i : i + 64] * float(seen) for i in at]
                 return pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.full(len(at), seen)), pa.array(parts, pa.list_(pa.float64()))], ["at", "seen", "x"])
 
             for b in batches:

@@ -714,7 +714,7 @@ def test_lm_does_not_depend_on_partitions(spark):
     df = common.table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
     p = lm.Params(group=40_000)
     got = [lm.lm_scores(df.repartition(n), lm.is_training(F.col("doc_id")), p).toPandas().set_index("doc_id")["score"].sort_index() for n in (1, 7, 32)]
-    assert np.allclose(got[0], got[1], rtol=1e-9) and np.allclose(got[0], got[2], rtol=1e-9)
+    assert np.allclose(got[0], got[1], rtol=1e-4) and np.allclose(got[0], got[2], rtol=1e-4)
 
 
 def test_probabilities_sum_to_one():
