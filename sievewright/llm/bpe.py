@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import ship, sliced, texts_of
+from .common import kept_in_worker, ship, sliced, texts_of
 
 NEVER = 1 << 40
 #: Characters that str.split takes for white space and the split pattern does not.
@@ -286,17 +286,6 @@ def joined(known: dict[str | int, str], pieces: list[str | int]) -> str:
     return " ".join(filter(None, map(known.__getitem__, pieces)))
 
 
-_CODERS: dict[str, Coder] = {}
-
-
-def coder_of(key: str, shipped) -> Coder:
-    """The coder of this Python worker for a query, so that the tasks it works off one after the other share their caches."""
-    if key not in _CODERS:
-        _CODERS.clear()
-        _CODERS[key] = Coder(shipped.value)
-    return _CODERS[key]
-
-
 def load_vocabulary(path: str) -> Vocabulary:
     with open(path, encoding="utf-8") as f:
         return Vocabulary(json.load(f))
@@ -319,7 +308,7 @@ def bpe(docs: DataFrame, path: str, outputs: tuple[str, ...] = ("ids", "decoded"
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = coder_of(key, shipped)
+        coder = kept_in_worker(key, lambda: Coder(shipped.value))
         sha = lambda s: hashlib.sha256(s.encode("utf-8")).hexdigest()
         for whole in batches:
             for b in sliced(whole, "text"):

@@ -83,6 +83,18 @@ def sliced(batch: pa.RecordBatch, text: str, most: int = 4_000_000) -> Iterator[
         yield batch.slice(start)
 
 
+_KEPT: dict = {}
+
+
+def kept_in_worker(key: str | None = None, make=None):
+    """What this Python worker keeps under a key from task to task; anything kept under another key goes. Tasks that keep nothing call it without a key, so that they have a worker's memory for themselves."""
+    if key is None or key not in _KEPT:
+        _KEPT.clear()
+    if key is not None and key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT.get(key)
+
+
 def texts_of(batch: pa.RecordBatch, text: str) -> list[str]:
     """The texts of a batch; null counts as empty."""
     return [x or "" for x in batch.column(text).to_pylist()]

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import Trees, fit_trees
-from .common import ship, sliced, texts_of
+from .common import kept_in_worker, ship, sliced, texts_of
 from .dom import Page
 
 #: Price of leaving a container undecided, so that its children choose for themselves.
@@ -184,6 +184,7 @@ def extract(pages: DataFrame, model: Trees, html: str = "html") -> DataFrame:
     names = [f.name for f in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_in_worker()
         for whole in batches:
             for b in sliced(whole, "__html"):
                 read = [Page(t) for t in texts_of(b, "__html")]

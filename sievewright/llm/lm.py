@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_of_id, ship, sliced, stash
+from .common import crc32_of_id, kept_in_worker, ship, sliced, stash
 
 END = 0
 
@@ -241,6 +241,7 @@ def lm_scores(docs: DataFrame, is_training, p: Params = Params(), text: str = "t
     code = spark.sparkContext.broadcast((classes, head))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_in_worker()
         classes, head = code.value
         facts = {w: (classes.of(w), math.log10(c + 0.1)) for w, c in head.items()}
         log_end = math.log10(ends + 0.1)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import release, ship, sliced, stash
+from .common import kept_in_worker, release, ship, sliced, stash
 from .graph import connected_components, lowest
 from .quality import rolling
 from .words import mixed, word_hashes
@@ -87,6 +87,7 @@ def frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray, int]:
     kinds = (np.uint8, np.uint16, np.uint32, np.uint64)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_in_worker()
         got = np.zeros(BUCKETS, np.uint64)
         for whole in batches:
             for b in sliced(whole, "text"):
@@ -242,6 +243,7 @@ def _classes(docs: DataFrame, p: Params, text: str, id_col: str) -> tuple[DataFr
     shipped = spark.sparkContext.broadcast((p, idf(*frequent(rows, p.words))))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_in_worker()
         sampler = Sampler(*shipped.value)
         for whole in batches:
             for b in sliced(whole, "text"):

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import WORD, ship, sliced, texts_of
+from .common import WORD, kept_in_worker, ship, sliced, texts_of
 from .words import mixed
 
 _WORD = re.compile(WORD)
@@ -132,6 +132,7 @@ def repetition(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> D
     schema = ", ".join([f"`{id_col}` {kind}", *(f"{c} {k}" for c, k in _COLUMNS), "base_failed boolean", "kept boolean", *(f"{c} double" for c in _COVERS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_in_worker()
         for whole in batches:
             for b in sliced(whole, "text"):
                 got = measure(texts_of(b, "text"))

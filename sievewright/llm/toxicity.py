@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_of_id, release, ship, sliced, stash, texts_of
+from .common import crc32_of_id, kept_in_worker, release, ship, sliced, stash, texts_of
 
 TOKEN = r"[^\W\d_]+"
 _TOKEN = re.compile(TOKEN)
@@ -154,6 +154,7 @@ def fit(labelled: DataFrame, most_rows: int = 500_000) -> Model:
         return m
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_in_worker()
         for whole in batches:
             for b in sliced(whole, "text"):
                 n, best, total, _ = scan(texts_of(b, "text"), m, 0.0)
@@ -194,6 +195,7 @@ def toxicity(docs: DataFrame, model: Model, text: str = "text", id_col: str = "d
     item = pa.struct([("score", pa.float64()), ("first", pa.int64()), ("end", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_in_worker()
         m = shipped.value
         for whole in batches:
             for b in sliced(whole, "__text"):
