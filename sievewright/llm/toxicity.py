@@ -16,6 +16,8 @@ from .common import crc32_of_id, kept_in_worker, release, ship, sliced, stash, t
 
 TOKEN = r"[^\W\d_]+"
 _TOKEN = re.compile(TOKEN)
+#: Labelled rows that a model is fitted on at most, about.
+MOST_ROWS = 500_000
 #: Lengths of word beginnings that are tokens of their own.
 STEMS = (4, 5, 6, 7, 8)
 
@@ -96,7 +98,7 @@ def fit_tokens(labelled: DataFrame, prior: float = 0.25, least: int = 5) -> tupl
     each of their tokens once, equal texts count once. Beside whole words, word beginnings of ``STEMS`` letters are
     tokens (written with a trailing ``*``), so inflected forms share evidence. Returns the scores and that of all other
     words: the log-odds of the mass that scored whole words leave, at most -0.01, so that a passage ends where nothing
-    speaks for it. Their number is bounded by the labelled rows that ``fit`` takes.
+    speaks for it. Their number is bounded by that of the labelled rows.
     """
     distinct = labelled.groupBy(F.xxhash64("text").alias("h")).agg(F.max("toxic").alias("toxic"), F.first("text").alias("text"))
     pairs = distinct.select("toxic", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}]+)"), F.lit(1)))).alias("token"))
@@ -135,19 +137,16 @@ def score_of(word: str, scores: dict[str, float]) -> float | None:
     return got
 
 
-def fit(labelled: DataFrame, most_rows: int = 500_000) -> Model:
-    """Learns a model from rows with ``text`` and ``toxic`` (0 or 1), of which at most about ``most_rows`` are taken, by a hash of their text.
+def fit(labelled: DataFrame) -> Model:
+    """Learns a model from rows with ``text`` and ``toxic`` (0 or 1), their number bounded by ``training_rows``.
 
-    Token scores come from all rows taken. The calibration is fitted on the driver from three numbers a text: lambda and
+    Token scores come from all rows. The calibration is fitted on the driver from three numbers a text: lambda and
     K of the extreme-value law by moments of the clean texts' best scores and lengths, then, by Newton steps, the
     logistic curve of the summed evidence that ``toxicity`` scores by. Without both labels nothing scores above 0.5.
     """
     labelled = labelled.select(F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)")
     ship(labelled.sparkSession)
     labelled = stash(labelled, "labelled")
-    n = labelled.count()
-    if n > most_rows:
-        labelled = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(most_rows / n * (1 << 30)))
     scores, other = fit_tokens(labelled)
     m = Model(scores=scores, other=other)
     if not m.scores:
@@ -210,7 +209,14 @@ def toxicity(docs: DataFrame, model: Model, text: str = "text", id_col: str = "d
     return docs.select(*through, F.col(text).alias("__text")).mapInArrow(run, schema)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labelled texts whose id is not held out. Only ids and labels are shuffled to the texts' side if they are few."""
-    known = labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.where(crc32_of_id(F.col("doc_id")) % 5 != 0).select("doc_id", "text").join(known, "doc_id").select("text", "toxic")
+def training_rows(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> DataFrame:
+    """Labelled texts whose id is not held out, of at most about ``most_rows`` labelled ids, chosen by a hash of the id.
+
+    The ids and labels taken are few by that bound, so they are sent to all tasks and no text is shuffled.
+    """
+    known = labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(crc32_of_id(F.col("doc_id")) % 5 != 0)
+    known = stash(known, "labels")
+    n = known.count()
+    if n > most_rows:
+        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(most_rows / n * (1 << 30)))
+    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "toxic")
