@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .ranking import preference
 
-def dedupe_by_hash(df: DataFrame) -> DataFrame:
-    """One row per hash: the winner by seeders, dubbed, source and arrival; quality and size come from the best row that knows them; flags are united."""
-    order = F.struct(-F.col("seeders"), (~F.col("dubbed")).cast("int"), F.col("indexer"), F.col("lid"))
+
+def dedupe_by_hash(df: DataFrame, preferred: tuple = ()) -> DataFrame:
+    """One row per hash: the winner by seeders, dubbed, preferred source and arrival; quality and size come from the best row that knows them; flags are united."""
+    order = F.struct(-F.col("seeders"), (~F.col("dubbed")).cast("int"), preference(F.col("indexer"), preferred), F.col("lid"))
     return df.groupBy("hash").agg(
         F.min_by("lid", order).alias("lid"),
         F.max("seeders").alias("seeders"),

@@ -38,8 +38,10 @@ def any_term(df: DataFrame, terms: list[str]) -> DataFrame:
     return df.where(ok)
 
 
-def filter_candidates(df: DataFrame, seeders: int, most: int) -> DataFrame:
-    return df.where((F.col("seeders") >= seeders) & (F.col("quality") != "SD") & ((F.col("size") == 0) | (F.col("size") <= most)))
+def filter_candidates(df: DataFrame, seeders: int, most: int, cam: bool = False) -> DataFrame:
+    """Rows with enough seeders that are not filmed in a cinema (unless ``cam``) and not too large; an unknown size (0) passes."""
+    ok = (F.col("seeders") >= seeders) & ((F.col("size") == 0) | (F.col("size") <= most))
+    return df.where(ok if cam else ok & (T.source_of(F.col("title")) != "CAM"))
 
 
 def filter_category(df: DataFrame, bucket: int) -> DataFrame:

@@ -26,14 +26,26 @@ def down(c: Column | str) -> Column:
     return (F.col(c) if isinstance(c, str) else c).desc()
 
 
-def candidate_order(dubbed_first: bool = True) -> list[Column]:
-    """Quality, dubbed, verified, seeders, arrival: the order of the result list."""
+def preference(source: Column, preferred: tuple) -> Column:
+    """Place of a source in a list of preferred ones, from 1; those not listed come behind, all alike."""
+    if not preferred:
+        return F.lit(1)
+    return F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(x) for x in preferred]), source), F.lit(0)), F.lit(len(preferred) + 1))
+
+
+def candidate_order(dubbed_first: bool = True, preferred: tuple = (), exact: Column | None = None, instant: Column | None = None) -> list[Column]:
+    """The order of the result list: exact episode, quality, dubbed, preferred source, instant play, not lied, seeders, arrival. What is not given does not count."""
+    first = [exact.desc()] if exact is not None else []
     q = placed(F.col("quality"), ORDER)
-    return [q.desc(), *([down("dubbed")] if dubbed_first else []), F.col("lied").asc(), down("seeders"), F.col("lid").asc()]
+    middle = [down("dubbed")] if dubbed_first else []
+    middle += [preference(F.col("indexer"), preferred)] if preferred else []
+    middle += [instant.desc()] if instant is not None else []
+    return [*first, q.desc(), *middle, F.col("lied").asc(), down("seeders"), F.col("lid").asc()]
 
 
-def rank_candidates(df: DataFrame, key: str = "request_id", dubbed_first: bool = True) -> DataFrame:
-    return rank_by(df, key, *candidate_order(dubbed_first))
+def rank_candidates(df: DataFrame, key: str = "request_id", dubbed_first: bool = True, preferred: tuple = (), exact: Column | None = None, instant: Column | None = None) -> DataFrame:
+    """Numbers the candidates of each request in the order of the result list. ``exact`` (the title names the episode asked for) and ``instant`` (the hash is known to play at once) are conditions on the rows."""
+    return rank_by(df, key, *candidate_order(dubbed_first, preferred, exact, instant))
 
 
 def pool_priority_dubbed(df: DataFrame, key: str = "request_id") -> DataFrame:

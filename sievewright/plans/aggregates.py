@@ -13,10 +13,10 @@ from .registry import query
     with_cte(LISTINGS)
     + """SELECT hash, arg_min(lid, ord) AS lid, CAST(max(seeders) AS BIGINT) AS seeders,
   coalesce(arg_min(quality, ord) FILTER (quality <> 'unknown'), 'unknown') AS quality, CAST(coalesce(arg_min(size, ord) FILTER (size > 0), 0) AS BIGINT) AS size, bool_or(multi_work) AS multi_work, bool_or(lied) AS lied, count(*) AS n
-FROM (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY seeders DESC, dubbed DESC, indexer, lid) AS ord FROM listings) GROUP BY hash"""
+FROM (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY seeders DESC, dubbed DESC, CASE indexer WHEN 5 THEN 1 WHEN 3 THEN 2 WHEN 8 THEN 3 ELSE 4 END, lid) AS ord FROM listings) GROUP BY hash"""
 )
 def agg1_dedupe_by_hash(spark, sf):
-    return A.dedupe_by_hash(listings(spark, sf))
+    return A.dedupe_by_hash(listings(spark, sf), (5, 3, 8))
 
 
 @query(

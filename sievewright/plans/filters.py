@@ -38,7 +38,7 @@ def flt4_filter_quality_text(spark, sf):
     return P.any_term(read(spark, sf, "part").select(F.col("p_partkey").alias("work_id"), F.col("p_type").alias("title")), ["steel", "large"]).select("work_id")
 
 
-@query(with_cte(LISTINGS) + "SELECT lid FROM listings WHERE seeders >= 10 AND quality <> 'SD' AND (size = 0 OR size <= 40000000)")
+@query(with_cte(LISTINGS) + "SELECT lid FROM listings WHERE seeders >= 10 AND NOT regexp_matches(lower(title), '(^|[^a-z0-9])(hd ?)?cam( ?rip)?([^a-z0-9]|$)') AND (size = 0 OR size <= 40000000)")
 def flt5_filter_candidates(spark, sf):
     return P.filter_candidates(listings(spark, sf), 10, 40_000_000).select("lid")
 

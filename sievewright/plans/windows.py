@@ -16,9 +16,21 @@ _OUT = ["request_id", "lid", "rn"]
 CAPS = {"2160p": 3, "1080p": 4, "720p": 0, "480p": 100}
 
 
-@query(with_cte(LISTINGS, RANKED) + "SELECT request_id, lid, quality, seeders, rn FROM ranked")
+#: Sources that a user prefers, first to last.
+PREFERRED = (5, 3, 8)
+
+
+@query(
+    with_cte(LISTINGS, EVIDENCE)
+    + f"""SELECT request_id, lid, quality, seeders, row_number() OVER (PARTITION BY request_id ORDER BY episode = request_id % 10 + 1 DESC, {_ORD} DESC, dubbed DESC,
+  CASE indexer WHEN 5 THEN 1 WHEN 3 THEN 2 WHEN 8 THEN 3 ELSE 4 END, hash IN (SELECT hash FROM evidence WHERE kind = 'hit') DESC, lied, seeders DESC, lid) AS rn FROM listings"""
+)
 def win1_rank_candidates(spark, sf):
-    return R.rank_candidates(listings(spark, sf)).select("request_id", "lid", "quality", "seeders", "rn")
+    """A request asks for the episode that its number stands for; hashes with a hit play at once."""
+    hits = evidence(spark, sf).where("kind = 'hit'").select("hash").distinct().withColumn("hit", F.lit(True))
+    rows = listings(spark, sf).join(hits, "hash", "left")
+    ranked = R.rank_candidates(rows, preferred=PREFERRED, exact=F.col("episode") == F.col("request_id") % 10 + 1, instant=F.coalesce("hit", F.lit(False)))
+    return ranked.select("request_id", "lid", "quality", "seeders", "rn")
 
 
 POOL1 = f"pool1 AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY dubbed DESC, multi_work DESC, {_WGT} DESC, seeders DESC, lid) AS rn FROM (SELECT *, bool_or(dubbed) OVER (PARTITION BY request_id) AS anyd FROM listings WHERE is_br) WHERE dubbed OR NOT anyd)"
