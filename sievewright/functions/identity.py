@@ -91,3 +91,11 @@ def magnet_years(magnet: Column) -> Column:
     plain = F.regexp_replace(plain, "[0-9]{3,4}[xX][0-9]{3,4}", " ")
     found = F.regexp_extract_all(plain, F.lit("(?<![0-9])((?:19|20)[0-9]{2})(?![0-9])"), F.lit(1))
     return F.coalesce(F.array_distinct(F.transform(found, lambda y: y.cast("int"))), F.array().cast("array<int>"))
+
+
+def is_multi_work(tokens: Column) -> Column:
+    """The title is a collection: a word that says so, or a word of packaging beside a range of years (two years in a row, or with a small word between)."""
+    year = lambda i: F.coalesce(F.get(tokens, i).rlike(YEAR), F.lit(False))
+    link = lambda i: F.coalesce(_in(["de", "a", "ate"])(F.get(tokens, i)), F.lit(False))
+    ranges = F.exists(F.transform(tokens, lambda t, i: t.rlike(YEAR) & (year(i + 1) | (link(i + 1) & year(i + 2)))), lambda x: x)
+    return F.exists(tokens, _in(STRONG_PACK_WORDS)) | (ranges & F.exists(tokens, _in(PACK_WORDS)))

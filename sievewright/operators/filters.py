@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import identity as I
 from ..functions import text as T
 
 
@@ -15,10 +16,26 @@ def normalize_listings(df: DataFrame, least: int = 1024) -> DataFrame:
 
 
 def classify(df: DataFrame) -> DataFrame:
-    """Quality, source, edition, audio and episode fit from the title."""
-    t = F.col("title")
-    parsed = T.season_episode(t)
-    return df.withColumns({"quality": T.quality(t), "source": T.source_of(t), "edition": T.edition_of(t), "audio": T.audio_of(t), "bucket": T.audio_bucket(t), "foreign": T.foreign_audio(t), "fits": T.fits_episode(parsed, F.col("season"), F.col("episode")), "pack": F.coalesce(T.is_pack(parsed, F.col("season")), F.lit(False))})
+    """Quality, source, edition, audio, origin, dubbing, collection and episode fit of every listing.
+
+    ``df`` has ``title``, ``season``, ``episode`` and, where they are known, ``is_br`` and ``origin_only`` (of priority
+    origin, by its source or by nothing but its source), ``proven_quality``, ``proven_audio``, ``proven_name`` (what the
+    file itself shows) and ``lied``. What a file shows outweighs its title; an empty proof of audio takes back what the
+    title claims, but for subtitles. Rows of priority origin are dubbed if their audio says so, unless only their source
+    speaks for the origin; others only by an explicit mark.
+    """
+    given = lambda c, kind: F.col(c) if c in df.columns else F.lit(None).cast(kind)
+    t, proof = F.col("title"), given("proven_audio", "string")
+    said, parsed = T.audio_of(t), T.season_episode(t)
+    audio = F.when(proof.isNull(), said).when(proof != "", proof).when(said == "Legendado", said).otherwise("")
+    origin = F.coalesce(given("is_br", "boolean"), F.lit(False)) | T.looks_target(t)
+    proven = T.explicit_target_audio(F.coalesce(given("proven_name", "string"), t))
+    dubbed = F.when(origin & ~F.coalesce(given("origin_only", "boolean"), F.lit(False)), audio.isin("Dublado", "Dual", "Nacional")).otherwise(proven)
+    return df.withColumns({
+        "quality": F.coalesce(given("proven_quality", "string"), T.quality(t)), "source": T.source_of(t), "edition": T.edition_of(t), "audio": audio, "bucket": T.audio_bucket(t), "foreign": T.foreign_audio(t),
+        "is_br": origin, "dubbed": dubbed, "multi_work": I.is_multi_work(T.tokens(t)), "lied": F.coalesce(given("lied", "boolean"), F.lit(False)),
+        "fits": T.fits_episode(parsed, F.col("season"), F.col("episode")), "pack": F.coalesce(T.is_pack(parsed, F.col("season")), F.lit(False)),
+    })
 
 
 def filter_quality(df: DataFrame, allow: list[str], unknown_limit: int) -> DataFrame:

@@ -135,3 +135,24 @@ def test_empty_tables(spark):
     li = spark.createDataFrame([], "lid string, request_id long, hash string, quality string, dubbed boolean, lied boolean, multi_work boolean, is_br boolean, seeders long, size long, indexer long")
     assert ranking.limit_joint(ranking.rank_candidates(li), {}, 2).count() == 0
     assert aggregates.dedupe_by_hash(li).count() == 0
+
+
+def test_classify_by_title_and_file(spark):
+    from sievewright.operators import filters
+
+    cases = [
+        # title, is_br, origin_only, proven_audio, proven_name -> audio, is_br, dubbed, multi_work
+        ("Work 1080p Dual", False, False, None, None, "Dual", False, False, False),
+        ("Work 1080p Dual", True, False, None, None, "Dual", True, True, False),
+        ("Work 1080p Dual", True, True, None, None, "Dual", True, False, False),
+        ("Work Dublado", False, False, "", None, "", True, False, False),
+        ("Work LEGENDADO", False, False, "", None, "Legendado", False, False, False),
+        ("Work", False, False, "Dublado", "Work.Dublado.mkv", "Dublado", False, True, False),
+        ("Work Kannada Dub", False, False, None, None, "", False, False, False),
+        ("Todos os filmes 1979-2016", False, False, None, None, "", False, False, True),
+        ("Todas as Temporadas", False, False, None, None, "", False, False, False),
+        ("Trilogia Work", False, False, None, None, "", False, False, True),
+    ]
+    df = spark.createDataFrame([c[:5] for c in cases], "title string, is_br boolean, origin_only boolean, proven_audio string, proven_name string").withColumns({"season": F.lit(None).cast("int"), "episode": F.lit(None).cast("int")})
+    got = {(r.title, r.is_br, r.audio, r.dubbed, r.multi_work) for r in filters.classify(df).collect()}
+    assert got == {(c[0], c[6], c[5], c[7], c[8]) for c in cases}
