@@ -83,13 +83,15 @@ def plan_dedup_near(df: DataFrame, share: float = 0.005) -> DataFrame:
     return ranked.where("rn > 1 and not protected and status <> 'Downloading'").select(*key, "service_id", "keep_id", "base")
 
 
-def flatten_kills(plans: list[tuple[str, DataFrame]], most: int) -> DataFrame:
-    """One row per id with the last plan's reason; ``survives`` says that the same hash stays under another id."""
+def flatten_kills(plans: list[tuple[str, DataFrame]], rows: DataFrame, most: int) -> DataFrame:
+    """One row per id with the last plan's reason, the first ``most`` ids; ``survives`` says that a row of the same hash stays under an id that is not among them. ``rows`` is the catalogue."""
     every = None
     for k, (reason, p) in enumerate(plans):
         p = p.select("service_id", "hash", F.lit(reason).alias("reason"), F.lit(k).alias("k"))
         every = p if every is None else every.unionByName(p)
-    return every.groupBy("service_id", "hash").agg(F.max_by("reason", "k").alias("reason")).orderBy("service_id").limit(most)
+    kills = every.groupBy("service_id", "hash").agg(F.max_by("reason", "k").alias("reason")).orderBy("service_id").limit(most)
+    stays = rows.select("service_id", "hash").join(kills.select("service_id"), "service_id", "left_anti").select("hash").distinct().withColumn("survives", F.lit(True))
+    return kills.join(stays, "hash", "left").select("service_id", "hash", "reason", F.coalesce("survives", F.lit(False)).alias("survives"))
 
 
 def plan_foreign_cleanup(df: DataFrame, most: int, before: str) -> DataFrame:

@@ -67,11 +67,12 @@ def mrg6_plan_dedup_near(spark, sf):
 @query(
     with_cte(SNAPSHOT, _EXACT)
     + """, d AS (SELECT service_id, hash FROM snapshot WHERE status = 'Error' AND NOT protected), e AS (SELECT service_id, hash FROM x WHERE rn > 1 AND NOT protected AND status <> 'Downloading')
-SELECT service_id, hash, max(reason) AS reason FROM (SELECT *, 'duplicate' AS reason FROM e UNION ALL SELECT *, 'terminal' FROM d) GROUP BY service_id, hash ORDER BY service_id LIMIT 500"""
+, k AS (SELECT service_id, hash, max(reason) AS reason FROM (SELECT *, 'duplicate' AS reason FROM e UNION ALL SELECT *, 'terminal' FROM d) GROUP BY service_id, hash ORDER BY service_id LIMIT 500)
+SELECT *, hash IN (SELECT hash FROM snapshot WHERE service_id NOT IN (SELECT service_id FROM k)) AS survives FROM k"""
 )
 def mrg7_flatten_kills(spark, sf):
     s = snapshot(spark, sf)
-    return M.flatten_kills([("duplicate", M.plan_dedup_exact(s)), ("terminal", s.where("status = 'Error' and not protected"))], 500)
+    return M.flatten_kills([("duplicate", M.plan_dedup_exact(s)), ("terminal", s.where("status = 'Error' and not protected"))], s, 500)
 
 
 @query(
