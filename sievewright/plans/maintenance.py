@@ -175,13 +175,25 @@ def mrg17_renew_half_life(spark, sf):
     return st.where(~F.col("bad") & (F.col("until") - F.lit(NOW).cast("timestamp").cast("double") < 7200)).select("hash")
 
 
-@query()
+@query(
+    with_cte(LISTINGS, EVIDENCE)
+    + """, l AS (SELECT DISTINCT request_id AS list_id, hash FROM listings)
+SELECT list_id, CAST(count(*) AS INTEGER) AS n, CAST(count(*) FILTER (hash IN (SELECT hash FROM evidence WHERE kind = 'hit')) AS INTEGER) AS n_ready FROM l GROUP BY list_id"""
+)
 def mrg18_promote_lists(spark, sf):
-    items = listings(spark, sf).where("seeders >= 45").select(F.col("request_id").alias("list_id"), "hash").distinct()
+    """A request's list is all its hashes."""
+    items = listings(spark, sf).select(F.col("request_id").alias("list_id"), "hash").distinct()
     return M.promote_lists(items, evidence(spark, sf).where("kind = 'hit'")).groupBy("list_id").agg(F.count("*").cast("int").alias("n"), F.count_if("ready").cast("int").alias("n_ready"))
 
 
-@query()
+@query(
+    with_cte(LISTINGS)
+    + """, f AS (SELECT hash, concat(name, ' ', CASE WHEN lied THEN 'sample' WHEN multi_work THEN '' ELSE printf('S%02dE%02d', season, episode) END, '.mkv') AS name, indexer, size FROM listings),
+p AS (SELECT hash, name, concat(CASE WHEN indexer % 9 = 0 THEN 'extras/' ELSE 'season/' END, name) AS path, size FROM f),
+t AS (SELECT *, regexp_matches(lower(name), '(^|[^a-z])(sample|trailer|rarbg)([^a-z]|$)') AS junk, CASE WHEN contains(lower(name), 's01e02') THEN 0 WHEN contains(lower(path), 's01e02') THEN 1 ELSE 2 END AS tier, regexp_matches(lower(path), '(^|/)(extras?|bonus|featurettes?)/') AS extra FROM p),
+r AS (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY junk, tier, extra, size DESC, path) AS rn, count(*) FILTER (tier = 0 AND NOT junk) OVER (PARTITION BY hash) AS named FROM t)
+SELECT hash, CASE WHEN NOT junk THEN path END AS path, CASE WHEN junk THEN 'no video' WHEN tier = 2 AND named = 0 THEN 'episode not named' END AS error FROM r WHERE rn = 1"""
+)
 def mrg19_pick_file(spark, sf):
     li = listings(spark, sf)
     name = F.concat(F.col("name"), F.lit(" "), F.when(F.col("lied"), F.lit("sample")).when(F.col("multi_work"), F.lit("")).otherwise(F.format_string("S%02dE%02d", "season", "episode")), F.lit(".mkv"))

@@ -74,7 +74,7 @@ def src6_ready_inventory(spark, sf):
     return S.ready_inventory(S.read_account_snapshot(_raw_account(spark, sf))).select("service_id", "filename")
 
 
-@query()
+@query("SELECT l_orderkey AS id, count(*) AS files, CAST(sum(floor(l_extendedprice)) AS BIGINT) AS bytes FROM lineitem GROUP BY 1")
 def src7_explode_file_tree(spark, sf):
     """Trees built from the lines of each order: files under a folder a supplier."""
     li = read(spark, sf, "lineitem")
