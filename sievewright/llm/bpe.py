@@ -187,16 +187,21 @@ class Coder:
     def __init__(self, vocab: Vocabulary, most_cached: int = 300_000):
         self.v, self.most = vocab, most_cached
         self.exact = self.proposed = 0
-        self.forget()
-
-    def forget(self, but: Iterable[str | int] = ()) -> None:
-        """Empties the caches, but for what stands there of the chunks given."""
-        held = {c: self.chunks[c] for c in but if c in self.chunks} if but else {}
         self.words: dict[str, tuple[int, ...]] = {}
         self.chunks: dict[str | int, tuple[int, ...]] = {}
         self.decimal: dict[str | int, str] = {}
         self.decoded: dict[str | int, str] = {}
-        self.keep(held | {i: (i,) for i in self.v.special.values()})
+        self.forget()
+
+    def forget(self, but: Iterable[str | int] = ()) -> None:
+        """Empties the caches, but for what stands there of the chunks given."""
+        held = [c for c in but if c in self.chunks]
+        for name in ("chunks", "decimal", "decoded"):
+            old = getattr(self, name)
+            setattr(self, name, dict(zip(held, map(old.__getitem__, held))))
+        words = [c for c in held if c in self.words]
+        self.words = dict(zip(words, map(self.words.__getitem__, words)))
+        self.keep({i: (i,) for i in self.v.special.values()})
 
     def keep(self, known: dict[str | int, tuple[int, ...]]) -> None:
         number, name = self.v.numbers.__getitem__, self.v.names.__getitem__
