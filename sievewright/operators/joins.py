@@ -25,28 +25,34 @@ def match_works(listings: DataFrame, works: DataFrame, coverage: float = I.COVER
     ``year``, ``is_series``, ``season``, ``episode`` (null: none asked for). Null years contradict nothing. Works whose
     names have no tokens match nothing. Returns ``lid``, ``work_id`` and ``hits``, the most tokens of a name.
     """
-    titles = listings.select("title", "is_br", "magnet").distinct().withColumn("tt", tokens(F.col("title")))
-    met = matched_keys(titles, works, coverage)
-    return listings.join(met, [listings.title == met.title, listings.is_br == met.is_br, listings.magnet.eqNullSafe(met.magnet)]).select("lid", "work_id", "hits")
+    titles = listings.select("title", "is_br", "magnet").distinct().withColumn("tid", title_id())
+    met = matched_titles(titles, works, coverage)
+    return listings.withColumn("tid", title_id()).join(met, "tid").select("lid", "work_id", "hits")
 
 
-def matched_keys(titles: DataFrame, works: DataFrame, coverage: float) -> DataFrame:
-    """What ``match_works`` says of distinct titles: ``tt``, ``title``, ``is_br``, ``magnet``, ``work_id``, ``hits``.
+def title_id() -> Column:
+    return F.xxhash64("title", "is_br", F.coalesce("magnet", F.lit("")))
 
-    Guards that need only tokens are settled between distinct token lists; the few pairs left meet the works.
+
+def matched_titles(titles: DataFrame, works: DataFrame, coverage: float) -> DataFrame:
+    """What ``match_works`` says of distinct titles: ``tid``, ``work_id``, ``hits``. ``titles`` has ``tid``, ``title``, ``is_br`` and ``magnet``.
+
+    Guards that need only tokens are settled between distinct token lists and kinds of names (their telling tokens,
+    leading token and universe), whose hashes stand for them afterwards. The pairs left meet the works: titles of films
+    with one year only those of the years around it, all others those of their kind. What travels are numbers.
     """
     named = works.select("work_id", "year", "is_series", "season", "episode", F.array_distinct(F.flatten(F.transform("names", tokens))).alias("universe"), F.explode("names").alias("name"))
     named = named.withColumn("nt", tokens(F.col("name"))).where("size(nt) > 0").drop("name")
-    named = named.withColumns({"wanted": I.wanted_tokens(F.col("nt")), "universe": F.array_sort(I.telling_tokens(F.col("universe")))})
-    names = named.select("nt", "wanted", "universe", "is_series", F.col("season").isNotNull().alias("asks")).distinct()
-    names = names.withColumn("lead", I.leading_token(F.col("nt")))
-    lists = titles.select("tt", "is_br").distinct()
+    named = named.withColumns({"wanted": I.wanted_tokens(F.col("nt")), "universe": F.array_sort(I.telling_tokens(F.col("universe"))), "lead": I.leading_token(F.col("nt")), "asks": F.col("season").isNotNull(), "own": I.sequence_markers(F.col("nt"))})
+    kind = ["wanted", "lead", "universe", "is_series", "asks"]
+    named = named.withColumn("kind", F.xxhash64(*kind))
+    full = titles.withColumn("tt", tokens(F.col("title"))).withColumn("list", F.xxhash64("tt", "is_br"))
     part = I.work_part(F.col("tt"))
     parsed = season_episode(F.array_join("tt", " "))
     silent = (F.size(parsed["seasons"]) == 0) & (F.size(parsed["episodes"]) == 0) & ~parsed["complete"] & ~parsed["season_pack"]
-    lists = lists.withColumns({
-        "bag": F.array_sort(F.array_distinct("tt")), "first": I.leading_token(F.col("tt")), "telling": I.telling_tokens(F.col("tt")), "part": I.telling_tokens(part), "silent": silent,
-    })
+    lists = full.select("list", "tt", "is_br").distinct()
+    lists = lists.withColumns({"bag": F.array_sort(F.array_distinct("tt")), "first": I.leading_token(F.col("tt")), "telling": I.telling_tokens(F.col("tt")), "part": I.telling_tokens(part), "silent": silent})
+    names = named.select("kind", *kind).distinct()
     met = match_token_lists(lists.select(F.col("bag").alias("tt")).distinct(), names.select(F.col("wanted").alias("nt")).distinct(), coverage)
     met = met.select(F.col("tt").alias("bag"), F.col("nt").alias("wanted"), "hits")
     whole = I.title_precision(F.col("telling"), F.col("universe"))
@@ -54,15 +60,19 @@ def matched_keys(titles: DataFrame, works: DataFrame, coverage: float) -> DataFr
     begins = F.col("first") == F.col("lead")
     strict = begins & (inside >= F.when(F.col("is_series"), I.SERIES_PRECISION).otherwise(I.FILM_PRECISION))
     loose = (F.col("is_series") | begins) & (F.col("part").isNull() | (inside >= I.SERIES_PRECISION)) & (~F.col("asks") | ~F.col("silent") | (whole >= I.SERIES_PRECISION))
-    near = met.join(lists, "bag").join(names, "wanted").where(F.when(F.col("is_br"), strict).otherwise(loose))
-    near = near.select("tt", "is_br", "nt", "universe", "is_series", "asks", "hits").distinct()
-    full = titles.withColumns({"marks": I.sequence_markers(F.col("tt")), "years": I.years_of(F.col("tt")), "linked": I.magnet_years(F.col("magnet")), "parsed": season_episode(F.col("title"))})
-    work = named.withColumns({"own": I.sequence_markers(F.col("nt")), "asks": F.col("season").isNotNull()}).drop("wanted")
-    pairs = full.join(near, ["tt", "is_br"]).join(work, ["nt", "universe", "is_series", "asks"])
-    sequel = ~F.col("is_series") & (F.size(F.array_except("marks", "own")) > 0)
-    linked = ~F.col("is_series") & ~F.col("asks") & I.year_contradicts(F.col("linked"), F.col("year"), F.lit(False))
+    near = met.join(lists, "bag").join(names, "wanted").where(F.when(F.col("is_br"), strict).otherwise(loose)).select("list", "kind", (~F.col("is_series")).alias("film"), "hits")
+    shown = full.select("tid", "list", I.sequence_markers(F.col("tt")).alias("marks"), I.years_of(F.col("tt")).alias("years"), I.magnet_years(F.col("magnet")).alias("linked"), season_episode(F.col("title")).alias("parsed"))
+    candidates = shown.join(near, "list").drop("list")
+    # the years that a work may be of; null stands for any
+    around = F.when(F.col("film") & (F.size("years") == 1), F.sequence(F.get("years", F.lit(0)) - I.YEARS_OFF, F.get("years", F.lit(0)) + I.YEARS_OFF))
+    work = named.select("work_id", F.col("kind").alias("of"), "year", "is_series", "season", "episode", "own", "asks")
+    same = F.col("kind") == F.col("of")
+    dated = candidates.where(around.isNotNull()).withColumn("at", F.explode(around)).join(work, same & (F.col("at") == F.col("year"))).drop("at")
+    pairs = dated.unionByName(candidates.where(around.isNotNull()).join(work.where("year is null"), same)).unionByName(candidates.where(around.isNull()).join(work, same))
+    sequel = F.col("film") & (F.size(F.array_except("marks", "own")) > 0)
+    linked = F.col("film") & ~F.col("asks") & I.year_contradicts(F.col("linked"), F.col("year"), F.lit(False))
     wrong = sequel | linked | I.year_contradicts(F.col("years"), F.col("year"), F.col("is_series")) | ~fits_episode(F.col("parsed"), F.col("season"), F.col("episode"))
-    return pairs.where(~wrong).groupBy("tt", "title", "is_br", "magnet", "work_id").agg(F.max("hits").alias("hits"))
+    return pairs.where(~wrong).groupBy("tid", "work_id").agg(F.max("hits").alias("hits"))
 
 
 def match_token_lists(titles: DataFrame, wanted: DataFrame, coverage: float) -> DataFrame:
@@ -81,8 +91,8 @@ def match_counts(listings: DataFrame, works: DataFrame, coverage: float = I.COVE
 
     Listings are counted per title first, so a title's listings never multiply. Works without a match have no row.
     """
-    titles = listings.groupBy("title", "is_br", "magnet").agg(F.count("*").alias("n")).withColumn("tt", tokens(F.col("title")))
-    met = matched_keys(titles.drop("n"), works, coverage).join(titles.drop("tt").withColumnsRenamed({"title": "t", "is_br": "b", "magnet": "m"}), [F.col("title") == F.col("t"), F.col("is_br") == F.col("b"), F.col("magnet").eqNullSafe(F.col("m"))])
+    titles = listings.groupBy("title", "is_br", "magnet").agg(F.count("*").alias("n")).withColumn("tid", title_id())
+    met = matched_titles(titles.drop("n"), works, coverage).join(titles.select("tid", "n"), "tid")
     return met.groupBy("work_id").agg(F.count("*").alias("titles"), F.sum("n").alias("n_listings"), F.max("hits").alias("hits"))
 
 
