@@ -66,9 +66,16 @@ def jn1_match_works(spark, sf):
     return J.match_counts(rows, _named(spark, sf, "alias"))
 
 
-def _named(spark, sf, name):
+@query()
+def jn1_match_all_works(spark, sf):
+    """All listings against all works by either of their names, counted per work. No SQL: both names of a work share its universe; the operator is tested by cases."""
+    rows = listings(spark, sf).select("title", "is_br", F.lit(None).cast("string").alias("magnet"))
+    return J.match_counts(rows, _named(spark, sf, "name", "alias"))
+
+
+def _named(spark, sf, *names):
     asked = lambda c: F.when(F.col("is_series"), F.col(c)).alias(c)
-    return works(spark, sf).select("work_id", F.array(name).alias("names"), "year", "is_series", asked("season"), asked("episode"))
+    return works(spark, sf).select("work_id", F.array(*names).alias("names"), "year", "is_series", asked("season"), asked("episode"))
 
 
 @query(
