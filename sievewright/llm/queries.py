@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html, lines, lm, minhash, mixing, quality, sharding, toxicity, vectors
+from . import bpe, html, lines, lm, merkle, minhash, mixing, quality, sharding, toxicity, vectors
 from .common import crc32_of_id, table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -64,9 +64,14 @@ def op10_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.repetition(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tampering lower-cases the text of a fifth of the documents."""
+    return merkle.manifest(table(spark, sf_dir, "documents"), merkle.tampered_rows(F.col("doc_id")), merkle.lowered(F.col("text")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hilbert_sharding, op2_html_extraction, op3_toxicity, op4_line_dedup, op5_source_mixing, op6_bpe, op7_minhash, op8_embedding_dedup, op9_lm_scoring, op10_repetition)}
+    return {f.__name__: f for f in (op1_hilbert_sharding, op2_html_extraction, op3_toxicity, op4_line_dedup, op5_source_mixing, op6_bpe, op7_minhash, op8_embedding_dedup, op9_lm_scoring, op10_repetition, op11_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_source_mixing": mixing.ORACLE_SQL}
+    return {"op5_source_mixing": mixing.ORACLE_SQL, "op11_merkle_manifest": merkle.ORACLE_SQL}
