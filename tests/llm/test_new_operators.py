@@ -1,14 +1,16 @@
 """The Merkle manifest, spelling variants and packing against brute force, and on odd tables."""
 
 import hashlib
+import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sievewright.llm import common, merkle, queries
+from sievewright.llm import common, merkle, queries, spelling
 
 DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, tree string, i long, leaf string, block long"
@@ -111,3 +113,88 @@ def test_manifest_odd(odd, none):
     assert manifest_rows(spoilt(odd)) == plain_manifest(odd.collect(), hit)
     assert {r[6] for r in manifest_rows(merkle.manifest(odd))} == {True}
     assert manifest_rows(merkle.manifest(odd.limit(0).union(odd.where("doc_id = 4"))))[0][4] == sha("")
+
+
+# --- 12 ---------------------------------------------------------------------------------------------------------
+
+
+def plain_words(rows, every=97):
+    total = Counter()
+    for doc_id, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = "".join(c.lower() if "A" <= c <= "Z" else c for c in run)
+            h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
+            if h % every == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            total[run] += 1
+    return {w: n for w, n in total.items() if len(w) >= 5 and n >= 3}
+
+
+def one_error(w, v):
+    """Exactly one inserted, deleted or replaced code point."""
+    if len(w) == len(v):
+        return sum(a != b for a, b in zip(w, v)) == 1
+    a, b = sorted((w, v), key=len)
+    return len(b) - len(a) == 1 and any(b[:k] + b[k + 1 :] == a for k in range(len(b)))
+
+
+def plain_variants(words):
+    gone = defaultdict(set)  # words by what is left of them without one code point, or with it
+    for w in words:
+        for x in {w, *(w[:k] + w[k + 1 :] for k in range(len(w)))}:
+            gone[x].add(w)
+    near = {w: {v for x in {w, *(w[:k] + w[k + 1 :] for k in range(len(w)))} for v in gone[x] if v != w and one_error(w, v)} for w in words}
+    form = {w: min(vs, key=lambda v: (-words[v], v)) for w, vs in near.items() if vs}
+    form = {w: v for w, v in form.items() if words[v] >= 2 * words[w]}
+    root = lambda w: root(form[w]) if w in form else w
+    return sorted((w, n, len(near[w]), form.get(w), words.get(form.get(w)), root(w)) for w, n in words.items())
+
+
+def variant_rows(df):
+    return sorted(tuple(r) for r in df.select("word", "n", "n_near", "form", "form_n", "root").collect())
+
+
+def test_variants_by_brute_force(spark):
+    docs = common.table(spark, DATA, "documents").select("doc_id", "text").collect()
+    want = plain_variants(plain_words(docs))
+    assert variant_rows(queries.op12_spelling_variants(spark, DATA)) == want
+    assert sum(r[3] is not None for r in want) > 10
+
+
+@pytest.mark.parametrize("shard,block", [(60_000, 30_000), (300, 40), (50, 3)])
+def test_variants_of_dense_words(spark, shard, block):
+    """Few letters, so that words have many near ones; halves that many words share are cut into blocks."""
+    rng = np.random.default_rng(shard)
+    words = {"".join(rng.choice(list("abzÀÿ"), rng.integers(5, 9))) for _ in range(700)} | {"a" * k for k in range(5, 40)}
+    words = {w.lower() if w.isascii() else w: int(rng.integers(3, 60)) for w in words}
+    df = spark.createDataFrame(list(words.items()), "word string, n long").repartition(3)
+    got = {r.word: (r.n_near, r.best, r.best_n) for r in spelling.near_words(df, shard, block).collect()}
+    near = {w: [v for v in words if one_error(w, v)] for w in words}
+    assert got == {w: (len(vs), b := min(vs, key=lambda v: (-words[v], v)), words[b]) for w, vs in near.items() if vs}
+
+
+def test_index_matches_stay_in_step():
+    """The interval that follows on the other side is that which a search on that side finds."""
+    words = sorted({"abba", "abbab", "babba", "bbaba", "ababa"})
+    index = spelling.Index(words)
+    text = "".join("#" + w for w in words) * 2
+    for s in ("ab", "bba", "a#b", "#ab", "ba#"):
+        at = np.array([[0], [0], [index.n]])
+        for c in s[1:]:
+            at = index.extended(at, np.array([ord(c) - 96 if c != "#" else 0]), left=False)
+        at = index.extended(at, np.array([ord(s[0]) - 96 if s[0] != "#" else 0]), left=True)
+        want = {i for i in range(index.n) if text[i : i + len(s)] == s}
+        assert set(index.order[at[0, 0] : at[0, 0] + at[2, 0]].tolist()) == want
+
+
+def test_long_texts_are_read_in_windows():
+    text = "Über straße " * 1000 + "x" * 5000 + "-ab"
+    assert spelling.runs_of(text, 100) == spelling.runs_of(text) == Counter({"Über": 1000, "straße": 1000, "x" * 5000: 1, "ab": 1})
+
+
+def test_variants_odd(spark, odd, none):
+    assert spelling.variants(none).count() == 0
+    assert variant_rows(spelling.variants(odd)) == plain_variants(plain_words([(r.doc_id, r.text) for r in odd.collect()]))
+    chain = [(k, " ".join([w] * n)) for k, (w, n) in enumerate([("maerchen", 100), ("maerchem", 40), ("maerchxm", 12), ("maerchxmy", 4)])]
+    got = variant_rows(spelling.variants(spark.createDataFrame(chain, "doc_id long, text string"), every=10**9))
+    assert [(r[0], r[3], r[5]) for r in got] == [("maerchem", "maerchen", "maerchen"), ("maerchen", None, "maerchen"), ("maerchxm", "maerchem", "maerchen"), ("maerchxmy", "maerchxm", "maerchen")]
