@@ -11,6 +11,7 @@ import hashlib
 import heapq
 import json
 import re
+import struct
 import unicodedata
 import uuid
 from collections.abc import Iterable, Iterator, Sequence
@@ -180,23 +181,25 @@ class Vocabulary:
 class Coder:
     """Encodes and decodes with caches of bounded size; one a Python worker.
 
-    What is known of a chunk (a run without white space) stands in three tables: its tokens, their decimal ids joined by
-    one blank, and their decoded text. A text's digests are joined from those without going through its tokens.
+    What is known of a chunk (a run without white space) stands in tables: its tokens and, of those asked for, their
+    decimal ids joined by one blank, their decoded text, and their ids as bytes. A text's digests are joined from those
+    without going through its tokens.
     """
 
-    def __init__(self, vocab: Vocabulary, most_cached: int = 300_000):
-        self.v, self.most = vocab, most_cached
+    def __init__(self, vocab: Vocabulary, most_cached: int = 300_000, tables: tuple[str, ...] = ("decimal", "decoded")):
+        self.v, self.most, self.tables = vocab, most_cached, tables
         self.exact = self.proposed = 0
         self.words: dict[str, tuple[int, ...]] = {}
         self.chunks: dict[str | int, tuple[int, ...]] = {}
         self.decimal: dict[str | int, str] = {}
         self.decoded: dict[str | int, str] = {}
+        self.packed: dict[str | int, bytes] = {}
         self.forget()
 
     def forget(self, but: Iterable[str | int] = ()) -> None:
         """Empties the caches, but for what stands there of the chunks given."""
         held = [c for c in but if c in self.chunks]
-        for name in ("chunks", "decimal", "decoded"):
+        for name in ("chunks", *self.tables):
             old = getattr(self, name)
             setattr(self, name, dict(zip(held, map(old.__getitem__, held))))
         words = [c for c in held if c in self.words]
@@ -206,8 +209,12 @@ class Coder:
     def keep(self, known: dict[str | int, tuple[int, ...]]) -> None:
         number, name = self.v.numbers.__getitem__, self.v.names.__getitem__
         self.chunks.update(known)
-        self.decimal.update(zip(known, [" ".join(map(number, ids)) for ids in known.values()]))
-        self.decoded.update(zip(known, [" ".join(map(name, ids)) for ids in known.values()]))
+        if "decimal" in self.tables:
+            self.decimal.update(zip(known, [" ".join(map(number, ids)) for ids in known.values()]))
+        if "decoded" in self.tables:
+            self.decoded.update(zip(known, [" ".join(map(name, ids)) for ids in known.values()]))
+        if "packed" in self.tables:  # little-endian, 32 bits each
+            self.packed.update(zip(known, [struct.pack(f"<{len(ids)}I", *ids) for ids in known.values()]))
 
     def pieces(self, text: str) -> list[str | int]:
         """Runs without white space of a text after normalising; special tokens stand as their ids. No word of the split pattern spans white space."""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html, lines, lm, merkle, minhash, mixing, quality, sharding, spelling, toxicity, vectors
+from . import bpe, html, lines, lm, merkle, minhash, mixing, packing, quality, sharding, spelling, toxicity, vectors
 from .common import crc32_of_id, table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -73,8 +73,12 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
 
 
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hilbert_sharding, op2_html_extraction, op3_toxicity, op4_line_dedup, op5_source_mixing, op6_bpe, op7_minhash, op8_embedding_dedup, op9_lm_scoring, op10_repetition, op11_merkle_manifest, op12_spelling_variants)}
+    return {f.__name__: f for f in (op1_hilbert_sharding, op2_html_extraction, op3_toxicity, op4_line_dedup, op5_source_mixing, op6_bpe, op7_minhash, op8_embedding_dedup, op9_lm_scoring, op10_repetition, op11_merkle_manifest, op12_spelling_variants, op13_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sievewright.llm import common, merkle, queries, spelling
+from sievewright.llm import common, merkle, packing, queries, spelling
 
 DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, tree string, i long, leaf string, block long"
@@ -198,3 +198,85 @@ def test_variants_odd(spark, odd, none):
     chain = [(k, " ".join([w] * n)) for k, (w, n) in enumerate([("maerchen", 100), ("maerchem", 40), ("maerchxm", 12), ("maerchxmy", 4)])]
     got = variant_rows(spelling.variants(spark.createDataFrame(chain, "doc_id long, text string"), every=10**9))
     assert [(r[0], r[3], r[5]) for r in got] == [("maerchem", "maerchen", "maerchen"), ("maerchen", None, "maerchen"), ("maerchxm", "maerchem", "maerchen"), ("maerchxmy", "maerchxm", "maerchen")]
+
+
+# --- 13 ---------------------------------------------------------------------------------------------------------
+
+
+def encoded(texts):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(queries.vocabulary_path())
+    t.no_truncation()
+    t.no_padding()
+    return [e.ids + [0] for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
+
+
+def check_pack(rows, docs, capacity):
+    """Every document's ids in pieces, every sequence gapless and not over the capacity. Returns how many sequences there are, and how many at least."""
+    want = sorted((d, k // capacity, k, len(ids[k : k + capacity]), zlib.crc32(np.array(ids[k : k + capacity], "<u4").tobytes())) for d, ids in docs for k in range(0, len(ids), capacity))
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == want
+    by = defaultdict(list)
+    for r in rows:
+        by[r.sequence_id].append((r.offset, r.length))
+    for held in by.values():
+        held.sort()
+        assert [o for o, _ in held] == np.cumsum([0, *(n for _, n in held)])[:-1].tolist() and sum(n for _, n in held) <= capacity
+    return len(by), -(-sum(r.length for r in rows) // capacity)
+
+
+def test_packing_of_all_documents(spark):
+    docs = common.table(spark, DATA, "documents").select("doc_id", "text").collect()
+    rows = queries.op13_best_fit_packing(spark, DATA).collect()
+    got, least = check_pack(rows, list(zip([d.doc_id for d in docs], encoded([d.text for d in docs]))), 2048)
+    assert got <= least * 1.01 + 1
+    again = queries.op13_best_fit_packing(spark, DATA).collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, again))
+
+
+def test_packing_odd(spark, odd, none):
+    path = queries.vocabulary_path()
+    assert packing.pack(none, path).count() == 0
+    held = odd.where("doc_id is not null and text is not null and doc_id <> 6").collect()
+    rows = packing.pack(odd.where("doc_id is not null and text is not null and doc_id <> 6"), path, 300).collect()
+    check_pack(rows, [(r.doc_id, ids) for r, ids in zip(held, encoded([r.text for r in held]))], 300)
+    rows = packing.pack(odd, path).collect()
+    assert len({(r.sequence_id, r.offset) for r in rows}) == len(rows) and [r.length for r in rows if r.doc_id == 1] == [1]
+    assert sum(r.doc_id == 6 for r in rows) == 3 and any(r.doc_id is None for r in rows)
+
+
+LENGTHS = {
+    "short": lambda rng: rng.geometric(0.01, 60_000),
+    "long": lambda rng: rng.integers(600, 2049, 30_000),
+    "even": lambda rng: rng.integers(1, 2049, 20_000),
+    "few kinds": lambda rng: rng.choice([1024, 2048, 700, 648, 1], 10_000),
+    "none": lambda rng: np.zeros(0, int),
+    "one": lambda rng: np.array([5]),
+}
+
+
+@pytest.mark.parametrize("kind", LENGTHS)
+def test_plans_place_every_length_once(kind):
+    lengths = np.clip(LENGTHS[kind](np.random.default_rng(3)), 1, 2048)
+    hist = np.bincount(lengths, minlength=2049)
+    p = packing.plan(hist, 2048)
+    n = np.repeat(np.arange(2049), hist)
+    sequence, offset = p.places(n, np.concatenate([np.arange(k) for k in hist]) if len(n) else n)
+    order = np.lexsort((offset, sequence))
+    n, sequence, offset = n[order], sequence[order], offset[order]
+    first = np.r_[True, sequence[1:] != sequence[:-1]][: len(n)]
+    assert (offset[first] == 0).all() and (offset[~first] == (offset + n)[:-1][~first[1:]]).all() and (offset + n <= 2048).all()
+    assert sorted(set(sequence.tolist())) == list(range(p.sequences))
+    # no plan can do with fewer sequences than the tokens fill, nor than there are documents of over half a sequence
+    least = max(-(-int(n.sum()) // 2048), int((n > 1024).sum()))
+    assert p.sequences <= least * 1.01 + 1
+    if kind == "even":  # the larger part is packed by patterns
+        assert p.exact > 0.5 * p.sequences
+
+
+def test_least_squares_are_not_negative():
+    rng = np.random.default_rng(4)
+    a, b = rng.random((12, 40)), rng.random(12) - 0.2
+    x = packing.nnls(a, b)
+    slope = a.T @ (b - a @ x)
+    assert (x >= 0).all() and slope.max() < 1e-6 and np.abs(slope[x > 0]).max() < 1e-6
