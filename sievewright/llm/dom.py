@@ -66,6 +66,8 @@ class Page:
         self.run_block: list[int] = []
         self._block, self._links, self._head, self._marked, self._svgs = 0, 0, False, marked, 0
         self._stack: list[tuple] = [(0, "#root", None)]
+        self._at: dict[str, list[int]] = {}  # places in the stack of the open elements of each tag
+        self._solid: list[int] = [0]  # and of all that are not inline
         at = 0
         while m := _MARKUP.search(source, at):
             if m.start() > at:
@@ -100,6 +102,9 @@ class Page:
     def _pop_to(self, k: int) -> None:
         while len(self._stack) > k:
             _, tag, before = self._stack.pop()
+            self._at[tag].pop()
+            if tag not in INLINE:
+                self._solid.pop()
             if tag == "a":
                 self._links -= 1
             if tag == "svg":
@@ -124,16 +129,17 @@ class Page:
             self._head = False
         if tag in ("html", "body", "br"):
             return
-        for k in range(len(self._stack) - 1, 0, -1):
-            own = self._stack[k][1]
-            if own == tag:
-                before = self._stack[k][2]
-                self._pop_to(k)
-                if tag in DROPPED:
-                    self._forget(before)
-                return
-            if (tag in INLINE and own not in INLINE) or (tag == "p" and own in DROPPED):
-                return
+        k = self._last((tag,))
+        if not k or (tag in INLINE and self._solid[-1] > k) or (tag == "p" and self._last(DROPPED) > k):
+            return
+        before = self._stack[k][2]
+        self._pop_to(k)
+        if tag in DROPPED:
+            self._forget(before)
+
+    def _last(self, tags) -> int:
+        """Place in the stack of the innermost open element of some tags; 0 if none is open."""
+        return max((at[-1] for t in tags if (at := self._at.get(t))), default=0)
 
     def _open(self, tag: str, attrs: str) -> None:
         if tag == "head":
@@ -155,13 +161,9 @@ class Page:
             self._end_p()
         if tag in CLOSES:
             what, until = CLOSES[tag]
-            for k in range(len(self._stack) - 1, 0, -1):
-                own = self._stack[k][1]
-                if own in until or own in DROPPED:
-                    break
-                if own in what:
-                    self._pop_to(k)
-                    break
+            k = self._last(what)
+            if k > max(self._last(until), self._last(DROPPED)):
+                self._pop_to(k)
         hint, truth = [], None
         if attrs and "=" in attrs:
             for name, a, b, c in _ATTR.findall(attrs):
@@ -190,34 +192,25 @@ class Page:
             self.index.append(self.children[up])
             self.children[up] += 1
             self.children.append(0)
+        self._at.setdefault(tag, []).append(len(self._stack))
+        if not inline:
+            self._solid.append(len(self._stack))
         self._stack.append((node, tag, before if tag in DROPPED or tag in _CHOICES else None))
 
     def _end_svg(self) -> None:
         """A block of HTML ends a drawing that was left open."""
-        for k in range(len(self._stack) - 1, 0, -1) if self._svgs else ():
-            own = self._stack[k][1]
-            if own in ("foreignobject", "desc"):
-                return
-            if own == "svg":
-                self._pop_to(k)
-                return
+        k = self._last(("svg",))
+        if k > self._last(("foreignobject", "desc")):
+            self._pop_to(k)
 
     def _end_choice(self) -> None:
-        for k in range(len(self._stack) - 1, 0, -1):
-            own = self._stack[k][1]
-            if own in _CHOICES:
-                self._pop_to(k)
-            elif own not in INLINE:
-                return
+        while (k := self._last(_CHOICES)) and self._solid[-1] <= k:
+            self._pop_to(k)
 
     def _end_p(self) -> None:
-        for k in range(len(self._stack) - 1, 0, -1):
-            own = self._stack[k][1]
-            if own == "p":
-                self._pop_to(k)
-                return
-            if own not in INLINE:
-                return
+        k = self._last(("p",))
+        if k and self._solid[-1] <= k:
+            self._pop_to(k)
 
     def text(self, chosen: np.ndarray) -> str:
         """Text of the chosen nodes: white space inside a block becomes one blank, blocks are joined by one blank."""

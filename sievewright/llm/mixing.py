@@ -68,6 +68,33 @@ def inclusion(sized: DataFrame, targets: DataFrame) -> DataFrame:
     return per.select("src", "k", p.alias("p"), F.coalesce("open.left", F.lit(0.0)).alias("left"))
 
 
+def closing_sizes(free: DataFrame, gaps: DataFrame) -> DataFrame:
+    """How many rows of which size close each source's ``gap``: the largest that fits, as often as it fits and occurs, then the next; at last one more of the smallest size that is left, if that brings the source nearer.
+
+    ``free`` has ``src`` and ``size``, one row a document; ``gaps`` has ``src`` and ``gap``. Returns ``src``, ``size``, ``take``.
+    A source's fold goes over its distinct sizes up to the gap, which is less than one row's size; its result has few entries, since a size taken as often as it fits leaves less than itself.
+    """
+    sizes = free.groupBy("src", "size").agg(F.count("*").alias("n")).join(gaps.where("gap > 0"), "src")
+    fits = F.col("size") <= F.col("gap")
+    per = sizes.groupBy("src").agg(
+        F.max("gap").alias("gap"), F.min(F.when(~fits, F.col("size"))).alias("over"), F.sort_array(F.collect_list(F.when(fits, F.struct("size", "n"))), asc=False).alias("sizes")
+    )
+    takes = "array<struct<size: long, take: long>>"
+    start = F.struct(F.col("gap").alias("gap"), F.array().cast(takes).alias("takes"))
+
+    def step(s, x):
+        take = F.least(F.floor(s["gap"] / x["size"]), x["n"])
+        taken = F.concat(s["takes"], F.array(F.struct(x["size"].alias("size"), take.alias("take"))))
+        return F.when(take > 0, F.struct((s["gap"] - take * x["size"]).alias("gap"), taken.alias("takes"))).otherwise(s)
+
+    per = per.withColumn("end", F.aggregate("sizes", start, step))
+    used = lambda x: F.coalesce(F.get(F.filter(F.col("end.takes"), lambda t: t["size"] == x["size"]), F.lit(0))["take"], F.lit(0))
+    least = F.least(F.array_min(F.transform(F.filter("sizes", lambda x: x["n"] > used(x)), lambda x: x["size"])), F.col("over"))
+    nearer = F.abs(least - F.col("end.gap")) < F.col("end.gap")
+    last = F.when(nearer, F.array(F.struct(least.alias("size"), F.lit(1).cast("long").alias("take")))).otherwise(F.array().cast(takes))
+    return per.select("src", F.inline(F.concat("end.takes", last))).groupBy("src", "size").agg(F.sum("take").alias("take"))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: int = 17, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """How often each row enters a mix whose sources give their targets' words.
 
@@ -75,9 +102,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, se
     still needed come from a Pareto order sample. In it a row's inclusion probability p falls with the square root of
     its size (by classes of powers of two) and sums, over the rows' words, to the need; small rows whose p would pass 1
     are certain. A row's rank is the odds of a random number over the odds of its p. The sample has a fixed size in
-    words: rows enter in rank order while they fit below the need. One more row closes the source: of those left, the
-    one whose size is nearest to what is still open, if that brings the source nearer to its target. So a source misses
-    its target by less than half its smallest free row, as a rule by nothing.
+    words: rows enter in rank order while they fit below the need. What is then still open, less than one row, is closed
+    by free rows: the largest size that fits, as often as it fits, then the next, the first rows by rank of each; at last
+    one more of the smallest free size, if that brings the source nearer to its target. So a source misses its target
+    by at most half its smallest free row, as a rule by nothing.
 
     Returns the id column, ``source``, ``size``, ``source_size``, ``target``, ``copies`` (int) and ``taken`` (long,
     ``copies * size``). Null text: size 0, taken 0 words. Null source: a source of its own, last. Rows with equal ids
@@ -120,10 +148,15 @@ def _sampled(docs: DataFrame, weights: tuple[int, ...], most: int, seed: int, id
     cells = cells.withColumn("base", F.sum("w").over(W.partitionBy("src").orderBy("cell")) - F.col("w")).drop("w")
     inside = F.sum("size").over(W.partitionBy("src", "cell").orderBy("rank", "id", "crc").rowsBetween(W.unboundedPreceding, 0))
     ranked = ranked.withColumn("inside", inside).join(cells, ["src", "cell"]).withColumn("fits", F.col("base") + F.col("inside") <= F.col("left"))
-    ranked = stash(ranked.select("id", "src", "crc", "size", "rank", "left", "fits"), "mix")
+    ranked = stash(ranked.select("id", "src", "crc", "size", "rank", "cell", "left", "fits"), "mix")
     gaps = ranked.groupBy("src").agg((F.max("left") - F.sum(F.when(F.col("fits"), F.col("size")).otherwise(0))).alias("gap"))
-    near = ranked.where("not fits").join(gaps, "src").withColumn("off", F.abs(F.col("size") - F.col("gap"))).where("off < gap")
-    closing = near.groupBy("src").agg(F.min(F.struct("off", "rank", "id", "crc")).alias("m")).select("m.id", "src", "m.crc")
+    free = ranked.where("not fits")
+    wanted = closing_sizes(free, gaps)
+    # the first rows by rank of each size that closes: whole cells first, so that no size is one task's work
+    cells = free.join(wanted, ["src", "size"]).groupBy("src", "size", "cell").agg(F.count("*").alias("n"), F.max("take").alias("take"))
+    cells = cells.withColumn("left", F.col("take") - (F.sum("n").over(W.partitionBy("src", "size").orderBy("cell")) - F.col("n"))).where("left > 0").select("src", "size", "cell", "left")
+    near = free.drop("left").join(cells, ["src", "size", "cell"])
+    closing = near.withColumn("nth", F.row_number().over(W.partitionBy("src", "size", "cell").orderBy("rank", "id", "crc"))).where("nth <= left").select("id", "src", "crc")
     picked = certain.union(ranked.where("fits").select("id", "src", "crc")).union(closing)
     picked = stash(picked.groupBy(F.col("id").alias("pid"), F.col("src").alias("psrc"), F.col("crc").alias("pcrc")).agg(F.count("*").alias("extra")), "mix")
     release(ranked)
@@ -147,7 +180,7 @@ def sample(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3,
 
 #: The same law in SQL; rows are told apart by their number, which decides only between rows of equal ids.
 ORACLE_SQL = """
-WITH docs AS (
+WITH RECURSIVE docs AS (
   SELECT doc_id AS id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
          row_number() OVER () AS rid FROM documents),
 per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM docs GROUP BY source),
@@ -169,8 +202,17 @@ p AS (SELECT src, k, CASE WHEN k0 IS NULL OR k < k0 THEN 1.0 ELSE (max(CASE WHEN
 f AS (SELECT u.*, p, lft, u / (1 - u) * ((1 - p) / p) AS rank FROM u JOIN p ON u.src = p.src AND u.k = p.k),
 r AS (SELECT *, sum(size) OVER (PARTITION BY src ORDER BY rank, id, rid ROWS UNBOUNDED PRECEDING) <= lft AS fits FROM f WHERE p < 1),
 g AS (SELECT src, max(lft) - sum(CASE WHEN fits THEN size ELSE 0 END) AS gap FROM r GROUP BY src),
-e AS (SELECT rid, row_number() OVER (PARTITION BY r.src ORDER BY abs(size - gap), rank, id, rid) AS nth FROM r JOIN g ON r.src = g.src WHERE NOT fits AND abs(size - gap) < gap),
-x AS (SELECT rid FROM f WHERE p >= 1 UNION ALL SELECT rid FROM r WHERE fits UNION ALL SELECT rid FROM e WHERE nth = 1)
+z AS (SELECT r.src, size, count(*) AS n, any_value(gap) AS gap FROM r JOIN g ON r.src = g.src WHERE NOT fits AND gap > 0 GROUP BY r.src, size),
+d AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY size DESC) AS nth FROM z WHERE size <= gap),
+w2 AS (
+  SELECT src, CAST(0 AS BIGINT) AS nth, CAST(0 AS BIGINT) AS size, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS take, CAST(any_value(gap) AS DOUBLE) AS gap FROM z GROUP BY src
+  UNION ALL
+  SELECT w2.src, d.nth, d.size, d.n, CAST(least(floor(w2.gap / d.size), d.n) AS BIGINT), w2.gap - least(floor(w2.gap / d.size), d.n) * d.size FROM w2 JOIN d ON d.src = w2.src AND d.nth = w2.nth + 1),
+y AS (SELECT src, max_by(gap, nth) AS gap FROM w2 GROUP BY src),
+v2 AS (SELECT z.src, min(z.size) AS size, any_value(y.gap) AS gap FROM z JOIN y ON z.src = y.src LEFT JOIN w2 ON w2.src = z.src AND w2.size = z.size WHERE z.n > coalesce(w2.take, 0) GROUP BY z.src),
+q AS (SELECT src, size, sum(take) AS take FROM (SELECT src, size, take FROM w2 WHERE take > 0 UNION ALL SELECT src, size, 1 FROM v2 WHERE abs(size - gap) < gap) GROUP BY src, size),
+e AS (SELECT rid, row_number() OVER (PARTITION BY r.src, r.size ORDER BY rank, id, rid) <= take AS taken FROM r JOIN q ON r.src = q.src AND r.size = q.size WHERE NOT fits),
+x AS (SELECT rid FROM f WHERE p >= 1 UNION ALL SELECT rid FROM r WHERE fits UNION ALL SELECT rid FROM e WHERE taken)
 SELECT d.id AS doc_id, d.size, n.source_size, n.target, CAST((whole + CASE WHEN d.rid IN (SELECT rid FROM x) THEN 1 ELSE 0 END) * d.size AS BIGINT) AS taken,
        CAST(whole + CASE WHEN d.rid IN (SELECT rid FROM x) THEN 1 ELSE 0 END AS INTEGER) AS copies
 FROM docs d JOIN n ON coalesce(d.source, chr(1)) = n.src"""

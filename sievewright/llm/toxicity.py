@@ -43,9 +43,10 @@ def segments(at: list[int], gain: list[float], other: float) -> list[tuple[float
 
     ``at`` and ``gain``: places and scores of the tokens that score above 0 or otherwise than ``other``, which every
     token between them scores. The scan keeps disjoint candidates with the running totals before and after each;
-    a new candidate joins those whose total before is lower, as long as that raises the score.
+    a new candidate joins those whose total before is lower, as long as that raises the score. Each candidate holds a
+    link to the nearest earlier one with a lower total before it, so that no candidate is passed over twice.
     """
-    out: list[tuple[float, float, int, int]] = []  # total before, total after, first, end
+    out: list[tuple[float, float, int, int, int]] = []  # total before, total after, first, end, link
     total, last = 0.0, 0
     for p, g in zip(at, gain):
         before = total + other * (p - last)
@@ -53,17 +54,15 @@ def segments(at: list[int], gain: list[float], other: float) -> list[tuple[float
         total, last = after, p + 1
         if g <= 0:
             continue
-        lo, hi, first, end = before, after, p, p + 1
-        while True:
-            j = len(out) - 1
-            while j >= 0 and out[j][0] >= lo:
-                j -= 1
-            if j < 0 or out[j][1] >= hi:
-                break
-            lo, first = out[j][0], out[j][2]
+        lo, first, j = before, p, len(out) - 1
+        while j >= 0 and out[j][0] >= lo:
+            j = out[j][4]
+        while j >= 0 and out[j][1] < after:
+            lo, _, first, _, link = out[j]
             del out[j:]
-        out.append((lo, hi, first, end))
-    return [(hi - lo, first, end) for lo, hi, first, end in out]
+            j = link
+        out.append((lo, after, first, p + 1, j))
+    return [(hi - lo, first, end) for lo, hi, first, end, _ in out]
 
 
 def scan(texts: list[str], m: Model, cutoff: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[tuple[float, int, int]]]]:

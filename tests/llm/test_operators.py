@@ -113,6 +113,13 @@ def test_pages_give_their_articles(spark):
         assert got[p.page_id].text == want and got[p.page_id].n_chars == len(want)
 
 
+@pytest.mark.parametrize("source", ["<div>" * 100_000 + "</x>" * 100_000, "<ul>" + "<div>" * 100_000 + "<li></li>" * 100_000, "<svg><desc>" + "<div>" * 100_000 + "<p>" * 100_000])
+def test_reader_takes_linear_time(source):
+    start = time.process_time()
+    dom.Page(source)
+    assert time.process_time() - start < 20
+
+
 def test_reader_on_broken_markup():
     p = dom.Page("<div>a<p>b<b>c<p>d &amp; e &am <script>x<p></script><li>f<li>g<!-- x --><td>h <b x='>'>i</b><unclosed")
     assert p.text(np.ones(len(p.tag), bool)) == "a bc d & e &am f g h i"
@@ -195,6 +202,14 @@ def test_segments_are_the_maximal_ones():
         assert got == [(round(s, 6), i, j) for s, i, j in brute_segments(full)]
 
 
+def test_segments_of_a_million_tokens_take_linear_time():
+    """Totals that drift down leave all candidates standing, so that a walk back over them would be quadratic."""
+    gain = np.where(np.arange(1_000_000) % 3 < 2, 1.5, -1.0).tolist()
+    start = time.process_time()
+    got = toxicity.segments(list(range(0, 10_000_000, 10)), gain, -0.3)
+    assert len(got) == 666_667 and time.process_time() - start < 20
+
+
 def test_toxicity_on_the_held_out_fold(spark):
     sf = "/root/testdata/sf0.01"
     r = queries.op3_toxicity(spark, sf).join(common.table(spark, sf, "labels"), "doc_id").where("held_out").toPandas()
@@ -371,6 +386,41 @@ def brute_targets(sizes, weights=(5, 2, 1), most=3):
         capped |= over
 
 
+def misses_little(rows, target):
+    """What a source gives lies within half its smallest row that could still be taken or left."""
+    free = rows.loc[(rows["size"] > 0) & (rows["copies"] == rows.loc[rows["size"] > 0, "copies"].min()), "size"]
+    return abs(target - rows["taken"].sum()) <= free.min() / 2
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_small_rows_close_a_source(spark, seed):
+    """A large row that does not fit keeps no smaller one out."""
+    rows = [(i, "a", "w " * 1000) for i in range(3)] + [(10 + i, "b", "w") for i in range(600)] + [(1000 + i, "b", "w " * 300) for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    r = mixing.mix(df, weights=(39, 6), seed=seed).toPandas()
+    b = r[r["source"] == "b"]
+    assert b["target"].iloc[0] == pytest.approx(600) and b["taken"].sum() == 600
+
+
+def test_closing_sizes(spark):
+    """The largest size that fits, as often as it fits and occurs, then the next; at last one more of the smallest left, if nearer."""
+    rng = np.random.default_rng(5)
+    free = [(f"s{k}", int(n)) for k in range(12) for n in rng.choice([1, 2, 3, 7, 20, 21, 50, 400] if k % 2 else [5, 9, 30, 31, 800], rng.integers(1, 60))]
+    gaps = {f"s{k}": float(rng.integers(0, 600)) + 0.25 for k in range(12)}
+    got = defaultdict(dict)
+    for r in mixing.closing_sizes(spark.createDataFrame(free, "src string, size long"), spark.createDataFrame(list(gaps.items()), "src string, gap double")).collect():
+        got[r.src][r["size"]] = r["take"]
+    for s, gap in gaps.items():
+        left, want = Counter(n for x, n in free if x == s), Counter()
+        for n in sorted((n for n in left if n <= gap), reverse=True):
+            k = min(int(gap // n), left[n])
+            want[n], left[n], gap = want[n] + k, left[n] - k, gap - k * n
+        least = min((n for n in left if left[n]), default=None)
+        if least and abs(least - gap) < gap:
+            want[least] += 1
+        assert got[s] == {n: k for n, k in want.items() if k}
+
+
 def test_targets_and_sample(spark, docs):
     size = {r.doc_id: (r.source, len(WORD.findall(r.text))) for r in docs.collect()}
     sums = defaultdict(int)
@@ -386,7 +436,7 @@ def test_targets_and_sample(spark, docs):
     for s, g in r.groupby("source"):
         whole = math.floor(want[s] / sums[s])
         assert set(g.loc[g["size"] > 0, "copies"]) <= {whole, whole + 1}
-        assert abs(want[s] - g["taken"].sum()) <= g["size"].max() / 2
+        assert misses_little(g, want[s])
     rows = mixing.sample(docs)
     assert rows.columns == docs.columns
     taken = defaultdict(int, zip(r["doc_id"], r["copies"]))
