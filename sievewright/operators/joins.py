@@ -26,43 +26,48 @@ def match_works(listings: DataFrame, works: DataFrame, coverage: float = I.COVER
     names have no tokens match nothing. Returns ``lid``, ``work_id`` and ``hits``, the most tokens of a name.
     """
     titles = listings.select("title", "is_br", "magnet").distinct().withColumn("tid", title_id())
-    met = matched_titles(titles, works, coverage)
-    return listings.withColumn("tid", title_id()).join(met, "tid").select("lid", "work_id", "hits")
+    profiles, pairs = matched_profiles(titles, works, coverage)
+    return listings.withColumn("tid", title_id()).join(profiles.select("tid", "profile"), "tid").join(pairs, "profile").select("lid", "work_id", "hits")
 
 
 def title_id() -> Column:
     return F.xxhash64("title", "is_br", F.coalesce("magnet", F.lit("")))
 
 
-def matched_titles(titles: DataFrame, works: DataFrame, coverage: float) -> DataFrame:
-    """What ``match_works`` says of distinct titles: ``tid``, ``work_id``, ``hits``. ``titles`` has ``tid``, ``title``, ``is_br`` and ``magnet``.
+def matched_profiles(titles: DataFrame, works: DataFrame, coverage: float) -> tuple[DataFrame, DataFrame]:
+    """What ``match_works`` says of distinct titles: the ``profile`` of each title (``tid`` and its other columns), and ``work_id`` and ``hits`` of each profile.
 
-    Guards that need only tokens are settled between distinct token lists and kinds of names (their telling tokens,
-    leading token and universe), whose hashes stand for them afterwards. The pairs left meet the works: titles of films
-    with one year only those of the years around it, all others those of their kind. What travels are numbers.
+    Guards that need only tokens are settled between titles and kinds of names (their telling tokens, leading token and
+    universe). What a title is to the works is then told by the kinds it may name and by its numbers, years and
+    episodes: its profile, which very many titles share. Only profiles meet the works, those of films with one year only
+    the works of the years around it. Each title is parsed once. ``titles`` has ``tid``, ``title``, ``is_br``, ``magnet``.
     """
     named = works.select("work_id", "year", "is_series", "season", "episode", F.array_distinct(F.flatten(F.transform("names", tokens))).alias("universe"), F.explode("names").alias("name"))
     named = named.withColumn("nt", tokens(F.col("name"))).where("size(nt) > 0").drop("name")
     named = named.withColumns({"wanted": I.wanted_tokens(F.col("nt")), "universe": F.array_sort(I.telling_tokens(F.col("universe"))), "lead": I.leading_token(F.col("nt")), "asks": F.col("season").isNotNull(), "own": I.sequence_markers(F.col("nt"))})
     kind = ["wanted", "lead", "universe", "is_series", "asks"]
     named = named.withColumn("kind", F.xxhash64(*kind))
-    full = titles.withColumn("tt", tokens(F.col("title"))).withColumn("list", F.xxhash64("tt", "is_br"))
-    part = I.work_part(F.col("tt"))
-    parsed = season_episode(F.array_join("tt", " "))
-    silent = (F.size(parsed["seasons"]) == 0) & (F.size(parsed["episodes"]) == 0) & ~parsed["complete"] & ~parsed["season_pack"]
-    lists = full.select("list", "tt", "is_br").distinct()
-    lists = lists.withColumns({"bag": F.array_sort(F.array_distinct("tt")), "first": I.leading_token(F.col("tt")), "telling": I.telling_tokens(F.col("tt")), "part": I.telling_tokens(part), "silent": silent})
     names = named.select("kind", *kind).distinct()
-    met = match_token_lists(lists.select(F.col("bag").alias("tt")).distinct(), names.select(F.col("wanted").alias("nt")).distinct(), coverage)
-    met = met.select(F.col("tt").alias("bag"), F.col("nt").alias("wanted"), "hits")
+    split = titles.withColumn("tt", tokens(F.col("title"))).withColumn("bag", F.array_sort(F.array_distinct("tt"))).withColumn("list", F.xxhash64("bag"))
+    met = match_token_lists(split.select("list", "bag").distinct(), names.select("wanted").distinct(), coverage)
+    # one pass over the titles of which some name holds enough
+    parsed = season_episode(F.col("title"))
+    full = split.drop("bag").join(met, "list").withColumn("names", F.col("met")).drop("met", "list")
+    full = full.withColumns({"parsed": parsed, "first": I.leading_token(F.col("tt")), "telling": I.telling_tokens(F.col("tt")), "part": I.telling_tokens(I.work_part(F.col("tt")))})
+    full = full.withColumns({"marks": F.array_sort(I.sequence_markers(F.col("tt"))), "years": F.array_sort(I.years_of(F.col("tt"))), "linked": F.array_sort(I.magnet_years(F.col("magnet")))}).drop("tt")
+    silent = (F.size(F.col("parsed.seasons")) == 0) & (F.size(F.col("parsed.episodes")) == 0) & ~F.col("parsed.complete") & ~F.col("parsed.season_pack")
+    near = full.withColumn("of", F.explode("names")).drop("names").select("*", "of.wanted_id", "of.hits").drop("of").join(names.withColumn("wanted_id", F.xxhash64("wanted")), "wanted_id")
     whole = I.title_precision(F.col("telling"), F.col("universe"))
     inside = I.title_precision(F.coalesce("part", "telling"), F.col("universe"))
     begins = F.col("first") == F.col("lead")
     strict = begins & (inside >= F.when(F.col("is_series"), I.SERIES_PRECISION).otherwise(I.FILM_PRECISION))
-    loose = (F.col("is_series") | begins) & (F.col("part").isNull() | (inside >= I.SERIES_PRECISION)) & (~F.col("asks") | ~F.col("silent") | (whole >= I.SERIES_PRECISION))
-    near = met.join(lists, "bag").join(names, "wanted").where(F.when(F.col("is_br"), strict).otherwise(loose)).select("list", "kind", (~F.col("is_series")).alias("film"), "hits")
-    shown = full.select("tid", "list", I.sequence_markers(F.col("tt")).alias("marks"), I.years_of(F.col("tt")).alias("years"), I.magnet_years(F.col("magnet")).alias("linked"), season_episode(F.col("title")).alias("parsed"))
-    candidates = shown.join(near, "list").drop("list")
+    loose = (F.col("is_series") | begins) & (F.col("part").isNull() | (inside >= I.SERIES_PRECISION)) & (~F.col("asks") | ~silent | (whole >= I.SERIES_PRECISION))
+    near = near.where(F.when(F.col("is_br"), strict).otherwise(loose))
+    told = ["marks", "years", "linked", "parsed"]
+    own = [c for c in titles.columns if c not in ("tid", "title", "is_br", "magnet")]
+    kinds = F.array_sort(F.collect_set(F.struct("kind", (~F.col("is_series")).alias("film"), "hits"))).alias("kinds")
+    titled = near.groupBy("tid").agg(kinds, *[F.first(c).alias(c) for c in [*told, *own]]).withColumn("profile", F.xxhash64("kinds", *told))
+    candidates = titled.groupBy("profile").agg(*[F.first(c).alias(c) for c in ["kinds", *told]]).withColumn("k", F.explode("kinds")).select("profile", *told, "k.*")
     # the years that a work may be of; null stands for any
     around = F.when(F.col("film") & (F.size("years") == 1), F.sequence(F.get("years", F.lit(0)) - I.YEARS_OFF, F.get("years", F.lit(0)) + I.YEARS_OFF))
     work = named.select("work_id", F.col("kind").alias("of"), "year", "is_series", "season", "episode", "own", "asks")
@@ -72,28 +77,35 @@ def matched_titles(titles: DataFrame, works: DataFrame, coverage: float) -> Data
     sequel = F.col("film") & (F.size(F.array_except("marks", "own")) > 0)
     linked = F.col("film") & ~F.col("asks") & I.year_contradicts(F.col("linked"), F.col("year"), F.lit(False))
     wrong = sequel | linked | I.year_contradicts(F.col("years"), F.col("year"), F.col("is_series")) | ~fits_episode(F.col("parsed"), F.col("season"), F.col("episode"))
-    return pairs.where(~wrong).groupBy("tid", "work_id").agg(F.max("hits").alias("hits"))
+    return titled.select("tid", "profile", *own), pairs.where(~wrong).groupBy("profile", "work_id").agg(F.max("hits").alias("hits"))
 
 
-def match_token_lists(titles: DataFrame, wanted: DataFrame, coverage: float) -> DataFrame:
-    """Pairs of distinct token lists ``tt`` and ``nt`` of which the first holds enough of the second, with ``hits``."""
-    often = titles.select(F.explode("tt").alias("t")).groupBy("t").agg(F.count("*").alias("often"))
-    ranked = wanted.select("nt", F.explode("nt").alias("t")).join(often, "t", "left")
-    ranked = ranked.withColumn("rank", F.row_number().over(W.partitionBy("nt").orderBy(F.coalesce("often", F.lit(0)), "t")))
-    need = F.ceil(F.size("nt") * F.lit(coverage) - 1e-9)
-    probe = ranked.where(F.col("rank") <= F.size("nt") - need + 1).select("nt", "t")
-    met = titles.select("tt", F.explode("tt").alias("t")).join(probe, "t").select("tt", "nt").distinct()
-    return met.withColumn("hits", F.size(F.array_intersect("tt", "nt")).cast("long")).where(F.col("hits") >= need)
+def match_token_lists(bags: DataFrame, wanted: DataFrame, coverage: float) -> DataFrame:
+    """For distinct token lists (``list``, ``bag``) those wanted lists of which they hold enough: ``list`` and ``met``, an array of ``wanted_id`` and ``hits``.
+
+    A list that holds ``need`` of n tokens holds one of the n - need + 1 rarest, so only these are joined. A pair is
+    taken at the rarest of them that the list holds and at no other, so that nothing is made twice.
+    """
+    often = bags.select(F.explode("bag").alias("t")).groupBy("t").agg(F.count("*").alias("often"))
+    each = wanted.select(F.xxhash64("wanted").alias("wanted_id"), "wanted", F.explode("wanted").alias("t")).join(often, "t", "left")
+    ranked = each.groupBy("wanted_id").agg(F.first("wanted").alias("wanted"), F.transform(F.sort_array(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("o"), "t"))), lambda x: x["t"]).alias("rare"))
+    need = F.ceil(F.size("wanted") * F.lit(coverage) - 1e-9)
+    probe = ranked.select("wanted_id", "wanted", F.slice("rare", F.lit(1), (F.size("wanted") - need + 1).cast("int")).alias("rare"))
+    probe = probe.select("wanted_id", "wanted", "rare", F.posexplode("rare").alias("pos", "t"))
+    met = bags.select("list", "bag", F.explode("bag").alias("t")).join(probe, "t").where(~F.arrays_overlap("bag", F.slice("rare", F.lit(1), F.col("pos"))))
+    met = met.withColumn("hits", F.size(F.array_intersect("bag", "wanted")).cast("long")).where(F.col("hits") >= need)
+    return met.groupBy("list").agg(F.collect_list(F.struct("wanted_id", "hits")).alias("met"))
 
 
 def match_counts(listings: DataFrame, works: DataFrame, coverage: float = I.COVERAGE) -> DataFrame:
     """What ``match_works`` finds, counted per work: ``titles`` (distinct ones), ``n_listings`` and the most ``hits``.
 
-    Listings are counted per title first, so a title's listings never multiply. Works without a match have no row.
+    Listings are counted per title and titles per profile first, so neither multiplies with the works. Works without a match have no row.
     """
     titles = listings.groupBy("title", "is_br", "magnet").agg(F.count("*").alias("n")).withColumn("tid", title_id())
-    met = matched_titles(titles.drop("n"), works, coverage).join(titles.select("tid", "n"), "tid")
-    return met.groupBy("work_id").agg(F.count("*").alias("titles"), F.sum("n").alias("n_listings"), F.max("hits").alias("hits"))
+    profiles, pairs = matched_profiles(titles, works, coverage)
+    sums = profiles.groupBy("profile").agg(F.count("*").alias("titles"), F.sum("n").alias("n"))
+    return pairs.join(sums, "profile").groupBy("work_id").agg(F.sum("titles").alias("titles"), F.sum("n").alias("n_listings"), F.max("hits").alias("hits"))
 
 
 def match_inventory(items: DataFrame, works: DataFrame, coverage: float = I.COVERAGE) -> DataFrame:

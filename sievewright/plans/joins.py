@@ -40,10 +40,10 @@ def _marks(x: str) -> str:
 
 
 _PRECISION = "(CASE WHEN len(telling) = 0 THEN 1.0 ELSE len(list_filter(telling, lambda t: list_contains(universe, t))) / len(telling) END)"
-#: Titles (title, is_br) and works (work_id, name, year, is_series, asks) paired by the rules of ``match_works``; titles with an episode's mark do not occur.
+#: Titles (title, is_br) and works (work_id, name, all_names, year, is_series, asks) paired by the rules of ``match_works``; titles with an episode's mark do not occur.
 _MATCHED = f"""tf AS (SELECT *, {_lead('tt')} AS first, {_telling('tt')} AS telling, {_marks('tt')} AS marks, list_transform(list_filter(tt, lambda t: regexp_matches(t, '{I.YEAR}')), lambda t: CAST(t AS INTEGER)) AS years
   FROM (SELECT *, string_split({_NORM.format('title')}, ' ') AS tt FROM titles)),
-wf AS (SELECT *, {_lead('nt')} AS lead, {_telling('nt')} AS universe, {_wanted('nt')} AS wanted, {_marks('nt')} AS own FROM (SELECT *, string_split({_NORM.format('name')}, ' ') AS nt FROM named)),
+wf AS (SELECT *, {_lead('nt')} AS lead, {_telling('ut')} AS universe, {_wanted('nt')} AS wanted, {_marks('nt')} AS own FROM (SELECT *, string_split({_NORM.format('name')}, ' ') AS nt, string_split({_NORM.format('all_names')}, ' ') AS ut FROM named)),
 covered AS (SELECT bag, wanted, len(list_intersect(bag, wanted)) AS hits FROM (SELECT DISTINCT list_sort(list_distinct(tt)) AS bag FROM tf), (SELECT DISTINCT wanted FROM wf) WHERE len(list_intersect(bag, wanted)) >= ceil(0.6 * len(wanted) - 1e-9)),
 kinds AS (SELECT DISTINCT wanted, lead, universe, is_series, asks FROM wf),
 near AS (SELECT DISTINCT tf.tt, tf.is_br, kinds.*, hits FROM covered JOIN tf ON list_sort(list_distinct(tf.tt)) = covered.bag JOIN kinds ON kinds.wanted = covered.wanted
@@ -56,7 +56,7 @@ met AS (SELECT DISTINCT tf.title, tf.is_br, wf.work_id, hits FROM tf JOIN near O
 @query(
     with_cte(LISTINGS, WORKS)
     + f""", counted AS (SELECT concat(title, ' ', 1980 + indexer % 8 * 5) AS title, is_br, count(*) AS n FROM listings GROUP BY ALL), titles AS (SELECT title, is_br FROM counted),
-named AS (SELECT work_id, alias AS name, year, is_series, is_series AS asks FROM works), {_MATCHED}
+named AS (SELECT work_id, alias AS name, alias AS all_names, year, is_series, is_series AS asks FROM works), {_MATCHED}
 SELECT work_id, count(*) AS titles, CAST(sum(n) AS BIGINT) AS n_listings, CAST(max(hits) AS BIGINT) AS hits FROM met JOIN counted USING (title, is_br) GROUP BY work_id"""
 )
 def jn1_match_works(spark, sf):
@@ -66,9 +66,15 @@ def jn1_match_works(spark, sf):
     return J.match_counts(rows, _named(spark, sf, "alias"))
 
 
-@query()
+@query(
+    with_cte(LISTINGS, WORKS)
+    + f""", counted AS (SELECT title, is_br, count(*) AS n FROM listings GROUP BY ALL), titles AS (SELECT title, is_br FROM counted),
+named AS (SELECT work_id, unnest([name, alias]) AS name, concat(name, ' ', alias) AS all_names, year, is_series, is_series AS asks FROM works), {_MATCHED},
+once AS (SELECT title, is_br, work_id, max(hits) AS hits FROM met GROUP BY ALL)
+SELECT work_id, count(*) AS titles, CAST(sum(n) AS BIGINT) AS n_listings, CAST(max(hits) AS BIGINT) AS hits FROM once JOIN counted USING (title, is_br) GROUP BY work_id"""
+)
 def jn1_match_all_works(spark, sf):
-    """All listings against all works by either of their names, counted per work. No SQL: both names of a work share its universe; the operator is tested by cases."""
+    """All listings against all works by either of their names, which share the work's universe, counted per work."""
     rows = listings(spark, sf).select("title", "is_br", F.lit(None).cast("string").alias("magnet"))
     return J.match_counts(rows, _named(spark, sf, "name", "alias"))
 
@@ -81,16 +87,18 @@ def _named(spark, sf, *names):
 @query(
     with_cte(LISTINGS, SNAPSHOT, WORKS)
     + f""", best AS (SELECT hash, min(title) AS title FROM listings GROUP BY hash), items AS (SELECT service_id AS lid, title, service_id % 5 = 0 AS multi_work FROM snapshot JOIN best USING (hash)),
-titles AS (SELECT DISTINCT title, FALSE AS is_br FROM items), named AS (SELECT work_id, name, year, is_series, is_series AS asks FROM works), {_MATCHED},
+titles AS (SELECT DISTINCT title, FALSE AS is_br FROM items), named AS (SELECT work_id, name, name AS all_names, year, is_series, is_series AS asks FROM works), {_MATCHED},
 plain AS (SELECT lid, work_id FROM items JOIN met USING (title)),
 root AS (SELECT DISTINCT lid, work_id FROM items JOIN works w ON NOT w.is_series AND contains(' ' || {_NORM.format('title')} || ' ', ' ' || {_NORM.format('w.name')} || ' ') WHERE multi_work AND lid NOT IN (SELECT lid FROM plain))
 SELECT work_id, how, count(*) AS n FROM (SELECT lid, work_id, 'name' AS how FROM plain UNION ALL SELECT lid, work_id, 'root' FROM root) GROUP BY work_id, how"""
 )
 def jn2_match_inventory(spark, sf):
-    """Accounts' rows against works by name and by franchise; names of two words are their own roots here."""
+    """Accounts' rows, counted per title, against works by name and by franchise; names of two words are their own roots here."""
     items = snapshot(spark, sf).join(listings(spark, sf).groupBy("hash").agg(F.min("title").alias("title")), "hash")
-    items = items.select(F.col("service_id").alias("lid"), "title", (F.col("service_id") % 5 == 0).alias("multi_work"), F.lit(False).alias("is_br"), F.lit(None).cast("string").alias("magnet"))
-    return J.match_inventory(items, _named(spark, sf, "name")).groupBy("work_id", "how").agg(F.count("*").alias("n"))
+    items = items.groupBy("title", (F.col("service_id") % 5 == 0).alias("multi_work")).agg(F.count("*").alias("rows")).withColumn("lid", F.xxhash64("title", "multi_work"))
+    asked = items.select("lid", "title", "multi_work", F.lit(False).alias("is_br"), F.lit(None).cast("string").alias("magnet"))
+    met = J.match_inventory(asked, _named(spark, sf, "name")).join(items.select("lid", "rows"), "lid")
+    return met.groupBy("work_id", "how").agg(F.sum("rows").alias("n"))
 
 
 _INDEX = "idx AS (SELECT lid, hash, seen_at, work_id, CASE WHEN indexer % 3 = 0 THEN NULL ELSE season END AS season, CASE WHEN indexer % 3 <= 1 THEN NULL ELSE episode END AS episode FROM listings)"
