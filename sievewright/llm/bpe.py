@@ -66,6 +66,8 @@ class Vocabulary:
         #: Decimal form of every id; letter of every byte but the line end, which no word holds.
         self.numbers = {i: str(i) for i in self.names}
         self.letters = str.maketrans({chr(b): c for b, c in enumerate(byte_letters()) if b != 10})
+        #: Symbol of every letter inside a word and at its end, or -1.
+        self.symbol, self.last_symbol = (np.array([self.ids.get(chr(c) + e, -1) for c in range(512)], np.int64) for e in ("", self.end))
         #: Tokens that may be proposed: those that encode to themselves.
         self.open: dict[str, int] = {}
         for t, i in self.ids.items():
@@ -182,18 +184,18 @@ class Coder:
     """Encodes and decodes with caches of bounded size; one a Python worker.
 
     What is known of a chunk (a run without white space) stands in tables: its tokens and, of those asked for, their
-    decimal ids joined by one blank, their decoded text, and their ids as bytes. A text's digests are joined from those
-    without going through its tokens.
+    decimal ids joined by one blank and their decoded text. A text's digests are joined from those without going through
+    its tokens. ``binary``: tokens are kept as bytes, 32 bits an id from the lowest on, and nothing else is.
     """
 
-    def __init__(self, vocab: Vocabulary, most_cached: int = 300_000, tables: tuple[str, ...] = ("decimal", "decoded")):
-        self.v, self.most, self.tables = vocab, most_cached, tables
+    def __init__(self, vocab: Vocabulary, most_cached: int = 300_000, binary: bool = False):
+        self.v, self.most, self.binary = vocab, most_cached, binary
+        self.tables = () if binary else ("decimal", "decoded")
         self.exact = self.proposed = 0
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.chunks: dict[str | int, tuple[int, ...]] = {}
+        self.words: dict[str, tuple[int, ...] | bytes] = {}
+        self.chunks: dict[str | int, tuple[int, ...] | bytes] = {}
         self.decimal: dict[str | int, str] = {}
         self.decoded: dict[str | int, str] = {}
-        self.packed: dict[str | int, bytes] = {}
         self.forget()
 
     def forget(self, but: Iterable[str | int] = ()) -> None:
@@ -204,17 +206,14 @@ class Coder:
             setattr(self, name, dict(zip(held, map(old.__getitem__, held))))
         words = [c for c in held if c in self.words]
         self.words = dict(zip(words, map(self.words.__getitem__, words)))
-        self.keep({i: (i,) for i in self.v.special.values()})
+        self.keep({i: struct.pack("<I", i) if self.binary else (i,) for i in self.v.special.values()})
 
-    def keep(self, known: dict[str | int, tuple[int, ...]]) -> None:
-        number, name = self.v.numbers.__getitem__, self.v.names.__getitem__
+    def keep(self, known: dict[str | int, tuple[int, ...] | bytes]) -> None:
         self.chunks.update(known)
-        if "decimal" in self.tables:
+        if not self.binary:
+            number, name = self.v.numbers.__getitem__, self.v.names.__getitem__
             self.decimal.update(zip(known, [" ".join(map(number, ids)) for ids in known.values()]))
-        if "decoded" in self.tables:
             self.decoded.update(zip(known, [" ".join(map(name, ids)) for ids in known.values()]))
-        if "packed" in self.tables:  # little-endian, 32 bits each
-            self.packed.update(zip(known, [struct.pack(f"<{len(ids)}I", *ids) for ids in known.values()]))
 
     def pieces(self, text: str) -> list[str | int]:
         """Runs without white space of a text after normalising; special tokens stand as their ids. No word of the split pattern spans white space."""
@@ -234,29 +233,42 @@ class Coder:
         """Puts the tokens of new words into the cache."""
         v = self.v
         text = ("\n".join(words) + "\n").encode("utf-8").decode("latin-1").translate(v.letters)
-        spelt = text.split("\n")[:-1]
-        tokens, word, right = v.proposals(text, np.cumsum(np.fromiter(map(len, spelt), np.int64, len(spelt)) + 1) - 1)
+        letters = np.frombuffer(text.encode("utf-16-le"), np.uint16)
+        ends = np.flatnonzero(letters == 10)
+        sizes = np.diff(ends, prepend=-1) - 1
+        tokens, word, right = v.proposals(text, ends)
         near = np.flatnonzero(word[1:] == word[:-1])
         pairs, of = np.unique((tokens[near] << 32) | tokens[near + 1], return_inverse=True)
         right[word[near[~v.compatible(pairs >> 32, pairs & 0xFFFFFFFF)[of]]]] = False
-        found, cut = tokens.tolist(), np.searchsorted(word, np.arange(len(words) + 1)).tolist()
         self.proposed += len(words)
-        wrong: dict[int, list[int]] = {}
-        for i, (w, good) in enumerate(zip(words, right.tolist())):
-            if good:
-                self.words[w] = tuple(found[cut[i] : cut[i + 1]])
-            else:
-                wrong.setdefault(-(-len(spelt[i]) // 8), []).append(i)
-        self.exact += sum(map(len, wrong.values()))
-        for size, which in wrong.items():
-            start = [[t for c in (*spelt[i][:-1], spelt[i][-1] + v.end) if (t := v.ids.get(c)) is not None] for i in which]
-            if size > 8:
-                done = [v.merged(x) for x in start]
-            else:
-                table = np.array([x + [-1] * (8 * size - len(x)) for x in start], np.int64)
-                done = [[t for t in row if t >= 0] for row in v.merged_many(table).tolist()]
-            for i, ids in zip(which, done):
-                self.words[words[i]] = tuple(ids)
+        self.exact += int((~right).sum())
+        good = right[word]
+        found = [(word[good], tokens[good])]
+        # words that fail start from their letters' symbols, those of about one length side by side
+        start = np.where(np.isin(np.arange(len(letters)), ends - 1), v.last_symbol[letters], v.symbol[letters])
+        width = np.where(right, 0, -(-sizes // 8))
+        for w in np.unique(width[width > 0]).tolist():
+            which = np.flatnonzero(width == w)
+            if w > 8:
+                done = [v.merged([t for t in start[ends[i] - sizes[i] : ends[i]].tolist() if t >= 0]) for i in which.tolist()]
+                found.append((np.repeat(which, list(map(len, done))), np.fromiter(chain.from_iterable(done), np.int64)))
+                continue
+            at = np.arange(8 * w)
+            table = np.where(at < sizes[which, None], start[np.minimum((ends - sizes)[which, None] + at, len(start) - 1)], -1)
+            if (table < 0)[at < sizes[which, None]].any():  # letters without a symbol go, what stands behind them moves up
+                table = np.take_along_axis(table, np.argsort(table < 0, axis=1, kind="stable"), 1)
+            merged = v.merged_many(table)
+            row, _ = np.nonzero(merged >= 0)
+            found.append((which[row], merged[merged >= 0]))
+        word, tokens = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+        order = np.argsort(word, kind="stable")
+        cut = np.searchsorted(word[order], np.arange(len(words) + 1))
+        if self.binary:
+            raw, cut = tokens[order].astype("<u4").tobytes(), (4 * cut).tolist()
+            self.words.update(zip(words, [raw[i:j] for i, j in zip(cut, cut[1:])]))
+        else:
+            ids, cut = tokens[order].tolist(), cut.tolist()
+            self.words.update(zip(words, [tuple(ids[i:j]) for i, j in zip(cut, cut[1:])]))
 
     def split_batch(self, texts: list[str]) -> list[list[str | int]]:
         """The chunks of every text, all of them known afterwards."""
@@ -271,11 +283,12 @@ class Coder:
             words = list(set(parts).difference(self.words, "\n"))
             if words:
                 self.learn(words)
-            known, ids, at = {}, (), iter(new)
+            none = b"" if self.binary else ()
+            known, ids, at = {}, none, iter(new)
             for part in parts:
                 if part == "\n":
                     known[next(at)] = ids
-                    ids = ()
+                    ids = none
                 else:
                     ids = ids + self.words[part] if ids else self.words[part]
             self.keep(known)
