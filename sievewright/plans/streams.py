@@ -115,14 +115,14 @@ def str13_staleness(spark, sf):
 
 @query(
     """WITH o AS (SELECT event_id, ts, user_id AS item, CASE event_type WHEN 'purchase' THEN CASE WHEN value > 90 THEN 'ready' ELSE 'still' END WHEN 'error' THEN 'dead' WHEN 'view' THEN 'still' ELSE 'moving' END AS seen FROM events),
-i AS (SELECT *, sum(CAST(seen = 'moving' AS INT)) OVER w AS island, sum(CAST(seen <> 'dead' AS INT)) OVER w AS db FROM o WINDOW w AS (PARTITION BY item ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
-r AS (SELECT *, sum(CAST(seen = 'dead' AS INT)) OVER (PARTITION BY item, db ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS dr, sum(CAST(seen = 'still' AS INT)) OVER (PARTITION BY item, island ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS sr FROM i),
-x AS (SELECT *, CASE WHEN seen = 'ready' THEN 'ready' WHEN dr >= 2 THEN 'dead' WHEN sr >= 5 THEN 'stalled' END AS outcome FROM r)
+i AS (SELECT *, count(*) FILTER (seen = 'moving') OVER w AS since, epoch_us(ts) - epoch_us(first_value(ts) OVER w) AS age FROM o WINDOW w AS (PARTITION BY item ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
+r AS (SELECT *, count(*) FILTER (seen = 'dead') OVER w AS dr, count(*) FILTER (seen = 'still') OVER w AS sr FROM i WINDOW w AS (PARTITION BY item, since ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
+x AS (SELECT *, CASE WHEN seen = 'ready' THEN 'ready' WHEN seen = 'dead' AND dr >= 2 THEN 'dead' WHEN seen = 'still' AND sr >= 5 THEN 'stalled' WHEN age >= 1728000000000 THEN 'expired' END AS outcome FROM r)
 SELECT item, coalesce(arg_min(outcome, (ts, event_id)) FILTER (outcome IS NOT NULL), 'pending') AS outcome, count(*) AS n FROM x GROUP BY item"""
 )
 def str14_recheck_outcome(spark, sf):
     seen = F.expr("CASE event_type WHEN 'purchase' THEN CASE WHEN value > 90 THEN 'ready' ELSE 'still' END WHEN 'error' THEN 'dead' WHEN 'view' THEN 'still' ELSE 'moving' END")
-    return S.recheck_outcome(_events(spark, sf).select("event_id", "ts", F.col("user_id").alias("item"), seen.alias("seen")), 2, 5)
+    return S.recheck_outcome(_events(spark, sf).select("event_id", "ts", F.col("user_id").alias("item"), seen.alias("seen")), 2, 5, 20 * 86400)
 
 
 @query(

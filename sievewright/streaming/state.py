@@ -200,20 +200,27 @@ def collect_within_budget(arrivals: DataFrame, budget_s: int, grace_s: int) -> D
     return df.withColumn("cut", cut).where("us <= cut").drop("cut", "us")
 
 
+LATEST = StructType().add("phase", "long").add("revision", "long").add("useful_phase", "long").add("value", "double").add("commits", "long")
+
+
+def latest_writer_step(a: list, p: int | None, r: int | None, good: bool | None, v: float | None) -> None:
+    """One update of ``a`` (phase, revision, phase of the latest useful commit, value, commits): one of the current or a later (phase, revision) commits; one of an older phase does if it is useful and nothing useful of its phase or a later one has been committed."""
+    phase, revision, useful, _, commits = a
+    newer = p is not None and r is not None and (p > phase or (p == phase and r >= revision))
+    rescue = p is not None and p < phase and good is True and useful < p
+    if newer or rescue:
+        a[:] = max(phase, p), r if newer else revision, max(useful, p) if good is True else useful, v, commits + 1
+
+
 def latest_writer_fold(updates: DataFrame) -> DataFrame:
-    """Batch twin: updates in order of arrival; one of the current or a later (phase, revision) commits, an older one only if it is useful and nothing useful has been committed."""
+    """Batch twin: updates in order of arrival, a left fold along one key's that carries five numbers. Phases and revisions count from 0."""
 
     def step(a: list, u: tuple) -> list[tuple]:
-        phase, revision, useful, value, commits = a
-        _, p, r, good, v = u
-        newer = p is not None and (p > phase or (p == phase and r is not None and revision is not None and r >= revision))
-        if newer or (good is True and useful is False):
-            a[:] = max(phase, p) if p is not None else phase, r if newer else revision, good, v, commits + 1
+        latest_writer_step(a, *u[1:])
         return []
 
-    fields = StructType().add("phase", "long").add("revision", "long").add("useful", "boolean").add("value", "double").add("commits", "long")
     rows = updates.select("key", "seq", "phase", "revision", "useful", F.col("value").cast("double"))
-    return fold_sorted(rows, ["key"], ["seq", "phase", "revision", "useful", "value"], lambda: [-1, -1, False, None, 0], step, lambda a: [tuple(a)], fields)
+    return fold_sorted(rows, ["key"], ["seq", "phase", "revision", "useful", "value"], lambda: [-1, -1, -1, None, 0], step, lambda a: [tuple(a)], LATEST)
 
 
 def partial_to_complete(results: DataFrame, short_s: int, full_s: int) -> DataFrame:
@@ -231,15 +238,18 @@ def staleness(kv: DataFrame, now: str, grace_s: int) -> DataFrame:
     return kv.withColumn("state", state)
 
 
-def recheck_outcome(obs: DataFrame, dead_after: int, stalled_after: int) -> DataFrame:
-    """Per item the first final outcome: ready, dead after so many dead sightings in a row, stalled after so many without movement; any movement starts both runs anew."""
+def recheck_outcome(obs: DataFrame, dead_after: int, stalled_after: int, expire_s: int) -> DataFrame:
+    """Per item the first final outcome: ready, dead or stalled after so many sightings of that kind since the last movement, expired by age otherwise.
+
+    Both counters live side by side; only a movement sets them to 0. ``n`` counts all sightings of the item.
+    """
     w = W.partitionBy("item").orderBy("ts", "event_id")
-    moved = F.col("seen") == "moving"
-    df = obs.withColumn("island", F.sum(moved.cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    df = df.withColumn("dead_brk", F.sum((F.col("seen") != "dead").cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    v = lambda *c: W.partitionBy("item", *c).orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
-    df = df.withColumns({"dead_run": F.sum((F.col("seen") == "dead").cast("int")).over(v("dead_brk")), "stall_run": F.sum((F.col("seen") == "still").cast("int")).over(v("island"))})
-    out = F.when(F.col("seen") == "ready", "ready").when(F.col("dead_run") >= dead_after, "dead").when(F.col("stall_run") >= stalled_after, "stalled")
+    df = obs.withColumn("since", F.count_if(F.col("seen") == "moving").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    df = df.withColumn("age", F.unix_micros("ts") - F.unix_micros(F.first("ts").over(w)))
+    run = lambda k: F.count_if(F.col("seen") == k).over(W.partitionBy("item", "since").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0))
+    df = df.withColumns({"dead": run("dead"), "still": run("still")})
+    said = lambda k, n: (F.col("seen") == k) & (F.col(k) >= n)
+    out = F.when(F.col("seen") == "ready", "ready").when(said("dead", dead_after), "dead").when(said("still", stalled_after), "stalled").when(F.col("age") >= expire_s * 1_000_000, "expired")
     done = df.withColumn("outcome", out).groupBy("item").agg(F.min_by("outcome", F.when(F.col("outcome").isNotNull(), F.struct("ts", "event_id"))).alias("outcome"), F.count("*").alias("n"))
     return done.select("item", F.coalesce("outcome", F.lit("pending")).alias("outcome"), "n")
 

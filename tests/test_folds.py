@@ -76,7 +76,7 @@ def test_latest_writer(spark):
     rows = [("a", 1, 1, 1, False, 1.0), ("a", 2, 0, 9, True, 2.0), ("a", 3, 0, 9, True, 3.0), ("a", 4, 1, 0, True, 4.0), ("a", 5, 2, 0, False, 5.0)]
     df = spark.createDataFrame(rows, "key string, seq long, phase long, revision long, useful boolean, value double")
     r = S.latest_writer_fold(df).first()
-    assert (r.phase, r.revision, r.useful, r.value, r.commits) == (2, 0, False, 5.0, 3)
+    assert (r.phase, r.revision, r.useful_phase, r.value, r.commits) == (2, 0, 0, 5.0, 3)
 
 
 @pytest.mark.parametrize("form", ["admission", "backoff", "window"])
