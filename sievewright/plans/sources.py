@@ -155,7 +155,11 @@ def src14_normalize_account_status(spark, sf):
 )
 def snk2_kv_snapshot(spark, sf):
     e = read(spark, sf, "events").select(F.concat_ws(":", "event_type", F.col("user_id").cast("string")).alias("key"), "value", (F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("expires_at"), F.col("ts").alias("used_at"), F.col("event_id").alias("seq"))
-    return K.latest_per_key(e)
+    # three batches of writes, as a stream would bring them
+    table = K.kv_table(spark, K.scratch(spark, "kv"), e.schema)
+    for number in range(3):
+        table.merge(e.where(F.pmod("seq", F.lit(3)) == number), number)
+    return table.read().select("key", "value", "expires_at")
 
 
 @query("SELECT p_partkey AS link_id, p_name || ' [' || CASE WHEN p_size > 25 THEN '1080p WEB-DL' ELSE 'WEB-DL' END || CASE WHEN p_partkey % 2 = 0 THEN ' Dual' ELSE '' END || ']' AS title, CAST(floor(p_retailprice) AS BIGINT) AS size, CAST(1 AS BIGINT) AS seeders FROM part")

@@ -133,12 +133,15 @@ def str15_queue_feed(spark, sf):
 
 
 @query(
-    """WITH d AS (SELECT date_trunc('day', ts) AS day, count(*) FILTER (event_type = 'view') AS h, count(*) FILTER (event_type IN ('view', 'purchase')) AS n FROM events GROUP BY 1),
-s AS (SELECT CAST(day AS TIMESTAMP) AS day, round(CASE WHEN n = 0 THEN 0.0 ELSE CAST(h AS DOUBLE) / n END, 6) AS share FROM d)
-SELECT day, share, round(share - first_value(share) OVER (ORDER BY day), 6) AS gain FROM s"""
+    """WITH d AS (SELECT date_trunc('day', ts) AS taken, count(*) FILTER (event_type = 'view') AS h, count(*) FILTER (event_type IN ('view', 'purchase')) AS decided FROM events GROUP BY 1),
+s AS (SELECT CAST(taken AS TIMESTAMP) AS taken, round(CAST(h AS DOUBLE) / decided, 6) AS share, decided FROM d WHERE decided > 0),
+r AS (SELECT *, coalesce(epoch_us(taken) - epoch_us(lag(taken) OVER (ORDER BY taken)) > 86400000000, true) AS reset FROM s),
+c AS (SELECT *, sum(CAST(reset AS INT)) OVER (ORDER BY taken ROWS UNBOUNDED PRECEDING) AS cohort FROM r),
+b AS (SELECT *, first_value(share) OVER (PARTITION BY cohort ORDER BY taken) AS baseline FROM c)
+SELECT taken, share, decided, reset, baseline, round(share - baseline, 6) AS gain FROM b"""
 )
 def str16_coverage_over_time(spark, sf):
-    return S.coverage_over_time(_events(spark, sf))
+    return S.coverage_over_time(_events(spark, sf), 86400)
 
 
 @query(

@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window as W
 
+from .runs import Runs, merged_stream
+
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the place that all machines share; a temporary one where the session names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    """A new folder in the place that all machines share, ``spark.checkpoint.dir``; a local session that names none gets a temporary one, a cluster is an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
@@ -21,26 +29,22 @@ def write_index(df: DataFrame, path: str, by: str = "shelf") -> None:
     df.repartition(by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
-def latest_per_key(batch: DataFrame) -> DataFrame:
-    """The last write of every key."""
-    return batch.groupBy("key").agg(F.max_by(F.struct("value", "expires_at"), F.struct("used_at", "seq")).alias("x")).select("key", "x.*")
+KV = StructType().add("key", "string").add("value", "double").add("expires_at", "timestamp").add("used_at", "timestamp").add("seq", "long")
 
 
-def write_kv_snapshot(stream: DataFrame, path: str, checkpoint: str):
-    """A stream of writes as a table of last writes per key; every batch is merged with what is there and written beside it."""
+def kv_table(spark: SparkSession, path: str, schema: StructType = KV) -> Runs:
+    """The table of last writes that ``write_kv_snapshot`` fills: the latest ``used_at``, then ``seq``, of a key counts."""
+    return Runs(spark, path, schema, ["key"], ["used_at", "seq"])
 
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        now = latest_per_key(batch).withColumn("batch", F.lit(number).cast("long"))
-        now.write.mode("append").parquet(path)
-        del spark
 
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def write_kv_snapshot(stream: DataFrame, path: str, checkpoint: str):
+    """A stream of writes (``key``, values, ``used_at``, ``seq``) as a table of last writes per key. Each batch is a run, runs are merged as they come together, replayed batches change nothing."""
+    return merged_stream(stream, kv_table(stream.sparkSession, path, stream.schema), checkpoint)
 
 
-def read_kv_snapshot(df: DataFrame) -> DataFrame:
-    """Reads what ``write_kv_snapshot`` wrote: the row of the latest batch wins."""
-    return df.groupBy("key").agg(F.max_by(F.struct("value", "expires_at"), "batch").alias("x")).select("key", "x.*")
+def read_kv_snapshot(spark: SparkSession, path: str, schema: StructType = KV) -> DataFrame:
+    """The last write of every key, as of the latest manifest."""
+    return kv_table(spark, path, schema).read()
 
 
 def links_to_feed(links: DataFrame) -> DataFrame:

@@ -223,9 +223,9 @@ def latest_writer_fold(updates: DataFrame) -> DataFrame:
     return fold_sorted(rows, ["key"], ["seq", "phase", "revision", "useful", "value"], lambda: [-1, -1, -1, None, 0], step, lambda a: [tuple(a)], LATEST)
 
 
-def partial_to_complete(results: DataFrame, short_s: int, full_s: int) -> DataFrame:
+def partial_to_complete(results: DataFrame, short_s: int, full_s: int, order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
     """The state of every stored result: its growth over earlier ones re-emits it, completeness promotes it, and its time to live follows."""
-    w = W.partitionBy("request").orderBy("ts", "event_id")
+    w = W.partitionBy("request").orderBy(*order)
     before = F.max("n").over(w.rowsBetween(W.unboundedPreceding, -1))
     grew = F.coalesce(F.col("n") > before, F.lit(True))
     df = results.withColumns({"grew": grew, "ttl_s": F.when(F.col("partial") | F.col("n").isNull(), short_s).otherwise(full_s).cast("long")})
@@ -260,12 +260,26 @@ def queue_feed(events: DataFrame, index: DataFrame) -> DataFrame:
     return events.select(F.col("user_id").alias("work_id"), "ts", reason.alias("reason")).join(index.select("work_id", F.lit(True).alias("indexed")).distinct(), "work_id", "left").where("indexed is null or reason = 'next-episode'").select("work_id", "ts", "reason")
 
 
-def coverage_over_time(events: DataFrame) -> DataFrame:
-    """Share of hits among decided events per day and its change against the first day."""
+def coverage_days(events: DataFrame) -> DataFrame:
+    """``taken``, ``share`` (of hits among decided events) and ``decided`` per day; works on streams and tables."""
     per = events.groupBy(F.window("ts", "1 day").alias("w")).agg(F.count_if(F.col("event_type") == "view").alias("hits"), F.count_if(F.col("event_type").isin("view", "purchase")).alias("decided"))
     share = F.when(F.col("decided") == 0, 0.0).otherwise(F.col("hits") / F.nullif(F.col("decided"), F.lit(0)))
-    per = per.select(F.col("w.start").alias("day"), F.round(share, 6).alias("share"))
-    return per.withColumn("gain", F.round(F.col("share") - F.min_by("share", "day").over(W.partitionBy()), 6))
+    return per.select(F.col("w.start").alias("taken"), F.round(share, 6).alias("share"), "decided")
+
+
+def coverage_over_time(events: DataFrame, lapse_s: int) -> DataFrame:
+    """Coverage per day with its gain over the first day of its cohort; a cohort lapses after ``lapse_s`` without a decided event, and the baseline starts anew."""
+    return with_baseline(coverage_days(events), lapse_s)
+
+
+def with_baseline(samples: DataFrame, lapse_s: int) -> DataFrame:
+    """``baseline`` (the first share of a cohort), ``gain`` and ``reset`` of samples (``taken``, ``share``, ``decided``). Samples in which nothing was decided are none. The window runs over one row a day."""
+    w = W.orderBy("taken")
+    gap = F.unix_micros("taken") - F.unix_micros(F.lag("taken").over(w)) > lapse_s * 1_000_000
+    known = samples.where("decided > 0").withColumn("reset", F.coalesce(gap, F.lit(True)))
+    known = known.withColumn("cohort", F.sum(F.col("reset").cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    known = known.withColumn("baseline", F.first("share").over(W.partitionBy("cohort").orderBy("taken")))
+    return known.withColumn("gain", F.round(F.col("share") - F.col("baseline"), 6)).drop("cohort")
 
 
 def retry_requeue(attempts: DataFrame, tries: int) -> DataFrame:

@@ -122,7 +122,7 @@ def test_kv_stream(spark, tmp_path):
     df.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
     K.write_kv_snapshot(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    got = K.read_kv_snapshot(spark.read.parquet(str(tmp_path / "out")))
+    got = K.read_kv_snapshot(spark, str(tmp_path / "out"), df.schema)
     assert {r.key: r.value for r in got.collect()} == {"k": 2.0, "j": 5.0}
 
 
