@@ -89,7 +89,11 @@ def flt6_filter_category(spark, sf):
     return P.filter_category(read(spark, sf, "part").select(F.col("p_partkey").alias("work_id"), cats.alias("categories")), 2000).select("work_id")
 
 
-@query()
+@query(
+    with_cte(LISTINGS)
+    + """, t AS (SELECT lid, season, episode, multi_work, CASE WHEN multi_work THEN name || ' ' || season || 'ª Temporada Completa' ELSE name || ' ' || printf('S%02dE%02d', season, episode) END AS title FROM listings)
+SELECT lid, title FROM t WHERE season = 2 AND (multi_work OR episode = 3)"""
+)
 def flt7_filter_episode(spark, sf):
     """Listings titled with a season code, kept unless the title contradicts season 2 episode 3."""
     code = F.concat_ws(" ", "name", F.format_string("S%02dE%02d", "season", "episode"))

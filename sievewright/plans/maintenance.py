@@ -58,9 +58,15 @@ def mrg5_plan_dedup_exact(spark, sf):
     return M.plan_dedup_exact(snapshot(spark, sf))
 
 
-@query()
+@query(
+    "WITH RECURSIVE " + SNAPSHOT
+    + """, n AS (SELECT *, concat_ws(' ', filename, bucket) AS name FROM snapshot WHERE size > 0), z AS (SELECT DISTINCT account, name, size FROM n),
+b AS (SELECT account, name, min(size) AS base FROM z GROUP BY ALL UNION ALL SELECT b.account, b.name, min(z.size) FROM b JOIN z ON z.account = b.account AND z.name = b.name AND z.size > b.base * (1 + CAST(0.005 AS DOUBLE)) GROUP BY b.account, b.name, b.base),
+c AS (SELECT n.*, base FROM n ASOF JOIN b ON n.account = b.account AND n.name = b.name AND n.size >= b.base),
+r AS (SELECT *, row_number() OVER w AS rn, first_value(service_id) OVER w AS keep_id FROM c WINDOW w AS (PARTITION BY account, name, base ORDER BY protected DESC, ready DESC, uploaded_at, service_id))
+SELECT account, name, service_id, keep_id, base FROM r WHERE rn > 1 AND NOT protected AND status <> 'Downloading'"""
+)
 def mrg6_plan_dedup_near(spark, sf):
-    """Clusters of sizes are a left fold, which SQL without recursion does not express."""
     return M.plan_dedup_near(snapshot(spark, sf).withColumn("name", F.concat_ws(" ", "filename", F.col("bucket"))))
 
 

@@ -25,7 +25,14 @@ def str1_evidence_state(spark, sf):
     return S.evidence_state(evidence(spark, sf), NOW)
 
 
-@query()
+@query(
+    "WITH RECURSIVE " + EVIDENCE
+    + """, e AS (SELECT hash, kind = 'hit' AS hit, epoch_us(seen_at) AS t, row_number() OVER (PARTITION BY hash ORDER BY seen_at, event_id) AS nth FROM evidence WHERE kind IN ('hit', 'miss')),
+f AS (SELECT DISTINCT hash, CAST(0 AS BIGINT) AS nth, CAST(0 AS BIGINT) AS misses, CAST(0 AS BIGINT) AS until FROM e
+  UNION ALL SELECT hash, nth, misses, CASE WHEN misses = 0 THEN 0 ELSE t + CAST(1000000 AS BIGINT) * [600, 3600, 21600, 86400][least(misses, 4)] END
+  FROM (SELECT e.hash, e.nth, e.t, CASE WHEN hit THEN 0 WHEN e.t >= until THEN 1 ELSE misses + 1 END AS misses FROM f JOIN e ON e.hash = f.hash AND e.nth = f.nth + 1))
+SELECT hash, arg_max(misses, nth) AS misses, make_timestamp(nullif(arg_max(until, nth), 0)) AS until FROM f GROUP BY hash"""
+)
 def str2_miss_backoff(spark, sf):
     return S.miss_backoff_fold(evidence(spark, sf))
 
@@ -43,14 +50,29 @@ def str3_source_health(spark, sf):
     return S.source_health(probes(spark, sf), NOW, 6 * 3600, 2, 24 * 3600)
 
 
-@query()
+def _spaced(source: str, key: str, us: int) -> str:
+    """The first row of a key and then the first at least ``us`` microseconds after the last one kept."""
+    return f"""k AS (SELECT {key} AS key, min(t) AS t, arg_min(event_id, (t, event_id)) AS event_id FROM {source} GROUP BY 1
+  UNION ALL SELECT k.key, min(e.t), arg_min(e.event_id, (e.t, e.event_id)) FROM k JOIN {source} e ON e.{key} = k.key AND e.t >= k.t + {us} GROUP BY k.key)"""
+
+
+@query(f"WITH RECURSIVE ev AS (SELECT *, epoch_us(ts) AS t FROM events), {_spaced('ev', 'user_id', 43200000000)} SELECT key AS user_id, event_id FROM k")
 def str4_dedupe_within(spark, sf):
     return S.dedupe_within_fold(_events(spark, sf), "user_id", 12 * 3600)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE al AS (SELECT 'offline:' || (user_id % 20) AS kind, epoch_us(ts) AS t, event_id, props FROM events WHERE event_type = 'error' AND user_id % 20 < 5
+  UNION ALL SELECT 'occupancy', epoch_us(ts), event_id, props FROM events WHERE event_type = 'signup' AND value >= 60), {_spaced('al', 'kind', 21600000000)}
+SELECT event_id, key AS kind, coalesce('{{' || (SELECT string_agg(to_json(x) || ':' || to_json(json_extract_string(e.props, x)), ',' ORDER BY i) FROM (SELECT unnest(json_keys(e.props)) AS x, generate_subscripts(json_keys(e.props), 1) AS i)
+  WHERE NOT regexp_matches(lower(x), 'key|token|secret|password')) || '}}', '{{}}') AS fields FROM k JOIN events e USING (event_id)"""
+)
 def str5_alert_cooldown(spark, sf):
-    return S.alert_cooldown(_events(spark, sf), 6 * 3600)
+    """Sources of priority that are offline, and accounts filled to the limit."""
+    e = _events(spark, sf)
+    offline = S.offline_alerts(probes(spark, sf).join(e.select("event_id", "props"), "event_id"), tuple(range(5)))
+    full = S.occupancy_alerts(e.where("event_type = 'signup'").select("event_id", "ts", F.col("value").alias("used"), "props"), 60)
+    return S.alert_cooldown(offline.unionByName(full), 6 * 3600)
 
 
 @query("SELECT date_trunc('hour', ts) AS hour, count(*) AS used, count(*) > 15 AS is_over FROM events GROUP BY 1")
@@ -58,7 +80,13 @@ def str6_budget_tumbling(spark, sf):
     return S.budget_tumbling(_events(spark, sf), 15)
 
 
-@query()
+@query(
+    """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nth FROM events),
+f AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS nth, CAST(NULL AS BIGINT) AS event_id, false AS admitted, CAST(NULL AS BIGINT) AS last, CAST(NULL AS BIGINT) AS before FROM e
+  UNION ALL SELECT user_id, nth, event_id, ok, CASE WHEN ok THEN t ELSE last END, CASE WHEN ok THEN last ELSE before END
+  FROM (SELECT e.*, last, before, coalesce(before <= e.t - 21600000000, true) AS ok FROM f JOIN e ON e.user_id = f.user_id AND e.nth = f.nth + 1))
+SELECT user_id, event_id FROM f WHERE admitted"""
+)
 def str7_sliding_admission(spark, sf):
     return S.admission_fold(_events(spark, sf), "user_id", 2, 6 * 3600)
 
@@ -87,7 +115,14 @@ def str10_collect_within_budget(spark, sf):
     return S.collect_within_budget(a, 86400, 3 * 86400).select("event_id", "request", "priority")
 
 
-@query()
+@query(
+    """WITH RECURSIVE u AS (SELECT user_id AS key, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS nth, CAST(floor(value) AS BIGINT) % 3 AS p, event_id % 5 AS r, event_type <> 'error' AS good, value AS v FROM events),
+f AS (SELECT DISTINCT key, CAST(0 AS BIGINT) AS nth, CAST(-1 AS BIGINT) AS phase, CAST(-1 AS BIGINT) AS revision, CAST(-1 AS BIGINT) AS useful_phase, CAST(NULL AS DOUBLE) AS value, CAST(0 AS BIGINT) AS commits FROM u
+  UNION ALL SELECT key, nth, CASE WHEN newer OR rescue THEN greatest(phase, p) ELSE phase END, CASE WHEN newer THEN r ELSE revision END, CASE WHEN (newer OR rescue) AND good THEN greatest(useful_phase, p) ELSE useful_phase END,
+    CASE WHEN newer OR rescue THEN v ELSE value END, commits + CAST(newer OR rescue AS INT)
+  FROM (SELECT u.*, phase, revision, useful_phase, value, commits, p > phase OR (p = phase AND r >= revision) AS newer, p < phase AND good AND useful_phase < p AS rescue FROM f JOIN u ON u.key = f.key AND u.nth = f.nth + 1))
+SELECT key, phase, revision, useful_phase, value, commits FROM f QUALIFY row_number() OVER (PARTITION BY key ORDER BY nth DESC) = 1"""
+)
 def str11_latest_writer(spark, sf):
     e = _events(spark, sf)
     u = e.select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), (F.floor("value").cast("long") % 3).alias("phase"), (F.col("event_id") % 5).alias("revision"), (F.col("event_type") != "error").alias("useful"), "value")

@@ -90,7 +90,14 @@ def win8_limit_by_source(spark, sf):
     return R.limit_by_source(R.rank_candidates(listings(spark, sf)), 2, {3: 1, 7: 0}, F.col("is_br") & F.col("dubbed")).select(*_OUT)
 
 
-@query()
+@query(
+    "WITH RECURSIVE " + LISTINGS + ", " + RANKED
+    + """, f AS (SELECT DISTINCT request_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS VARCHAR) AS lid, false AS kept, CAST([] AS STRUCT(q VARCHAR, s BIGINT)[]) AS held FROM ranked
+  UNION ALL SELECT request_id, rn, lid, ok, CASE WHEN ok THEN list_append(held, struct_pack(q := quality, s := indexer)) ELSE held END
+  FROM (SELECT r.request_id, r.rn, r.lid, r.quality, r.indexer, held, len(list_filter(held, lambda x: x.s = r.indexer)) < 2
+      AND len(list_filter(held, lambda x: x.q = r.quality)) < CASE r.quality WHEN '2160p' THEN 3 WHEN '1080p' THEN 4 WHEN '720p' THEN 0 ELSE 1000000 END AS ok FROM f JOIN ranked r ON r.request_id = f.request_id AND r.rn = f.rn + 1))
+SELECT request_id, lid, rn FROM f WHERE kept"""
+)
 def win9_limit_joint(spark, sf):
     return R.limit_joint(R.rank_candidates(listings(spark, sf)), CAPS, 2).select(*_OUT)
 

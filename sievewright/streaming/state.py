@@ -128,11 +128,21 @@ def dedupe_within_stream(events: DataFrame, key: str, seconds: int) -> DataFrame
     return events.withWatermark("ts", f"{seconds} seconds").dropDuplicatesWithinWatermark([key])
 
 
-def alert_cooldown(events: DataFrame, cooldown_s: int) -> DataFrame:
+def offline_alerts(probes: DataFrame, priority: tuple) -> DataFrame:
+    """An alert for each failed probe of a source of priority: ``kind`` (one a source), ``ts``, ``event_id``, ``props``."""
+    return probes.where(F.col("indexer").isin(*priority) & ~F.col("ok")).select(F.concat(F.lit("offline:"), F.col("indexer").cast("string")).alias("kind"), "ts", "event_id", "props")
+
+
+def occupancy_alerts(samples: DataFrame, limit: float) -> DataFrame:
+    """An alert for each sample of an account's occupancy (``used``) that reaches the limit."""
+    return samples.where(F.col("used") >= limit).select(F.lit("occupancy").alias("kind"), "ts", "event_id", "props")
+
+
+def alert_cooldown(alerts: DataFrame, cooldown_s: int) -> DataFrame:
     """One alert per kind and cooldown, without secrets among its fields."""
-    kept = dedupe_within_fold(events, "event_type", cooldown_s)
+    kept = dedupe_within_fold(alerts, "kind", cooldown_s)
     fields = F.map_filter(F.from_json("props", "map<string,string>"), lambda k, _: ~F.lower(k).rlike("key|token|secret|password"))
-    return events.join(kept.select("event_id"), "event_id", "left_semi").select("event_id", "event_type", F.to_json(fields).alias("fields"))
+    return alerts.join(kept.select("kind", "event_id"), ["kind", "event_id"], "left_semi").select("event_id", "kind", F.coalesce(F.to_json(fields), F.lit("{}")).alias("fields"))
 
 
 def budget_tumbling(events: DataFrame, cap: int) -> DataFrame:
