@@ -13,7 +13,6 @@ import json
 import re
 import struct
 import unicodedata
-import uuid
 from collections.abc import Iterable, Iterator, Sequence
 from itertools import chain
 
@@ -183,37 +182,27 @@ class Vocabulary:
 class Coder:
     """Encodes and decodes with caches of bounded size; one a Python worker.
 
-    What is known of a chunk (a run without white space) stands in tables: its tokens and, of those asked for, their
-    decimal ids joined by one blank and their decoded text. A text's digests are joined from those without going through
-    its tokens. ``binary``: tokens are kept as bytes, 32 bits an id from the lowest on, and nothing else is.
+    Tokens of words, and of chunks (runs without white space), are kept as bytes, 32 bits an id from the lowest on, so a
+    text's ids are the joined bytes of its chunks.
     """
 
-    def __init__(self, vocab: Vocabulary, most_cached: int = 300_000, binary: bool = False):
-        self.v, self.most, self.binary = vocab, most_cached, binary
-        self.tables = () if binary else ("decimal", "decoded")
+    def __init__(self, vocab: Vocabulary, most_cached: int = 300_000):
+        self.v, self.most = vocab, most_cached
         self.exact = self.proposed = 0
-        self.words: dict[str, tuple[int, ...] | bytes] = {}
-        self.chunks: dict[str | int, tuple[int, ...] | bytes] = {}
-        self.decimal: dict[str | int, str] = {}
-        self.decoded: dict[str | int, str] = {}
+        self.words: dict[str, bytes] = {}
+        self.chunks: dict[str | int, bytes] = {}
+        #: Name of every token by its id, and its decimal form.
+        self.names = [vocab.names.get(i, "") for i in range(max(vocab.names) + 1)]
+        self.numbers = [str(i) for i in range(len(self.names))]
         self.forget()
 
     def forget(self, but: Iterable[str | int] = ()) -> None:
         """Empties the caches, but for what stands there of the chunks given."""
         held = [c for c in but if c in self.chunks]
-        for name in ("chunks", *self.tables):
-            old = getattr(self, name)
-            setattr(self, name, dict(zip(held, map(old.__getitem__, held))))
+        self.chunks = dict(zip(held, map(self.chunks.__getitem__, held)))
         words = [c for c in held if c in self.words]
         self.words = dict(zip(words, map(self.words.__getitem__, words)))
-        self.keep({i: struct.pack("<I", i) if self.binary else (i,) for i in self.v.special.values()})
-
-    def keep(self, known: dict[str | int, tuple[int, ...] | bytes]) -> None:
-        self.chunks.update(known)
-        if not self.binary:
-            number, name = self.v.numbers.__getitem__, self.v.names.__getitem__
-            self.decimal.update(zip(known, [" ".join(map(number, ids)) for ids in known.values()]))
-            self.decoded.update(zip(known, [" ".join(map(name, ids)) for ids in known.values()]))
+        self.chunks.update({i: struct.pack("<I", i) for i in self.v.special.values()})
 
     def pieces(self, text: str) -> list[str | int]:
         """Runs without white space of a text after normalising; special tokens stand as their ids. No word of the split pattern spans white space."""
@@ -263,12 +252,8 @@ class Coder:
         word, tokens = (np.concatenate([f[k] for f in found]) for k in (0, 1))
         order = np.argsort(word, kind="stable")
         cut = np.searchsorted(word[order], np.arange(len(words) + 1))
-        if self.binary:
-            raw, cut = tokens[order].astype("<u4").tobytes(), (4 * cut).tolist()
-            self.words.update(zip(words, [raw[i:j] for i, j in zip(cut, cut[1:])]))
-        else:
-            ids, cut = tokens[order].tolist(), cut.tolist()
-            self.words.update(zip(words, [tuple(ids[i:j]) for i, j in zip(cut, cut[1:])]))
+        raw, cut = tokens[order].astype("<u4").tobytes(), (4 * cut).tolist()
+        self.words.update(zip(words, [raw[i:j] for i, j in zip(cut, cut[1:])]))
 
     def split_batch(self, texts: list[str]) -> list[list[str | int]]:
         """The chunks of every text, all of them known afterwards."""
@@ -283,32 +268,29 @@ class Coder:
             words = list(set(parts).difference(self.words, "\n"))
             if words:
                 self.learn(words)
-            none = b"" if self.binary else ()
-            known, ids, at = {}, none, iter(new)
+            known, ids, at = {}, b"", iter(new)
             for part in parts:
                 if part == "\n":
                     known[next(at)] = ids
-                    ids = none
+                    ids = b""
                 else:
                     ids = ids + self.words[part] if ids else self.words[part]
-            self.keep(known)
+            self.chunks.update(known)
         return pieces
 
-    def ids_of(self, pieces: list[str | int]) -> list[int]:
-        return list(chain.from_iterable(map(self.chunks.__getitem__, pieces)))
+    def packed(self, pieces: list[str | int]) -> bytes:
+        """The ids of a text's chunks, 32 bits each."""
+        return b"".join(map(self.chunks.__getitem__, pieces))
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
-        return [self.ids_of(p) for p in self.split_batch(texts)]
+        return [np.frombuffer(self.packed(p), "<u4").tolist() for p in self.split_batch(texts)]
 
     def decode(self, ids: Sequence[int]) -> str:
         """The file names no decoder: tokens joined by one blank."""
-        names = self.v.names
-        return " ".join([names[i] for i in ids])
-
+        return " ".join(map(self.names.__getitem__, ids))
 
-def joined(known: dict[str | int, str], pieces: list[str | int]) -> str:
-    """What is known of the chunks, joined by one blank; a chunk without tokens adds none."""
-    return " ".join(filter(None, map(known.__getitem__, pieces)))
+    def decimal(self, ids: Sequence[int]) -> str:
+        return " ".join(map(self.numbers.__getitem__, ids))
 
 
 def load_vocabulary(path: str) -> Vocabulary:
@@ -324,28 +306,27 @@ def bpe(docs: DataFrame, path: str, outputs: tuple[str, ...] = ("ids", "decoded"
     the decoded text). The strings of special tokens in a text become those tokens. Null and empty text: no tokens.
     Very long texts are encoded whole. Repeated rows get equal results. Empty table: no rows. Other columns are not
     read. The vocabulary is read on the driver and broadcast (its size is that of the file, a few MB); one pass of
-    Arrow batches without a shuffle; the caches of words and pairs are emptied at a fixed size.
+    Arrow batches without a shuffle; a task's caches of words and chunks are emptied at a fixed size.
     """
     kinds = {"ids": "array<int>", "decoded": "string", "n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
     arrow = {"ids": pa.list_(pa.int32()), "decoded": pa.string(), "n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
     shipped = ship(docs.sparkSession).sparkContext.broadcast(load_vocabulary(path))
-    key = uuid.uuid4().hex
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = kept_in_worker(key, lambda: Coder(shipped.value))
+        kept_in_worker()
+        # a task's caches go with it, so that an idle worker holds none while the next stage runs
+        coder = Coder(shipped.value)
         sha = lambda s: hashlib.sha256(s.encode("utf-8")).hexdigest()
         for whole in batches:
             for b in sliced(whole, "text"):
-                pieces = coder.split_batch(texts_of(b, "text"))
-                decimal = [joined(coder.decimal, p) for p in pieces] if {"n_tokens", "ids_sha256"} & set(outputs) else []
-                made = {
-                    "ids": lambda: [coder.ids_of(p) for p in pieces],
-                    "decoded": lambda: [joined(coder.decoded, p) for p in pieces],
-                    "n_tokens": lambda: [x.count(" ") + 1 if x else 0 for x in decimal],
-                    "ids_sha256": lambda: list(map(sha, decimal)),
-                    "decoded_sha256": lambda: [sha(joined(coder.decoded, p)) for p in pieces],
-                }
-                yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array(made[c](), arrow[c]) for c in outputs)], [id_col, *outputs])
+                made: dict[str, list] = {c: [] for c in outputs}
+                for pieces in coder.split_batch(texts_of(b, "text")):
+                    raw = coder.packed(pieces)
+                    ids = np.frombuffer(raw, "<u4").tolist()
+                    text = {"ids": lambda: ids, "n_tokens": lambda: len(ids), "decoded": lambda: coder.decode(ids), "ids_sha256": lambda: sha(coder.decimal(ids)), "decoded_sha256": lambda: sha(coder.decode(ids))}
+                    for c, values in made.items():
+                        values.append(text[c]())
+                yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array(made[c], arrow[c]) for c in outputs)], [id_col, *outputs])
 
     return docs.selectExpr(f"`{id_col}` as id", f"`{text}` as text").mapInArrow(run, ", ".join([f"`{id_col}` {kind}", *(f"{c} {kinds[c]}" for c in outputs)]))

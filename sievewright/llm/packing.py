@@ -182,13 +182,13 @@ def pieces(docs: DataFrame, path: str, capacity: int, text: str, id_col: str) ->
     names = ["id", "piece", "start", "length", "ids_crc32", "part", "nth"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = kept_in_worker(key, lambda: Coder(shipped.value, most_cached=CACHED, binary=True))
+        coder = kept_in_worker(key, lambda: Coder(shipped.value, most_cached=CACHED))
         part, seen, width = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), 4 * capacity
         for whole in batches:
             for b in sliced(whole, "text"):
                 row, start, size, crc = [], [], [], []
                 for i, chunks in enumerate(coder.split_batch(texts_of(b, "text"))):
-                    raw = b"".join(map(coder.chunks.__getitem__, chunks)) + b"\0\0\0\0"
+                    raw = coder.packed(chunks) + b"\0\0\0\0"
                     for k in range(0, len(raw), width):
                         piece = raw[k : k + width]
                         row.append(i)
