@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions import text as T
 from .ranking import preference
 
 
@@ -69,12 +70,21 @@ def timer_stats(df: DataFrame, last: int) -> DataFrame:
     return life.join(kept.select("name", at(0.5).alias("p50"), at(0.95).alias("p95")), "name")
 
 
-def pool_coverage(df: DataFrame) -> DataFrame:
-    """What the best pool of a request holds, and whether any row names the episode."""
-    return df.groupBy("request_id").agg(
-        F.when(F.bool_or(F.col("is_br") & F.col("dubbed") & F.col("lied")), "priority").when(F.bool_or(F.col("dubbed") & F.col("lied") & F.col("multi_work")), "dubbed").when(F.bool_or(F.col("seeders") >= 10), "healthy").otherwise("none").alias("cover"),
-        F.bool_or((F.col("season") == 1) & (F.col("episode") == 2)).alias("names_episode"),
-    )
+def pool_coverage(df: DataFrame, floor: int, key: str = "request_id") -> DataFrame:
+    """What the best pool of a request holds: dubbed rows of priority origin (or, without any, such that do not say they are subtitled), any dubbed row, a healthy swarm without a foreign mark.
+
+    Recordings from a cinema count for nothing. A request for an episode (``ask_season``, ``ask_episode``; null: for a
+    whole work) is covered only if some title names the episode; a pack of its season does not decide.
+    """
+    title, parsed = F.col("title"), F.col("parsed")
+    df = df.withColumn("parsed", F.when(F.col("ask_episode").isNotNull(), T.season_episode(title)))
+    names = F.array_contains(parsed["episodes"], F.col("ask_episode").cast("int")) & ((F.size(parsed["seasons"]) == 0) | F.array_contains(parsed["seasons"], F.col("ask_season").cast("int")))
+    shown = T.source_of(title) != "CAM"
+    own = F.bool_or(F.col("is_br") & shown & (F.col("dubbed") | (T.audio_of(title) != "Legendado")))
+    healthy = F.bool_or(shown & (F.col("seeders") >= floor) & ~T.foreign_audio(title))
+    best = F.when(own, "priority").when(F.bool_or(F.col("dubbed") & shown), "dubbed").when(healthy, "healthy").otherwise("none")
+    per = df.groupBy(key).agg(best.alias("best"), F.bool_or(F.coalesce(names, F.lit(False))).alias("names_episode"), F.max("ask_episode").isNotNull().alias("asks"))
+    return per.select(key, F.when(F.col("asks") & ~F.col("names_episode"), "none").otherwise(F.col("best")).alias("cover"), "names_episode")
 
 
 def file_evidence(files: DataFrame) -> DataFrame:

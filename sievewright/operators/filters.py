@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import identity as I
@@ -72,3 +72,21 @@ def clamp_params(df: DataFrame, ints: dict[str, tuple[int, int]], bools: list[st
     out |= {c: F.coalesce(F.lower(c).isin("1", "true", "yes", "on"), F.lit(False)) for c in bools}
     out |= {c: F.split(c, "[,+]") for c in lists}
     return df.withColumns(out)
+
+
+def drop_account_items(df: DataFrame, from_account: Column, per_file: bool) -> DataFrame:
+    """Rows of an account never enter an index; rows that hold several works only where single files can be chosen (``per_file``)."""
+    kept = df.where(~F.coalesce(from_account, F.lit(False)))
+    return kept if per_file else kept.where(~F.col("multi_work"))
+
+
+def healthy(seeders: Column, title: Column, floor: int) -> Column:
+    """Enough seeders, and no mark of a foreign language in the title."""
+    return (seeders >= floor) & ~T.foreign_audio(title)
+
+
+def episode_is_weak(df: DataFrame, relevant: Column, floor: int, key: str = "request_id") -> DataFrame:
+    """Per request the relevant rows, the healthy ones of them, and ``weak``: there are relevant rows and none is healthy."""
+    good = relevant & healthy(F.col("seeders"), F.col("title"), floor)
+    per = df.groupBy(key).agg(F.count_if(relevant).alias("n"), F.count_if(good).alias("n_healthy"))
+    return per.withColumn("weak", (F.col("n") > 0) & (F.col("n_healthy") == 0))

@@ -8,15 +8,30 @@ from pyspark.sql.types import StructType
 from pyspark.sql.window import Window as W
 
 from ..functions.folds import fold_sorted
+from ..functions.text import season_episode
+
+
+def routed(rows: DataFrame) -> DataFrame:
+    """Rows found for a request under the key that their title declares: its only episode, its only season where it declares none or several episodes, the whole work for a complete series or several seasons. A title that declares nothing stays with the request, and so do all rows of a request for a whole work (``season`` null)."""
+    parsed = F.when(F.col("season").isNotNull(), season_episode(F.col("title")))
+    df = rows.withColumn("declared", parsed)
+    seasons, episodes = F.col("declared.seasons"), F.col("declared.episodes")
+    stays = F.col("declared").isNull() | (~F.col("declared.complete") & (F.size(seasons) == 0))
+    whole = F.col("declared.complete") | (F.size(seasons) > 1)
+    one = F.when(F.size(episodes) == 1, F.get(episodes, F.lit(0)).cast("long"))
+    to = F.when(stays, F.struct("season", "episode")).when(whole, F.struct(F.lit(None).cast("long").alias("season"), F.lit(None).cast("long").alias("episode"))).otherwise(F.struct(F.get(seasons, F.lit(0)).cast("long").alias("season"), one.alias("episode")))
+    return df.withColumn("to", to).withColumns({"season": F.col("to.season"), "episode": F.col("to.episode")}).drop("to", "declared")
 
 
 def index_record(old: DataFrame, new: DataFrame, most: int = 60) -> DataFrame:
     """Merges a batch into the index: rows go to the key their title declares (season and episode may be null), newest wins per hash, flags are united, the newest ``most`` stay per key."""
     keys = ["work_id", "season", "episode"]
-    routed = new.withColumns({"episode": F.when(~F.col("multi_work"), F.col("episode")), "season": F.when(~(F.col("multi_work") & F.col("lied")), F.col("season"))})
-    both = old.select(*keys, "hash", "lid", "seeders", "seen_at", "is_br", "dubbed", "lied").unionByName(routed.select(*keys, "hash", "lid", "seeders", "seen_at", "is_br", "dubbed", "lied"))
+    kept = [*keys, "hash", "lid", "title", "seeders", "seen_at", "is_br", "dubbed", "lied"]
+    both = old.select(*kept).unionByName(routed(new.select(*kept)))
     order = F.struct("seen_at", "lid")
-    one = both.groupBy(*keys, "hash").agg(F.max_by("lid", order).alias("lid"), F.max_by("seeders", order).alias("seeders"), F.max("seen_at").alias("seen_at"), F.bool_or("is_br").alias("is_br"), F.bool_or("dubbed").alias("dubbed"), F.bool_or("lied").alias("lied"))
+    one = both.groupBy(*keys, "hash").agg(
+        *[F.max_by(c, order).alias(c) for c in ("lid", "title", "seeders")], F.max("seen_at").alias("seen_at"), *[F.bool_or(c).alias(c) for c in ("is_br", "dubbed", "lied")]
+    )
     return one.withColumn("rn", F.row_number().over(W.partitionBy(*keys).orderBy(F.col("seen_at").desc(), "hash"))).where(F.col("rn") <= most).drop("rn")
 
 
@@ -114,10 +129,17 @@ def oldest(df: DataFrame, most: int, key: str = "account") -> DataFrame:
     return df.withColumn("rn", F.row_number().over(W.partitionBy(key).orderBy("uploaded_at", "service_id")).cast("long")).where(F.col("rn") <= most)
 
 
-def plan_evict(df: DataFrame, cap: int, floor: int) -> DataFrame:
-    """Per account the target min(cap, occupancy - floor), then that many of its oldest ready, unprotected rows."""
-    target = df.groupBy("account").agg(F.greatest(F.lit(0), F.least(F.lit(cap), F.count("*") - floor)).alias("target"))
-    ok = df.where("ready and not protected")
+def plan_evict(df: DataFrame, consulted: DataFrame, preexisting: DataFrame, cap: int, floor: int) -> DataFrame:
+    """Per account as many of its oldest rows as searches have put there: the least of the hashes consulted, ``cap``, and the occupancy above ``floor``.
+
+    Only rows proved foreign go (``foreign`` is true; null is unknown and stays), and none that was consulted, was there
+    before us, is protected, still loads, or has no date. ``consulted`` and ``preexisting`` have ``account`` and ``hash``.
+    """
+    asked = consulted.select("account", "hash").distinct()
+    rows = df.groupBy("account").agg(F.count("*").alias("occupancy")).join(asked.groupBy("account").agg(F.count("*").alias("asked")), "account")
+    target = rows.select("account", F.greatest(F.lit(0), F.least(F.col("asked"), F.lit(cap), F.col("occupancy") - floor)).alias("target"))
+    ok = df.where("foreign and not protected and status <> 'Downloading' and uploaded_at is not null and hash is not null and service_id is not null")
+    ok = ok.join(asked.unionByName(preexisting.select("account", "hash")).distinct(), ["account", "hash"], "left_anti")
     ranked = ok.withColumn("rn", F.row_number().over(W.partitionBy("account").orderBy("uploaded_at", "service_id")).cast("long"))
     return ranked.join(target, "account").where("rn <= target").select("account", "service_id", "rn")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window as W
 
+from ..functions import text as T
 from ..functions.folds import fold_sorted
 
 # Places of the qualities in the display order and weights in the pools.
@@ -48,19 +49,27 @@ def rank_candidates(df: DataFrame, key: str = "request_id", dubbed_first: bool =
     return rank_by(df, key, *candidate_order(dubbed_first, preferred, exact, instant))
 
 
+def cinema(title: Column) -> Column:
+    return T.source_of(title) == "CAM"
+
+
 def pool_priority_dubbed(df: DataFrame, key: str = "request_id") -> DataFrame:
-    """Priority-origin rows: the tagged dubbed ones if the request has any, else all."""
-    mine = df.where("is_br").withColumn("any", F.max(F.col("dubbed").cast("int")).over(W.partitionBy(key)))
-    mine = mine.where("dubbed or any = 0").drop("any")
+    """Priority-origin rows that are no recordings from a cinema: the tagged dubbed ones if the request has any, else all that do not say they are subtitled."""
+    mine = df.where(F.col("is_br") & ~cinema(F.col("title"))).withColumn("any", F.max(F.col("dubbed").cast("int")).over(W.partitionBy(key)))
+    mine = mine.where(F.col("dubbed") | ((F.col("any") == 0) & (T.audio_of(F.col("title")) != "Legendado"))).drop("any")
     return rank_by(mine, key, down("dubbed"), down("multi_work"), placed(F.col("quality"), WEIGHT).desc(), down("seeders"), F.col("lid"))
 
 
 def pool_any_dubbed(df: DataFrame, key: str = "request_id") -> DataFrame:
-    return rank_by(df.where("dubbed"), key, down("multi_work"), placed(F.col("quality"), WEIGHT).desc(), down("seeders"), F.col("lid"))
+    return rank_by(df.where(F.col("dubbed") & ~cinema(F.col("title"))), key, down("multi_work"), placed(F.col("quality"), WEIGHT).desc(), down("seeders"), F.col("lid"))
 
 
-def pool_top_seeded(df: DataFrame, floor: int = 5, key: str = "request_id") -> DataFrame:
-    return rank_by(df.where(F.col("seeders") >= floor), key, down("multi_work"), down("seeders"), placed(F.col("quality"), WEIGHT).desc(), F.col("lid"))
+def pool_top_seeded(df: DataFrame, floor: int = 5, key: str = "request_id", target_first: bool = True) -> DataFrame:
+    """Rows with enough seeders that neither come from a cinema nor name a foreign language; packs first, then, if asked for, titles with a sign of the target language."""
+    title = F.col("title")
+    safe = df.where((F.col("seeders") >= floor) & ~cinema(title) & ~T.foreign_audio(title))
+    sign = [(T.looks_target(title) | T.target_signs(title)).desc()] if target_first else []
+    return rank_by(safe, key, down("multi_work"), *sign, down("seeders"), placed(F.col("quality"), WEIGHT).desc(), F.col("lid"))
 
 
 def pick_from_pool(pool: DataFrame, cached: DataFrame, k: int, key: str = "request_id") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as A
-from ..sources.relations import EVIDENCE, LISTINGS, NOW, SNAPSHOT, evidence, listings, read, snapshot, with_cte
+from ..sources.relations import EVIDENCE, LISTINGS, MARKED, NOW, SNAPSHOT, evidence, listings, marked, read, snapshot, with_cte
 from .registry import query
 
 
@@ -99,12 +99,15 @@ def agg10_wasted_queries(spark, sf):
 
 
 @query(
-    with_cte(LISTINGS)
-    + """SELECT request_id, CASE WHEN bool_or(is_br AND dubbed AND lied) THEN 'priority' WHEN bool_or(dubbed AND lied AND multi_work) THEN 'dubbed' WHEN bool_or(seeders >= 10) THEN 'healthy' ELSE 'none' END AS cover,
-  bool_or(season = 1 AND episode = 2) AS names_episode FROM listings GROUP BY request_id"""
+    with_cte(LISTINGS, MARKED)
+    + """, g AS (SELECT work_id, bool_or(is_series) AS asks, bool_or(coded AND season = work_id % 5 + 1 AND episode = work_id % 10 + 1) AS named, bool_or(is_br AND NOT cam AND dubbed) AS own_dubbed, bool_or(is_br AND NOT cam AND NOT sub) AS own_open,
+  bool_or(dubbed AND NOT cam) AS dub, bool_or(seeders >= 10 AND NOT cam AND NOT alien) AS healthy FROM marked GROUP BY work_id)
+SELECT work_id, CASE WHEN asks AND NOT named THEN 'none' WHEN own_dubbed OR own_open THEN 'priority' WHEN dub THEN 'dubbed' WHEN healthy THEN 'healthy' ELSE 'none' END AS cover, asks AND named AS names_episode FROM g"""
 )
 def agg11_pool_coverage(spark, sf):
-    return A.pool_coverage(listings(spark, sf))
+    """A request for each work; those for series ask for the episode that the work's number stands for."""
+    asked = lambda n: F.when(F.col("is_series"), F.col("work_id") % n + 1)
+    return A.pool_coverage(marked(spark, sf).withColumns({"ask_season": asked(5), "ask_episode": asked(10)}), 10, "work_id")
 
 
 @query(

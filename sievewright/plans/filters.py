@@ -8,7 +8,7 @@ from ..functions import identity as I
 from ..functions import text as T
 from ..operators import filters as P
 from ..operators.joins import filter_known_cache, tokens
-from ..sources.relations import EVIDENCE, LISTINGS, evidence, listings, read, with_cte
+from ..sources.relations import EVIDENCE, LISTINGS, MARKED, evidence, listings, marked, read, with_cte
 from .registry import query
 
 
@@ -114,7 +114,7 @@ def flt8_filter_known_cache(spark, sf):
 
 @query(with_cte(LISTINGS) + "SELECT lid FROM listings WHERE indexer % 10 <> 0 AND NOT multi_work")
 def flt9_drop_account_items(spark, sf):
-    return listings(spark, sf).where((F.col("indexer") % 10 != 0) & ~F.col("multi_work")).select("lid")
+    return P.drop_account_items(listings(spark, sf), F.col("indexer") % 10 == 0, per_file=False).select("lid")
 
 
 @query(
@@ -136,9 +136,16 @@ def flt11_drop_generic_lists(spark, sf):
     return read(spark, sf, "pages").where(~F.lower(title).rlike("^(list|lista|liste) (of|de|des|der) ")).select("page_id")
 
 
-@query(with_cte(LISTINGS) + "SELECT request_id, count(*) FILTER (seeders >= 48 AND NOT lied) = 0 AND count(*) > 0 AS weak FROM listings GROUP BY request_id")
+@query(
+    with_cte(LISTINGS, MARKED)
+    + "SELECT work_id, count(*) FILTER (relevant) AS n, CAST(count(*) FILTER (relevant AND seeders >= 46 AND NOT alien) AS BIGINT) AS n_healthy, count(*) FILTER (relevant) > 0 AND count(*) FILTER (relevant AND seeders >= 46 AND NOT alien) = 0 AS weak FROM (SELECT *, coded AND season = work_id % 5 + 1 OR indexer % 5 = 0 AS relevant FROM marked) GROUP BY work_id"
+)
 def flt12_healthy(spark, sf):
-    return listings(spark, sf).groupBy("request_id").agg(((F.count_if((F.col("seeders") >= 48) & ~F.col("lied")) == 0) & (F.count("*") > 0)).alias("weak"))
+    """For each work whether the season that its number stands for is weakly held."""
+    season = F.col("work_id") % 5 + 1
+    parsed = T.season_episode(F.col("title"))
+    rows = marked(spark, sf).withColumn("parsed", parsed).withColumn("relevant", (F.size("parsed.seasons") == 0) | (~F.col("multi_work") & F.array_contains("parsed.seasons", season.cast("int"))))
+    return P.episode_is_weak(rows, F.col("relevant"), 46, "work_id")
 
 
 @query(

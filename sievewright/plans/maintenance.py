@@ -6,22 +6,25 @@ from pyspark.sql import functions as F
 
 from ..operators import maintenance as M
 from ..operators.joins import anti
-from ..sources.relations import EVIDENCE, LISTINGS, NOW, SNAPSHOT, evidence, listings, read, snapshot, with_cte
+from ..sources.relations import EVIDENCE, LISTINGS, MARKED, NOW, SNAPSHOT, evidence, listings, marked, read, snapshot, with_cte
 from .registry import query
 
 _YOUNG = "2001-06-01 00:00:00"
 
 
 @query(
-    with_cte(LISTINGS)
-    + """, b AS (SELECT work_id, season, episode, hash, lid, seeders, seen_at, is_br, dubbed, lied FROM listings WHERE indexer % 2 = 0 UNION ALL
-SELECT work_id, CASE WHEN NOT (multi_work AND lied) THEN season END, CASE WHEN NOT multi_work THEN episode END, hash, lid, seeders, seen_at, is_br, dubbed, lied FROM listings WHERE indexer % 2 = 1),
-g AS (SELECT work_id, season, episode, hash, arg_max(lid, (seen_at, lid)) AS lid, arg_max(seeders, (seen_at, lid)) AS seeders, max(seen_at) AS seen_at, bool_or(is_br) AS is_br, bool_or(dubbed) AS dubbed, bool_or(lied) AS lied FROM b GROUP BY 1, 2, 3, 4)
+    with_cte(LISTINGS, MARKED)
+    + """, n AS (SELECT *, CASE WHEN is_series THEN request_id % 5 + 1 END AS ask_s, CASE WHEN is_series THEN request_id % 10 + 1 END AS ask_e FROM marked WHERE indexer % 2 = 1),
+b AS (SELECT work_id, season, episode, hash, lid, title, seeders, seen_at, is_br, dubbed, lied FROM marked WHERE indexer % 2 = 0 UNION ALL
+SELECT work_id, CASE WHEN is_series AND (coded OR packed) THEN season ELSE ask_s END, CASE WHEN is_series AND packed THEN NULL WHEN is_series AND coded THEN episode ELSE ask_e END, hash, lid, title, seeders, seen_at, is_br, dubbed, lied FROM n),
+g AS (SELECT work_id, season, episode, hash, arg_max(lid, (seen_at, lid)) AS lid, arg_max(title, (seen_at, lid)) AS title, arg_max(seeders, (seen_at, lid)) AS seeders, max(seen_at) AS seen_at, bool_or(is_br) AS is_br, bool_or(dubbed) AS dubbed, bool_or(lied) AS lied FROM b GROUP BY 1, 2, 3, 4)
 SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY work_id, season, episode ORDER BY seen_at DESC, hash) AS rn FROM g) WHERE rn <= 60"""
 )
 def mrg1_index_record(spark, sf):
-    li = listings(spark, sf)
-    return M.index_record(li.where("indexer % 2 = 0"), li.where("indexer % 2 = 1"))
+    """Half the sources make the index, the others are a batch found for the episode of a series, or for a film, that the request's number stands for."""
+    li = marked(spark, sf)
+    asked = lambda n: F.when(F.col("is_series"), F.col("request_id") % n + 1).cast("long")
+    return M.index_record(li.where("indexer % 2 = 0"), li.where("indexer % 2 = 1").withColumns({"season": asked(5), "episode": asked(10)}))
 
 
 @query(with_cte(LISTINGS, EVIDENCE) + "SELECT hash, bool_or(lied OR hash IN (SELECT hash FROM evidence WHERE kind = 'bad')) AS lied, count(*) AS n FROM listings GROUP BY hash")
@@ -123,11 +126,18 @@ def mrg12_plan_sweep_foreign(spark, sf):
 
 
 @query(
-    with_cte(SNAPSHOT)
-    + """SELECT account, service_id, rn FROM (SELECT *, row_number() OVER (PARTITION BY account ORDER BY uploaded_at, service_id) AS rn FROM snapshot WHERE ready AND NOT protected) JOIN (SELECT account, greatest(0, least(60, count(*) - 80)) AS target FROM snapshot GROUP BY account) USING (account) WHERE rn <= target"""
+    with_cte(SNAPSHOT, EVIDENCE)
+    + """, q AS (SELECT DISTINCT account, hash FROM snapshot WHERE hash IN (SELECT hash FROM evidence WHERE kind = 'hit')), p AS (SELECT DISTINCT account, hash FROM snapshot WHERE known),
+t AS (SELECT account, greatest(0, least(60, count(*) - 80, any_value(asked))) AS target FROM snapshot JOIN (SELECT account, count(*) AS asked FROM q GROUP BY account) USING (account) GROUP BY account),
+e AS (SELECT *, row_number() OVER (PARTITION BY account ORDER BY uploaded_at, service_id) AS rn FROM snapshot WHERE bucket = 'none' AND cached IS NOT NULL AND NOT protected AND status <> 'Downloading'
+  AND (account, hash) NOT IN (SELECT (account, hash) FROM q) AND (account, hash) NOT IN (SELECT (account, hash) FROM p))
+SELECT account, service_id, rn FROM e JOIN t USING (account) WHERE rn <= target"""
 )
 def mrg13_plan_evict(spark, sf):
-    return M.plan_evict(snapshot(spark, sf), 60, 80)
+    """Hashes with a hit were consulted; a row without a sign of the target language is foreign once it was looked into."""
+    s = snapshot(spark, sf)
+    asked = s.join(evidence(spark, sf).where("kind = 'hit'").select("hash").distinct(), "hash", "left_semi").select("account", "hash")
+    return M.plan_evict(s.withColumn("foreign", F.expr("CASE WHEN cached IS NOT NULL THEN bucket = 'none' END")), asked, s.where("known"), 60, 80)
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..operators import ranking as R
-from ..sources.relations import EVIDENCE, LISTINGS, NOW, SNAPSHOT, evidence, listings, read, snapshot, with_cte
+from ..sources.relations import EVIDENCE, LISTINGS, MARKED, NOW, SNAPSHOT, evidence, listings, marked, read, snapshot, with_cte
 from .registry import query
 
 _ORD = "CASE quality WHEN '2160p' THEN 5 WHEN '1080p' THEN 4 WHEN '720p' THEN 3 WHEN 'unknown' THEN 2 WHEN '480p' THEN 1 ELSE 0 END"
@@ -33,43 +33,44 @@ def win1_rank_candidates(spark, sf):
     return ranked.select("request_id", "lid", "quality", "seeders", "rn")
 
 
-POOL1 = f"pool1 AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY dubbed DESC, multi_work DESC, {_WGT} DESC, seeders DESC, lid) AS rn FROM (SELECT *, bool_or(dubbed) OVER (PARTITION BY request_id) AS anyd FROM listings WHERE is_br) WHERE dubbed OR NOT anyd)"
-POOL2 = f"pool2 AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY multi_work DESC, {_WGT} DESC, seeders DESC, lid) AS rn FROM listings WHERE dubbed)"
-POOL3 = f"pool3 AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY multi_work DESC, seeders DESC, {_WGT} DESC, lid) AS rn FROM listings WHERE seeders >= 5)"
+_POOL = "SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY {} lid) AS rn FROM {}"
+POOL1 = f"pool1 AS ({_POOL.format(f'dubbed DESC, multi_work DESC, {_WGT} DESC, seeders DESC,', '(SELECT *, bool_or(dubbed) OVER (PARTITION BY request_id) AS anyd FROM marked WHERE is_br AND NOT cam) WHERE dubbed OR (NOT anyd AND NOT sub)')})"
+POOL2 = f"pool2 AS ({_POOL.format(f'multi_work DESC, {_WGT} DESC, seeders DESC,', 'marked WHERE dubbed AND NOT cam')})"
+POOL3 = f"pool3 AS ({_POOL.format(f'multi_work DESC, sign DESC, seeders DESC, {_WGT} DESC,', 'marked WHERE seeders >= 5 AND NOT cam AND NOT alien')})"
 
 
-@query(with_cte(LISTINGS, POOL1) + "SELECT request_id, lid, rn FROM pool1")
+@query(with_cte(LISTINGS, MARKED, POOL1) + "SELECT request_id, lid, rn FROM pool1")
 def win2_pool_priority_dubbed(spark, sf):
-    return R.pool_priority_dubbed(listings(spark, sf)).select(*_OUT)
+    return R.pool_priority_dubbed(marked(spark, sf)).select(*_OUT)
 
 
-@query(with_cte(LISTINGS, POOL2) + "SELECT request_id, lid, rn FROM pool2")
+@query(with_cte(LISTINGS, MARKED, POOL2) + "SELECT request_id, lid, rn FROM pool2")
 def win3_pool_any_dubbed(spark, sf):
-    return R.pool_any_dubbed(listings(spark, sf)).select(*_OUT)
+    return R.pool_any_dubbed(marked(spark, sf)).select(*_OUT)
 
 
-@query(with_cte(LISTINGS, POOL3) + "SELECT request_id, lid, rn FROM pool3")
+@query(with_cte(LISTINGS, MARKED, POOL3) + "SELECT request_id, lid, rn FROM pool3")
 def win4_pool_top_seeded(spark, sf):
-    return R.pool_top_seeded(listings(spark, sf)).select(*_OUT)
+    return R.pool_top_seeded(marked(spark, sf)).select(*_OUT)
 
 
 @query(
-    with_cte(LISTINGS, EVIDENCE, POOL1)
+    with_cte(LISTINGS, MARKED, EVIDENCE, POOL1)
     + """SELECT request_id, lid, pick FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY rn) AS pick FROM
   (SELECT *, row_number() OVER (PARTITION BY request_id, hash ORDER BY rn) AS seen FROM pool1) WHERE seen = 1 AND hash NOT IN (SELECT hash FROM evidence WHERE kind = 'hit')) WHERE pick <= 5"""
 )
 def win5_pick_from_pool(spark, sf):
-    pool = R.pool_priority_dubbed(listings(spark, sf))
+    pool = R.pool_priority_dubbed(marked(spark, sf))
     return R.pick_from_pool(pool, evidence(spark, sf).where("kind = 'hit'"), 5).select("request_id", "lid", "pick")
 
 
 @query(
-    with_cte(LISTINGS, POOL1, POOL2, POOL3)
+    with_cte(LISTINGS, MARKED, POOL1, POOL2, POOL3)
     + """, every AS (SELECT request_id, lid, rn, 1 AS tier FROM pool1 UNION ALL SELECT request_id, lid, rn, 2 FROM pool2 UNION ALL SELECT request_id, lid, rn, 3 FROM pool3)
 SELECT request_id, lid, rn, CAST(tier AS BIGINT) AS tier, rn <= 3 AS immediate FROM (SELECT *, min(tier) OVER (PARTITION BY request_id) AS best FROM every) WHERE tier = best"""
 )
 def win6_pool_ladder(spark, sf):
-    return R.pool_ladder(listings(spark, sf), 3).select("request_id", "lid", "rn", "tier", "immediate")
+    return R.pool_ladder(marked(spark, sf), 3).select("request_id", "lid", "rn", "tier", "immediate")
 
 
 @query(

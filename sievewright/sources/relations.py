@@ -63,6 +63,22 @@ LISTINGS = """listings AS (SELECT concat_ws('|', l_orderkey, l_linenumber, l_par
   FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 
 
+#: What titles of these sources end in, by the source's number modulo 8, and what they say.
+_MARKS = {0: "CAMRip", 1: "LEGENDADO", 2: "FRENCH", 3: "DUBLADO", 4: "da Cidade de Ouro"}
+
+
+def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings whose titles declare what they hold: season and episode, a season's pack or (a fifth of the sources) nothing, and marks of recording, audio and language."""
+    code = F.when(F.col("indexer") % 5 == 0, "").when(F.col("multi_work"), F.concat(F.col("season").cast("string"), F.lit("ª Temporada Completa"))).otherwise(F.format_string("S%02dE%02d", "season", "episode"))
+    mark = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in _MARKS.items() for x in kv]), (F.col("indexer") % 8).cast("int")), F.lit(""))
+    return listings(spark, sf_dir).withColumn("title", F.concat_ws(" ", "name", code, mark))
+
+
+MARKED = """marked AS (SELECT * REPLACE (concat_ws(' ', name, CASE WHEN indexer % 5 = 0 THEN '' WHEN multi_work THEN season || 'ª Temporada Completa' ELSE printf('S%02dE%02d', season, episode) END,
+  CASE indexer % 8 WHEN 0 THEN 'CAMRip' WHEN 1 THEN 'LEGENDADO' WHEN 2 THEN 'FRENCH' WHEN 3 THEN 'DUBLADO' WHEN 4 THEN 'da Cidade de Ouro' ELSE '' END) AS title),
+  indexer % 8 = 0 AS cam, indexer % 8 = 1 AS sub, indexer % 8 = 2 AS alien, indexer % 8 IN (3, 4) AS sign, indexer % 5 <> 0 AND NOT multi_work AS coded, indexer % 5 <> 0 AND multi_work AS packed FROM listings)"""
+
+
 def works(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D3."""
     return read(spark, sf_dir, "part").select(
