@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.text import decode_entities
 from ..sources import readers as S
 from ..sources import sinks as K
 from ..sources.relations import LISTINGS, NOW, SNAPSHOT, listings, read, snapshot, with_cte
@@ -116,17 +119,62 @@ def src10_work_id(spark, sf):
     return read(spark, sf, "part").select(F.col("p_partkey").alias("id"), S.work_id(s).alias("w")).select("id", "w.*")
 
 
-@query("SELECT page_id, CAST(len(regexp_extract_all(html, '<li><a href=\"[^\"]+\"')) AS BIGINT) AS n_cards FROM pages WHERE len(regexp_extract_all(html, '<li><a href=\"[^\"]+\"')) > 0")
+_CARDS = """c AS (SELECT page_id, i, regexp_extract(url, '^(https?://[^/]+)', 1) AS host, x[i] AS card FROM (SELECT page_id, url, regexp_extract_all(html, '(?s)<li>.*?</li>') AS x FROM pages), generate_series(1, len(x)) g(i)),
+p AS (SELECT page_id, i, host, regexp_extract(card, 'href="([^"]+)"', 1) AS href, trim(regexp_extract(card, '<a [^>]*>([^<]*)</a>', 1)) AS title FROM c)"""
+
+
+_POSTS = f"""WITH {_CARDS}, u AS (SELECT page_id, i, CASE WHEN starts_with(href, '/') THEN host || href ELSE href END AS post_url, title FROM p WHERE href <> '')
+SELECT page_id, CAST(min(i) - 1 AS INTEGER) AS pos, post_url, arg_min(title, i) AS title, CAST(NULL AS VARCHAR) AS original, CAST(NULL AS DATE) AS posted, CAST(NULL AS VARCHAR) AS poster FROM u WHERE NOT regexp_matches(lower(title), '^(list|lista|liste) (of|de|des|der) ') GROUP BY page_id, post_url"""
+
+
+@query(f"SELECT page_id, count(*) AS n_cards FROM ({_POSTS}) GROUP BY page_id")
 def src11_pages_to_posts(spark, sf):
-    cards = read(spark, sf, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(S.PROFILES["list"][0]), F.lit(0))).alias("c"))
-    return cards.groupBy("page_id").agg(F.count("*").alias("n_cards"))
+    return S.pages_to_posts(read(spark, sf, "pages"), "list").groupBy("page_id").agg(F.count("*").alias("n_cards"))
 
 
-@query()
+@query(_POSTS)
 def src11_posts(spark, sf):
     return S.pages_to_posts(read(spark, sf, "pages"), "list")
 
 
+_OFFERS = """WITH r AS (SELECT l_partkey AS work, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_shipdate, l_extendedprice) AS nth, CAST(l_quantity AS BIGINT) AS n, l_suppkey AS s FROM lineitem),"""
+
+
+def _posts(spark, sf):
+    """A post for each work: its listings are links, and what stands above them goes by source and amount."""
+    order = F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate", "l_extendedprice")
+    n = F.col("l_quantity").cast("long").cast("string")
+    above = F.expr("""CASE l_suppkey % 8 WHEN 0 THEN '<h2>Dual &Aacute;udio</h2>' WHEN 1 THEN concat('<h3>Epis\u00f3dio 0', cast(l_quantity as bigint), '</h3>') WHEN 2 THEN '<h3>Temporada Completa</h3>' WHEN 3 THEN '<h2>LEGENDADO</h2>'
+      WHEN 4 THEN concat('<p>Temporada completa, epis\u00f3dio ', cast(l_quantity as bigint), '</p>') WHEN 5 THEN concat('<p>Epis\u00f3dio ', cast(l_quantity as bigint), ' <b>Temporada completa</b></p>') ELSE '<br>' END""")
+    text = F.expr("CASE cast(l_quantity as bigint) % 5 WHEN 0 THEN concat('Epis\u00f3dio ', cast(l_quantity as bigint) + 100) WHEN 1 THEN 'Temporada completa' WHEN 2 THEN 'Dublado 720p' ELSE '1080p WEB-DL 1.5 GB' END")
+    part = F.concat(above, F.lit('<a class="b" href="/'), n, F.lit('">'), text, F.lit("</a>"))
+    per = read(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("page_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct(order.alias("o"), part.alias("p")))), lambda x: x["p"]).alias("parts"))
+    return per.select("page_id", F.array_join("parts", "\n").alias("html"))
+
+
+def _carried(scope: str) -> str:
+    """Links of the posts in SQL: what each says (e), what its section says (t, -1: none from here on), and what is carried."""
+    own = "CASE WHEN e > 0 THEN e WHEN e = -1 THEN -1 ELSE t END" if scope == "anchor-writes" else "t"
+    state = "nullif(last_value(x IGNORE NULLS) OVER w, -1)"
+    last = f"CASE WHEN e IS DISTINCT FROM -1 THEN coalesce(e, {state}) END" if scope == "anchor-local" else state
+    return f"""SELECT '{scope}' AS scope, work AS page_id, nth, '/' || n AS href, CAST({last} AS BIGINT) AS episode, CASE WHEN n % 5 = 2 THEN 'Dublado' ELSE coalesce(last_value(a IGNORE NULLS) OVER w, '') END AS audio,
+  CASE WHEN n % 5 = 2 THEN '720p' WHEN n % 5 > 2 THEN '1080p' ELSE 'unknown' END AS quality, CASE WHEN n % 5 > 2 THEN 'WEB-DL' ELSE '' END AS source, CASE WHEN n % 5 > 2 THEN '1.5 GB' END AS size
+  FROM (SELECT *, {own} AS x FROM m) WINDOW w AS (PARTITION BY work ORDER BY nth ROWS UNBOUNDED PRECEDING)"""
+
+
+@query(
+    _OFFERS
+    + """ m AS (SELECT work, nth, n, CASE s % 8 WHEN 1 THEN n WHEN 2 THEN -1 WHEN 4 THEN n WHEN 5 THEN -1 END AS t, CASE n % 5 WHEN 0 THEN n + 100 WHEN 1 THEN -1 END AS e, CASE s % 8 WHEN 0 THEN 'Dual' WHEN 3 THEN 'Legendado' END AS a FROM r)
+"""
+    + " UNION ALL ".join(map(_carried, S.SCOPES))
+)
+def src12_post_links(spark, sf):
+    """The links of all posts in each of the three scopes."""
+    posts = _posts(spark, sf).withColumn("html", decode_entities(F.col("html")))
+    each = [S.post_links(posts, scope).withColumn("scope", F.lit(scope)) for scope in S.SCOPES]
+    return reduce(lambda a, b: a.unionByName(b), each)
+
+
 @query(
     """WITH l AS (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS h FROM pages)
 SELECT page_id, CAST(i AS BIGINT) AS nth, h[i] AS href FROM l, generate_series(1, len(h)) g(i)"""
@@ -135,7 +183,11 @@ def src12_posts_to_links(spark, sf):
     return S.posts_to_links(read(spark, sf, "pages")).select("page_id", "nth", "href")
 
 
-@query()
+@query(
+    """WITH l AS (SELECT page_id, regexp_extract_all(html, '(?s)<h[1-6][^>]*>[^<]*|<a href="[^"]*"[^>]*>[^<]*|<footer') AS x FROM pages), p AS (SELECT page_id, i, x[i] AS part FROM l, generate_series(1, len(x)) g(i)),
+h AS (SELECT *, nullif(last_value(CASE WHEN regexp_matches(part, '^<h[1-6]') THEN trim(regexp_extract(part, '<h[1-6][^>]*>([^<]*)', 1)) WHEN starts_with(part, '<footer') THEN '|' END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY i ROWS UNBOUNDED PRECEDING), '|') AS section FROM p)
+SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) AS nth, regexp_extract(part, 'href="([^"]*)"', 1) AS href, regexp_extract(part, '>([^<]*)$', 1) AS label, section FROM h WHERE starts_with(part, '<a ')"""
+)
 def src12_links_with_section(spark, sf):
     return S.posts_to_links(read(spark, sf, "pages"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import text as T
+from ..functions.text import decode_entities, quality, source_of, strip_tags
 
 _ITEM = "struct<Title:string,Guid:string,InfoHash:string,MagnetUri:string,Seeders:bigint,Size:bigint,Tracker:string,Category:array<bigint>>"
 
@@ -82,21 +83,32 @@ def ready_inventory(snapshot: DataFrame) -> DataFrame:
     return snapshot.where("ready and filename <> '' and lower(filename) <> hash")
 
 
-def explode_file_tree(df: DataFrame, column: str = "tree", depth: int = 4) -> DataFrame:
-    """Nested ``{"n": name, "s": size, "e": [children]}`` as flat files with their path; ``depth`` levels are opened, one step each, and none is dropped without error.
+#: Levels that a file tree may have before the job ends with an error rather than run on for ever.
+MOST_LEVELS = 1000
 
-    Deeper trees raise, since a file lost without notice would be worse.
+
+def explode_file_tree(df: DataFrame, column: str = "tree") -> DataFrame:
+    """Nested ``{"n": name, "s": size, "e": [children]}`` as flat files with their path, at any depth.
+
+    A recursive query opens one level of all trees in each step, so there are as many steps as the deepest tree has
+    levels. A node with an ``e`` is a folder, if an empty one; null and malformed trees have no files.
     """
-    level = df.select(*[c for c in df.columns if c != column], F.lit("").alias("path"), F.explode(F.from_json(F.col(column), "array<string>")).alias("node"))
-    keep, out = [c for c in df.columns if c != column], None
-    for k in range(depth):
-        parsed = level.select(*keep, "path", F.from_json("node", "struct<n:string,s:bigint,e:array<string>>").alias("x"))
-        here = F.when(F.col("path") == "", F.col("x.n")).otherwise(F.concat_ws("/", "path", "x.n"))
-        files = parsed.where("x.e is null").select(*keep, here.alias("path"), F.col("x.s").alias("size"))
-        out = files if out is None else out.union(files)
-        level = parsed.where("x.e is not null").select(*keep, here.alias("path"), F.explode("x.e").alias("node"))
-    deep = level.select(*keep, "path", F.raise_error(F.lit("file tree deeper than asked for")).cast("bigint").alias("size"))
-    return out.union(deep)
+    spark, keep = df.sparkSession, [c for c in df.columns if c != column]
+    names = {c: f"k{i}" for i, c in enumerate(keep)}
+    keys = "".join(f"{n}, " for n in names.values())
+    top = df.select(*[F.col(c).alias(n) for c, n in names.items()], F.explode(F.from_json(F.col(column), "array<string>")).alias("raw"))
+    spark.conf.set("spark.sql.cteRecursionLevelLimit", MOST_LEVELS)
+    spark.conf.set("spark.sql.cteRecursionRowLimit", -1)
+    node = "from_json({}, 'struct<n:string,s:bigint,e:array<string>>')"
+    found = spark.sql(
+        f"""WITH RECURSIVE tree AS (
+  SELECT {keys}x.n AS path, x.s AS size, x.e AS inside FROM (SELECT {keys}{node.format('raw')} AS x FROM {{top}})
+  UNION ALL
+  SELECT {keys}CASE WHEN path = '' THEN x.n ELSE concat_ws('/', path, x.n) END, x.s, x.e FROM (SELECT {keys}path, {node.format('child')} AS x FROM (SELECT {keys}path, explode(inside) AS child FROM tree)))
+SELECT {keys}path, size FROM tree WHERE inside IS NULL AND path IS NOT NULL""",
+        top=top,
+    )
+    return found.withColumnsRenamed({n: c for c, n in names.items()})
 
 
 def read_popular(df: DataFrame, today: str, votes: int, most: int) -> DataFrame:
@@ -121,27 +133,92 @@ def work_id(c: Column) -> Column:
     return F.struct(part(1).alias("work"), part(2).try_cast("long").alias("season"), part(3).try_cast("long").alias("episode"))
 
 
-#: Layouts of listing pages: how a card, its link and its title look. Fixed values of the site profiles.
+#: Layouts of listing pages: how a card, its link, its title and what else it tells look; an empty pattern: the layout does not tell it. Fixed values of the site profiles.
 PROFILES = {
-    "post": (r'(?s)<div class="post">.*?</div>\s*</div>', r'href="([^"]+)"', r"<a [^>]*>([^<]+)</a>"),
-    "article": (r"(?s)<article.*?</article>", r'href="([^"]+)"', r"<h[12][^>]*>([^<]+)</h"),
-    "list": (r"(?s)<li>.*?</li>", r'href="([^"]+)"', r"<a [^>]*>([^<]*)</a>"),
-    "heading": (r"(?s)<h2[^>]*>.*?</h2>", r'href="([^"]+)"', r"<a [^>]*>([^<]+)</a>"),
-    "card": (r'(?s)<a class="sa-card[^>]*>.*?</a>', r'href="([^"]+)"', r">([^<]+)<"),
-}
+    "post": {"card": r'(?s)<div class="post">.*?</div>\s*</div>', "link": r'href="([^"]+)"', "title": r"<a [^>]*>([^<]+)</a>", "original": r"(?i)t[ií]tulo original:?\s*(?:</[a-z]+>)?\s*([^<]+)", "date": r"(\d{2}/\d{2}/\d{4})", "poster": r'<img[^>]+src="([^"]+)"'},
+    "article": {"card": r"(?s)<article.*?</article>", "link": r'href="([^"]+)"', "title": r"<h[12][^>]*>(?:<a [^>]*>)?([^<]+)</", "original": "", "date": r"datetime=\"(\d{4}-\d{2}-\d{2})", "poster": r'<img[^>]+src="([^"]+)"'},
+    "list": {"card": r"(?s)<li>.*?</li>", "link": r'href="([^"]+)"', "title": r"<a [^>]*>([^<]*)</a>", "original": "", "date": "", "poster": ""},
+    "heading": {"card": r"(?s)<h2[^>]*>.*?</h2>", "link": r'href="([^"]+)"', "title": r"<a [^>]*>([^<]+)</a>", "original": "", "date": "", "poster": ""},
+    "card": {"card": r'(?s)<a class="sa-card[^>]*>.*?</a>', "link": r'href="([^"]+)"', "title": r">([^<]+)<", "original": "", "date": "", "poster": r'<img[^>]+src="([^"]+)"'},
+}
+
+
+def resolved(url: Column, page: Column) -> Column:
+    """An address as it stands on a page: absolute, from the host's root, or beside the page."""
+    host = F.regexp_extract(page, r"^(https?://[^/]+)", 1)
+    beside = F.regexp_replace(page, r"(?<=[^/:])/[^/]*$", "")
+    return F.when(url.isNull() | url.rlike("^[a-z]+:"), url).when(url.startswith("//"), F.concat(F.regexp_extract(page, "^([a-z]+:)", 1), url)).when(url.startswith("/"), F.concat(host, url)).otherwise(F.concat_ws("/", beside, url))
 
 
 def pages_to_posts(pages: DataFrame, profile: str) -> DataFrame:
-    """Cards of listing pages in order, the first of each link; posts that are only lists go."""
-    card, link, title = PROFILES[profile]
-    cards = pages.select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit(card), F.lit(0))).alias("pos", "card"))
-    host = F.regexp_extract("url", r"^(https?://[^/]+)", 1)
-    href = F.regexp_extract("card", link, 1)
-    posts = cards.select("page_id", "pos", F.when(href.startswith("/"), F.concat(host, href)).otherwise(href).alias("post_url"), F.trim(F.regexp_extract("card", title, 1)).alias("title")).where("post_url <> ''")
-    posts = posts.where(~F.lower("title").rlike("^(list|lista|liste) (of|de|des|der) "))
+    """Cards of listing pages in order, the first of each link; posts that are only lists go.
+
+    Returns ``page_id``, ``pos``, ``post_url`` (resolved), ``title``, and, where the layout tells them, ``original`` (the
+    work's own title), ``posted`` (date) and ``poster`` (resolved), else null. References in texts are decoded.
+    """
+    p = PROFILES[profile]
+    cards = pages.select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit(p["card"]), F.lit(0))).alias("pos", "card"))
+    told = lambda what: F.nullif(F.trim(F.regexp_extract("card", p[what], 1)), F.lit("")) if p[what] else F.lit(None).cast("string")
+    date = told("date")
+    posted = F.coalesce(F.try_to_timestamp(date, F.lit("dd/MM/yyyy")), F.try_to_timestamp(date, F.lit("yyyy-MM-dd"))).cast("date")
+    posts = cards.select("page_id", "pos", resolved(told("link"), F.col("url")).alias("post_url"), F.coalesce(decode_entities(told("title")), F.lit("")).alias("title"), decode_entities(told("original")).alias("original"), posted.alias("posted"), resolved(told("poster"), F.col("url")).alias("poster"))
+    posts = posts.where("post_url is not null").where(~F.lower("title").rlike("^(list|lista|liste) (of|de|des|der) "))
     return posts.withColumn("rn", F.row_number().over(W.partitionBy("page_id", "post_url").orderBy("pos"))).where("rn = 1").drop("rn")
 
 
+#: How far what a link's own text says of the episode reaches: to the link alone, to all links behind it, or not at all.
+SCOPES = ("anchor-local", "anchor-writes", "segment-only")
+# What posts write above their links, in upper case.
+EPISODE_TEXT, PACK_TEXT = r"(?:EPIS[ÓO]DIO|\bEP\.?) *0*([0-9]{1,3})", "TEMPORADA COMPLETA|PACK|COMPLETO"
+AUDIO_TEXT = {"Dual": "DUAL [ÁA]UDIO|DUAL", "Dublado": "DUBLAD[OA]", "Legendado": "LEGENDAD[OA]", "Nacional": "NACIONAL"}
+_ANCHOR = r'(?s)<a [^>]*?href="[^"]*"[^>]*>.*?</a>'
+_RESET = -1
+
+
+def post_links(posts: DataFrame, scope: str, tie_break: bool = True, audio: str = "") -> DataFrame:
+    """Links of posts with what the sections above them say: audio and episode are carried from link to link.
+
+    The text between two links is the segment of the second. An audio that a segment names holds from there on, one that
+    a link's text names for the link alone; ``audio`` holds at first. An episode that a segment names holds until a mark
+    of a pack takes it away; where both stand in one segment the later decides (``tie_break``), else the pack does. The
+    link's own text reaches as far as ``scope`` says. Quality, source and size (the last) come from segment and link.
+
+    ``posts`` has ``page_id`` and ``html``. Returns ``page_id``, ``nth``, ``href``, ``audio``, ``episode``, ``quality``,
+    ``source`` and ``size``. The carried states are windows over a post's links: a reset is a value of its own.
+    """
+    if scope not in SCOPES:
+        raise ValueError(f"scope must be one of {SCOPES}")
+    anchors, between = F.regexp_extract_all("html", F.lit(_ANCHOR), F.lit(0)), F.split("html", _ANCHOR)
+    rows = posts.select("page_id", F.posexplode(F.arrays_zip(anchors.alias("link"), F.slice(between, F.lit(1), F.size(anchors)).alias("text"))).alias("pos", "x"))
+    rows = rows.select("page_id", "pos", F.col("x.link").alias("link"), F.upper(strip_tags(F.col("x.text"))).alias("segment"), F.upper(strip_tags(F.col("x.link"))).alias("own"))
+
+    def last_at(c: Column, pattern: str) -> Column:
+        """Where the last match of a pattern begins; null without one."""
+        return F.when(c.rlike(pattern), F.length(F.regexp_extract(c, f"(?s)^(.*)(?:{pattern})", 1)))
+
+    def signal(c: Column, tie: bool) -> Column:
+        """The episode that a text names last, a reset if a pack stands behind it (or, without ``tie``, anywhere), else null."""
+        episode = F.regexp_extract(c, f"(?s)^.*{EPISODE_TEXT}", 1).try_cast("int")
+        pack = last_at(c, PACK_TEXT)
+        wins = (last_at(c, EPISODE_TEXT) > pack) if tie else F.lit(False)
+        return F.when(pack.isNotNull() & ~F.coalesce(wins, F.lit(False)), F.lit(_RESET)).otherwise(episode)
+
+    named = lambda c: reduce(lambda a, kv: a.when(c.rlike(kv[1]), kv[0]), AUDIO_TEXT.items(), F.when(F.lit(False), ""))
+    segment, own, context = F.col("segment"), F.col("own"), F.concat_ws(" ", "segment", "own")
+    w = W.partitionBy("page_id").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
+    told = signal(segment, tie_break)
+    own_episode = F.regexp_extract(own, f"(?s)^.*{EPISODE_TEXT}", 1).try_cast("int")
+    own_pack = F.when(own.rlike(PACK_TEXT), F.lit(_RESET))
+    if scope == "anchor-writes":
+        told = F.coalesce(own_episode, own_pack, told)
+    state = F.nullif(F.last(told, ignorenulls=True).over(w), F.lit(_RESET))
+    if scope == "anchor-local":
+        state = F.when(own_pack.isNull(), F.coalesce(own_episode, state))
+    heard = F.coalesce(named(own), F.last(named(segment), ignorenulls=True).over(w), F.lit(audio))
+    size = F.element_at(F.concat(F.array(F.lit("")), F.regexp_extract_all(context, F.lit("([0-9.,]+ *[TGMK]B)\\b"), F.lit(1))), -1)
+    return rows.select("page_id", (F.col("pos") + 1).cast("long").alias("nth"), F.regexp_extract("link", r'href="([^"]*)"', 1).alias("href"), heard.alias("audio"), state.cast("long").alias("episode"), quality(context).alias("quality"), source_of(context).alias("source"), F.nullif(size, F.lit("")).alias("size"))
+
+
 def posts_to_links(pages: DataFrame) -> DataFrame:
     """Links in page order with the section they stand in: the last heading before a link is its section, a new list or paragraph keeps it, the footer resets it."""
     parts = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r"(?s)<h[1-6][^>]*>[^<]*|<a href=\"[^\"]*\"[^>]*>[^<]*|<footer"), F.lit(0))).alias("pos", "part"))

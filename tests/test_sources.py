@@ -99,8 +99,12 @@ def test_file_tree(spark):
     tree = json.dumps([{"n": "a", "e": [{"n": "b", "s": 1}, {"n": "c", "e": [{"n": "d", "s": 2}]}]}, {"n": "e", "s": 3}])
     df = spark.createDataFrame([(1, tree)], "id int, tree string")
     assert sorted((r.path, r.size) for r in S.explode_file_tree(df).collect()) == [("a/b", 1), ("a/c/d", 2), ("e", 3)]
-    with pytest.raises(Exception, match="deeper"):
-        S.explode_file_tree(df, depth=2).collect()
+    deep = {"n": "f", "s": 7}
+    for k in range(40):
+        deep = {"n": f"d{k}", "e": [deep]}
+    rows = [(1, tree), (2, json.dumps([deep, {"n": "empty", "e": []}])), (3, None), (4, "no json"), (5, "[]")]
+    got = {(r.path, r.id): r.size for r in S.explode_file_tree(spark.createDataFrame(rows, "path int, tree string").withColumnRenamed("path", "id").select("id", "tree")).collect()}
+    assert got == {("a/b", 1): 1, ("a/c/d", 1): 2, ("e", 1): 3, ("/".join(f"d{k}" for k in reversed(range(40))) + "/f", 2): 7}
 
 
 def test_links_carry_sections(spark):
