@@ -10,8 +10,9 @@ from pyspark.sql.window import Window as W
 from ..functions import text as T
 from ..functions.folds import fold_sorted
 
-# Places of the qualities in the display order and weights in the pools.
+# Places of the qualities in the display order and among the quotas' bands, and weights in the pools.
 ORDER = {"2160p": 5, "1080p": 4, "720p": 3, "unknown": 2, "480p": 1, "SD": 0}
+BANDS = {"2160p": 6, "1080p": 5, "720p": 4, "480p": 3, "SD": 2, "unknown": 1}
 WEIGHT = {"1080p": 6, "720p": 5, "2160p": 4, "unknown": 3, "480p": 2, "SD": 1}
 
 
@@ -124,13 +125,62 @@ def limit_joint(ranked: DataFrame, quality_limits: dict[str, int], source_cap: i
     return ranked.join(kept, [key, "rn"])
 
 
-def select_quality_pool(ranked: DataFrame, caps: dict[str, int], target: int, key: str = "request_id") -> DataFrame:
-    """Round robin over the capped qualities up to ``target`` rows, then the uncapped ones fill; the original order stays."""
-    cap = F.element_at(F.create_map(*[F.lit(x) for kv in caps.items() for x in kv]), F.col("quality"))
-    nth = F.row_number().over(W.partitionBy(key, "quality").orderBy("rn"))
-    df = ranked.withColumns({"cap": cap, "nth": nth}).where("cap is null or nth <= cap")
-    turn = F.row_number().over(W.partitionBy(key).orderBy(F.col("cap").isNull(), F.when(F.col("cap").isNotNull(), F.col("nth")), F.when(F.col("cap").isNotNull(), placed(F.col("quality"), ORDER)).desc(), F.col("rn")))
-    return df.withColumn("turn", turn.cast("long")).where(F.col("turn") <= target).drop("cap", "nth")
+def select_quality_pool(ranked: DataFrame, caps: dict[str, int], target: int, key: str = "request_id", reserved: int = 0, per_band: int = 0, factor: int = 1, origin_first: bool = False) -> DataFrame:
+    """The rows of each request that go on, ``target`` at most, with ``turn``, the order in which they were taken.
+
+    Rows of priority origin come first: up to ``per_band`` of each quality, then any, until ``reserved`` (with
+    ``origin_first``: ``target``) are taken and as far as the quality's cap (times ``factor``) lets them. Then a round
+    robin over the capped qualities takes one row of each in turn up to its cap, and rows of uncapped qualities fill up.
+    Each of the four steps has its limits per quality and one on all, so each is a rank within the quality and one
+    within the request, behind the rows of the steps before.
+    """
+    cap = F.element_at(F.create_map(*[F.lit(x) for q, n in caps.items() for x in (q, n * factor)]), F.col("quality"))
+    df = ranked.withColumn("cap", cap)
+    every, band = W.partitionBy(key), W.partitionBy(key, "quality")
+    so_far = lambda w: w.orderBy("rn").rowsBetween(W.unboundedPreceding, 0)
+    number = lambda c, w: F.sum(c.cast("int")).over(w)
+    least = F.lit(min(target, target if origin_first else reserved))
+    open_ = F.col("is_br")
+    df = df.withColumn("ok", open_ & (number(open_, so_far(band)) <= F.least(F.lit(per_band), F.coalesce("cap", F.lit(per_band)))))
+    df = df.withColumn("one", F.col("ok") & (number(F.col("ok"), so_far(every)) <= least))
+    open_ = F.col("is_br") & ~F.col("one")
+    df = df.withColumn("ok", open_ & (F.col("cap").isNull() | (number(F.col("one"), band) + number(open_, so_far(band)) <= F.col("cap"))))
+    df = df.withColumn("two", F.col("ok") & (number(F.col("one"), every) + number(F.col("ok"), so_far(every)) <= least))
+    taken = F.col("one") | F.col("two")
+    nth = number(~taken, so_far(band))
+    df = df.withColumn("step", F.when(F.col("one"), 1).when(F.col("two"), 2).when(F.col("cap").isNotNull() & (number(taken, band) + nth <= F.col("cap")), 3).when(F.col("cap").isNull(), 4)).withColumn("nth", nth).where("step is not null")
+    robin = F.col("step") == 3
+    turn = F.row_number().over(every.orderBy("step", F.when(robin, F.col("nth")), F.when(robin, placed(F.col("quality"), BANDS)).desc(), "rn"))
+    return df.withColumn("turn", turn.cast("long")).where(F.col("turn") <= target).drop("cap", "ok", "one", "two", "step", "nth")
+
+
+def limit_guaranteed(ranked: DataFrame, most: int, reserve: int, per_band: int, key: str = "request_id", packs: bool = True) -> DataFrame:
+    """The first ``most`` rows of each request, into which rows of priority origin are swapped for the last others.
+
+    Guaranteed are up to ``per_band`` such rows of each quality, dubbed ones first, that are no packs; then, for each
+    quality that has none, best quality first, its first pack (``packs``: the request asks for a season). They come
+    first among the ``reserve`` rows (or as many as are guaranteed) that may enter; rows that stand beyond the cut do so
+    in that order, while there are others before it.
+    """
+    every, band = W.partitionBy(key), W.partitionBy(key, "quality")
+    pack = F.col("multi_work") if packs else F.lit(False)
+    df = ranked.withColumns({"place": placed(F.col("quality"), BANDS), "inside": F.col("rn") <= most, "own": F.col("is_br") & ~pack, "fill": F.col("is_br") & pack})
+    own = F.row_number().over(W.partitionBy(key, "quality", "own").orderBy(F.col("dubbed").desc(), "rn"))
+    df = df.withColumn("sure", F.col("own") & (own <= per_band))
+    bare = F.max(F.col("sure").cast("int")).over(band) == 0
+    first = F.row_number().over(W.partitionBy(key, "quality", "fill").orderBy(F.col("dubbed").desc(), "rn")) == 1
+    df = df.withColumn("cover", F.col("fill") & bare & first & (per_band > 0))
+    # own rows that are guaranteed, then packs by quality, then the other rows of priority origin
+    group = F.when(F.col("sure"), 1).when(F.col("cover"), 2).when(F.col("is_br"), 3).otherwise(4)
+    order = [group, F.when(F.col("cover"), -F.col("place")), F.col("dubbed").desc(), F.col("rn")]
+    df = df.withColumn("queue", F.row_number().over(every.orderBy(*order)))
+    may = F.greatest(F.lit(reserve), F.sum((F.col("sure") | F.col("cover")).cast("int")).over(every))
+    df = df.withColumn("waits", F.col("is_br") & ~F.col("inside") & (F.col("queue") <= may)).withColumn("other", ~F.col("is_br") & F.col("inside"))
+    df = df.withColumn("swaps", F.least(F.sum(F.col("waits").cast("int")).over(every), F.sum(F.col("other").cast("int")).over(every)))
+    enters = F.col("waits") & (F.row_number().over(W.partitionBy(key, "waits").orderBy("queue")) <= F.col("swaps"))
+    leaves = F.col("other") & (F.row_number().over(W.partitionBy(key, "other").orderBy(F.col("rn").desc())) <= F.col("swaps"))
+    kept = df.withColumns({"enters": enters, "leaves": leaves}).where("enters or (inside and not leaves)")
+    return kept.drop("place", "inside", "own", "fill", "sure", "cover", "queue", "waits", "other", "swaps", "enters", "leaves")
 
 
 def limit_reserving(ranked: DataFrame, most: int, reserve: int, key: str = "request_id") -> DataFrame:

@@ -10,6 +10,7 @@ from ..sources.relations import EVIDENCE, LISTINGS, MARKED, NOW, SNAPSHOT, evide
 from .registry import query
 
 _ORD = "CASE quality WHEN '2160p' THEN 5 WHEN '1080p' THEN 4 WHEN '720p' THEN 3 WHEN 'unknown' THEN 2 WHEN '480p' THEN 1 ELSE 0 END"
+_BAND = "CASE quality WHEN '2160p' THEN 6 WHEN '1080p' THEN 5 WHEN '720p' THEN 4 WHEN '480p' THEN 3 WHEN 'SD' THEN 2 ELSE 1 END"
 _WGT = "CASE quality WHEN '1080p' THEN 6 WHEN '720p' THEN 5 WHEN '2160p' THEN 4 WHEN 'unknown' THEN 3 WHEN '480p' THEN 2 ELSE 1 END"
 RANKED = f"ranked AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY {_ORD} DESC, dubbed DESC, lied, seeders DESC, lid) AS rn FROM listings)"
 _OUT = ["request_id", "lid", "rn"]
@@ -112,6 +113,39 @@ def win10_select_quality_pool(spark, sf):
     return R.select_quality_pool(R.rank_candidates(listings(spark, sf)), {"2160p": 3, "1080p": 4, "480p": 6}, 40).select("request_id", "lid", "rn", "turn")
 
 
+@query(
+    with_cte(LISTINGS, RANKED)
+    + f""", c AS (SELECT *, CASE quality WHEN '2160p' THEN 6 WHEN '1080p' THEN 8 WHEN '480p' THEN 12 END AS cap FROM ranked),
+a AS (SELECT *, is_br AND count(*) FILTER (is_br) OVER (PARTITION BY request_id, quality ORDER BY rn ROWS UNBOUNDED PRECEDING) <= 2 AS ok FROM c),
+a1 AS (SELECT *, ok AND count(*) FILTER (ok) OVER (PARTITION BY request_id ORDER BY rn ROWS UNBOUNDED PRECEDING) <= 14 AS one FROM a),
+b AS (SELECT * EXCLUDE (ok), is_br AND NOT one AND (cap IS NULL OR count(*) FILTER (one) OVER (PARTITION BY request_id, quality) + count(*) FILTER (is_br AND NOT one) OVER (PARTITION BY request_id, quality ORDER BY rn ROWS UNBOUNDED PRECEDING) <= cap) AS ok FROM a1),
+b1 AS (SELECT *, one OR (ok AND count(*) FILTER (one) OVER (PARTITION BY request_id) + count(*) FILTER (ok) OVER (PARTITION BY request_id ORDER BY rn ROWS UNBOUNDED PRECEDING) <= 14) AS own FROM b),
+d AS (SELECT *, count(*) FILTER (NOT own) OVER (PARTITION BY request_id, quality ORDER BY rn ROWS UNBOUNDED PRECEDING) AS nth, count(*) FILTER (own) OVER (PARTITION BY request_id, quality) AS had FROM b1),
+e AS (SELECT *, CASE WHEN one THEN 1 WHEN own THEN 2 WHEN cap IS NULL THEN 4 ELSE 3 END AS step FROM d WHERE own OR cap IS NULL OR had + nth <= cap)
+SELECT request_id, lid, rn, turn FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY step, CASE WHEN step = 3 THEN nth END, CASE WHEN step = 3 THEN -({_ORD}) END, rn) AS turn FROM e) WHERE turn <= 40"""
+)
+def win10_reserved_pool(spark, sf):
+    """Two rows of priority origin a quality and fourteen in all before the round robin; caps are doubled for candidates."""
+    ranked = R.rank_candidates(listings(spark, sf))
+    return R.select_quality_pool(ranked, {"2160p": 3, "1080p": 4, "480p": 6}, 40, reserved=14, per_band=2, factor=2).select("request_id", "lid", "rn", "turn")
+
+
+@query(
+    with_cte(LISTINGS, RANKED)
+    + f""", s AS (SELECT *, {_BAND} AS place, rn <= 25 AS inside, is_br AND NOT multi_work AND row_number() OVER (PARTITION BY request_id, quality, is_br AND NOT multi_work ORDER BY dubbed DESC, rn) <= 2 AS sure,
+  is_br AND multi_work AND row_number() OVER (PARTITION BY request_id, quality, is_br AND multi_work ORDER BY dubbed DESC, rn) = 1 AS pack1 FROM ranked WHERE NOT (quality IN ('SD', '480p') AND is_br AND NOT multi_work)),
+c AS (SELECT *, pack1 AND NOT bool_or(sure) OVER (PARTITION BY request_id, quality) AS cover FROM s),
+q AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY CASE WHEN sure THEN 1 WHEN cover THEN 2 WHEN is_br THEN 3 ELSE 4 END, CASE WHEN cover THEN -place END, dubbed DESC, rn) AS queue, greatest(4, count(*) FILTER (sure OR cover) OVER (PARTITION BY request_id)) AS may FROM c),
+w AS (SELECT *, is_br AND NOT inside AND queue <= may AS waits, NOT is_br AND inside AS other FROM q),
+n AS (SELECT *, least(count(*) FILTER (waits) OVER r, count(*) FILTER (other) OVER r) AS swaps, row_number() OVER (PARTITION BY request_id, waits ORDER BY queue) AS nth, row_number() OVER (PARTITION BY request_id, other ORDER BY rn DESC) AS back FROM w WINDOW r AS (PARTITION BY request_id))
+SELECT request_id, lid, rn FROM n WHERE (waits AND nth <= swaps) OR (inside AND NOT (other AND back <= swaps))"""
+)
+def win11_guaranteed_bands(spark, sf):
+    """Sources of priority origin offer small qualities as packs only, so that packs have bands to cover."""
+    ranked = R.rank_candidates(listings(spark, sf)).where(~(F.col("quality").isin("SD", "480p") & F.col("is_br") & ~F.col("multi_work")))
+    return R.limit_guaranteed(ranked, 25, 4, 2).select(*_OUT)
+
+
 @query(
     with_cte(LISTINGS, RANKED)
     + """, o AS (SELECT *, CAST(is_br AND dubbed AS INT) AS own, CAST(rn <= 10 AS INT) AS inside FROM ranked),
