@@ -8,7 +8,7 @@ from pyspark.sql.types import StructType
 from pyspark.sql.window import Window as W
 
 from ..functions.folds import fold_sorted
-from ..functions.text import season_episode
+from ..functions.text import let, season_episode, tokens
 
 
 def routed(rows: DataFrame) -> DataFrame:
@@ -157,6 +157,54 @@ def pick_file(files: DataFrame) -> DataFrame:
     return per.select("hash", F.when(~F.col("junk"), F.col("path")).alias("path"), F.when(F.col("junk"), "no video").when((F.col("tier") == 2) & (F.col("n_named") == 0), "episode not named").alias("error"))
 
 
+# What tells a video, a sample and an extra by its path; the least share of a work's name that a file must bear.
+VIDEO, SAMPLE = r"(?i)\.(mkv|mp4|avi|mov|m4v|ts|webm)$", "(?i)(^|[^a-z])sample([^a-z]|$)"
+EXTRA = (
+    "(?i)(^|[^a-z])(extras?|b[oô]nus|bonus|featurettes?|interviews?|entrevistas?|behind[ ._-]?the[ ._-]?scenes|trailers?|deleted[ ._-]?scenes?|cenas[ ._-]?deletadas|bloopers?|gags?|making[ ._-]?of)([^a-z]|$)"
+)
+WORK_COVERAGE = 0.7
+_FILE_YEAR = "(?:^|[^0-9])((?:19|20)[0-9]{2})(?:$|[^0-9])"
+
+
+def work_coverage(path: Column, name: Column) -> Column:
+    """The share of a name's tokens (of more than two letters, if there are any) that the file's own name holds, or, if that holds none, its whole path."""
+    long = lambda t: F.filter(t, lambda x: F.length(x) > 2)
+    base = F.element_at(F.split(path, r"[/\\\\]"), -1)
+    held = lambda wanted, c: F.size(F.filter(wanted, lambda x: F.array_contains(tokens(c), x)))
+
+    def share(wanted: Column) -> Column:
+        return let(held(wanted, base), lambda n: F.when(n > 0, n).otherwise(held(wanted, path)) / F.nullif(F.size(wanted), F.lit(0)))
+
+    return F.coalesce(let(tokens(name), lambda t: let(long(t), lambda x: share(F.when(F.size(x) > 0, x).otherwise(t)))), F.lit(0.0))
+
+
+def pick_work_file(files: DataFrame, asked: DataFrame) -> DataFrame:
+    """The file of each hash that is the work asked for, or why there is none.
+
+    ``files`` has ``hash``, ``path``, ``size``; ``asked`` has, per hash, ``names``, ``year`` (may be null) and ``pack`` (the
+    title says it holds several works). Videos that are no samples count, extras only if there is nothing else. A lone
+    one is it. Where neither the title nor two years among the files' names speak of several works, the largest is.
+    Otherwise it is the only file that bears enough of a name; of several the only one, or the largest, that bears the
+    year; else which one is meant is not clear. Returns ``hash``, ``path`` and ``error`` (``no video``, ``work not clear``).
+    """
+    path = F.col("path")
+    base = F.element_at(F.split(path, r"[/\\\\]"), -1)
+    ok = path.rlike(VIDEO) & ~path.rlike(SAMPLE)
+    df = files.select("hash", "path", "size").join(asked, "hash").withColumns({"ok": ok, "main": ok & ~path.rlike(EXTRA)})
+    df = df.withColumn("pool", F.col("ok") & (F.col("main") | (F.max(F.col("main").cast("int")).over(W.partitionBy("hash")) == 0)))
+    cover = F.array_max(F.transform("names", lambda n: work_coverage(path, n)))
+    df = df.withColumns({"bears": F.col("pool") & (F.coalesce(cover, F.lit(0.0)) >= WORK_COVERAGE), "told": F.nullif(F.regexp_extract(base, _FILE_YEAR, 1), F.lit(""))})
+    df = df.withColumn("dated", F.col("bears") & F.coalesce(base.rlike(r"(?<!\d)(?:19|20)\d{2}(?!\d)") & F.array_contains(F.regexp_extract_all(base, F.lit(r"(?<![0-9])([0-9]{4})(?![0-9])"), F.lit(1)), F.col("year").cast("string")), F.lit(False)))
+    largest = lambda c: F.min_by("path", F.when(F.col(c), F.struct((-F.col("size")).alias("s"), "path")))
+    per = df.groupBy("hash").agg(
+        F.first("pack").alias("pack"), F.count_if("pool").alias("n"), F.count_distinct(F.when(F.col("main"), F.col("told"))).alias("years"), F.count_if("main").alias("mains"),
+        F.count_if("bears").alias("bearing"), F.count_if("dated").alias("dating"), largest("pool").alias("any"), largest("bears").alias("one"), largest("dated").alias("right"),
+    )
+    several = F.col("pack") | ((F.col("mains") > 1) & (F.col("years") >= 2))
+    picked = F.when((F.col("n") == 1) | ~several, F.col("any")).when(F.col("bearing") == 1, F.col("one")).when(F.col("dating") > 0, F.col("right"))
+    return per.select("hash", picked.alias("path"), F.when(F.col("n") == 0, "no video").when(picked.isNull(), "work not clear").alias("error"))
+
+
 def protect_merge(holds: DataFrame, seen: DataFrame, now: str, ttl_s: int) -> DataFrame:
     """Holds with first acceptance kept, readiness set once, and expiry renewed once half the time is gone."""
     t = F.lit(now).cast("timestamp")

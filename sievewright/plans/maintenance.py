@@ -217,6 +217,31 @@ def mrg19_pick_file(spark, sf):
     return M.pick_file(files)
 
 
+@query(
+    """WITH f AS (SELECT l_orderkey AS k, l_linenumber AS nr, l_partkey, l_suppkey, p_name, 1980 + p_size AS year, CAST(floor(l_extendedprice) AS BIGINT) AS size,
+  CASE WHEN l_linenumber = 5 THEN 'extras/' ELSE '' END || p_name || ' ' || (1980 + p_size) || CASE WHEN l_suppkey % 10 = 0 THEN ' sample' ELSE '' END || CASE WHEN l_suppkey % 7 = 0 THEN '.srt' ELSE '.mkv' END AS path FROM lineitem JOIN part ON l_partkey = p_partkey),
+a AS (SELECT k, arg_min(p_name, (nr, l_partkey)) AS name, arg_min(year, (nr, l_partkey)) AS asked FROM f GROUP BY k),
+o AS (SELECT f.*, asked, k % 3 = 0 AS pack, l_suppkey % 10 <> 0 AND l_suppkey % 7 <> 0 AS ok, l_suppkey % 10 <> 0 AND l_suppkey % 7 <> 0 AND nr <> 5 AS main,
+  list_filter(string_split(name, ' '), lambda x: len(x) > 2) AS w, string_split(p_name, ' ') AS t FROM f JOIN a USING (k)),
+p AS (SELECT *, ok AND (main OR NOT bool_or(main) OVER (PARTITION BY k)) AS pool FROM o),
+b AS (SELECT *, pool AND len(list_filter(w, lambda x: list_contains(t, x))) >= 0.7 * len(w) AS bears FROM p),
+g AS (SELECT k, any_value(pack) AS pack, count(*) FILTER (pool) AS n, count(DISTINCT year) FILTER (main) AS years, count(*) FILTER (main) AS mains, count(*) FILTER (bears) AS bearing, count(*) FILTER (bears AND year = asked) AS dating,
+  arg_min(path, (-size, path)) FILTER (pool) AS a, arg_min(path, (-size, path)) FILTER (bears) AS o, arg_min(path, (-size, path)) FILTER (bears AND year = asked) AS r FROM b GROUP BY k),
+x AS (SELECT k, n, CASE WHEN n = 1 OR NOT (pack OR (mains > 1 AND years >= 2)) THEN a WHEN bearing = 1 THEN o WHEN dating > 0 THEN r END AS path FROM g)
+SELECT k AS hash, path, CASE WHEN n = 0 THEN 'no video' WHEN path IS NULL THEN 'work not clear' END AS error FROM x"""
+)
+def mrg19_pick_work_file(spark, sf):
+    """Orders are collections: their lines are files of works, and the work of the first line is asked for."""
+    p = read(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", (F.col("p_size") + 1980).alias("year"))
+    li = read(spark, sf, "lineitem").join(p, "l_partkey")
+    end = F.concat(F.when(F.col("l_suppkey") % 10 == 0, " sample").otherwise(""), F.when(F.col("l_suppkey") % 7 == 0, ".srt").otherwise(".mkv"))
+    path = F.concat(F.when(F.col("l_linenumber") == 5, "extras/").otherwise(""), F.concat_ws(" ", "p_name", F.col("year").cast("string")), end)
+    files = li.select(F.col("l_orderkey").alias("hash"), path.alias("path"), F.floor("l_extendedprice").cast("long").alias("size"))
+    first = F.struct("l_linenumber", "l_partkey")
+    asked = li.groupBy(F.col("l_orderkey").alias("hash")).agg(F.array(F.min_by("p_name", first)).alias("names"), F.min_by("year", first).alias("year")).withColumn("pack", F.col("hash") % 3 == 0)
+    return M.pick_work_file(files, asked)
+
+
 @query(
     with_cte(LISTINGS, EVIDENCE)
     + """, c AS (SELECT * FROM listings WHERE hash IN (SELECT hash FROM evidence WHERE kind = 'hit') AND (dubbed OR (is_series AND NOT (season = 1 AND episode = 2))))

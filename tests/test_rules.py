@@ -79,3 +79,25 @@ def test_weak_episodes(spark):
     weak = lambda *rows: P.episode_is_weak(listing(spark, *rows), F.col("is_br"), 10).first().weak
     assert weak(("a FRENCH", True, False, 99), ("b", True, False, 3), ("c", False, False, 99)) is True
     assert weak(("a", True, False, 10)) is False and weak(("a", False, False, 1)) is False
+
+
+@pytest.mark.parametrize(
+    "paths,names,year,pack,path,error",
+    [
+        (["a.txt"], ["Work"], None, False, None, "no video"),
+        (["Work sample.mkv"], ["Work"], None, False, None, "no video"),
+        (["other.mkv", "extras/Work.mkv"], ["Work"], None, True, "other.mkv", None),  # a lone one is it
+        (["bb.mkv", "a.mkv"], ["Work"], None, False, "bb.mkv", None),  # the largest, where nothing speaks of several works
+        (["Deep Sea 1999.mkv", "Deep Sky 2003.mkv"], ["Deep Sky"], 2003, False, "Deep Sky 2003.mkv", None),
+        (["Deep Sea 1999.mkv", "Deep Sky 2003.mkv"], ["Other"], 2003, False, None, "work not clear"),
+        (["Deep Sky 1999.mkv", "Deep Sky 2003.mkv"], ["Deep Sky"], 2003, False, "Deep Sky 2003.mkv", None),
+        (["Deep Sky 1999.mkv", "Deep Sky 2003.mkv"], ["Deep Sky"], None, False, None, "work not clear"),
+        (["Deep Sky/one.mkv", "Deep Sea/two.mkv"], ["Deep Sky"], None, True, "Deep Sky/one.mkv", None),  # the folder counts where the name says nothing
+        (["x Deep.mkv", "y.mkv"], ["Deep Blue Sky", "Deep"], None, True, "x Deep.mkv", None),  # any of the names
+    ],
+)
+def test_the_file_of_a_work(spark, paths, names, year, pack, path, error):
+    files = spark.createDataFrame([("h", p, 100 * len(p)) for p in paths], "hash string, path string, size long")
+    asked = spark.createDataFrame([("h", names, year, pack)], "hash string, names array<string>, year int, pack boolean")
+    r = M.pick_work_file(files, asked).first()
+    assert (r.path, r.error) == (path, error)
