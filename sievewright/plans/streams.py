@@ -106,13 +106,20 @@ def str9_idle_sessions(spark, sf):
 
 
 @query(
-    """WITH a AS (SELECT event_id, user_id AS request, event_type = 'purchase' AS priority, epoch_us(ts) - epoch_us(min(ts) OVER (PARTITION BY user_id)) AS us FROM events),
-c AS (SELECT *, bool_or(us <= 86400000000 AND priority) OVER w AS early, min(us) FILTER (us > 86400000000 AND priority AND us <= 345600000000) OVER w AS late FROM a WINDOW w AS (PARTITION BY request))
-SELECT event_id, request, priority FROM c WHERE us <= CASE WHEN early OR late IS NULL THEN 86400000000 ELSE late END"""
+    """WITH a AS (SELECT event_id, user_id * 100 + CAST(floor(value) AS BIGINT) % 10 AS request, event_type = 'purchase' AND value > 20 AS priority, event_type IN ('purchase', 'signup') AS tp, value > 60 AS stops, ts FROM events),
+b AS (SELECT *, epoch_us(ts) - epoch_us(min(ts) OVER (PARTITION BY request)) AS us FROM a),
+c AS (SELECT *, max(us) OVER r AS fin, min(us) FILTER (stops) OVER r AS halt, least(max(us) OVER r, min(us) FILTER (stops) OVER r, 259200000000) AS cut FROM b WINDOW r AS (PARTITION BY request)),
+d AS (SELECT *, cut < fin AND coalesce(halt > cut, true) AND NOT coalesce(bool_or(priority) FILTER (us <= cut) OVER r, false) AND coalesce(max(us) FILTER (tp) OVER r > cut, false) AS more,
+  min(us) FILTER (priority AND us > cut) OVER r AS wanted, max(us) FILTER (tp) OVER r AS lastp FROM c WINDOW r AS (PARTITION BY request)),
+e AS (SELECT *, CASE WHEN more THEN least(fin, halt, wanted, lastp, 864000000000) ELSE cut END AS until FROM d)
+SELECT event_id, request, priority, CASE WHEN until = halt THEN 'stopped' WHEN until = fin THEN 'done' WHEN more AND until = wanted THEN 'priority' WHEN more AND until = lastp THEN 'priority done' WHEN more THEN 'grace' ELSE 'budget' END AS why FROM e WHERE us <= until"""
 )
 def str10_collect_within_budget(spark, sf):
-    a = _events(spark, sf).select("event_id", F.col("user_id").alias("request"), (F.col("event_type") == "purchase").alias("priority"), F.col("ts").alias("arrived_at"))
-    return S.collect_within_budget(a, 86400, 3 * 86400).select("event_id", "request", "priority")
+    """Three days, and seven of grace."""
+    e = _events(spark, sf)
+    request = F.col("user_id") * 100 + F.floor("value").cast("long") % 10
+    a = e.select("event_id", request.alias("request"), ((F.col("event_type") == "purchase") & (F.col("value") > 20)).alias("priority"), F.col("event_type").isin("purchase", "signup").alias("task_priority"), (F.col("value") > 60).alias("stops"), F.col("ts").alias("arrived_at"), F.lit(1).alias("n"))
+    return S.collect_within_budget(a, 3 * 86400, 7 * 86400).select("event_id", "request", "priority", "why")
 
 
 @query(

@@ -199,15 +199,33 @@ def idle_sessions(events: DataFrame, gap: str) -> DataFrame:
     return s.withColumn("idle_s", (F.unix_timestamp(F.lead("started").over(W.partitionBy("user_id").orderBy("started"))) - F.unix_timestamp("ended")).cast("long"))
 
 
-def collect_within_budget(arrivals: DataFrame, budget_s: int, grace_s: int) -> DataFrame:
-    """Rows up to the budget; if none of priority came, up to the first of priority within the grace. Times count from the request's first row."""
-    w = W.partitionBy("request")
-    first = F.min("arrived_at").over(w)
-    df = arrivals.withColumn("us", F.unix_micros("arrived_at") - F.unix_micros(first))
-    early = F.max(F.when((F.col("us") <= budget_s * 1_000_000) & F.col("priority"), 1)).over(w)
-    late = F.min(F.when((F.col("us") > budget_s * 1_000_000) & F.col("priority") & (F.col("us") <= (budget_s + grace_s) * 1_000_000), F.col("us"))).over(w)
-    cut = F.when(early.isNotNull() | late.isNull(), F.lit(budget_s * 1_000_000)).otherwise(late)
-    return df.withColumn("cut", cut).where("us <= cut").drop("cut", "us")
+def collect_within_budget(arrivals: DataFrame, budget_s: int, grace_s: int, needs_rows: bool = False) -> DataFrame:
+    """What of each request's arrivals is used, with ``why`` the collection ended.
+
+    It ends with the last arrival (``done``), one for which ``stops`` holds (``stopped``), or the budget. At the budget it
+    goes on if nothing of priority has come, some task of priority (``task_priority``) is still out and, with
+    ``needs_rows``, anything has come at all: until the first of priority (``priority``), the last task of priority
+    (``priority done``), an end as above, or the end of the grace. Times count from the request's first arrival.
+
+    ``arrivals`` has ``request``, ``arrived_at``, ``priority``, ``task_priority``, ``stops``, ``n`` (rows that came with it).
+    """
+    w, us = W.partitionBy("request"), F.col("us")
+    df = arrivals.withColumn("us", F.unix_micros("arrived_at") - F.unix_micros(F.min("arrived_at").over(w)))
+    budget, grace = F.lit(budget_s * 1_000_000), F.lit((budget_s + grace_s) * 1_000_000)
+    first = lambda c: F.min(F.when(c, us)).over(w)
+    df = df.withColumns({"end": F.max(us).over(w), "halt": first(F.col("stops"))})
+    df = df.withColumn("cut", F.least("end", "halt", budget))
+    inside = us <= F.col("cut")
+    seen, rows = F.max(F.when(inside, F.col("priority"))).over(w), F.sum(F.when(inside, F.col("n"))).over(w)
+    last_task = F.max(F.when(F.col("task_priority"), us)).over(w)
+    more = (F.col("cut") < F.col("end")) & F.coalesce(F.col("halt") > F.col("cut"), F.lit(True)) & ~F.coalesce(seen, F.lit(False)) & F.coalesce(last_task > F.col("cut"), F.lit(False))
+    if needs_rows:
+        more = more & (F.coalesce(rows, F.lit(0)) > 0)
+    wanted = first(F.col("priority") & (us > F.col("cut")))
+    df = df.withColumns({"more": more & F.lit(grace_s > 0), "wanted": wanted, "last_task": last_task})
+    until = F.when(F.col("more"), F.least("end", "halt", "wanted", "last_task", grace)).otherwise(F.col("cut"))
+    why = F.when(F.col("until") == F.col("halt"), "stopped").when(F.col("until") == F.col("end"), "done").when(F.col("more") & (F.col("until") == F.col("wanted")), "priority").when(F.col("more") & (F.col("until") == F.col("last_task")), "priority done").when(F.col("more"), "grace").otherwise("budget")
+    return df.withColumn("until", until).withColumn("why", why).where("us <= until").select(*arrivals.columns, "why")
 
 
 LATEST = StructType().add("phase", "long").add("revision", "long").add("useful_phase", "long").add("value", "double").add("commits", "long")
