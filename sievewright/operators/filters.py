@@ -25,17 +25,24 @@ def classify(df: DataFrame) -> DataFrame:
     speaks for the origin; others only by an explicit mark.
     """
     given = lambda c, kind: F.col(c) if c in df.columns else F.lit(None).cast(kind)
-    t, proof = F.col("title"), given("proven_audio", "string")
-    said, parsed = T.audio_of(t), T.season_episode(t)
-    audio = F.when(proof.isNull(), said).when(proof != "", proof).when(said == "Legendado", said).otherwise("")
-    origin = F.coalesce(given("is_br", "boolean"), F.lit(False)) | T.looks_target(t)
-    proven = T.explicit_target_audio(F.coalesce(given("proven_name", "string"), t))
-    dubbed = F.when(origin & ~F.coalesce(given("origin_only", "boolean"), F.lit(False)), audio.isin("Dublado", "Dual", "Nacional")).otherwise(proven)
-    return df.withColumns({
-        "quality": F.coalesce(given("proven_quality", "string"), T.quality(t)), "source": T.source_of(t), "edition": T.edition_of(t), "audio": audio, "bucket": T.audio_bucket(t), "foreign": T.foreign_audio(t),
-        "is_br": origin, "dubbed": dubbed, "multi_work": I.is_multi_work(T.tokens(t)), "lied": F.coalesce(given("lied", "boolean"), F.lit(False)),
-        "fits": T.fits_episode(parsed, F.col("season"), F.col("episode")), "pack": F.coalesce(T.is_pack(parsed, F.col("season")), F.lit(False)),
+    t, proof, c = F.col("title"), given("proven_audio", "string"), lambda n: F.col(f"__{n}")
+    # each step names what the next ones look at, so that every pattern runs once a title
+    out = df.withColumns({"__up": T.shouted(t), "__words": T.padded(t), "__parsed": T.season_episode(t)})
+    out = out.withColumns({"__sub": T._has(c("up"), T.SUBTITLE_WORDS), "__signs": T.signs_in(t, c("up"), c("words"))})
+    out = out.withColumn("__explicit", T.explicit_in(c("up"), c("sub")))
+    out = out.withColumn("__said", T.audio_in(c("up"), c("sub"), c("explicit")))
+    out = out.withColumn("__target", T.target_in(c("said"), c("explicit"), c("signs")))
+    out = out.withColumn("__audio", F.when(proof.isNull(), c("said")).when(proof != "", proof).when(c("said") == "Legendado", c("said")).otherwise(""))
+    out = out.withColumn("__origin", F.coalesce(given("is_br", "boolean"), F.lit(False)) | c("target"))
+    proven = F.when(F.col("proven_name").isNotNull(), T.explicit_target_audio(F.col("proven_name"))).otherwise(c("explicit")) if "proven_name" in df.columns else c("explicit")
+    dubbed = F.when(c("origin") & ~F.coalesce(given("origin_only", "boolean"), F.lit(False)), c("audio").isin("Dublado", "Dual", "Nacional")).otherwise(proven)
+    out = out.withColumns({
+        "quality": F.coalesce(given("proven_quality", "string"), T.quality(t)), "source": T.named_by(c("words"), T.SOURCES), "edition": T.named_by(c("words"), T.EDITIONS), "audio": c("audio"),
+        "bucket": T.bucket_in(c("target"), c("said"), c("signs")), "foreign": ~c("explicit") & T._has(c("up"), T.FOREIGN_WORDS), "is_br": c("origin"), "dubbed": dubbed,
+        "multi_work": I.is_multi_work(F.filter(F.split(c("words"), " "), lambda w: w != "")), "lied": F.coalesce(given("lied", "boolean"), F.lit(False)),
+        "fits": T.fits_episode(c("parsed"), F.col("season"), F.col("episode")), "pack": F.coalesce(T.is_pack(c("parsed"), F.col("season")), F.lit(False)),
     })
+    return out.drop(*[n for n in out.columns if n.startswith("__")])
 
 
 def filter_quality(df: DataFrame, allow: list[str], unknown_limit: int) -> DataFrame:

@@ -24,7 +24,7 @@ def flt1_normalize_listings(spark, sf):
 
 
 #: What listings' titles say besides, by the number of their source.
-TAGS = ["Dublado 1080p WEB-DL", "Dual Audio BluRay", "LEGENDADO HDTV", "Hindi Dub 4K", "DUB 720p Extended", "Trilogia 1999 2003", "Filmes 1979 a 2016", "Nacional Directors Cut", "PT-BR 480p HD CAM", "Dual da casa de campo"]
+TAGS = ["Dublado 1080p WEB-DL", "Dual Audio BluRay", "LEGENDADO HDTV", "Hindi Dub 4K", "DUB 720p Extended", "Trilogia 1999 2003", "Filmes 1979 a 2016", "Nacional Directors Cut", "PT-BR 480p HD CAM", "Dual da casa de campo", "DVDRip SDTV", "LEGENDADA 720P 1080p, 2160p, 720p, HD, WEB-DL", "Guerra 540p", "Cam, Rip"]
 
 
 def _has(words: str) -> str:
@@ -44,25 +44,25 @@ def _isin(words) -> str:
     return ", ".join(f"'{w}'" for w in words)
 
 
-_CLASSED = f"""tagged AS (SELECT lid, is_br, lied, multi_work AS origin_only, CASE WHEN indexer % 11 = 0 THEN '' WHEN indexer % 13 = 0 THEN 'Dual' END AS proof, concat(title, ' ', [{_isin(TAGS)}][indexer % 10 + 1]) AS title FROM listings),
-texts AS (SELECT *, upper(title) AS u, concat(' ', trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')), ' ') AS p FROM tagged),
+_CLASSED = f"""tagged AS (SELECT lid, is_br, lied, multi_work AS origin_only, CASE WHEN indexer % 11 = 0 THEN '' WHEN indexer % 13 = 0 THEN 'Dual' END AS proof, concat(title, ' ', [{_isin(TAGS)}][indexer % 14 + 1]) AS title FROM listings),
+texts AS (SELECT *, upper(title) AS u, upper(CASE WHEN contains(title, ',') THEN trim(regexp_replace(title, '{T.TAG_BLOB}', '')) ELSE title END) AS b, concat(' ', trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')), ' ') AS p FROM tagged),
 marks AS (SELECT *, {_has(T.DUBBED_WORDS)} OR ({_has('DUB|DUBBED')} AND NOT {_has(T.OTHER_DUBS)}) OR ({_has(T.TARGET_WORDS)} AND NOT {_has(T.SUBTITLE_WORDS)}) AS explicit, {_has(T.SUBTITLE_WORDS)} AS sub,
-  len(list_filter(string_split(p, ' '), lambda t: t IN ({_isin(T.SMALL_WORDS)}))) >= 2 AS signs, string_split(trim(p), ' ') AS tt FROM texts),
+  len(list_filter(string_split(p, ' '), lambda t: t IN ({_isin(T.SMALL_WORDS)}))) >= 2 OR {_has(T.SIGN_WORDS)} OR regexp_matches(u, '{T.SIGN_SITES}') AS signs, string_split(trim(p), ' ') AS tt FROM texts),
 said AS (SELECT *, CASE WHEN {_has(T.DUAL_WORDS)} THEN 'Dual' WHEN {_has('NACIONAL|NAC')} AND NOT {_has('LEG|LEGENDAD[OA]|SUB|SUBBED')} THEN 'Nacional' WHEN explicit AND sub THEN 'Dual' WHEN explicit THEN 'Dublado' WHEN sub THEN 'Legendado' ELSE '' END AS claim FROM marks),
 found AS (SELECT *, claim IN ('Dublado', 'Nacional') OR (claim = 'Dual' AND (explicit OR signs)) AS target, CASE WHEN proof IS NULL THEN claim WHEN proof <> '' THEN proof WHEN claim = 'Legendado' THEN claim ELSE '' END AS audio FROM said)"""
 
 
 @query(
     with_cte(LISTINGS, _CLASSED)
-    + f"""SELECT lid, CASE WHEN regexp_matches(u, '(^|[^0-9A-Z])(2160P|4K|UHD)([^0-9A-Z]|$)') THEN '2160p' WHEN regexp_matches(u, '(^|[^0-9A-Z])1080[PI]') THEN '1080p' WHEN regexp_matches(u, '(^|[^0-9A-Z])720P') THEN '720p'
-  WHEN regexp_matches(u, '(^|[^0-9A-Z])480P') THEN '480p' ELSE 'unknown' END AS quality, {_phrases(T.SOURCES)} AS source, {_phrases(T.EDITIONS)} AS edition, audio,
+    + f"""SELECT lid, CASE WHEN regexp_matches(b, '(^|[^0-9A-Z])(2160P|4K|UHD)([^0-9A-Z]|$)') THEN '2160p' WHEN regexp_matches(b, '(^|[^0-9A-Z])1080[PI]') THEN '1080p' WHEN regexp_matches(b, '(^|[^0-9A-Z])720P') THEN '720p'
+  WHEN regexp_matches(b, '(^|[^0-9A-Z])480P') THEN '480p' WHEN regexp_matches(b, '(^|[^0-9A-Z])({T.SD_WORDS})([^0-9A-Z]|$)') THEN 'SD' ELSE 'unknown' END AS quality, {_phrases(T.SOURCES)} AS source, {_phrases(T.EDITIONS)} AS edition, audio,
   CASE WHEN target THEN 'dub' WHEN claim = 'Dual' THEN 'dual' WHEN signs THEN 'target' ELSE 'none' END AS bucket, NOT explicit AND {_has(T.FOREIGN_WORDS)} AS foreign, is_br OR target AS is_br,
   CASE WHEN (is_br OR target) AND NOT origin_only THEN audio IN ('Dublado', 'Dual', 'Nacional') ELSE explicit END AS dubbed,
   len(list_filter(tt, lambda t: t IN ({_isin(I.STRONG_PACK_WORDS)}))) > 0 OR (regexp_matches(p, ' (19|20)[0-9]{{2}} ((de|a|ate) )?(19|20)[0-9]{{2}} ') AND len(list_filter(tt, lambda t: t IN ({_isin(I.PACK_WORDS)}))) > 0) AS multi_work, lied FROM found"""
 )
 def flt2_classify_listings(spark, sf):
     """Classes of every listing by its title and what is known of its file."""
-    rows = listings(spark, sf).withColumn("title", F.concat_ws(" ", "title", F.element_at(F.array(*[F.lit(t) for t in TAGS]), (F.col("indexer") % 10 + 1).cast("int"))))
+    rows = listings(spark, sf).withColumn("title", F.concat_ws(" ", "title", F.element_at(F.array(*[F.lit(t) for t in TAGS]), (F.col("indexer") % 14 + 1).cast("int"))))
     rows = rows.withColumn("proven_audio", F.when(F.col("indexer") % 11 == 0, "").when(F.col("indexer") % 13 == 0, "Dual"))
     rows = rows.select("lid", "title", "season", "episode", "is_br", "lied", F.col("multi_work").alias("origin_only"), "proven_audio")
     return P.classify(rows).select("lid", "quality", "source", "edition", "audio", "bucket", "foreign", "is_br", "dubbed", "multi_work", "lied")

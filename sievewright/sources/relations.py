@@ -76,7 +76,7 @@ def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 MARKED = """marked AS (SELECT * REPLACE (concat_ws(' ', name, CASE WHEN indexer % 5 = 0 THEN '' WHEN multi_work THEN season || 'ª Temporada Completa' ELSE printf('S%02dE%02d', season, episode) END,
   CASE indexer % 8 WHEN 0 THEN 'CAMRip' WHEN 1 THEN 'LEGENDADO' WHEN 2 THEN 'FRENCH' WHEN 3 THEN 'DUBLADO' WHEN 4 THEN 'da Cidade de Ouro' ELSE '' END) AS title),
-  indexer % 8 = 0 AS cam, indexer % 8 = 1 AS sub, indexer % 8 = 2 AS alien, indexer % 8 IN (3, 4) AS sign, indexer % 5 <> 0 AND NOT multi_work AS coded, indexer % 5 <> 0 AND multi_work AS packed FROM listings)"""
+  indexer % 8 = 0 AS cam, indexer % 8 = 1 AS sub, indexer % 8 = 2 AS alien, (indexer % 8 IN (3, 4) OR (indexer % 5 <> 0 AND multi_work)) AS sign, indexer % 5 <> 0 AND NOT multi_work AS coded, indexer % 5 <> 0 AND multi_work AS packed FROM listings)"""
 
 
 def works(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ def one(spark, value, f):
         ("Work 2024 2160p WEB-DL Dublado", "2160p", "WEB-DL", "Dublado"),
         ("Work 1080p BluRay Dual Audio", "1080p", "BluRay", "Dual"),
         ("Work HDCAM 720p", "720p", "", ""),
-        ("Work HD-CAM-RIP LEGENDADO", "unknown", "CAM", "Legendado"),
+        ("Work HD-CAM-RIP LEGENDADO", "SD", "CAM", "Legendado"),
         ("Work [Ukr Dub] 4K", "2160p", "", ""),
         ("Work HDTV Nacional", "unknown", "HDTV", "Nacional"),
     ],
@@ -61,6 +61,22 @@ def test_season_episode(spark, title, seasons, episodes):
     assert sorted(r.seasons) == seasons and sorted(r.episodes) == episodes
 
 
+@pytest.mark.parametrize(
+    "title,want",
+    [
+        ("Work LEGENDADA 720P 1080p, 2160p, 720p, HD, WEB-DL", "720p"), ("Work Dual 1080P 1080p, 720p; x264", "1080p"), ("Work, 2160p", "2160p"), ("Work, the 2160p, 4K, One", "2160p"), ("Work 1080p, 2160p, HD, Part", "2160p"),
+        ("Work 2160p, HD", "2160p"), ("Work 2160p, HD, 4K", "unknown"), ("Work DVD-Rip", "SD"), ("Work 576p", "SD"), ("Work TS", "SD"), ("Works", "unknown"), ("Work 480p CAM", "480p"), (None, "unknown"),
+    ],
+)
+def test_quality_without_rows_of_tags(spark, title, want):
+    assert spark.createDataFrame([(title,)], "t string").select(T.quality(F.col("t")).alias("q")).first().q == want
+
+
+@pytest.mark.parametrize("title,want", [("A Guerra", True), ("One da Two de", True), ("One de Two", False), ("OPERAÇÃO", True), ("Work www.bludv.tv", True), ("The Night", False), ("Warguerra", False)])
+def test_signs_of_the_target_language(spark, title, want):
+    assert spark.createDataFrame([(title,)], "t string").select(T.target_signs(F.col("t")).alias("q")).first().q is want
+
+
 def test_hashes_and_sizes(spark):
     assert one(spark, HASH.upper(), T.info_hash) == HASH
     assert one(spark, f"magnet:?xt=urn:btih:{HASH}&dn=x", T.info_hash) == HASH
