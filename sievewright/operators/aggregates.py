@@ -131,3 +131,15 @@ def explain_empty(rows: DataFrame, ev: DataFrame) -> DataFrame:
     c = F.col
     why = F.when(c("hits") > 0, "shown").when(c("downloading") > 60, "downloading").when(c("bad") == c("n"), "all bad").when((c("hits") == 0) & (c("bad") > 0), "outside cache").when(c("series"), "searching").otherwise("none")
     return r.select("request_id", why.alias("reason"))
+
+
+def foreign_verdict(parts: DataFrame) -> DataFrame:
+    """Per hash whether its name and its files prove it foreign: any sign of the target language absolves it, only a mark of a foreign one condemns it, else it is unknown.
+
+    ``parts`` has ``hash``, ``text`` (a name or the path of a file; may be null) and, where they are known besides, ``sign`` and ``proof``.
+    """
+    text = F.coalesce("text", F.lit(""))
+    given = lambda c: F.coalesce(F.col(c), F.lit(False)) if c in parts.columns else F.lit(False)
+    sign, proof = given("sign") | T.looks_target(text) | T.target_signs(text), given("proof") | T.foreign_audio(text)
+    per = parts.groupBy("hash").agg(F.bool_or(sign).alias("sign"), F.bool_or(proof).alias("proof"))
+    return per.select("hash", F.when(F.col("sign"), "absolved").when(F.col("proof"), "foreign").otherwise("unknown").alias("verdict"))

@@ -160,13 +160,17 @@ def pivot_evidence(ev: DataFrame) -> DataFrame:
     return ev.groupBy("hash").agg(*[has(k) for k in ("alive", "bad", "hit", "miss", "blocked")])
 
 
-def prune_known_broken(cands: DataFrame, ev: DataFrame) -> DataFrame:
-    """Every candidate with the reason why it goes, or null: bad (unless also blocked, then it is repaired), lie, dead."""
-    no = F.lit(False)
+def prune_known_broken(cands: DataFrame, ev: DataFrame, missing: DataFrame | None = None) -> DataFrame:
+    """Every candidate with the reason why it goes, or null: bad (unless also blocked, then it is repaired), lie, missing (it is known not to hold the episode asked for), dead.
+
+    ``missing`` has ``hash``, ``season`` and ``episode``, as have the candidates, whose own say what is asked for.
+    """
+    no, key = F.lit(False), ["hash", "season", "episode"]
     df = cands.join(pivot_evidence(ev), "hash", "left")
+    df = df.join(missing.select(*key, F.lit(True).alias("lacks")).distinct(), key, "left") if missing is not None else df.withColumn("lacks", no)
     bad, blocked = F.coalesce("bad", no), F.coalesce("blocked", no)
-    why = F.when(bad & ~blocked, "bad").when(F.col("lied"), "lie").when(F.coalesce("miss", no) & ~F.coalesce("hit", no), "dead")
-    return df.withColumns({"reason": why, "repaired": bad & blocked})
+    why = F.when(bad & ~blocked, "bad").when(F.col("lied"), "lie").when(F.coalesce("lacks", no), "missing").when(F.coalesce("miss", no) & ~F.coalesce("hit", no), "dead")
+    return df.withColumns({"reason": why, "repaired": bad & blocked}).drop("lacks")
 
 
 def filter_known_cache(cands: DataFrame, ev: DataFrame, reserve: int, key: str = "request_id") -> DataFrame:

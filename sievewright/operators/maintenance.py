@@ -9,6 +9,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions.folds import fold_sorted
 from ..functions.text import let, season_episode, tokens
+from ..streaming.state import dedupe_within_fold
 
 
 def routed(rows: DataFrame) -> DataFrame:
@@ -217,3 +218,15 @@ def protect_merge(holds: DataFrame, seen: DataFrame, now: str, ttl_s: int) -> Da
 def promote_lists(items: DataFrame, ready: DataFrame) -> DataFrame:
     """Relabels the elements of stored lists whose hash is ready. Lists are rows, one an element, with all their columns; none is put together in one row."""
     return items.join(ready.select("hash").distinct().withColumn("ready", F.lit(True)), "hash", "left").withColumn("ready", F.coalesce("ready", F.lit(False)))
+
+
+def next_episode_requests(results: DataFrame, known: DataFrame, hours: int = 12) -> DataFrame:
+    """Requests for the episode after each one that had results, once per ``hours`` and episode, without those that are known or in flight.
+
+    ``results`` has ``work_id``, ``season``, ``episode``, ``ts``, ``event_id``; ``known`` has the first three.
+    """
+    key = ["work_id", "season", "episode"]
+    asked = results.withColumn("episode", F.col("episode") + 1).select(*key, "ts", "event_id").join(known.select(*key).distinct(), key, "left_anti")
+    asked = asked.withColumn("of", F.concat_ws("|", *key))
+    kept = dedupe_within_fold(asked, "of", hours * 3600).select("of", "event_id")
+    return asked.join(kept, ["of", "event_id"], "left_semi").drop("of").distinct()

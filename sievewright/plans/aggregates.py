@@ -137,9 +137,16 @@ def agg13_lie_verdict(spark, sf):
     return _files(spark, sf).groupBy("hash").agg((F.bool_or("promised") & (F.count("*") > 0) & ~F.bool_or("mark") & F.bool_or("contrary")).alias("lie"))
 
 
-@query(with_cte(_FILES) + "SELECT hash, CASE WHEN bool_or(mark) THEN 'absolved' WHEN bool_or(contrary) THEN 'foreign' ELSE 'unknown' END AS verdict FROM files GROUP BY hash")
+@query(
+    with_cte(LISTINGS, MARKED, _FILES)
+    + """, n AS (SELECT work_id AS hash, arg_max(sign, lid) AS sign, arg_max(alien, lid) AS alien FROM marked GROUP BY work_id), p AS (SELECT hash, mark AS sign, contrary AS proof FROM files UNION ALL SELECT hash, sign, alien FROM n)
+SELECT hash, CASE WHEN bool_or(sign) THEN 'absolved' WHEN bool_or(proof) THEN 'foreign' ELSE 'unknown' END AS verdict FROM p GROUP BY hash"""
+)
 def agg14_foreign_verdict(spark, sf):
-    return _files(spark, sf).groupBy("hash").agg(F.when(F.bool_or("mark"), "absolved").when(F.bool_or("contrary"), "foreign").otherwise("unknown").alias("verdict"))
+    """A hash's name is the title of its last listing; what its files show is known already."""
+    names = marked(spark, sf).groupBy(F.col("work_id").alias("hash")).agg(F.max_by("title", "lid").alias("text"))
+    files = _files(spark, sf).select("hash", F.lit(None).cast("string").alias("text"), F.col("mark").alias("sign"), F.col("contrary").alias("proof"))
+    return A.foreign_verdict(files.unionByName(names, allowMissingColumns=True))
 
 
 @query(

@@ -146,11 +146,16 @@ def jn4_apply_file_evidence(spark, sf):
 
 @query(
     with_cte(LISTINGS, EVIDENCE, _PIVOT)
-    + """SELECT request_id, CASE WHEN coalesce(bad, false) AND NOT coalesce(blocked, false) THEN 'bad' WHEN lied THEN 'lie' WHEN coalesce(miss, false) AND NOT coalesce(hit, false) THEN 'dead' END AS reason, count(*) AS n, count(*) FILTER (coalesce(bad, false) AND coalesce(blocked, false)) AS repaired
-FROM listings LEFT JOIN ev USING (hash) GROUP BY 1, 2"""
+    + """, m AS (SELECT DISTINCT hash, CAST(floor(value) AS BIGINT) % 5 + 1 AS season, CAST(floor(value) AS BIGINT) % 10 + 1 AS episode, true AS lacks FROM evidence WHERE kind = 'miss')
+SELECT request_id, CASE WHEN coalesce(bad, false) AND NOT coalesce(blocked, false) THEN 'bad' WHEN lied THEN 'lie' WHEN coalesce(lacks, false) THEN 'missing' WHEN coalesce(miss, false) AND NOT coalesce(hit, false) THEN 'dead' END AS reason, count(*) AS n, count(*) FILTER (coalesce(bad, false) AND coalesce(blocked, false)) AS repaired
+FROM listings LEFT JOIN ev USING (hash) LEFT JOIN m USING (hash, season, episode) GROUP BY 1, 2"""
 )
 def jn5_prune_known_broken(spark, sf):
-    return J.prune_known_broken(listings(spark, sf), evidence(spark, sf)).groupBy("request_id", "reason").agg(F.count("*").alias("n"), F.count_if("repaired").alias("repaired"))
+    """A miss also tells, by its value, which episode was looked for in vain."""
+    e = evidence(spark, sf)
+    part = lambda n: F.floor("value").cast("long") % n + 1
+    missing = e.where("kind = 'miss'").select("hash", part(5).alias("season"), part(10).alias("episode"))
+    return J.prune_known_broken(listings(spark, sf), e, missing).groupBy("request_id", "reason").agg(F.count("*").alias("n"), F.count_if("repaired").alias("repaired"))
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import maintenance as M
 from ..operators.joins import anti
-from ..sources.relations import EVIDENCE, LISTINGS, MARKED, NOW, SNAPSHOT, evidence, listings, marked, read, snapshot, with_cte
+from ..sources.relations import EVIDENCE, LISTINGS, MARKED, NOW, SNAPSHOT, evidence, listings, marked, read, snapshot, spaced, with_cte
 from .registry import query
 
 _YOUNG = "2001-06-01 00:00:00"
@@ -286,8 +286,14 @@ def mrg24_label_owned(spark, sf):
     return anti(ours, s.where("service_id % 35 = 0"), "service_id").groupBy("hash").agg(F.max("uploaded_at").alias("submitted_at"))
 
 
-@query(with_cte(LISTINGS) + "SELECT DISTINCT work_id, season, episode + 1 AS episode FROM listings WHERE is_series AND seeders > 20 AND (work_id, season, episode + 1) NOT IN (SELECT work_id, season, episode FROM listings)")
+@query(
+    "WITH RECURSIVE " + LISTINGS
+    + f""", ev AS (SELECT concat_ws('|', work_id, season, episode + 1) AS nxt, work_id, season, episode + 1 AS episode, epoch_us(seen_at) AS t, seen_at, lid AS event_id FROM listings WHERE is_series AND seeders > 20 AND (work_id, season, episode + 1) NOT IN (SELECT work_id, season, episode FROM listings WHERE indexer % 2 = 0)),
+{spaced('ev', 'nxt', 43200000000)}
+SELECT DISTINCT work_id, season, episode, seen_at AS ts, k.event_id FROM k JOIN ev ON nxt = key AND ev.event_id = k.event_id"""
+)
 def mrg25_next_episode_requests(spark, sf):
+    """Listings with seeders are results of their time; half the sources know what is there."""
     li = listings(spark, sf)
-    nxt = li.where("is_series and seeders > 20").select("work_id", "season", (F.col("episode") + 1).alias("episode")).distinct()
-    return nxt.join(li.select("work_id", "season", "episode"), ["work_id", "season", "episode"], "left_anti")
+    results = li.where("is_series and seeders > 20").select("work_id", "season", "episode", F.col("seen_at").alias("ts"), F.col("lid").alias("event_id"))
+    return M.next_episode_requests(results, li.where("indexer % 2 = 0"))

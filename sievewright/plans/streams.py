@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..sources.relations import EVIDENCE, LISTINGS, NOW, PROBES, evidence, listings, probes, read, with_cte
+from ..sources.relations import EVIDENCE, LISTINGS, NOW, PROBES, evidence, listings, probes, read, spaced, with_cte
 from ..streaming import state as S
 from .registry import query
 
@@ -50,20 +50,14 @@ def str3_source_health(spark, sf):
     return S.source_health(probes(spark, sf), NOW, 6 * 3600, 2, 24 * 3600)
 
 
-def _spaced(source: str, key: str, us: int) -> str:
-    """The first row of a key and then the first at least ``us`` microseconds after the last one kept."""
-    return f"""k AS (SELECT {key} AS key, min(t) AS t, arg_min(event_id, (t, event_id)) AS event_id FROM {source} GROUP BY 1
-  UNION ALL SELECT k.key, min(e.t), arg_min(e.event_id, (e.t, e.event_id)) FROM k JOIN {source} e ON e.{key} = k.key AND e.t >= k.t + {us} GROUP BY k.key)"""
-
-
-@query(f"WITH RECURSIVE ev AS (SELECT *, epoch_us(ts) AS t FROM events), {_spaced('ev', 'user_id', 43200000000)} SELECT key AS user_id, event_id FROM k")
+@query(f"WITH RECURSIVE ev AS (SELECT *, epoch_us(ts) AS t FROM events), {spaced('ev', 'user_id', 43200000000)} SELECT key AS user_id, event_id FROM k")
 def str4_dedupe_within(spark, sf):
     return S.dedupe_within_fold(_events(spark, sf), "user_id", 12 * 3600)
 
 
 @query(
     f"""WITH RECURSIVE al AS (SELECT 'offline:' || (user_id % 20) AS kind, epoch_us(ts) AS t, event_id, props FROM events WHERE event_type = 'error' AND user_id % 20 < 5
-  UNION ALL SELECT 'occupancy', epoch_us(ts), event_id, props FROM events WHERE event_type = 'signup' AND value >= 60), {_spaced('al', 'kind', 21600000000)}
+  UNION ALL SELECT 'occupancy', epoch_us(ts), event_id, props FROM events WHERE event_type = 'signup' AND value >= 60), {spaced('al', 'kind', 21600000000)}
 SELECT event_id, key AS kind, coalesce('{{' || (SELECT string_agg(to_json(x) || ':' || to_json(json_extract_string(e.props, x)), ',' ORDER BY i) FROM (SELECT unnest(json_keys(e.props)) AS x, generate_subscripts(json_keys(e.props), 1) AS i)
   WHERE NOT regexp_matches(lower(x), 'key|token|secret|password')) || '}}', '{{}}') AS fields FROM k JOIN events e USING (event_id)"""
 )

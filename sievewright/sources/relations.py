@@ -146,3 +146,9 @@ PROBES = "probes AS (SELECT event_id, user_id % 20 AS indexer, event_type <> 'er
 
 def with_cte(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
+
+
+def spaced(source: str, key: str, us: int) -> str:
+    """SQL, for a recursive query, of the first row of a key and then the first at least ``us`` microseconds after the last one kept."""
+    return f"""k AS (SELECT {key} AS key, min(t) AS t, arg_min(event_id, (t, event_id)) AS event_id FROM {source} GROUP BY 1
+  UNION ALL SELECT k.key, min(e.t), arg_min(e.event_id, (e.t, e.event_id)) FROM k JOIN {source} e ON e.{key} = k.key AND e.t >= k.t + {us} GROUP BY k.key)"""
