@@ -202,8 +202,8 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), text: str = "text", i
     (rows of the class) and ``kept`` (true for one row of the class: that of the smallest id, null ids last, the first
     of rows that tie). Texts, not ids, are compared: an id on two texts stands in two classes if they differ. Null text
     is empty text; texts without words are linked only if equal; a text of fewer than ``words`` words is one shingle. A
-    class whose ids are all null has a null ``class_id``. Very long texts are sampled whole. Empty table: no rows. Other
-    columns are not read.
+    class whose ids are all null has a null ``class_id``. Ids are whole numbers, or text that spells them; other text is
+    an error. Very long texts are sampled whole. Empty table: no rows. Other columns are not read.
 
     Every text is reduced to band keys and one byte a sample where it lies. In each bucket all members are first
     compared with one of them, which joins a large group of copies by a star; then members of different classes are

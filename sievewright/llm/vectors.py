@@ -71,8 +71,8 @@ def near_vectors(df: DataFrame, threshold: float = 0.95, miss: float = 2e-4, blo
     directly), ``component_id`` (smallest id reachable, itself included) and ``kept`` (it is its own component's id).
     Null, zero and empty vectors and those with null or non-finite components link with nothing. Equal vectors are
     linked with each other and compared with the rest once. An id on two different vectors is two vectors: each row is
-    linked by its own. Rows with a null id are kept and link with nothing. Empty
-    table: no rows. Other columns are not read.
+    linked by its own. Rows with a null id are kept and link with nothing. Ids are whole numbers, or text that spells
+    them; other text is an error. Empty table: no rows. Other columns are not read.
 
     The number of bits grows with the number of vectors and the tables with it, so buckets keep their size. A bucket of
     more than ``block`` vectors is dealt into blocks and its pairs of blocks over tasks. A task returns a count and one
