@@ -114,16 +114,17 @@ def _requests(spark, sf):
     return o.select(F.col("o_orderkey").alias("request_id"), (F.col("o_custkey") % 500).alias("work_id")).join(w.select("work_id", "season", "episode"), "work_id")
 
 
-@query(
-    with_cte(LISTINGS, _INDEX, _REQ)
-    + """, m AS (SELECT r.request_id, i.hash, i.lid, i.seen_at FROM req r JOIN idx i ON r.work_id = i.work_id AND (i.season IS NULL OR i.season = r.season) AND (i.episode IS NULL OR i.episode = r.episode) WHERE NOT (i.season IS NULL AND i.episode IS NOT NULL))
+_LOOKUP = """, m AS (SELECT r.request_id, i.hash, i.lid, i.seen_at FROM req r JOIN idx i ON r.work_id = i.work_id AND (i.season IS NULL OR i.season = r.season) AND (i.episode IS NULL OR i.episode = r.episode) WHERE NOT (i.season IS NULL AND i.episode IS NOT NULL))
 SELECT request_id, hash, lid FROM (SELECT *, row_number() OVER (PARTITION BY request_id, hash ORDER BY seen_at DESC, lid) AS rn FROM m) WHERE rn = 1"""
-)
+_REQ_ALL = "span AS (SELECT min(work_id) AS low, max(work_id) - min(work_id) + 1 AS n FROM works), req AS (SELECT o_orderkey AS request_id, work_id, season, episode FROM orders CROSS JOIN span JOIN works ON work_id = o_orderkey % n + low)"
+
+
+@query(with_cte(LISTINGS, _INDEX, _REQ) + _LOOKUP)
 def jn3_index_lookup(spark, sf):
     return J.index_lookup(_requests(spark, sf), _index(spark, sf)).select("request_id", "hash", "lid")
 
 
-@query()
+@query(with_cte(LISTINGS, WORKS, _INDEX, _REQ_ALL) + _LOOKUP)
 def jn3_index_lookup_all(spark, sf):
     """Every order asks for a work, dealt by its key over the whole range of the part table's keys."""
     o, w = read(spark, sf, "orders"), works(spark, sf)
