@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..functions import identity as I
 from ..functions import text as T
@@ -97,3 +98,27 @@ def episode_is_weak(df: DataFrame, relevant: Column, floor: int, key: str = "req
     good = relevant & healthy(F.col("seeders"), F.col("title"), floor)
     per = df.groupBy(key).agg(F.count_if(relevant).alias("n"), F.count_if(good).alias("n_healthy"))
     return per.withColumn("weak", (F.col("n") > 0) & (F.col("n_healthy") == 0))
+
+
+#: Least share of a search's words that a post must bear.
+LEGIBLE = 0.6
+
+
+def search_words(query: Column) -> Column:
+    """The words of a search that count: without one year at its end, those of more than two letters if there are two such."""
+    all_ = T.let(T.tokens(query), lambda t: F.when((F.size(t) >= 2) & F.element_at(t, -1).rlike("^[0-9]{4}$"), F.slice(t, F.lit(1), F.size(t) - 1)).otherwise(t))
+    return T.let(all_, lambda t: T.let(F.filter(t, lambda w: F.length(w) > 2), lambda long: F.when(F.size(long) >= 2, long).otherwise(t)))
+
+
+def filter_legible_posts(posts: DataFrame, searches: DataFrame, most: int) -> DataFrame:
+    """The posts of each search that may be meant: they bear enough of its words and name no other season; the first ``most``.
+
+    ``posts`` has ``search``, ``pos`` and ``title``; ``searches`` has ``search``, ``query`` and ``season`` (null: none asked
+    for). The season is told before the cut, so that other seasons' posts take no place. A search without words passes all.
+    """
+    df = posts.join(searches.select("search", search_words(F.col("query")).alias("wanted"), F.col("season").alias("asked")), "search")
+    held = T.let(T.tokens(F.col("title")), lambda t: F.size(F.filter("wanted", lambda w: F.array_contains(t, w))))
+    named = F.coalesce(F.nullif(F.regexp_extract("title", r"(?i)(?:\bS(\d{1,2})\b|(\d{1,2})\s*[ªº]\s*Temporada)", 1), F.lit("")), F.nullif(F.regexp_extract("title", r"(?i)(?:\bS(\d{1,2})\b|(\d{1,2})\s*[ªº]\s*Temporada)", 2), F.lit(""))).cast("long")
+    ok = ((F.size("wanted") == 0) | (held / F.size("wanted") >= LEGIBLE)) & F.coalesce((F.col("asked") <= 0) | (named == F.col("asked")), F.lit(True))
+    kept = df.where(ok).withColumn("nth", F.row_number().over(W.partitionBy("search").orderBy("pos")).cast("long")).where(F.col("nth") <= most)
+    return kept.drop("wanted", "asked")

@@ -215,6 +215,28 @@ def protect_merge(holds: DataFrame, seen: DataFrame, now: str, ttl_s: int) -> Da
     return j.select("service_id", F.coalesce("h.accepted_at", t).alias("accepted_at"), F.coalesce("h.ready_at", F.when(F.col("s.ready"), t)).alias("ready_at"), F.when(F.col("s.ready").isNotNull() & (left.isNull() | (left < ttl_s / 2)), renew).otherwise(F.col("h.expires_at")).alias("expires_at"))
 
 
+def reconcile_holds(holds: DataFrame, unready: DataFrame, present: DataFrame, volatile: DataFrame, now: str, ttl_s: int, grace_s: int) -> DataFrame:
+    """What becomes of each durable hold: ``regressed`` (it was ready and was seen not to be), ``expired`` (seen not ready, and accepted for longer than ``ttl_s``), ``pruned`` (no longer there, not held by a download in flight, and older than ``grace_s`` or without a date), else ``keep``.
+
+    ``holds`` has ``service_id``, ``accepted_at``, ``ready_at``; the others ``service_id``. The first reason that fits is told.
+    """
+    t = F.lit(now).cast("timestamp").cast("double")
+    flag = lambda df, name: df.select("service_id").distinct().withColumn(name, F.lit(True))
+    j = holds.select("service_id", "accepted_at", "ready_at")
+    for df, name in ((unready, "unready"), (present, "present"), (volatile, "volatile")):
+        j = j.join(flag(df, name), "service_id", "left")
+    age, yes = t - F.col("accepted_at").cast("double"), lambda c: F.coalesce(F.col(c), F.lit(False))
+    gone = ~yes("present") & ~yes("volatile") & F.coalesce(age > grace_s, F.lit(True))
+    fate = F.when(yes("unready") & F.col("ready_at").isNotNull(), "regressed").when(yes("unready") & F.coalesce(age >= ttl_s, F.lit(True)), "expired").when(gone, "pruned").otherwise("keep")
+    return j.select("service_id", fate.alias("fate"))
+
+
+def invalidate_lists(lists: DataFrame, items: DataFrame, packs: DataFrame, wrong: DataFrame, key: list[str]) -> DataFrame:
+    """Stored lists that stay: those of a season whose pack has become ready go (``packs``: ``work_id``, ``season``), and those that hold a row proved wrong (``wrong``: ``hash``; ``items``: the lists' ``key`` and ``hash``)."""
+    spoilt = items.join(wrong.select("hash").distinct(), "hash", "left_semi").select(*key).distinct()
+    return lists.join(packs.select("work_id", "season").distinct(), ["work_id", "season"], "left_anti").join(spoilt, key, "left_anti")
+
+
 def promote_lists(items: DataFrame, ready: DataFrame) -> DataFrame:
     """Relabels the elements of stored lists whose hash is ready. Lists are rows, one an element, with all their columns; none is put together in one row."""
     return items.join(ready.select("hash").distinct().withColumn("ready", F.lit(True)), "hash", "left").withColumn("ready", F.coalesce("ready", F.lit(False)))

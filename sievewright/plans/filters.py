@@ -130,6 +130,22 @@ def flt10_filter_legible_posts(spark, sf):
     return read(spark, sf, "documents").where("lang = 'en'").select("doc_id", hits.alias("hits")).where(F.col("hits") >= 0.6 * len(wanted)).orderBy("doc_id").limit(30)
 
 
+@query(
+    with_cte(LISTINGS, MARKED)
+    + """, q AS (SELECT s_suppkey AS search, p_name AS query, CASE WHEN s_suppkey % 3 <> 0 THEN s_suppkey % 5 + 1 END AS asked FROM supplier JOIN part ON s_suppkey = p_partkey),
+p AS (SELECT search, lid AS pos, m.title, asked, CASE WHEN packed THEN season END AS named, list_filter(string_split(query, ' '), lambda w: len(w) > 2) AS long, string_split(query, ' ') AS words, string_split(name, ' ') AS held FROM q JOIN marked m ON request_id = search % 97),
+k AS (SELECT * FROM p WHERE len(list_filter(CASE WHEN len(long) >= 2 THEN long ELSE words END, lambda w: list_contains(held, w))) >= 0.6 * len(CASE WHEN len(long) >= 2 THEN long ELSE words END) AND (asked IS NULL OR named IS NULL OR named = asked))
+SELECT search, pos, title, nth FROM (SELECT *, row_number() OVER (PARTITION BY search ORDER BY pos) AS nth FROM k) WHERE nth <= 20"""
+)
+def flt10_search_posts(spark, sf):
+    """A search a supplier, for a work and its year, two of three for a season; its posts are the listings of a request."""
+    s, p = read(spark, sf, "supplier"), read(spark, sf, "part")
+    asked = F.when(F.col("s_suppkey") % 3 != 0, F.col("s_suppkey") % 5 + 1).cast("long")
+    searches = s.join(p, s.s_suppkey == p.p_partkey).select(F.col("s_suppkey").alias("search"), F.concat_ws(" ", "p_name", (F.col("p_size") + 1980).cast("string")).alias("query"), asked.alias("season"))
+    posts = marked(spark, sf).select("request_id", F.col("lid").alias("pos"), "title").join(searches.select("search"), F.col("request_id") == F.col("search") % 97)
+    return P.filter_legible_posts(posts.select("search", "pos", "title"), searches, 20)
+
+
 @query("SELECT page_id FROM pages WHERE NOT regexp_matches(lower(regexp_extract(html, '<title>([^<]*)', 1)), '^(list|lista|liste) (of|de|des|der) ')")
 def flt11_drop_generic_lists(spark, sf):
     title = F.regexp_extract("html", "<title>([^<]*)", 1)

@@ -178,6 +178,20 @@ def mrg16_protect_merge(spark, sf):
     return M.protect_merge(holds, s.where("service_id % 7 <> 0").select("service_id", "ready"), NOW, 8 * 86400)
 
 
+@query(
+    with_cte(SNAPSHOT, EVIDENCE)
+    + f""", h AS (SELECT service_id, uploaded_at AS accepted_at, CASE WHEN ready THEN uploaded_at END AS ready_at, service_id % 7 = 1 AS unready, service_id % 7 <> 0 AS present, hash IN (SELECT hash FROM evidence WHERE kind = 'alive') AS volatile FROM snapshot WHERE protected)
+SELECT service_id, CASE WHEN unready AND ready_at IS NOT NULL THEN 'regressed' WHEN unready AND coalesce(accepted_at <= TIMESTAMP '{NOW}' - INTERVAL 9000 DAY, true) THEN 'expired'
+  WHEN NOT present AND NOT volatile AND coalesce(accepted_at < TIMESTAMP '{NOW}' - INTERVAL 8500 DAY, true) THEN 'pruned' ELSE 'keep' END AS fate FROM h"""
+)
+def mrg16_reconcile_holds(spark, sf):
+    """Protected rows are holds; a seventh was seen not ready, another is gone."""
+    s = snapshot(spark, sf)
+    holds = s.where("protected").select("service_id", F.col("uploaded_at").alias("accepted_at"), F.when(F.col("ready"), F.col("uploaded_at")).alias("ready_at"))
+    flying = s.join(evidence(spark, sf).where("kind = 'alive'").select("hash").distinct(), "hash", "left_semi")
+    return M.reconcile_holds(holds, s.where("service_id % 7 = 1"), s.where("service_id % 7 <> 0"), flying, NOW, 9000 * 86400, 8500 * 86400)
+
+
 @query(
     with_cte(EVIDENCE)
     + f""", st AS (SELECT hash, max(seen_at + to_seconds(ttl_s)) AS expires_at, bool_or(kind = 'bad' AND value > 99) AS bad FROM evidence GROUP BY hash)
@@ -265,10 +279,15 @@ def mrg21_inventory_merge(spark, sf):
     return anti(anti(inv, up, "hash").unionByName(up), s.where("service_id % 50 = 0"), "hash")
 
 
-@query(with_cte(LISTINGS) + "SELECT DISTINCT request_id, work_id, season FROM listings WHERE (work_id, season) NOT IN (SELECT work_id, season FROM listings WHERE multi_work AND seeders > 40)")
+@query(
+    with_cte(LISTINGS, EVIDENCE)
+    + """SELECT DISTINCT request_id, work_id, season FROM listings WHERE (work_id, season) NOT IN (SELECT work_id, season FROM listings WHERE multi_work AND seeders > 40)
+  AND (request_id, work_id, season) NOT IN (SELECT request_id, work_id, season FROM listings WHERE hash IN (SELECT hash FROM evidence WHERE kind = 'bad'))"""
+)
 def mrg22_invalidate_lists(spark, sf):
-    li = listings(spark, sf)
-    return li.select("request_id", "work_id", "season").distinct().join(li.where("multi_work and seeders > 40").select("work_id", "season"), ["work_id", "season"], "left_anti").select("request_id", "work_id", "season")
+    li, key = listings(spark, sf), ["request_id", "work_id", "season"]
+    stay = M.invalidate_lists(li.select(*key).distinct(), li.select(*key, "hash"), li.where("multi_work and seeders > 40"), evidence(spark, sf).where("kind = 'bad'"), key)
+    return stay.select(*key)
 
 
 @query(with_cte(SNAPSHOT) + f"SELECT hash, TIMESTAMP '{NOW}' + INTERVAL 30 DAY AS blocked_until FROM (SELECT DISTINCT hash FROM snapshot WHERE status = 'Error' AND service_id % 3 = 0 AND bucket <> 'dub')")

@@ -101,3 +101,22 @@ def test_the_file_of_a_work(spark, paths, names, year, pack, path, error):
     asked = spark.createDataFrame([("h", names, year, pack)], "hash string, names array<string>, year int, pack boolean")
     r = M.pick_work_file(files, asked).first()
     assert (r.path, r.error) == (path, error)
+
+
+@pytest.mark.parametrize("query,season,title,ok", [
+    ("The Deep Sky 2049", None, "deep sky remastered", True), ("Deep Sky 2049", None, "Deep Sea", False), ("1917", None, "1917 film", True), ("Blade 2049 2017", None, "blade 2049", True), ("ab cd", None, "ab", False), ("", None, "x", True),
+    ("Deep Sky", 2, "Deep Sky 2ª Temporada", True), ("Deep Sky", 2, "Deep Sky 3ª Temporada", False), ("Deep Sky", 2, "Deep Sky S03 pack", False), ("Deep Sky", 2, "Deep Sky S03E01", True), ("Deep Sky", 2, "Deep Sky", True), ("Deep Sky", None, "Deep Sky 3ª Temporada", True),
+])
+def test_legible_posts(spark, query, season, title, ok):
+    posts = spark.createDataFrame([(1, 1, title)], "search long, pos long, title string")
+    searches = spark.createDataFrame([(1, query, season)], "search long, query string, season long")
+    assert P.filter_legible_posts(posts, searches, 5).count() == ok
+
+
+def test_holds_are_reconciled(spark):
+    day, now = 86400, "2024-01-31 00:00:00"
+    rows = [(1, 1, 2), (2, 1, None), (3, 30, None), (4, 1, None), (5, 30, None), (6, None, None), (7, 1, None), (8, 1, None)]
+    holds = spark.createDataFrame([(i, f"2024-01-{a:02} 00:00:00" if a else None, f"2024-01-{r:02} 00:00:00" if r else None) for i, a, r in rows], "service_id long, a string, r string").selectExpr("service_id", "cast(a as timestamp) accepted_at", "cast(r as timestamp) ready_at")
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "service_id long")
+    got = {r.service_id: r.fate for r in M.reconcile_holds(holds, ids(1, 2, 3), ids(1, 2, 3, 8), ids(7), now, 10 * day, 5 * day).collect()}
+    assert got == {1: "regressed", 2: "expired", 3: "keep", 4: "pruned", 5: "keep", 6: "pruned", 7: "keep", 8: "keep"}
