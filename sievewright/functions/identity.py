@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import strip_diacritics, tokens
+
 # Articles, words of packaging, technical words that end a work's name, and words that say nothing about it.
 ARTICLES = "o a os as um uma uns umas the an el la los las un una unos unas le les une des il lo gli uno der die das den dem ein eine einen het een".split()
 PACK_WORDS = "colecao coletanea trilogia saga duologia quadrilogia pentalogia antologia filmes serie series temporada temporadas todas todos completa completo integral collection complete movies films".split()
@@ -99,3 +101,40 @@ def is_multi_work(tokens: Column) -> Column:
     link = lambda i: F.coalesce(_in(["de", "a", "ate"])(F.get(tokens, i)), F.lit(False))
     ranges = F.exists(F.transform(tokens, lambda t, i: t.rlike(YEAR) & (year(i + 1) | (link(i + 1) & year(i + 2)))), lambda x: x)
     return F.exists(tokens, _in(STRONG_PACK_WORDS)) | (ranges & F.exists(tokens, _in(PACK_WORDS)))
+
+
+# Numerals of sequels that sites write either way.
+ROMAN = {"II": "2", "III": "3", "IV": "4", "V": "5", "VI": "6", "VII": "7", "VIII": "8", "IX": "9"}
+_NUMERAL = r"(?<![\p{L}\p{N}])(?:VIII|VII|IV|III|IX|VI|II|V)(?![\p{L}\p{N}])"
+
+
+def search_query(name: Column, year: Column, season: Column, episode: Column) -> Column:
+    """What a source is asked for: the name with the episode's code, or else with the year, as far as they are known."""
+    code = F.format_string("S%02dE%02d", season.cast("int"), episode.cast("int"))
+    end = F.when(season.isNotNull() & episode.isNotNull(), code).otherwise(F.substring(year.cast("string"), 1, 4))
+    return F.trim(F.concat_ws(" ", F.nullif(name, F.lit("")), F.nullif(end, F.lit(""))))
+
+
+def numeral_variant(query: Column) -> Column:
+    """The query with its only Roman numeral of a sequel in digits; null without one, with several, or where nothing but articles stands before it."""
+    found = F.regexp_extract_all(query, F.lit(_NUMERAL), F.lit(0))
+    before = tokens(F.regexp_extract(query, f"(?s)^(.*?){_NUMERAL}", 1))
+    digit = F.element_at(F.create_map(*[F.lit(x) for kv in ROMAN.items() for x in kv]), F.get(found, F.lit(0)))
+    return F.when((F.size(found) == 1) & F.exists(before, lambda t: ~t.isin(*ARTICLES)), F.regexp_replace(query, F.lit(_NUMERAL), digit))
+
+
+def shape_query(query: Column, priority: Column, bare: Column) -> Column:
+    """A query as a source takes it: sources of priority get neither an episode's code nor marks on letters, ``bare`` ones no year at the end; never empty."""
+    plain = F.when(priority, strip_diacritics(F.regexp_replace(query, r"(?i)\bS\d{1,2}(?:E\d{1,3})?\b", " "))).otherwise(query)
+    short = F.when(bare, F.regexp_replace(plain, r"\s+(?:19|20)\d{2}\s*$", " ")).otherwise(plain)
+    return F.coalesce(F.nullif(F.trim(F.regexp_replace(short, r"\s+", " ")), F.lit("")), query)
+
+
+def namespace_of(key: Column) -> Column:
+    """What stands before a key's first colon."""
+    return F.when(F.contains(key, F.lit(":")), F.substring_index(key, ":", 1)).otherwise("__default")
+
+
+def link_identity(url: Column) -> Column:
+    """Ten hex digits that name a link wherever it stands in its post."""
+    return F.substring(F.sha1(F.coalesce(url, F.lit("")).cast("binary")), 1, 10)

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from ..functions import identity as I
 from ..functions import text as T
 from ..functions.text import decode_entities
 from ..sources import readers as S
@@ -264,3 +265,44 @@ def exp15_query_plan(spark, sf):
     s = read(spark, sf, "supplier").join(read(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     alone = F.col("s_suppkey") % 4 == 0
     return s.groupBy(F.col("n_regionkey").alias("grp")).agg(F.sort_array(F.collect_list(F.when(~alone, F.col("s_suppkey")))).alias("grouped"), F.sort_array(F.collect_list(F.when(alone, F.col("s_suppkey")))).alias("isolated"))
+
+
+_ROMANS = [*I.ROMAN, "", "V of"]
+
+
+@query(
+    f"""WITH q AS (SELECT p_partkey AS work_id, p_size, concat_ws(' ', CASE WHEN p_size % 10 = 9 THEN 'The' ELSE p_name END, nullif([{', '.join(f"'{r}'" for r in _ROMANS)}][p_size % 10 + 1], '')) AS name, 1980 + p_size AS year, p_partkey % 2 = 0 AS serial FROM part),
+s AS (SELECT work_id, p_size, name || CASE WHEN serial THEN printf(' S%02dE%02d', p_size % 5 + 1, p_size % 10 + 1) ELSE ' ' || year END AS query, serial FROM q)
+SELECT work_id, query, CASE WHEN p_size % 10 < 8 THEN regexp_replace(query, ' (VIII|VII|IV|III|IX|VI|II|V) ', ' ' || (p_size % 10 + 2) || ' ') END AS variant,
+  trim(CASE WHEN p_size % 3 = 0 AND serial THEN regexp_replace(query, ' S[0-9]+E[0-9]+', '') WHEN p_size % 2 = 0 AND NOT serial THEN regexp_replace(query, ' [0-9]{{4}}$', '') ELSE query END) AS shaped FROM s"""
+)
+def exp14_search_queries(spark, sf):
+    """What sources are asked for each work, whose names bear numerals of sequels by their size."""
+    p = read(spark, sf, "part")
+    end = F.nullif(F.element_at(F.array(*map(F.lit, _ROMANS)), (F.col("p_size") % 10 + 1).cast("int")), F.lit(""))
+    name = F.concat_ws(" ", F.when(F.col("p_size") % 10 == 9, "The").otherwise(F.col("p_name")), end)
+    serial = F.col("p_partkey") % 2 == 0
+    query_ = I.search_query(name, F.col("p_size") + 1980, F.when(serial, F.col("p_size") % 5 + 1), F.when(serial, F.col("p_size") % 10 + 1))
+    rows = p.select(F.col("p_partkey").alias("work_id"), query_.alias("query"), "p_size")
+    return rows.select("work_id", "query", I.numeral_variant(F.col("query")).alias("variant"), I.shape_query(F.col("query"), F.col("p_size") % 3 == 0, F.col("p_size") % 2 == 0).alias("shaped"))
+
+
+@query("SELECT namespace, count(*) AS n FROM (SELECT CASE WHEN user_id % 4 = 0 THEN '__default' ELSE event_type END AS namespace FROM events) GROUP BY namespace")
+def exp22_namespaces(spark, sf):
+    """Keys of events; those of a fourth of the users stand in no namespace."""
+    key = F.when(F.col("user_id") % 4 == 0, F.col("user_id").cast("string")).otherwise(F.concat_ws(":", "event_type", F.lit("v1"), F.col("user_id").cast("string")))
+    return read(spark, sf, "events").groupBy(I.namespace_of(key).alias("namespace")).agg(F.count("*").alias("n"))
+
+
+@query(
+    """WITH l AS (SELECT page_id, h, len(h) AS n FROM (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS h FROM pages)),
+a AS (SELECT *, CASE page_id % 4 WHEN 0 THEN substr(sha1(h[3]), 1, 10) WHEN 1 THEN 'gone' WHEN 2 THEN 'gone' END AS id, CASE page_id % 4 WHEN 1 THEN n WHEN 2 THEN n + 1 END AS counted FROM l)
+SELECT page_id, coalesce(list_filter(h, lambda x: substr(sha1(x), 1, 10) = id)[1], CASE WHEN NOT coalesce(id IS NOT NULL AND counted <> n, false) THEN h[2] END) AS href FROM a"""
+)
+def exp23_pick_links(spark, sf):
+    """The third link by its identity, a lost one by its place while the count is right, and the second by its place alone."""
+    links = S.posts_to_links(read(spark, sf, "pages"))
+    per = links.groupBy("page_id").agg(F.count("*").alias("n"), F.min_by("href", F.when(F.col("nth") == 3, F.col("nth"))).alias("third"))
+    turn = F.col("page_id") % 4
+    asked = per.select("page_id", F.when(turn == 0, I.link_identity(F.col("third"))).when(turn.isin(1, 2), "gone").alias("id"), F.lit(2).cast("long").alias("nth"), F.when(turn == 1, F.col("n")).when(turn == 2, F.col("n") + 1).alias("counted"))
+    return S.pick_link(links, asked)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import text as T
+from ..functions.identity import link_identity
 from ..functions.text import decode_entities, quality, source_of, strip_tags
 
 _ITEM = "struct<Title:string,Guid:string,InfoHash:string,MagnetUri:string,Seeders:bigint,Size:bigint,Tracker:string,Category:array<bigint>>"
@@ -229,6 +230,19 @@ def posts_to_links(pages: DataFrame) -> DataFrame:
     return links.select("page_id", F.row_number().over(W.partitionBy("page_id").orderBy("pos")).cast("long").alias("nth"), F.regexp_extract("part", r'href="([^"]*)"', 1).alias("href"), F.regexp_extract("part", r">([^<]*)$", 1).alias("label"), "section")
 
 
+def pick_link(links: DataFrame, asked: DataFrame) -> DataFrame:
+    """The link of a post that is asked for: that of the given identity, or else that at the given place, if the post still has as many links as were counted.
+
+    ``links`` has ``page_id``, ``nth`` (from 1) and ``href``; ``asked`` has ``page_id``, ``id`` (ten hex digits; may be
+    null), ``nth`` and ``counted`` (may be null). Returns ``page_id`` and ``href``, null where the post has changed.
+    """
+    own = links.select("page_id", F.col("nth").alias("at"), "href", link_identity(F.col("href")).alias("own"))
+    j = asked.join(own, "page_id", "left")
+    per = j.groupBy("page_id", "id", "nth", "counted").agg(F.min_by("href", F.when(F.col("own") == F.col("id"), F.col("at"))).alias("same"), F.min_by("href", F.when(F.col("at") == F.col("nth"), F.col("at"))).alias("placed"), F.count("at").alias("n"))
+    changed = F.col("id").isNotNull() & F.col("counted").isNotNull() & (F.col("counted") != F.col("n"))
+    return per.select("page_id", F.coalesce("same", F.when(~changed, F.col("placed"))).alias("href"))
+
+
 def season_cards(pages: DataFrame, season: int | None) -> DataFrame:
     """Links that may lead to a season: those whose address names another one go, unnumbered ones stay."""
     links = posts_to_links(pages).withColumn("season", F.regexp_extract("href", r"(?:temporada|season)-?(\d{1,2})", 1).try_cast("long"))

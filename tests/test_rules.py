@@ -120,3 +120,36 @@ def test_holds_are_reconciled(spark):
     ids = lambda *x: spark.createDataFrame([(i,) for i in x], "service_id long")
     got = {r.service_id: r.fate for r in M.reconcile_holds(holds, ids(1, 2, 3), ids(1, 2, 3, 8), ids(7), now, 10 * day, 5 * day).collect()}
     assert got == {1: "regressed", 2: "expired", 3: "keep", 4: "pruned", 5: "keep", 6: "pruned", 7: "keep", 8: "keep"}
+
+
+@pytest.mark.parametrize("query,want", [
+    ("Rocky V", "Rocky 5"), ("Jornada nas Estrelas II: x 1989", "Jornada nas Estrelas 2: x 1989"), ("V de Vinganca", None), ("A V de Vinganca", None), ("Rocky II Parte IV", None), ("I Am X", None), ("Apollo 13", None), ("Work VIII.", "Work 8."), ("IVory III", "IVory 3"), (None, None),
+])
+def test_numeral_variants(spark, query, want):
+    from pyspark.sql import functions as F
+
+    from sievewright.functions import identity as I
+
+    assert spark.createDataFrame([(query,)], "q string").select(I.numeral_variant(F.col("q")).alias("v")).first().v == want
+
+
+def test_search_queries(spark):
+    from pyspark.sql import functions as F
+
+    from sievewright.functions import identity as I
+
+    rows = [("Work", 1999, 1, 2), ("Work", 1999, None, None), ("Work", None, None, None), (None, 1999, None, None), ("Obra Ação S01E02", None, None, None), ("1999", None, None, None)]
+    df = spark.createDataFrame(rows, "name string, year long, season long, episode long")
+    got = df.select(I.search_query(F.col("name"), F.col("year"), F.col("season"), F.col("episode")).alias("q")).select("q", I.shape_query(F.col("q"), F.lit(True), F.lit(True)).alias("s")).collect()
+    assert [(r.q, r.s) for r in got] == [("Work S01E02", "Work"), ("Work 1999", "Work"), ("Work", "Work"), ("1999", "1999"), ("Obra Ação S01E02", "Obra Acao"), ("1999", "1999")]
+
+
+def test_links_are_picked_by_identity(spark):
+    import hashlib
+
+    from sievewright.sources import readers as S
+
+    name = lambda u: hashlib.sha1(u.encode()).hexdigest()[:10]
+    links = spark.createDataFrame([(1, k + 1, f"/{k}") for k in range(3)], "page_id long, nth long, href string")
+    ask = lambda *r: S.pick_link(links, spark.createDataFrame([r], "page_id long, id string, nth long, counted long")).first().href
+    assert ask(1, name("/2"), 1, 9) == "/2" and ask(1, "gone", 1, 3) == "/0" and ask(1, "gone", 1, 2) is None and ask(1, "gone", 1, None) == "/0" and ask(1, None, 2, 7) == "/1" and ask(1, None, 9, None) is None and ask(2, None, 1, None) is None
