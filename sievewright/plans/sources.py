@@ -125,7 +125,7 @@ p AS (SELECT page_id, i, host, regexp_extract(card, 'href="([^"]+)"', 1) AS href
 
 
 _POSTS = f"""WITH {_CARDS}, u AS (SELECT page_id, i, CASE WHEN starts_with(href, '/') THEN host || href ELSE href END AS post_url, title FROM p WHERE href <> '')
-SELECT page_id, CAST(min(i) - 1 AS INTEGER) AS pos, post_url, arg_min(title, i) AS title, CAST(NULL AS VARCHAR) AS original, CAST(NULL AS DATE) AS posted, CAST(NULL AS VARCHAR) AS poster FROM u WHERE NOT regexp_matches(lower(title), '^(list|lista|liste) (of|de|des|der) ') GROUP BY page_id, post_url"""
+SELECT page_id, CAST(min(i) - 1 AS INTEGER) AS pos, post_url, arg_min(title, i) AS title FROM u WHERE NOT regexp_matches(lower(title), '^(list|lista|liste) (of|de|des|der) ') GROUP BY page_id, post_url"""
 
 
 @query(f"SELECT page_id, count(*) AS n_cards FROM ({_POSTS}) GROUP BY page_id")
@@ -135,7 +135,8 @@ def src11_pages_to_posts(spark, sf):
 
 @query(_POSTS)
 def src11_posts(spark, sf):
-    return S.pages_to_posts(read(spark, sf, "pages"), "list")
+    """The layout of lists tells neither original title nor date nor poster."""
+    return S.pages_to_posts(read(spark, sf, "pages"), "list").select("page_id", "pos", "post_url", "title")
 
 
 _OFFERS = """WITH r AS (SELECT l_partkey AS work, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_shipdate, l_extendedprice) AS nth, CAST(l_quantity AS BIGINT) AS n, l_suppkey AS s FROM lineitem),"""
