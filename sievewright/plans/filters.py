@@ -65,6 +65,8 @@ def flt2_classify_listings(spark, sf):
     rows = listings(spark, sf).withColumn("title", F.concat_ws(" ", "title", F.element_at(F.array(*[F.lit(t) for t in TAGS]), (F.col("indexer") % 14 + 1).cast("int"))))
     rows = rows.withColumn("proven_audio", F.when(F.col("indexer") % 11 == 0, "").when(F.col("indexer") % 13 == 0, "Dual"))
     rows = rows.select("lid", "title", "season", "episode", "is_br", "lied", F.col("multi_work").alias("origin_only"), "proven_audio")
+    # a table may lie in one row group; a title's patterns cost a hundred times what moving its row does
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "lid")
     return P.classify(rows).select("lid", "quality", "source", "edition", "audio", "bucket", "foreign", "is_br", "dubbed", "multi_work", "lied")
 
 
