@@ -110,15 +110,31 @@ def search_words(query: Column) -> Column:
     return T.let(all_, lambda t: T.let(F.filter(t, lambda w: F.length(w) > 2), lambda long: F.when(F.size(long) >= 2, long).otherwise(t)))
 
 
-def filter_legible_posts(posts: DataFrame, searches: DataFrame, most: int) -> DataFrame:
+def filter_legible_posts(posts: DataFrame, searches: DataFrame, most: int, on: str = "search") -> DataFrame:
     """The posts of each search that may be meant: they bear enough of its words and name no other season; the first ``most``.
 
-    ``posts`` has ``search``, ``pos`` and ``title``; ``searches`` has ``search``, ``query`` and ``season`` (null: none asked
-    for). The season is told before the cut, so that other seasons' posts take no place. A search without words passes all.
+    ``posts`` has ``on``, ``pos`` and ``title``; ``searches`` has ``search``, ``on``, ``query`` and ``season`` (null: none
+    asked for); searches of one value of ``on`` share its posts. The season is told before the cut, so that other seasons'
+    posts take no place. A search without words passes all.
+
+    A search takes all posts of one title or none, so of these only the first ``most`` can be among its own. Titles meet
+    the distinct lists of words at one of so many of them that none is missed, and equal searches are cut once.
     """
-    df = posts.join(searches.select("search", search_words(F.col("query")).alias("wanted"), F.col("season").alias("asked")), "search")
-    held = T.let(T.tokens(F.col("title")), lambda t: F.size(F.filter("wanted", lambda w: F.array_contains(t, w))))
-    named = F.coalesce(F.nullif(F.regexp_extract("title", r"(?i)(?:\bS(\d{1,2})\b|(\d{1,2})\s*[ªº]\s*Temporada)", 1), F.lit("")), F.nullif(F.regexp_extract("title", r"(?i)(?:\bS(\d{1,2})\b|(\d{1,2})\s*[ªº]\s*Temporada)", 2), F.lit(""))).cast("long")
-    ok = ((F.size("wanted") == 0) | (held / F.size("wanted") >= LEGIBLE)) & F.coalesce((F.col("asked") <= 0) | (named == F.col("asked")), F.lit(True))
-    kept = df.where(ok).withColumn("nth", F.row_number().over(W.partitionBy("search").orderBy("pos")).cast("long")).where(F.col("nth") <= most)
-    return kept.drop("wanted", "asked")
+    asked = searches.select(*dict.fromkeys([on, "search"]), F.array_sort(search_words(F.col("query"))).alias("wanted"), F.col("season").alias("asked"))
+    first = posts.withColumn("nth", F.row_number().over(W.partitionBy(on, "title").orderBy("pos"))).where(F.col("nth") <= most).drop("nth")
+    season = lambda k: F.nullif(F.regexp_extract("title", r"(?i)(?:\bS(\d{1,2})\b|(\d{1,2})\s*[ªº]\s*Temporada)", k), F.lit(""))
+    titles = posts.select(on, "title").distinct().select(on, "title", T.tokens(F.col("title")).alias("tt"), F.coalesce(season(1), season(2)).cast("long").alias("named"))
+    lists = asked.select(on, "wanted").distinct()
+    # who holds a share of n words holds one of the first n - least + 1
+    least = F.ceil(F.size("wanted") * F.lit(LEGIBLE) - 1e-9)
+    probes = lists.where(F.size("wanted") > 0).select(on, "wanted", F.explode(F.array_distinct(F.slice("wanted", F.lit(1), (F.size("wanted") - least + 1).cast("int")))).alias("word"))
+    held = F.size(F.filter("wanted", lambda w: F.array_contains("tt", w)))
+    near = titles.withColumn("word", F.explode(F.array_distinct("tt"))).join(probes, [on, "word"]).where(held / F.size("wanted") >= LEGIBLE)
+    met = near.select(on, "title", "named", "wanted").distinct().unionByName(titles.join(lists.where(F.size("wanted") == 0), on).select(on, "title", "named", "wanted"))
+    kinds = asked.select(on, "wanted", "asked").distinct()
+    fits = met.join(kinds, [on, "wanted"]).where(F.coalesce((F.col("asked") <= 0) | (F.col("named") == F.col("asked")), F.lit(True))).select(F.col(on).alias("__on"), F.col("title").alias("__title"), "wanted", "asked")
+    found = first.join(fits, (F.col(on) == F.col("__on")) & F.col("title").eqNullSafe(F.col("__title"))).drop("__on", "__title")
+    cut = found.withColumn("nth", F.row_number().over(W.partitionBy(on, "wanted", "asked").orderBy("pos")).cast("long")).where(F.col("nth") <= most)
+    own = asked.select(F.col(on).alias("__on"), F.col("search").alias("__search"), F.col("wanted").alias("__wanted"), F.col("asked").alias("__asked"))
+    kept = cut.join(own, (F.col(on) == F.col("__on")) & (F.col("wanted") == F.col("__wanted")) & F.col("asked").eqNullSafe(F.col("__asked")))
+    return kept.select(F.col("__search").alias("search"), *[c for c in posts.columns if c not in (on, "search")], "nth")
