@@ -2,7 +2,10 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from sievewright.operators import filters as P
+from sievewright.operators import joins as J
 
 
 def test_searches_that_share_posts(spark):
@@ -34,3 +37,19 @@ def test_searches_that_share_posts(spark):
                 fits.append(pos)
         want |= {(k, pos, n + 1) for n, pos in enumerate(sorted(fits)[:7])}
     assert got == want
+
+
+WORKS = "work_id long, names array<string>, year int, is_series boolean, season int, episode int"
+
+
+def test_works_alike_are_met_once(spark):
+    kinds = [(["Deep Sky"], 2001, False, None, None), (["Deep Sky"], None, False, None, None), (["Old Sea", "Mar Velho"], 1999, True, 1, 2), (["Old Sea", "Mar"], 1999, False, None, None), (["Old Sea"], 1999, False, None, None)]
+    works = spark.createDataFrame([(i, *kinds[i % 5]) for i in range(100)], WORKS)
+    classes, members = J.work_classes(works)
+    assert classes.count() == 5 and members.count() == 100
+    rows = spark.createDataFrame([(1, "Deep Sky 2001", True, None), (2, "Old Sea S01E02", False, None), (3, "Old Sea", True, None)], "lid long, title string, is_br boolean, magnet string")
+    got = {(r.lid, r.work_id) for r in J.match_works(rows, works).collect()}
+    named = [{1}, {1}, {2, 3}, {2, 3}, {2, 3}]
+    assert got == {(lid, i) for i in range(100) for lid in named[i % 5]}
+    items = rows.withColumns({"multi_work": F.lit(False), "rows": F.lit(3)})
+    assert {(r.work_id, r.n) for r in J.inventory_counts(items, works).collect()} == {(w, 3 * sum(x == w for _, x in got)) for _, w in got}
