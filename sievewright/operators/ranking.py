@@ -54,23 +54,46 @@ def cinema(title: Column) -> Column:
     return T.source_of(title) == "CAM"
 
 
+def _read_titles(df: DataFrame) -> DataFrame:
+    """The rows with what the pools ask of a title."""
+    t = F.col("title")
+    return T.read_once(df, {"__cam": cinema(t), "__subtitled": T.audio_of(t) == "Legendado", "__alien": T.foreign_audio(t), "__target": T.looks_target(t) | T.target_signs(t)})
+
+
+def _first_step(df: DataFrame, key: str, step: Column, *order: Column) -> DataFrame:
+    """The rows of the lowest ``step`` that a key has, numbered in order; rows without a step go. That step stands first in the order, so no key is held whole."""
+    w = W.partitionBy(key).orderBy("__step", *order)
+    some = df.withColumn("__step", step).where(F.col("__step").isNotNull())
+    some = some.withColumns({"rn": F.row_number().over(w).cast("long"), "__best": F.first("__step").over(w.rowsBetween(W.unboundedPreceding, 0))})
+    return some.where(F.col("__step") == F.col("__best")).drop("__best")
+
+
+def _told(df: DataFrame) -> DataFrame:
+    return df.drop(*[c for c in df.columns if c.startswith("__")])
+
+
+def _own_step() -> Column:
+    """Rows of priority origin: 1 if tagged as dubbed, 2 if they do not say they are subtitled."""
+    mine = F.col("is_br") & ~F.col("__cam")
+    return F.when(mine & F.col("dubbed"), 1).when(mine & ~F.col("__subtitled"), 2)
+
+
 def pool_priority_dubbed(df: DataFrame, key: str = "request_id") -> DataFrame:
     """Priority-origin rows that are no recordings from a cinema: the tagged dubbed ones if the request has any, else all that do not say they are subtitled."""
-    mine = df.where(F.col("is_br") & ~cinema(F.col("title"))).withColumn("any", F.max(F.col("dubbed").cast("int")).over(W.partitionBy(key)))
-    mine = mine.where(F.col("dubbed") | ((F.col("any") == 0) & (T.audio_of(F.col("title")) != "Legendado"))).drop("any")
-    return rank_by(mine, key, down("dubbed"), down("multi_work"), placed(F.col("quality"), WEIGHT).desc(), down("seeders"), F.col("lid"))
+    mine = _read_titles(df.where("is_br"))
+    return _told(_first_step(mine, key, _own_step(), down("multi_work"), placed(F.col("quality"), WEIGHT).desc(), down("seeders"), F.col("lid")))
 
 
 def pool_any_dubbed(df: DataFrame, key: str = "request_id") -> DataFrame:
-    return rank_by(df.where(F.col("dubbed") & ~cinema(F.col("title"))), key, down("multi_work"), placed(F.col("quality"), WEIGHT).desc(), down("seeders"), F.col("lid"))
+    safe = _read_titles(df.where("dubbed")).where(~F.col("__cam"))
+    return _told(rank_by(safe, key, down("multi_work"), placed(F.col("quality"), WEIGHT).desc(), down("seeders"), F.col("lid")))
 
 
 def pool_top_seeded(df: DataFrame, floor: int = 5, key: str = "request_id", target_first: bool = True) -> DataFrame:
     """Rows with enough seeders that neither come from a cinema nor name a foreign language; packs first, then, if asked for, titles with a sign of the target language."""
-    title = F.col("title")
-    safe = df.where((F.col("seeders") >= floor) & ~cinema(title) & ~T.foreign_audio(title))
-    sign = [(T.looks_target(title) | T.target_signs(title)).desc()] if target_first else []
-    return rank_by(safe, key, down("multi_work"), *sign, down("seeders"), placed(F.col("quality"), WEIGHT).desc(), F.col("lid"))
+    safe = _read_titles(df.where(F.col("seeders") >= floor)).where(~F.col("__cam") & ~F.col("__alien"))
+    sign = [down("__target")] if target_first else []
+    return _told(rank_by(safe, key, down("multi_work"), *sign, down("seeders"), placed(F.col("quality"), WEIGHT).desc(), F.col("lid")))
 
 
 def pick_from_pool(pool: DataFrame, cached: DataFrame, k: int, key: str = "request_id") -> DataFrame:
@@ -81,14 +104,16 @@ def pick_from_pool(pool: DataFrame, cached: DataFrame, k: int, key: str = "reque
 
 
 def pool_ladder(df: DataFrame, k: int, floor: int = 5, key: str = "request_id") -> DataFrame:
-    """The best pool that has rows, per request; the first k rows are immediate, the rest queued."""
-    tiers = [pool_priority_dubbed(df, key), pool_any_dubbed(df, key), pool_top_seeded(df, floor, key)]
-    every = None
-    for i, t in enumerate(tiers):
-        t = t.withColumn("tier", F.lit(i + 1).cast("long"))
-        every = t if every is None else every.unionByName(t)
-    best = every.withColumn("best", F.min("tier").over(W.partitionBy(key))).where("tier = best").drop("best")
-    return best.withColumn("immediate", F.col("rn") <= k)
+    """The best of the three pools that has rows, per request; the first k rows are immediate, the rest queued.
+
+    A row counts in the best pool that may hold it: where a better one has rows, only those are asked for.
+    """
+    rows = _read_titles(df)
+    step = F.coalesce(_own_step(), F.when(F.col("dubbed") & ~F.col("__cam"), 3), F.when((F.col("seeders") >= floor) & ~F.col("__cam") & ~F.col("__alien"), 4))
+    seeded, weight = F.col("__step") == 4, placed(F.col("quality"), WEIGHT).desc()
+    best = _first_step(rows, key, step, down("multi_work"), F.when(seeded, F.col("__target")).desc(), F.when(seeded, F.col("seeders")).desc(), weight, down("seeders"), F.col("lid"))
+    tier = F.when(F.col("__step") <= 2, 1).otherwise(F.col("__step") - 1).cast("long")
+    return _told(best.withColumns({"tier": tier, "immediate": F.col("rn") <= k}))
 
 
 def limit_by_quality(ranked: DataFrame, limits: dict[str, int], key: str = "request_id") -> DataFrame:
