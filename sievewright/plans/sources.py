@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from ..functions import identity as I
@@ -173,8 +171,7 @@ def _carried(scope: str) -> str:
 def src12_post_links(spark, sf):
     """The links of all posts in each of the three scopes."""
     posts = _posts(spark, sf).withColumn("html", decode_entities(F.col("html")))
-    each = [S.post_links(posts, scope).withColumn("scope", F.lit(scope)) for scope in S.SCOPES]
-    return reduce(lambda a, b: a.unionByName(b), each)
+    return S.scoped_links(posts)
 
 
 @query(

@@ -187,7 +187,12 @@ def post_links(posts: DataFrame, scope: str, tie_break: bool = True, audio: str
     ``posts`` has ``page_id`` and ``html``. Returns ``page_id``, ``nth``, ``href``, ``audio``, ``episode``, ``quality``,
     ``source`` and ``size``. The carried states are windows over a post's links: a reset is a value of its own.
     """
-    if scope not in SCOPES:
+    return scoped_links(posts, (scope,), tie_break, audio).drop("scope")
+
+
+def scoped_links(posts: DataFrame, scopes: tuple[str, ...] = SCOPES, tie_break: bool = True, audio: str = "") -> DataFrame:
+    """``post_links`` in several scopes, told by ``scope``. Every text is read once for all of them, before its links come together, so that no text is moved."""
+    if set(scopes) - set(SCOPES):
         raise ValueError(f"scope must be one of {SCOPES}")
     anchors, between = F.regexp_extract_all("html", F.lit(_ANCHOR), F.lit(0)), F.split("html", _ANCHOR)
     rows = posts.select("page_id", F.posexplode(F.arrays_zip(anchors.alias("link"), F.slice(between, F.lit(1), F.size(anchors)).alias("text"))).alias("pos", "x"))
@@ -197,27 +202,27 @@ def post_links(posts: DataFrame, scope: str, tie_break: bool = True, audio: str
         """Where the last match of a pattern begins; null without one."""
         return F.when(c.rlike(pattern), F.length(F.regexp_extract(c, f"(?s)^(.*)(?:{pattern})", 1)))
 
+    def last_episode(c: Column) -> Column:
+        return F.when(c.rlike(EPISODE_TEXT), F.regexp_extract(c, f"(?s)^.*{EPISODE_TEXT}", 1).try_cast("int"))
+
     def signal(c: Column, tie: bool) -> Column:
         """The episode that a text names last, a reset if a pack stands behind it (or, without ``tie``, anywhere), else null."""
-        episode = F.regexp_extract(c, f"(?s)^.*{EPISODE_TEXT}", 1).try_cast("int")
-        pack = last_at(c, PACK_TEXT)
-        wins = (last_at(c, EPISODE_TEXT) > pack) if tie else F.lit(False)
-        return F.when(pack.isNotNull() & ~F.coalesce(wins, F.lit(False)), F.lit(_RESET)).otherwise(episode)
+        wins = (last_at(c, EPISODE_TEXT) > last_at(c, PACK_TEXT)) if tie else F.lit(False)
+        return F.when(c.rlike(PACK_TEXT) & ~F.coalesce(wins, F.lit(False)), F.lit(_RESET)).otherwise(last_episode(c))
 
     named = lambda c: reduce(lambda a, kv: a.when(c.rlike(kv[1]), kv[0]), AUDIO_TEXT.items(), F.when(F.lit(False), ""))
     segment, own, context = F.col("segment"), F.col("own"), F.concat_ws(" ", "segment", "own")
-    w = W.partitionBy("page_id").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    told = signal(segment, tie_break)
-    own_episode = F.regexp_extract(own, f"(?s)^.*{EPISODE_TEXT}", 1).try_cast("int")
-    own_pack = F.when(own.rlike(PACK_TEXT), F.lit(_RESET))
-    if scope == "anchor-writes":
-        told = F.coalesce(own_episode, own_pack, told)
-    state = F.nullif(F.last(told, ignorenulls=True).over(w), F.lit(_RESET))
-    if scope == "anchor-local":
-        state = F.when(own_pack.isNull(), F.coalesce(own_episode, state))
-    heard = F.coalesce(named(own), F.last(named(segment), ignorenulls=True).over(w), F.lit(audio))
     size = F.element_at(F.concat(F.array(F.lit("")), F.regexp_extract_all(context, F.lit("([0-9.,]+ *[TGMK]B)\\b"), F.lit(1))), -1)
-    return rows.select("page_id", (F.col("pos") + 1).cast("long").alias("nth"), F.regexp_extract("link", r'href="([^"]*)"', 1).alias("href"), heard.alias("audio"), state.cast("long").alias("episode"), quality(context).alias("quality"), source_of(context).alias("source"), F.nullif(size, F.lit("")).alias("size"))
+    read = rows.select(
+        "page_id", "pos", F.regexp_extract("link", r'href="([^"]*)"', 1).alias("href"), signal(segment, tie_break).alias("told"), last_episode(own).alias("own_episode"), F.when(own.rlike(PACK_TEXT), F.lit(_RESET)).alias("own_pack"),
+        named(segment).alias("heard"), named(own).alias("own_heard"), quality(context).alias("quality"), source_of(context).alias("source"), F.nullif(size, F.lit("")).alias("size"),
+    )
+    w = W.partitionBy("page_id").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
+    carried = lambda c: F.nullif(F.last(c, ignorenulls=True).over(w), F.lit(_RESET))
+    held = read.withColumns({"state": carried(F.col("told")), "written": carried(F.coalesce("own_episode", "own_pack", "told")), "audio": F.coalesce("own_heard", F.last("heard", ignorenulls=True).over(w), F.lit(audio))})
+    states = {"anchor-local": F.when(F.col("own_pack").isNull(), F.coalesce("own_episode", "state")), "anchor-writes": F.col("written"), "segment-only": F.col("state")}
+    each = held.withColumn("x", F.explode(F.array(*[F.struct(F.lit(s).alias("scope"), states[s].cast("long").alias("episode")) for s in scopes])))
+    return each.select("page_id", (F.col("pos") + 1).cast("long").alias("nth"), "href", "audio", "x.episode", "quality", "source", "size", "x.scope")
 
 
 def posts_to_links(pages: DataFrame) -> DataFrame:
