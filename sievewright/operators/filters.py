@@ -27,20 +27,23 @@ def classify(df: DataFrame) -> DataFrame:
     """
     given = lambda c, kind: F.col(c) if c in df.columns else F.lit(None).cast(kind)
     t, proof, c = F.col("title"), given("proven_audio", "string"), lambda n: F.col(f"__{n}")
+    told = T.distinct_texts(df).withColumns({"__up": T.shouted(t), "__words": T.padded(t), "__parsed": T.season_episode(t)})
     # each step names what the next ones look at, so that every pattern runs once a title
-    out = df.withColumns({"__up": T.shouted(t), "__words": T.padded(t), "__parsed": T.season_episode(t)})
-    out = out.withColumns({"__sub": T._has(c("up"), T.SUBTITLE_WORDS), "__signs": T.signs_in(t, c("up"), c("words"))})
-    out = out.withColumn("__explicit", T.explicit_in(c("up"), c("sub")))
-    out = out.withColumn("__said", T.audio_in(c("up"), c("sub"), c("explicit")))
-    out = out.withColumn("__target", T.target_in(c("said"), c("explicit"), c("signs")))
+    told = told.withColumns({"__sub": T._has(c("up"), T.SUBTITLE_WORDS), "__signs": T.signs_in(t, c("up"), c("words"))})
+    told = told.withColumn("__explicit", T.explicit_in(c("up"), c("sub")))
+    told = told.withColumn("__said", T.audio_in(c("up"), c("sub"), c("explicit")))
+    told = told.withColumn("__target", T.target_in(c("said"), c("explicit"), c("signs")))
+    facts = {
+        "quality": T.quality(t), "source": T.named_by(c("words"), T.SOURCES), "edition": T.named_by(c("words"), T.EDITIONS), "bucket": T.bucket_in(c("target"), c("said"), c("signs")), "foreign": ~c("explicit") & T._has(c("up"), T.FOREIGN_WORDS),
+        "multi_work": I.is_multi_work(F.filter(F.split(c("words"), " "), lambda w: w != "")), "parsed": c("parsed"), "explicit": c("explicit"), "said": c("said"), "target": c("target"),
+    }
+    out = T.joined_facts(df, told, {f"__{n}": f for n, f in facts.items()})
     out = out.withColumn("__audio", F.when(proof.isNull(), c("said")).when(proof != "", proof).when(c("said") == "Legendado", c("said")).otherwise(""))
     out = out.withColumn("__origin", F.coalesce(given("is_br", "boolean"), F.lit(False)) | c("target"))
     proven = F.when(F.col("proven_name").isNotNull(), T.explicit_target_audio(F.col("proven_name"))).otherwise(c("explicit")) if "proven_name" in df.columns else c("explicit")
     dubbed = F.when(c("origin") & ~F.coalesce(given("origin_only", "boolean"), F.lit(False)), c("audio").isin("Dublado", "Dual", "Nacional")).otherwise(proven)
     out = out.withColumns({
-        "quality": F.coalesce(given("proven_quality", "string"), T.quality(t)), "source": T.named_by(c("words"), T.SOURCES), "edition": T.named_by(c("words"), T.EDITIONS), "audio": c("audio"),
-        "bucket": T.bucket_in(c("target"), c("said"), c("signs")), "foreign": ~c("explicit") & T._has(c("up"), T.FOREIGN_WORDS), "is_br": c("origin"), "dubbed": dubbed,
-        "multi_work": I.is_multi_work(F.filter(F.split(c("words"), " "), lambda w: w != "")), "lied": F.coalesce(given("lied", "boolean"), F.lit(False)),
+        "quality": F.coalesce(given("proven_quality", "string"), c("quality")), **{n: c(n) for n in ("source", "edition", "audio", "bucket", "foreign", "multi_work")}, "is_br": c("origin"), "dubbed": dubbed, "lied": F.coalesce(given("lied", "boolean"), F.lit(False)),
         "fits": T.fits_episode(c("parsed"), F.col("season"), F.col("episode")), "pack": F.coalesce(T.is_pack(c("parsed"), F.col("season")), F.lit(False)),
     })
     return out.drop(*[n for n in out.columns if n.startswith("__")])
@@ -88,15 +91,11 @@ def drop_account_items(df: DataFrame, from_account: Column, per_file: bool) -> D
     return kept if per_file else kept.where(~F.col("multi_work"))
 
 
-def healthy(seeders: Column, title: Column, floor: int) -> Column:
-    """Enough seeders, and no mark of a foreign language in the title."""
-    return (seeders >= floor) & ~T.foreign_audio(title)
-
-
 def episode_is_weak(df: DataFrame, relevant: Column, floor: int, key: str = "request_id") -> DataFrame:
-    """Per request the relevant rows, the healthy ones of them, and ``weak``: there are relevant rows and none is healthy."""
-    good = relevant & healthy(F.col("seeders"), F.col("title"), floor)
-    per = df.groupBy(key).agg(F.count_if(relevant).alias("n"), F.count_if(good).alias("n_healthy"))
+    """Per request the relevant rows, the healthy ones of them (enough seeders, and no mark of a foreign language in the title), and ``weak``: there are relevant rows and none is healthy."""
+    rows = T.read_once(df, {"__alien": T.foreign_audio(F.col("title"))})
+    good = relevant & (F.col("seeders") >= floor) & ~F.col("__alien")
+    per = rows.groupBy(key).agg(F.count_if(relevant).alias("n"), F.count_if(good).alias("n_healthy"))
     return per.withColumn("weak", (F.col("n") > 0) & (F.col("n_healthy") == 0))
 
 
