@@ -231,10 +231,14 @@ def reconcile_holds(holds: DataFrame, unready: DataFrame, present: DataFrame, vo
     return j.select("service_id", fate.alias("fate"))
 
 
-def invalidate_lists(lists: DataFrame, items: DataFrame, packs: DataFrame, wrong: DataFrame, key: list[str]) -> DataFrame:
-    """Stored lists that stay: those of a season whose pack has become ready go (``packs``: ``work_id``, ``season``), and those that hold a row proved wrong (``wrong``: ``hash``; ``items``: the lists' ``key`` and ``hash``)."""
-    spoilt = items.join(wrong.select("hash").distinct(), "hash", "left_semi").select(*key).distinct()
-    return lists.join(packs.select("work_id", "season").distinct(), ["work_id", "season"], "left_anti").join(spoilt, key, "left_anti")
+def invalidate_lists(lists: DataFrame, items: DataFrame, packs: DataFrame, wrong: DataFrame, key: list[str], on: str = "hash") -> DataFrame:
+    """Stored lists that stay, each once: those of a season whose pack has become ready go (``packs``: ``work_id``, ``season``), and those that hold a row proved wrong (``wrong``: ``on``; ``items``: the lists' ``key`` and ``on``).
+
+    Lists and their wrong items are gathered by key in one step.
+    """
+    spoilt = items.join(wrong.select(on).distinct(), on, "left_semi").select(*key, F.lit(False).alias("listed"))
+    told = lists.select(*key, F.lit(True).alias("listed")).unionByName(spoilt).groupBy(*key).agg(F.bool_and("listed").alias("listed"))
+    return told.where("listed").drop("listed").join(packs.select("work_id", "season").distinct(), ["work_id", "season"], "left_anti")
 
 
 def promote_lists(items: DataFrame, ready: DataFrame) -> DataFrame:
