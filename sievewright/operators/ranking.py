@@ -158,7 +158,12 @@ def select_quality_pool(ranked: DataFrame, caps: dict[str, int], target: int, ke
     robin over the capped qualities takes one row of each in turn up to its cap, and rows of uncapped qualities fill up.
     Each of the four steps has its limits per quality and one on all, so each is a rank within the quality and one
     within the request, behind the rows of the steps before.
+
+    In each step the rows of a quality and origin are taken in their order, so none behind the first ``target`` of them,
+    or as many as the largest cap, goes on or changes a rank that counts: these are cut before the other windows.
     """
+    most = max([target, *[n * factor for n in caps.values()]])
+    ranked = ranked.withColumn("__at", F.row_number().over(W.partitionBy(key, "quality", "is_br").orderBy("rn"))).where(F.col("__at") <= most).drop("__at")
     cap = F.element_at(F.create_map(*[F.lit(x) for q, n in caps.items() for x in (q, n * factor)]), F.col("quality"))
     df = ranked.withColumn("cap", cap)
     every, band = W.partitionBy(key), W.partitionBy(key, "quality")
