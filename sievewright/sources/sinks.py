@@ -25,8 +25,8 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def write_index(df: DataFrame, path: str, by: str = "shelf") -> None:
-    """Overwrites only the partitions that the frame holds; rows are clustered by partition before, so that each is few files."""
-    df.repartition(by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+    """Overwrites only the partitions that the frame holds; rows are clustered by partition before, so that each is few files, and a large partition is cut into tasks of the advisory size."""
+    df.hint("rebalance", by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
 KV = StructType().add("key", "string").add("value", "double").add("expires_at", "timestamp").add("used_at", "timestamp").add("seq", "long")
