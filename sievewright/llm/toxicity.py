@@ -80,7 +80,8 @@ def scan(texts: list[str], m: Model, cutoff: float) -> tuple[np.ndarray, np.ndar
         best.append(max((r[0] for r in runs), default=0.0))
         total.append(sum(evidence(r[0], len(tokens), m) for r in high))
         found.append(high)
-    return np.array(n), np.array(best), np.array(total), found
+    # types are told, not guessed: the batches of a task must agree, and the sum of no evidence is the integer 0
+    return np.array(n, np.int64), np.array(best, np.float64), np.array(total, np.float64), found
 
 
 def evidence(score: float, n: int, m: Model) -> float:

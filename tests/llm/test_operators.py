@@ -228,6 +228,26 @@ def test_toxicity_odd(spark, odd, none):
     assert toxicity.fit(spark.createDataFrame([("a b c", 0), (None, 0)], "text string, toxic int")).scores == {}
 
 
+def test_toxicity_learns_alike_whatever_the_batches(spark):
+    """A batch without evidence between batches with evidence has the same types as they."""
+    filler = [f"word{chr(97 + i % 20)} and other plain words" for i in range(400)]
+    rows = [(f"{t} vile vile vile vile" if i % 100 < 10 else t, int(i % 100 < 10)) for i, t in enumerate(filler)]
+    # texts count once, so every one has a word of its own
+    rows = [(f"{t} {''.join(chr(97 + int(c)) for c in str(i))}", y) for i, (t, y) in enumerate(rows)]
+    labelled = spark.createDataFrame(rows, "text string, toxic int").coalesce(1)
+    whole = toxicity.fit(labelled)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "5")
+    try:
+        small = toxicity.fit(labelled)
+        scored = toxicity.toxicity(labelled.withColumn("doc_id", F.monotonically_increasing_id()), small, keep=("toxic",)).collect()
+    finally:
+        spark.conf.set(name, before)
+    assert whole.scores["vile"] > 0 and small == whole
+    assert len(scored) == 400 and all(r.predicted == r.toxic for r in scored)
+
+
 # --- 4 ----------------------------------------------------------------------------------------------------------
 
 
