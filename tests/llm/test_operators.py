@@ -248,6 +248,17 @@ def test_toxicity_learns_alike_whatever_the_batches(spark):
     assert len(scored) == 400 and all(r.predicted == r.toxic for r in scored)
 
 
+def test_the_curve_of_evidence_does_not_run_away():
+    """Clean texts with some evidence each, a few with very much: whole Newton steps overshoot from there."""
+    rng = np.random.default_rng(4)
+    total = np.r_[rng.exponential(5.4, 880), rng.uniform(100, 600, 10), 4 + rng.exponential(12, 100), rng.uniform(300, 500, 4)]
+    x, y = np.c_[total, np.ones(len(total))], np.r_[np.zeros(890), np.ones(104)]
+    w = toxicity.logistic_curve(x, y)
+    p = 1 / (1 + np.exp(-x @ w))
+    assert 0 < w[0] < 1 and -6 < w[1] < 0
+    assert np.abs(x.T @ (y - p) - 1e-3 * w).max() < 1e-4  # the slope of the loss is 0 there
+
+
 # --- 4 ----------------------------------------------------------------------------------------------------------
 
 
