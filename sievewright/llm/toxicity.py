@@ -205,14 +205,15 @@ def toxicity(docs: DataFrame, model: Model, text: str = "text", id_col: str = "d
     """
     shipped = ship(docs.sparkSession).sparkContext.broadcast(model)
     through = {f.name: f.dataType.simpleString() for f in docs.schema.fields if f.name == id_col or f.name in keep}
+    read = text if text in through else "__text"  # a kept text goes to Python once
     item = pa.struct([("score", pa.float64()), ("first", pa.int64()), ("end", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept_in_worker()
         m = shipped.value
         for whole in batches:
-            for b in sliced(whole, "__text"):
-                _, _, total, found = scan(texts_of(b, "__text"), m, 0.0)
+            for b in sliced(whole, read):
+                _, _, total, found = scan(texts_of(b, read), m, 0.0)
                 score = 1 / (1 + np.exp(-np.clip(m.a * total + m.b, -30, 30)))
                 out = [*(b.column(c) for c in through), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array([len(f) for f in found], pa.int32())]
                 if spans:
@@ -220,7 +221,7 @@ def toxicity(docs: DataFrame, model: Model, text: str = "text", id_col: str = "d
                 yield pa.RecordBatch.from_arrays(out, [*through, "score", "predicted", "n_segments", *["segments"] * spans])
 
     schema = "".join(f"`{c}` {k}, " for c, k in through.items()) + "score double, predicted int, n_segments int" + ", segments array<struct<score: double, first: long, end: long>>" * spans
-    return docs.select(*through, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*through, *[F.col(text).alias(read)] * (read not in through)).mapInArrow(run, schema)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> DataFrame:
